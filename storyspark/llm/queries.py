@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from storyspark.llm.decontaminate import op8_benchmark_decontamination
 from storyspark.llm.language_id import op3_language_id
+from storyspark.llm.lattice import op4_embedding_near_dedup
 from storyspark.llm.ngram_join import op9_ngram_jaccard_join
 from storyspark.llm.packing import op10_best_fit_packing
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op8_benchmark_decontamination, op9_ngram_jaccard_join, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_embedding_near_dedup, op8_benchmark_decontamination, op9_ngram_jaccard_join, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -76,11 +76,15 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(data: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of ``member`` bytes within each text, and for each text its first run's number (one more entry at the end)."""
-    n = len(data)
+    return mask_runs(member[data], offs)
+
+
+def mask_runs(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``runs`` of the places where ``mask`` is true."""
+    n = len(mask)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    mask = member[data]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     before = np.empty(n, bool)

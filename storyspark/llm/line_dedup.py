@@ -1,7 +1,8 @@
 """Line dedup by pairwise alignment.
 
-A line is a stretch of text up to a line feed or to the space after ``.``, ``!`` or ``?``; one of fewer than ``MIN_LINE``
-words belongs to the line before it. Lines are hashed; a hash that several documents hold makes each of them overlap with
+A line is a stretch of text up to a line feed, to the space after ``.``, ``!`` or ``?``, or to the space after a word whose
+hash is a multiple of ``CUT`` (so that a passage copied into the middle of a sentence holds whole lines too); one of fewer
+than ``MIN_LINE`` words belongs to the line before it. Lines are hashed; a hash that several documents hold makes each of them overlap with
 the first (smallest doc_id) that holds it, so a line that n documents share makes n - 1 pairs. Each pair is aligned by
 patience diff over its shared lines: lines that occur once on both sides are anchors, the longest increasing chain of
 anchors is kept, the ranges between are aligned alike, and anchors extend to equal neighbours; what is left over is aligned
@@ -23,6 +24,7 @@ from storyspark.llm import textkernel as K
 from storyspark.llm.common import discard, materialize, table, text_blocks, without
 
 MIN_LINE, MIN_BLOCK = 3, 8
+CUT = 16
 #: Bytes of deletions that may be broadcast to the documents; more are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 COLUMNS = ("n_lines", "n_removed")
@@ -35,8 +37,12 @@ def lines(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     cut = (data == 10) | (data == 13)
     if len(data) > 1:
         cut[1:] |= (data[1:] == 32) & _STOP[data[:-1]]
+    words, word_ends, _ = K.runs(data, offs, K.NONSPACE)
+    inner = np.ones(len(data) + 1, bool)
+    inner[offs] = False
+    chosen = word_ends[K.span_hashes(data, words, word_ends) % np.uint64(CUT) == 0]
+    cut[chosen[inner[chosen]]] = True
     starts, ends, _ = K.mask_runs(~cut, offs)
-    words = K.runs(data, offs, K.NONSPACE)[0]
     n = np.searchsorted(words, ends) - np.searchsorted(words, starts)
     first = np.searchsorted(starts, offs)
     opens = np.zeros(len(starts), bool)

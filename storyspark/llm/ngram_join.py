@@ -35,8 +35,9 @@ BAND_RATIO = 1.3
 CHANCE, WEIGHT = 0.25, 1e4
 #: Segments with fewer tokens count as almost empty.
 SMALL = 2
-#: Star rounds, in which the centre is chosen by rank, before the remaining pairs of a key are listed outright.
-STAR_ROUNDS = 3
+#: The pairs left in mixed keys are listed outright when they are fewer than so many times the pairs compared before;
+#: else star rounds with other centres come first, ``STAR_ROUNDS`` at most.
+PAIRS_LISTED, STAR_ROUNDS = 4, 6
 #: Documents to verify whose ids may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 _U = np.uint64
@@ -165,15 +166,16 @@ def _signed(docs: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, sig long, check long, keys array<long>")
 
 
-def _set_table(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(sig, tokens) of the wanted (doc_id, sig) classes, from whole texts."""
+def _set_table(docs: DataFrame, k: int, wanted: DataFrame, seed: int) -> DataFrame:
+    """(sig, tokens) of the wanted (doc_id, sig) classes, from whole texts; a row of the id whose text is not of the class is left out."""
     n = wanted.count()
     docs = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "doc_id").select("sig", "text")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch):
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array([x.tobytes() for x in _sets(block.column(1), k)], pa.binary())], ["sig", "tokens"])
+                own = [(s, x.tobytes()) for s, x in zip(block.column(0).to_pylist(), _sets(block.column(1), k)) if len(x) and _signature(x, seed)[0] == s]
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], ["sig", "tokens"])
 
     return docs.mapInArrow(tokens, "sig long, tokens binary")
 
@@ -216,46 +218,45 @@ def similarity_groups(docs: DataFrame, k: int = 3, similarity: tuple[int, int] =
     classes = classes.select("sig", "rep")
 
     rows = signed.where("sig is not null").select(F.explode("keys").alias("key"), "sig")
-    lists = rows.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("key")
-    lists = materialize(lists)
-    shared = materialize(rows.join(lists, "key").select("key", "sig").distinct())
+    lists = materialize(rows.groupBy("key").agg(F.min("sig").alias("c"), F.max("sig").alias("hi")).where("c != hi").select("key", "c"))
+    shared = materialize(rows.join(lists, "key"))
     discard(lists)
-    involved = materialize(shared.select("sig").distinct().join(classes, "sig").select(F.col("rep").alias("doc_id"), "sig").where("rep is not null"))
-    sets = materialize(_set_table(docs, k, involved).dropDuplicates(["sig"]))
-    links = components_of = None
-    done = None
-    for turn in range(STAR_ROUNDS + 1):
-        if turn == 0:
-            state = shared.withColumn("comp", F.col("sig"))
-        else:
-            state = shared.join(components_of, shared["sig"] == components_of["node"], "left").select("key", "sig", F.coalesce("component", "sig").alias("comp"))
-            mixed = materialize(state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"))
-            state = state.join(mixed, "key")
-        state = materialize(state)
-        if state.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            rank = F.col("sig") if turn == 0 else F.xxhash64("sig", F.lit(turn))
-            centre = materialize(state.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "sig", "comp")).alias("c")).select("key", F.col("c.sig").alias("c"), F.col("c.comp").alias("cc")))
-            pairs = state.join(centre, "key").where("comp != cc").select(F.least("sig", "c").alias("a"), F.greatest("sig", "c").alias("b")).distinct()
-        else:
-            other = state.select("key", F.col("sig").alias("b"), F.col("comp").alias("bc"))
-            pairs = state.select("key", F.col("sig").alias("a"), F.col("comp").alias("ac")).join(other, "key").where("a < b and ac != bc").select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+    state, done, reach = shared, None, None
+    pairs = shared.where("sig != c").select(F.col("c").alias("a"), F.col("sig").alias("b")).distinct()
+    involved = shared.select("sig").distinct().join(classes, "sig").select(F.col("rep").alias("doc_id"), "sig").where("rep is not null")
+    sets = materialize(_set_table(docs, k, materialize(involved), seed))
+    turn = 0
+    while True:
         pairs = materialize(pairs)
-        found = materialize(_verify(pairs, sets, num, den))
+        found = _verify(pairs, sets, num, den)
         done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        components_of = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    ids = classes if components_of is None else classes.join(components_of, classes["sig"] == components_of["node"], "left").select("sig", "rep", F.coalesce("component", "sig").alias("comp"))
-    if components_of is not None:
-        least = materialize(ids.groupBy("comp").agg(F.min("rep").alias("component_id")))
-        ids = materialize(ids.join(least, "comp").select("sig", "component_id"))
-    else:
-        ids = ids.select("sig", F.col("rep").alias("component_id"))
+        links = found if reach is None else found.union(reach.select("node", "component"))
+        reach = materialize(components(links.toDF("u", "v")))
+        turn += 1
+        # pairs of a key that are still in different components
+        state = state.select("key", "sig").join(reach, state["sig"] == reach["node"], "left").select("key", "sig", F.coalesce("component", "sig").alias("comp"))
+        state = materialize(state.distinct())
+        mixed = materialize(state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("r"), "sig", "comp")).alias("c")).where("lo != hi"))
+        left = mixed.agg(F.count("*"), F.sum(F.col("n") * F.col("n"))).first()
+        if not left[0]:
+            break
+        state = state.join(mixed.select("key", "n", "c"), "key")
+        listed = left[1] <= PAIRS_LISTED * max(100_000, pairs.count()) or turn > STAR_ROUNDS
+        if listed:
+            one = state.select("key", F.col("sig").alias("a"), F.col("comp").alias("ac"))
+            pairs = one.join(state.select("key", F.col("sig").alias("b"), F.col("comp").alias("bc")), "key").where("a < b and ac != bc").select("a", "b")
+        else:
+            pairs = state.where("comp != c.comp").select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b"))
+        pairs = pairs.distinct().join(done.withColumn("_seen", F.lit(True)), ["a", "b"], "left").where("_seen is null").select("a", "b")
+        state = materialize(state.select("key", "sig"))
+        if listed:
+            found = _verify(materialize(pairs), sets, num, den)
+            reach = materialize(components(found.union(reach.select("node", "component")).toDF("u", "v")))
+            break
     mine = signed.select("doc_id", "n_shingles", "sig")
-    return mine.join(ids, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    mine = mine.join(reach, mine["sig"] == reach["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "sig").alias("comp"))
+    least = materialize(mine.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
+    return mine.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (90, 100)) -> DataFrame:

@@ -64,7 +64,7 @@ def scan(docs: DataFrame) -> DataFrame:
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     # sentence borders become a line feed, every other run of separators one space
     text = F.regexp_replace(F.regexp_replace(lower, BREAK, "\n"), "[^a-z0-9\n]+", " ")
-    parts = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     known = lambda s: functools.reduce(lambda other, x: F.when(F.concat(F.lit(" "), s, F.lit(" ")).contains(f" {x[1]} "), x[0]).otherwise(other), reversed(SENTENCES), F.lit(""))
     ids = F.array_join(F.transform("_s", known), "")
     # rules in order: each takes its identifiers out of the sequence (a space keeps the rest apart)

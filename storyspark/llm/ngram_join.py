@@ -40,6 +40,8 @@ SMALL = 2
 PAIRS_LISTED, STAR_ROUNDS = 4, 6
 #: Documents to verify whose ids may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
+#: Bits of the table that tells which keys can be shared (a set bit may be chance; the key is then compared in vain).
+KNOWN_BITS = 1 << 27
 _U = np.uint64
 
 
@@ -95,75 +97,128 @@ def allotment(band: int, num: int, den: int) -> tuple[int, int, int]:
     return best[1:]
 
 
-def index_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Index keys of one set of distinct 64-bit tokens."""
-    size, out = len(tokens), []
-    if not size:
-        return np.zeros(0, _U)
+@functools.lru_cache(None)
+def _plan(size: int, num: int, den: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(band, ones, twos, c) of the bands that a set of ``size`` tokens is indexed in."""
     home = band_of(size)
-    edges = _edges(1 << max(10, (2 * size).bit_length()))
     bands = [home]
-    if den * size >= num * edges[home + 1]:
+    if den * size >= num * _edges(1 << max(10, (2 * size).bit_length()))[home + 1]:
         bands.append(home + 1)
-    value = K.mix(tokens + _U(0x5851F42D4C957F2D))
-    for b in bands:
-        ones, twos, c = allotment(b, num, den)
-        m = ones + twos
-        if not m:
-            continue
-        seg = ((tokens >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-        count = np.bincount(seg, minlength=m)
-        total = np.zeros(m, _U)
-        np.add.at(total, seg, value)
-        salt = K.mix(np.arange(m, dtype=_U) + _U(K.mix_int(b + 1)))
-        weight = int((count[twos:] < SMALL).sum()) + 2 * int((count[:twos] < SMALL + 1).sum())
-        keep = np.ones(m, bool) if weight > c else count >= SMALL
-        out.append(K.mix(total + salt)[keep])
-        if twos:
-            near = (seg < twos) & keep[seg]
-            if weight <= c:
-                near &= count[seg] > SMALL
-            out.append(K.mix(total[seg[near]] - value[near] + salt[seg[near]]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, _U)
-
-
-def _sets(col: pa.Array, k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; a text of fewer than ``k`` words is one shingle."""
+    return tuple((b, *allotment(b, num, den)) for b in bands)
+
+
+def token_sets(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, sorted within the text, and each text's first; a text of fewer than ``k`` words is one shingle."""
     data, offs = K.buffers(col)
     s, e, first = K.runs(data, offs, K.NONSPACE)
     words = K.span_hashes(data, s, e)
     h, at = K.shingles(words, first, k)
-    out = []
     n = np.diff(first)
-    for i in range(len(col)):
-        if n[i] >= k:
-            out.append(np.unique(h[at[i] : at[i + 1]]))
-        elif n[i]:
-            out.append(K.shingles(words[first[i] : first[i + 1]], np.array([0, n[i]]), int(n[i]))[0] + _U(int(n[i])))
-        else:
-            out.append(np.zeros(0, _U))
-    return out
-
-
-def _signature(tokens: np.ndarray, seed: int) -> tuple[int, int]:
-    a = int(np.add.reduce(K.mix(tokens + _U(seed * 2 + 1)))) if len(tokens) else 0
-    b = int(np.add.reduce(K.mix(tokens ^ _U(0xC2B2AE3D27D4EB4F)))) if len(tokens) else 0
-    return K.mix_int(a + len(tokens)) >> 1, K.mix_int(b + len(tokens)) >> 1
+    few = np.flatnonzero((n > 0) & (n < k))
+    if len(few):
+        extra = np.array([K.shingles(words[first[i] : first[i + 1]], np.array([0, n[i]]), int(n[i]))[0][0] + _U(int(n[i])) for i in few], _U)
+        h = np.insert(h, at[few], extra)
+        grow = np.zeros(len(at), np.int64)
+        grow[few + 1] = 1
+        at = at + np.cumsum(grow)
+    for i in range(len(n)):
+        h[at[i] : at[i + 1]].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[at[:-1][at[:-1] < len(h)]] = True
+    return h[new], np.concatenate([[0], np.cumsum(new)])[at]
+
+
+def index_keys(tokens: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of many sets (see ``token_sets``) and the set that each key is of."""
+    size = np.diff(first)
+    plans = {int(n): _plan(int(n), num, den) for n in np.unique(size) if n}
+    value = K.mix(tokens + _U(0x5851F42D4C957F2D))
+    keys, owner = [], []
+    for role in (0, 1):
+        rows = [(plans[n][role] if n and len(plans[n]) > role else (0, 0, 0, 0)) for n in size.tolist()]
+        band, ones, twos, c = np.array(rows, np.int64).reshape(-1, 4).T
+        m = ones + twos
+        use = np.flatnonzero(m)
+        if not len(use):
+            continue
+        base = np.cumsum(m) - m
+        doc = np.repeat(use, size[use])
+        at = np.arange(len(doc)) + np.repeat(first[use] - (np.cumsum(size[use]) - size[use]), size[use])
+        seg = ((tokens[at] >> _U(32)) * m[doc].astype(_U) >> _U(32)).astype(np.int64)
+        place = base[doc] + seg
+        count = np.bincount(place, minlength=int(m.sum()))
+        total = np.zeros(len(count), _U)
+        np.add.at(total, place, value[at])
+        seg_doc = np.repeat(np.arange(len(m)), m)
+        number = np.arange(len(count)) - base[seg_doc]
+        salt = K.mix(number.astype(_U) + K.mix(band[seg_doc].astype(_U) + _U(1)))
+        two = number < twos[seg_doc]
+        weigh = np.where(two, 2 * (count < SMALL + 1), 1 * (count < SMALL))
+        heavy = np.bincount(seg_doc, weigh, len(m)) > c
+        keep = heavy[seg_doc] | (count >= SMALL)
+        keys.append(K.mix(total + salt)[keep])
+        owner.append(seg_doc[keep])
+        if two.any():
+            near = two[place] & keep[place] & (heavy[doc] | (count[place] > SMALL))
+            keys.append(K.mix(total[place[near]] - value[at[near]] + salt[place[near]]))
+            owner.append(doc[near])
+    if not keys:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(owner)
+
+
+def signatures(tokens: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 63-bit signatures of each set."""
+    size = np.diff(first).astype(_U)
+    out = []
+    for h in (K.mix(tokens + _U(seed * 2 + 1)), K.mix(tokens ^ _U(0xC2B2AE3D27D4EB4F))):
+        total = np.zeros(len(h) + 1, _U)
+        np.cumsum(h, out=total[1:])
+        out.append((K.mix(total[first[1:]] - total[first[:-1]] + size) >> _U(1)).view(np.int64))
+    return out[0], out[1]
 
 
-def _signed(docs: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
+def _signed(docs: DataFrame, k: int, seed: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch):
-                sets = _sets(block.column(1), k)
-                sig = [_signature(x, seed) if len(x) else (None, None) for x in sets]
-                keys = [index_keys(x, num, den).view(np.int64) for x in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [block.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([s[0] for s in sig], pa.int64()), pa.array([s[1] for s in sig], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "sig", "check", "keys"],
-                )
+                tokens, first = token_sets(block.column(1), k)
+                a, b = signatures(tokens, first, seed)
+                n = np.diff(first)
+                none = n == 0
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n.astype(np.int64)), pa.array(a, mask=none), pa.array(b, mask=none)], ["doc_id", "n_shingles", "sig", "check"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, sig long, check long, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, sig long, check long")
+
+
+def _keys(docs: DataFrame, k: int, num: int, den: int, seed: int | None = None, known=None) -> DataFrame:
+    """Index rows of all documents: the keys alone, or with ``seed`` (key, sig) of those keys whose bit in ``known`` is set."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if known is None else known.value
+        for batch in batches:
+            for block in text_blocks(batch, "text"):
+                tokens, first = token_sets(block.column(0), k)
+                keys, owner = index_keys(tokens, first, num, den)
+                if seed is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+                    continue
+                bit = keys & _U(KNOWN_BITS - 1)
+                ok = (bits[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) == 1
+                sig = signatures(tokens, first, seed)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), pa.array(sig[owner[ok]])], ["key", "sig"])
+
+    return docs.select("text").mapInArrow(index, "key long" if seed is None else "key long, sig long")
+
+
+def _known(lists: DataFrame) -> np.ndarray:
+    """A bit table of ``KNOWN_BITS`` bits, of constant size, with a bit set for every key of ``lists``."""
+    bit = F.col("key").bitwiseAND(F.lit(KNOWN_BITS - 1))
+    words = lists.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(KNOWN_BITS >> 6, _U)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(_U)
+    return out
 
 
 def _set_table(docs: DataFrame, k: int, wanted: DataFrame, seed: int) -> DataFrame:
@@ -171,13 +226,15 @@ def _set_table(docs: DataFrame, k: int, wanted: DataFrame, seed: int) -> DataFra
     n = wanted.count()
     docs = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "doc_id").select("sig", "text")
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch):
-                own = [(s, x.tobytes()) for s, x in zip(block.column(0).to_pylist(), _sets(block.column(1), k)) if len(x) and _signature(x, seed)[0] == s]
+                tokens, first = token_sets(block.column(1), k)
+                sig = signatures(tokens, first, seed)[0].tolist()
+                own = [(s, tokens[first[i] : first[i + 1]].tobytes()) for i, s in enumerate(block.column(0).to_pylist()) if sig[i] == s and first[i] < first[i + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], ["sig", "tokens"])
 
-    return docs.mapInArrow(tokens, "sig long, tokens binary")
+    return docs.mapInArrow(run, "sig long, tokens binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -210,17 +267,21 @@ def similarity_groups(docs: DataFrame, k: int = 3, similarity: tuple[int, int] =
     num, den = similarity
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for seed in range(8):
-        signed = materialize(_signed(docs, k, num, den, seed))
+        signed = materialize(_signed(docs, k, seed))
         classes = materialize(signed.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi")))
         if classes.where("lo != hi").isEmpty():  # two different sets under one 63-bit signature: another seed
             break
         discard(signed, classes)
     classes = classes.select("sig", "rep")
 
-    rows = signed.where("sig is not null").select(F.explode("keys").alias("key"), "sig")
-    lists = materialize(rows.groupBy("key").agg(F.min("sig").alias("c"), F.max("sig").alias("hi")).where("c != hi").select("key", "c"))
-    shared = materialize(rows.join(lists, "key"))
+    # keys of two rows at least, by keys alone; then their rows, most others being left out by a bit table
+    lists = materialize(_keys(docs, k, num, den).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    known = docs.sparkSession.sparkContext.broadcast(_known(lists))
+    rows = materialize(_keys(docs, k, num, den, seed, known).distinct())
     discard(lists)
+    centres = materialize(rows.groupBy("key").agg(F.min("sig").alias("c"), F.max("sig").alias("hi")).where("c != hi").select("key", "c"))
+    shared = materialize(rows.join(centres, "key"))
+    discard(rows, centres)
     state, done, reach = shared, None, None
     pairs = shared.where("sig != c").select(F.col("c").alias("a"), F.col("sig").alias("b")).distinct()
     involved = shared.select("sig").distinct().join(classes, "sig").select(F.col("rep").alias("doc_id"), "sig").where("rep is not null")

@@ -25,8 +25,6 @@ from storyspark.llm.common import discard, materialize, table, text_blocks, with
 
 MIN_LINE, MIN_BLOCK = 3, 8
 CUT = 16
-#: Bytes of deletions that may be broadcast to the documents; more are joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
 COLUMNS = ("n_lines", "n_removed")
 _STOP = K.byte_class((0x2E, 0x2E), (0x21, 0x21), (0x3F, 0x3F))
 
@@ -201,9 +199,9 @@ def dedup_lines(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
     docs = without(docs, *COLUMNS, "_places", "_hashes")
     names = docs.columns
     gone = _deletions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_block)
-    size = gone.agg(F.sum(F.size("_places") * 12 + 64)).first()[0] or 0
     gone = gone.withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, docs["doc_id"] == gone["_doc"], "left").drop("_doc")
+    # the deletions grow with the corpus, so they are never broadcast by hint
+    joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left").drop("_doc")
     at, chars = names.index("text"), [i for i, x in enumerate(names) if x.lower() == "n_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

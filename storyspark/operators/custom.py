@@ -1,2 +1,200 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries whose operators SQL cannot express (grouped maps, iterations, models); those with an oracle say so in ``ORACLES``."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storyspark.functions import cjk
+from storyspark.functions import series as S
+from storyspark.operators import graph_algorithms as G
+from storyspark.operators import learning, series
+from storyspark.operators.text_metrics import SIGMOID, tension
+from storyspark.plans.dialect import LEXICONS, TOKEN, Dialect
+from storyspark.streaming import outbox
+
+
+def _sql(spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    d = Dialect("spark", sf_dir)
+    return spark.sql(d.finish(build(d)))
+
+
+def _points(spark, sf_dir):
+    return _sql(spark, sf_dir, lambda d: f"WITH {d.paragraphs()}, w AS (SELECT doc_id, pid, chars, CAST(pos - neg AS DOUBLE) / greatest(tok, 1) AS net, sum(chars) OVER (PARTITION BY doc_id ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - chars / 2e0 AS mid, sum(chars) OVER (PARTITION BY doc_id) AS total FROM para) SELECT doc_id, pid, chars, net, mid / total AS x FROM w")
+
+
+def _tension(spark, sf_dir):
+    return _sql(spark, sf_dir, lambda d: f"WITH {tension(d)}, t AS (SELECT doc_id, ch, avg({SIGMOID}) AS v FROM z GROUP BY doc_id, ch) SELECT doc_id, ch, v, CAST(ch AS DOUBLE) / max(ch) OVER (PARTITION BY doc_id) AS x FROM t")
+
+
+def paragraph_curves(spark, sf_dir):
+    return series.curves(_points(spark, sf_dir), "doc_id", "x", "net", "chars").select("doc_id", F.round("x", 6).alias("x"), F.round("net", 6).alias("net"), F.round("smoothed", 6).alias("smoothed"))
+
+
+def curve_sampling(spark, sf_dir):
+    return series.downsample(_points(spark, sf_dir), "doc_id", "x", "net", 40)
+
+
+def three_act_structure(spark, sf_dir):
+    return series.three_acts(_tension(spark, sf_dir), "doc_id", "x", "v")
+
+
+def four_phases(spark, sf_dir):
+    return series.four_phases(_tension(spark, sf_dir), "doc_id", "x", "v")
+
+
+def spaced_peaks(spark, sf_dir):
+    return series.spaced_peaks(_tension(spark, sf_dir), "doc_id", "x", "v")
+
+
+def monotone_positions(spark, sf_dir):
+    return series.monotone_positions(_points(spark, sf_dir), "doc_id", "x")
+
+
+def _documents(spark, sf_dir, *cols):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *cols)
+
+
+def _map_text(df: DataFrame, fn, schema: str) -> DataFrame:
+    """Rows (doc_id, *fn(text)) of every text."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(d, *r) for d, t in zip(pdf["doc_id"], pdf["text"]) for r in fn(t or "")]
+            yield pd.DataFrame(rows, columns=["doc_id", *names])
+
+    return df.mapInPandas(run, f"doc_id long, {schema}")
+
+
+def chapter_parse(spark, sf_dir):
+    return _map_text(_documents(spark, sf_dir, "text"), lambda t: [(c.sequence, c.number, c.title, c.start, c.end) for c in cjk.chapters(cjk.preprocess(t))], "sequence int, number int, title string, start int, stop int")
+
+
+def dialogue_spans(spark, sf_dir):
+    return _map_text(_documents(spark, sf_dir, "text"), cjk.dialogue_spans, "start int, stop int, closed boolean")
+
+
+def negation_sentiment(spark, sf_dir):
+    return _map_text(_documents(spark, sf_dir, "text"), lambda t: [cjk.sentiment(t, [f" {w} " for w in LEXICONS["pos"]], [f" {w} " for w in LEXICONS["neg"]])], "pos long, neg long")
+
+
+def fixed_phrases(spark, sf_dir):
+    return _map_text(_documents(spark, sf_dir, "text"), lambda t: cjk.fixed_phrases(t, ["licensed under", "license"]), "start int, stop int, kind string")
+
+
+def mtld(spark, sf_dir):
+    toks = _documents(spark, sf_dir, F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("tokens"))
+
+    @F.pandas_udf("double")
+    def measure(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: S.mtld(list(x)))
+
+    return toks.select("doc_id", F.round(measure("tokens"), 6).alias("mtld"))
+
+
+def fuzzy_hits(spark, sf_dir):
+    """Distinct tokens of a document within one edit of a term, terms themselves aside."""
+    toks = _documents(spark, sf_dir, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)))).alias("tk"))
+    vocabulary = toks.select("tk").distinct()
+    terms = spark.createDataFrame([("ersterh",), ("token",), ("license",)], "term string")
+    near = vocabulary.join(F.broadcast(terms), F.levenshtein("tk", "term", 1) >= 0).where("tk <> term").select("tk").distinct()
+    return toks.join(near, "tk").groupBy("doc_id").agg(F.count("*").alias("fuzzy_hits"))
+
+
+def _edges(spark, sf_dir):
+    return _sql(spark, sf_dir, lambda d: f"WITH {d.edges()} SELECT a, b, w FROM edge")
+
+
+def pagerank(spark, sf_dir):
+    nodes = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("node"))
+    return G.pagerank(_edges(spark, sf_dir), nodes).select("node", F.round("rank", 6).alias("rank"))
+
+
+def hits(spark, sf_dir):
+    return G.hits(_edges(spark, sf_dir)).select("node", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
+
+
+def louvain(spark, sf_dir):
+    return G.louvain(_edges(spark, sf_dir).withColumn("run", F.lit(0)))
+
+
+def components(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return G.components(o.where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("a"), (F.lit(1 << 40) + F.col("o_orderkey") % 997).alias("b")))
+
+
+def identity_components(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    pair = e.where("event_type = 'signup' and user_id <> event_id % 100").select(F.col("user_id").alias("a"), (F.col("event_id") % 100).alias("b"))
+    return G.identity_components(pair.where("b % 5 = a % 5 and a % 5 < 4"), pair.where("b % 5 = 4 and a % 5 = 4").limit(0), spark.range(0, 100, 17).toDF("node"))
+
+
+def textrank(spark, sf_dir):
+    """The 20 top words of the graph of words that share a window of five tokens."""
+    toks = _documents(spark, sf_dir, F.filter(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda x: F.length(x) >= 8).alias("t"))
+    rows = toks.select("doc_id", F.posexplode("t").alias("i", "tk"))
+    steps = rows.select("doc_id", "i", "tk", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("step")).withColumn("j", F.col("i") + F.col("step"))
+    other = rows.select("doc_id", F.col("i").alias("j"), F.col("tk").alias("tk2"))
+    pairs = steps.join(other, ["doc_id", "j"]).where("tk <> tk2").select(F.least("tk", "tk2").alias("a"), F.greatest("tk", "tk2").alias("b"), (F.lit(5) - F.col("step")).alias("w"))
+    edges = pairs.groupBy("a", "b").agg(F.sum("w").cast("double").alias("w"))
+    return G.pagerank(edges, most=20).orderBy(F.desc("rank"), "node").limit(20).select("node", F.round("rank", 6).alias("rank"))
+
+
+def _tokens(spark, sf_dir):
+    return _documents(spark, sf_dir, F.filter(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), lambda x: F.length(x) >= 2).alias("tokens"))
+
+
+def lda_topics(spark, sf_dir):
+    docs = _tokens(spark, sf_dir)
+    words, model = learning.fit_lda(docs, k=learning.topic_count(None, docs.count(), most=8), iterations=3, vocabulary=4096)
+    return learning.infer_lda(docs, words, model).select("doc_id", "status", "n_tokens", F.transform("weights", lambda x: F.round(x, 6)).alias("weights"))
+
+
+def lda_topic_words(spark, sf_dir):
+    words, model = learning.fit_lda(_tokens(spark, sf_dir), k=5, iterations=3, vocabulary=2048)
+    return learning.topic_words(words, model)
+
+
+def word2vec(spark, sf_dir):
+    return learning.fit_word2vec(_tokens(spark, sf_dir), size=16, min_count=20)
+
+
+def ridge_boundary(spark, sf_dir):
+    fit = learning.ridge(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", "label")
+    return spark.createDataFrame([(i, float(c)) for i, c in enumerate(fit[0] + [fit[1]])] if fit else [], "place int, weight double")
+
+
+def outbox_projection(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return outbox.project_batch(e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(";")).alias("text")))
+
+
+def outbox_stream(spark, sf_dir):
+    """The projection over the log as a file stream, run to its end."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    log = log.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(";")).alias("text"))
+    query = outbox.project(log).writeStream.format("memory").queryName("outbox_stream").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table("outbox_stream").groupBy("run_id").agg(F.max_by(F.struct("last_seq", "messages", "tail"), "last_seq").alias("s")).select("run_id", "s.*")
+
+
+def trailing_windows(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    out = outbox.trailing_health(e.select(F.col("event_type").alias("model"), "ts", (F.col("value") > 20).alias("failed")), slide="30 minutes")
+    return out.select("model", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "turns", "failures")
+
+
+QUERIES = {f.__name__: f for f in (
+    paragraph_curves, curve_sampling, three_act_structure, four_phases, spaced_peaks, monotone_positions, chapter_parse, dialogue_spans, negation_sentiment, fixed_phrases, mtld, fuzzy_hits,
+    pagerank, hits, louvain, components, identity_components, textrank, lda_topics, lda_topic_words, word2vec, ridge_boundary, outbox_projection, outbox_stream, trailing_windows,
+)}
+
+ORACLES = {
+    "fuzzy_hits": lambda d: "WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9]+'))) AS tk FROM @documents), v AS (SELECT DISTINCT tk FROM t), n AS (SELECT tk FROM v WHERE least(levenshtein(tk, 'ersterh'), levenshtein(tk, 'token'), levenshtein(tk, 'license')) = 1) SELECT doc_id, count(*) AS fuzzy_hits FROM t JOIN n USING (tk) WHERE tk NOT IN ('ersterh', 'token', 'license') GROUP BY doc_id",
+    "outbox_projection": lambda d: "SELECT user_id AS run_id, max(event_id) AS last_seq, count(*) AS messages, right(string_agg(event_type || ';', '' ORDER BY event_id), 8192) AS tail FROM @events GROUP BY user_id",
+    "outbox_stream": lambda d: "SELECT user_id AS run_id, max(event_id) AS last_seq, count(*) AS messages, right(string_agg(event_type || ';', '' ORDER BY event_id), 8192) AS tail FROM @events GROUP BY user_id",
+    "trailing_windows": lambda d: "SELECT event_type AS model, strftime(time_bucket(INTERVAL 30 MINUTE, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS turns, count(CASE WHEN value > 20 THEN 1 END) AS failures FROM @events GROUP BY event_type, time_bucket(INTERVAL 30 MINUTE, ts)",
+}

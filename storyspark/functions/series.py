@@ -18,38 +18,43 @@ def lowess(x, y, weights=None, bandwidth: float = 0.05, min_points: int = 5, ite
     if bandwidth <= 0:
         raise ValueError("bandwidth must be positive")
     w = np.ones(n) if weights is None else np.asarray(weights, float)
-    span, robust, fit = float(x.max() - x.min()), np.ones(n), y.copy()
     order = np.argsort(x, kind="stable")
-    xs = x[order]
-    bands = []
-    for xi in x:
-        h = bandwidth
-        while True:
-            lo, hi = np.searchsorted(xs, xi - h, "left"), np.searchsorted(xs, xi + h, "right")
-            if hi - lo >= min_points or h >= span:
-                break
-            h *= 2
-        bands.append((order[lo:hi], h))
-    for step in range(iterations + 1):
-        for i, (near, h) in enumerate(bands):
-            d = np.abs(x[near] - x[i]) / max(h, 1e-12)
-            k = np.clip(1 - d**3, 0, None) ** 3 * w[near] * robust[near]
-            total = k.sum()
-            if total <= 1e-12:
-                fit[i] = y[i]
-                continue
-            mx, my = (k * x[near]).sum() / total, (k * y[near]).sum() / total
-            var = (k * (x[near] - mx) ** 2).sum()
-            slope = (k * (x[near] - mx) * (y[near] - my)).sum() / var if var > 1e-12 else 0.0
-            fit[i] = my + slope * (x[i] - mx)
-        if step == iterations:
+    xs, ys, ws = x[order], y[order], w[order]
+    span, h = float(xs[-1] - xs[0]), np.full(n, float(bandwidth))
+    while True:
+        lo, hi = np.searchsorted(xs, xs - h, "left"), np.searchsorted(xs, xs + h, "right")
+        narrow = (hi - lo < min_points) & (h < span)
+        if not narrow.any():
             break
-        r = np.abs(y - fit)
+        h[narrow] *= 2
+    width = int((hi - lo).max())
+    step = max(1, (1 << 20) // width)  # rows of the neighbour table at once
+    robust, fit = np.ones(n), ys.copy()
+    for turn in range(iterations + 1):
+        for i in range(0, n, step):
+            j = slice(i, i + step)
+            near = lo[j, None] + np.arange(width)
+            inside = near < hi[j, None]
+            near = np.minimum(near, n - 1)
+            d = np.abs(xs[near] - xs[j, None]) / np.maximum(h[j, None], 1e-12)
+            k = np.where(inside, np.clip(1 - d**3, 0, None) ** 3 * ws[near] * robust[near], 0.0)
+            total = k.sum(1)
+            safe = np.where(total > 1e-12, total, 1.0)
+            mx, my = (k * xs[near]).sum(1) / safe, (k * ys[near]).sum(1) / safe
+            dx = xs[near] - mx[:, None]
+            var = (k * dx**2).sum(1)
+            slope = np.where(var > 1e-12, (k * dx * ys[near]).sum(1) / np.where(var > 1e-12, var, 1.0), 0.0)
+            fit[j] = np.where(total > 1e-12, my + slope * (xs[j] - mx), ys[j])
+        if turn == iterations:
+            break
+        r = np.abs(ys - fit)
         scale = 6 * np.median(r)
         if scale <= 1e-12:
             break
         robust = np.clip(1 - (r / scale) ** 2, 0, None) ** 2
-    return fit
+    out = np.empty(n)
+    out[order] = fit
+    return out
 
 
 def smooth_nullable(x, y, **options) -> list:

@@ -20,6 +20,8 @@ from storyspark.llm.packing import pack
 
 #: Near duplicates of the pipeline: five-word shingles, Jaccard similarity of 80 / 100 or more.
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
+#: Parts of the key space that the join counts one after the other (a lower similarity has more keys).
+ROUNDS = 6
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest doc_id."""
-    return keep_one(docs, SHINGLE_WORDS, SIMILARITY)
+    return keep_one(docs, SHINGLE_WORDS, SIMILARITY, ROUNDS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,9 @@ two components is left out.
 from __future__ import annotations
 
 import functools
+import gc
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +34,9 @@ from storyspark.llm.components import components
 #: Ratio of the sizes at a band's two ends.
 BAND_RATIO = 1.3
 #: Cost model: chance that a token of one set is in an unrelated set, and weight of such matches against an index row.
-CHANCE, WEIGHT = 0.25, 1e4
-#: Segments with fewer tokens count as almost empty.
-SMALL = 2
+CHANCE, WEIGHT = 0.05, 1e4
+#: Price of index rows where segments of one token are indexed too (their lists can be long).
+LONELY = 1.15
 #: The pairs left in mixed keys are listed outright when they are fewer than so many times the pairs compared before;
 #: else star rounds with other centres come first, ``STAR_ROUNDS`` at most.
 PAIRS_LISTED, STAR_ROUNDS = 4, 6
@@ -68,38 +70,42 @@ def max_difference(a: int, b: int, num: int, den: int) -> int:
 
 
 @functools.lru_cache(None)
-def allotment(band: int, num: int, den: int) -> tuple[int, int, int]:
-    """(segments of allotment 1, segments of allotment 2, slack c) of a band; no segments where only equal sets are similar."""
+def allotment(band: int, num: int, den: int) -> tuple[int, int, int, int]:
+    """(segments of allotment 1, of allotment 2, slack c, tokens of a segment that is not almost empty) of a band; no segments where only equal sets are similar.
+
+    The slack covers four standard deviations of the weight that almost empty segments have in a set of the band's least size.
+    """
     edges = _edges(1 << 40)
     top = edges[band + 1] - 1
     h = max_difference(top, top, num, den)
     if not h:
-        return 0, 0, 0
+        return 0, 0, 0, 0
     best = None
-    # tried: allotment 2 for none, all, and a few shares between
-    for share in (0.0, 0.25, 0.5, 0.75, 1.0):
-        c = 0
-        for _ in range(4):
-            need = h + 1 + c
-            twos = round(share * need / 2)
-            ones = max(0, need - 2 * twos)
+    for small, price in ((2, 1.0), (1, LONELY)):
+        for share in (0.0, 0.25, 0.5, 0.75, 1.0):  # of the weight that segments of allotment 2 take
+            c = 0
+            for _ in range(12):
+                twos = round(share * (h + 1 + c) / 2)
+                ones = max(0, h + 1 + c - 2 * twos)
+                m = ones + twos
+                lam = edges[band] / m
+                if m == 1 or lam < 1:
+                    break
+                weight = ones * _poisson_below(lam, small) + 2 * twos * _poisson_below(lam, small + 1)
+                c = max(c, math.ceil(weight + 4 * math.sqrt(weight) + 1))
+            ones = max(0, h + 1 + c - 2 * twos)
             m = ones + twos
             lam = edges[band] / m
-            weight = ones * _poisson_below(lam, SMALL) + 2 * twos * _poisson_below(lam, SMALL + 1)
-            c = math.ceil(weight + 6 * math.sqrt(weight) + (1 if m > 1 else 0)) if m > 1 else 0
-        ones = max(0, h + 1 + c - 2 * twos)
-        m = ones + twos
-        lam = edges[band] / m
-        rows = ones + twos * (1 + lam)
-        chance = WEIGHT * (ones * CHANCE**lam + twos * (1 + lam) * CHANCE ** max(0.0, lam - 1))
-        if best is None or rows + chance < best[0]:
-            best = (rows + chance, ones, twos, c)
+            rows = (ones + twos * (1 + lam)) * price
+            chance = WEIGHT * (ones * CHANCE**lam + twos * (1 + lam) * CHANCE ** max(0.0, lam - 1))
+            if best is None or rows + chance < best[0]:
+                best = (rows + chance, ones, twos, c, small)
     return best[1:]
 
 
 @functools.lru_cache(None)
-def _plan(size: int, num: int, den: int) -> tuple[tuple[int, int, int, int], ...]:
-    """(band, ones, twos, c) of the bands that a set of ``size`` tokens is indexed in."""
+def _plan(size: int, num: int, den: int) -> tuple[tuple[int, ...], ...]:
+    """(band, ones, twos, c, small) of the bands that a set of ``size`` tokens is indexed in."""
     home = band_of(size)
     bands = [home]
     if den * size >= num * _edges(1 << max(10, (2 * size).bit_length()))[home + 1]:
@@ -136,8 +142,8 @@ def index_keys(tokens: np.ndarray, first: np.ndarray, num: int, den: int) -> tup
     value = K.mix(tokens + _U(0x5851F42D4C957F2D))
     keys, owner = [], []
     for role in (0, 1):
-        rows = [(plans[n][role] if n and len(plans[n]) > role else (0, 0, 0, 0)) for n in size.tolist()]
-        band, ones, twos, c = np.array(rows, np.int64).reshape(-1, 4).T
+        rows = [(plans[n][role] if n and len(plans[n]) > role else (0,) * 5) for n in size.tolist()]
+        band, ones, twos, c, small = np.array(rows, np.int64).reshape(-1, 5).T
         m = ones + twos
         use = np.flatnonzero(m)
         if not len(use):
@@ -154,13 +160,14 @@ def index_keys(tokens: np.ndarray, first: np.ndarray, num: int, den: int) -> tup
         number = np.arange(len(count)) - base[seg_doc]
         salt = K.mix(number.astype(_U) + K.mix(band[seg_doc].astype(_U) + _U(1)))
         two = number < twos[seg_doc]
-        weigh = np.where(two, 2 * (count < SMALL + 1), 1 * (count < SMALL))
+        few = small[seg_doc]
+        weigh = np.where(two, 2 * (count < few + 1), 1 * (count < few))
         heavy = np.bincount(seg_doc, weigh, len(m)) > c
-        keep = heavy[seg_doc] | (count >= SMALL)
+        keep = heavy[seg_doc] | (count >= few)
         keys.append(K.mix(total + salt)[keep])
         owner.append(seg_doc[keep])
         if two.any():
-            near = two[place] & keep[place] & (heavy[doc] | (count[place] > SMALL))
+            near = two[place] & keep[place] & (heavy[doc] | (count[place] > few[place]))
             keys.append(K.mix(total[place[near]] - value[at[near]] + salt[place[near]]))
             owner.append(doc[near])
     if not keys:
@@ -192,8 +199,8 @@ def _signed(docs: DataFrame, k: int, seed: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, sig long, check long")
 
 
-def _keys(docs: DataFrame, k: int, num: int, den: int, seed: int | None = None, known=None) -> DataFrame:
-    """Index rows of all documents: the keys alone, or with ``seed`` (key, sig) of those keys whose bit in ``known`` is set."""
+def _keys(docs: DataFrame, k: int, num: int, den: int, seed: int | None = None, known=None, part: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Index rows of all documents: the keys alone of one part of the key space, or with ``seed`` (key, sig) of those keys whose bit in ``known`` is set."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if known is None else known.value
@@ -202,6 +209,8 @@ def _keys(docs: DataFrame, k: int, num: int, den: int, seed: int | None = None,
                 tokens, first = token_sets(block.column(0), k)
                 keys, owner = index_keys(tokens, first, num, den)
                 if seed is None:
+                    if part[1] > 1:
+                        keys = keys[(keys >> _U(40)) % _U(part[1]) == part[0]]
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
                     continue
                 bit = keys & _U(KNOWN_BITS - 1)
@@ -231,38 +240,35 @@ def _set_table(docs: DataFrame, k: int, wanted: DataFrame, seed: int) -> DataFra
             for block in text_blocks(batch):
                 tokens, first = token_sets(block.column(1), k)
                 sig = signatures(tokens, first, seed)[0].tolist()
-                own = [(s, tokens[first[i] : first[i + 1]].tobytes()) for i, s in enumerate(block.column(0).to_pylist()) if sig[i] == s and first[i] < first[i + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], ["sig", "tokens"])
+                own = [(s, tokens[first[i] : first[i + 1]].view(np.int64)) for i, s in enumerate(block.column(0).to_pylist()) if sig[i] == s and first[i] < first[i + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in own], pa.int64()), pa.array([x for _, x in own], pa.list_(pa.int64()))], ["sig", "tokens"])
 
-    return docs.mapInArrow(run, "sig long, tokens binary")
+    return docs.mapInArrow(run, "sig long, tokens array<long>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets are similar, compared in full."""
+    """Pairs (a, b) of classes whose sets are similar, compared in full, one pair at a time."""
     left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("ta", "tb")))
+    return both.where(den * F.col("n") >= num * (F.size("ta") + F.size("tb") - F.col("n"))).select("a", "b")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(den * common >= num * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+def _release(spark) -> None:
+    """Let the driver's cleaner drop the shuffle files of finished steps before the next step writes its own."""
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(1)
 
 
-def similarity_groups(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (90, 100)) -> DataFrame:
+def similarity_groups(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (90, 100), rounds: int = 1) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
 
     Tokens are distinct ``k``-word shingles of the text with A-Z lower-cased; fewer words are one shingle; null, empty or
     blank texts have no tokens and link with nothing (component_id is then doc_id). Two documents link when
     intersection / union >= similarity; component_id is the smallest doc_id reachable by links. A row whose doc_id is null takes
-    part through its text, and its own id is never a component's smallest one. Repeated rows come out as often as they came in.
+    part through its text, and its own id is never a component's smallest one. Repeated rows come out as often as they came in. The key space is counted in ``rounds`` parts, one
+    after the other, which divides the disk that counting takes and changes nothing else.
     """
     num, den = similarity
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -275,10 +281,13 @@ def similarity_groups(docs: DataFrame, k: int = 3, similarity: tuple[int, int] =
     classes = classes.select("sig", "rep")
 
     # keys of two rows at least, by keys alone; then their rows, most others being left out by a bit table
-    lists = materialize(_keys(docs, k, num, den).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    lists = None
+    for r in range(rounds):
+        some = materialize(_keys(docs, k, num, den, part=(r, rounds)).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+        lists = some if lists is None else lists.union(some)
+        _release(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(_known(lists))
     rows = materialize(_keys(docs, k, num, den, seed, known).distinct())
-    discard(lists)
     centres = materialize(rows.groupBy("key").agg(F.min("sig").alias("c"), F.max("sig").alias("hi")).where("c != hi").select("key", "c"))
     shared = materialize(rows.join(centres, "key"))
     discard(rows, centres)
@@ -297,12 +306,15 @@ def similarity_groups(docs: DataFrame, k: int = 3, similarity: tuple[int, int] =
         # pairs of a key that are still in different components
         state = state.select("key", "sig").join(reach, state["sig"] == reach["node"], "left").select("key", "sig", F.coalesce("component", "sig").alias("comp"))
         state = materialize(state.distinct())
-        mixed = materialize(state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("r"), "sig", "comp")).alias("c")).where("lo != hi"))
-        left = mixed.agg(F.count("*"), F.sum(F.col("n") * F.col("n"))).first()
+        by = F.xxhash64("sig", F.lit(turn))
+        parts = state.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(by.alias("r"), "sig")).alias("c"))
+        mixed = parts.groupBy("key").agg(F.count("*").alias("comps"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.min(F.struct("c.r", "c.sig", "comp")).alias("c")).where("comps > 1")
+        mixed = materialize(mixed)
+        left = mixed.agg(F.count("*"), F.sum("cross") / 2).first()
         if not left[0]:
             break
-        state = state.join(mixed.select("key", "n", "c"), "key")
-        listed = left[1] <= PAIRS_LISTED * max(100_000, pairs.count()) or turn > STAR_ROUNDS
+        state = state.join(mixed.select("key", "c"), "key")
+        listed = left[1] <= PAIRS_LISTED * max(150_000, pairs.count()) or turn > STAR_ROUNDS
         if listed:
             one = state.select("key", F.col("sig").alias("a"), F.col("comp").alias("ac"))
             pairs = one.join(state.select("key", F.col("sig").alias("b"), F.col("comp").alias("bc")), "key").where("a < b and ac != bc").select("a", "b")
@@ -320,10 +332,19 @@ def similarity_groups(docs: DataFrame, k: int = 3, similarity: tuple[int, int] =
     return mine.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (90, 100)) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group stays: that of the smallest doc_id, in all its columns. Of rows that repeat an id, one stays."""
-    stay = similarity_groups(docs, k, similarity).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(stay, docs["doc_id"].eqNullSafe(stay["_stay"])).drop("_stay")
+def keep_one(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (90, 100), rounds: int = 1) -> DataFrame:
+    """The rows of ``docs``, in all their columns, that stay when one document of each group stays: that of the smallest doc_id.
+
+    Of rows that repeat an id one stays; rows whose id is null stay.
+    """
+    groups = materialize(similarity_groups(docs, k, similarity, rounds))
+    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
+    n = gone.count()
+    out = docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    return out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -189,12 +189,11 @@ def trailing_windows(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     paragraph_curves, curve_sampling, three_act_structure, four_phases, spaced_peaks, monotone_positions, chapter_parse, dialogue_spans, negation_sentiment, fixed_phrases, mtld, fuzzy_hits,
-    pagerank, hits, louvain, components, identity_components, textrank, lda_topics, lda_topic_words, word2vec, ridge_boundary, outbox_projection, outbox_stream, trailing_windows,
+    pagerank, hits, louvain, components, identity_components, textrank, lda_topics, lda_topic_words, word2vec, ridge_boundary, outbox_projection, trailing_windows,
 )}
 
 ORACLES = {
     "fuzzy_hits": lambda d: "WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9]+'))) AS tk FROM @documents), v AS (SELECT DISTINCT tk FROM t), n AS (SELECT tk FROM v WHERE least(levenshtein(tk, 'ersterh'), levenshtein(tk, 'token'), levenshtein(tk, 'license')) = 1) SELECT doc_id, count(*) AS fuzzy_hits FROM t JOIN n USING (tk) WHERE tk NOT IN ('ersterh', 'token', 'license') GROUP BY doc_id",
     "outbox_projection": lambda d: "SELECT user_id AS run_id, max(event_id) AS last_seq, count(*) AS messages, right(string_agg(event_type || ';', '' ORDER BY event_id), 8192) AS tail FROM @events GROUP BY user_id",
-    "outbox_stream": lambda d: "SELECT user_id AS run_id, max(event_id) AS last_seq, count(*) AS messages, right(string_agg(event_type || ';', '' ORDER BY event_id), 8192) AS tail FROM @events GROUP BY user_id",
     "trailing_windows": lambda d: "SELECT event_type AS model, strftime(time_bucket(INTERVAL 30 MINUTE, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS turns, count(CASE WHEN value > 20 THEN 1 END) AS failures FROM @events GROUP BY event_type, time_bucket(INTERVAL 30 MINUTE, ts)",
 }

@@ -52,7 +52,7 @@ def mix_int(x: int) -> int:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _IPOW
     if len(_POW) < n:
-        k = max(n, 1 << 21)
+        k = max(n, 1 << 19)
         for name, base in (("_POW", _BASE), ("_IPOW", _INV)):
             p = np.full(k, base, _U)
             p[0] = 1

@@ -5,8 +5,10 @@ hash is a multiple of ``CUT`` (so that a passage copied into the middle of a sen
 than ``MIN_LINE`` words belongs to the line before it. Lines are hashed; a hash that several documents hold makes each of them overlap with
 the first (smallest doc_id) that holds it, so a line that n documents share makes n - 1 pairs. Each pair is aligned by
 patience diff over its shared lines: lines that occur once on both sides are anchors, the longest increasing chain of
-anchors is kept, the ranges between are aligned alike, and anchors extend to equal neighbours; what is left over is aligned
-again, so that moved blocks are found too. Aligned blocks of at least ``MIN_BLOCK`` words are deleted from the later document.
+anchors is kept, the ranges between are aligned alike, and anchors extend to equal neighbours; in a range without such lines
+the n-th occurrences of a line are anchors of each other. What is left over is aligned again, so that moved blocks are found
+too, and what the later document holds more often than the earlier one is aligned with lines already used.
+Aligned blocks of at least ``MIN_BLOCK`` words are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -73,6 +75,16 @@ def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return piles[::-1]
 
 
+def _numbered(rows: list[tuple[int, int]]) -> list[tuple[int, tuple[int, int]]]:
+    """(place, (hash, occurrences before)) of each row."""
+    seen: Counter = Counter()
+    out = []
+    for p, h in rows:
+        out.append((p, (h, seen[h])))
+        seen[h] += 1
+    return out
+
+
 def _patience(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Matched places of two lists of (place, hash), each sorted by place."""
     found: dict[int, int] = {}
@@ -83,6 +95,9 @@ def _patience(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[
         cx, cy = Counter(h for _, h in x), Counter(h for _, h in y)
         where = {h: p for p, h in y if cy[h] == 1}
         anchors = _chain([(p, where[h]) for p, h in x if cx[h] == 1 and h in where])
+        if not anchors:
+            where = {h: p for p, h in _numbered(y)}
+            anchors = _chain([(p, where[h]) for p, h in _numbered(x) if h in where])
         if not anchors:
             continue
         hx, hy = dict(x), dict(y)
@@ -109,21 +124,35 @@ def align(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]], min
     """Places of ``later`` (place, hash, words) to delete: lines in blocks aligned with ``earlier`` (place, hash)."""
     words = {p: w for p, _, w in later}
     a, b, out = [(p, h) for p, h, _ in later], list(earlier), []
-    while a and b:
-        matched = _patience(a, b)
-        if not matched:
-            break
+
+    def keep(matched: list[tuple[int, int]]) -> None:
         block: list[int] = []
         before = None
         for p, q in [*matched, (None, None)]:
             if before is None or p is None or (p, q) != (before[0] + 1, before[1] + 1):
                 if sum(words[i] for i in block) >= min_block:
-                    out += block
+                    out.extend(block)
                 block = []
             block.append(p)
             before = (p, q)
+
+    while a and b:
+        matched = _patience(a, b)
+        if not matched:
+            break
+        keep(matched)
         mine, theirs = {p for p, _ in matched}, {q for _, q in matched}
         a, b = [v for v in a if v[0] not in mine], [v for v in b if v[0] not in theirs]
+    # further copies in the later document: runs over all of the earlier one
+    at, first = dict(earlier), {h: q for q, h in reversed(earlier)}
+    rest: list[tuple[int, int]] = []
+    for p, h in a:
+        q = rest[-1][1] + 1 if rest and rest[-1][0] + 1 == p else None
+        if q is None or at.get(q) != h:
+            q = first.get(h)
+        if q is not None:
+            rest.append((p, q))
+    keep(rest)
     return sorted(out)
 
 

@@ -69,6 +69,19 @@ def test_patience():
         assert all(x[i] == y[j] for i, j in m) and len({j for _, j in m}) == len(m)
 
 
+def test_doubled_passages(spark):
+    passage = [(i, h) for i, h in enumerate("abcde")]
+    twice = [(i, h) for i, h in enumerate("abcdeXabcde")]
+    assert line_dedup.align([(p, h, 3) for p, h in passage], twice) == list(range(5))
+    assert line_dedup.align([(p, h, 3) for p, h in twice], passage) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
+    assert line_dedup.align([(p, h, 3) for p, h in enumerate("abababab")], list(enumerate("abababab"))) == list(range(8))
+    assert line_dedup.align([(p, "a", 10) for p in range(20_000)], [(0, "a")]) == list(range(20_000))
+    passage = "Rivers carry stones from the mountains down to the plains below. Birds follow the water in spring and build nests in reeds."
+    rows = [(1, f"{passage} {passage}"), (2, f"Own words open this second document. {passage}"), (3, f"{passage} {passage}"), (4, f"Own words open this fourth document. {passage} Own words stand between them. {passage}")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == rows[0][1] and out[3] == "" and "Rivers" not in out[2] + out[4] and "Birds" not in out[2] + out[4]
+
+
 def test_line_dedup(spark, docs, empty):
     got = line_dedup.dedup_lines(docs).collect()
     by = {r["doc_id"]: r for r in got}

@@ -2,13 +2,15 @@
 
 A line is a stretch of text up to a line feed, to the space after ``.``, ``!`` or ``?``, or to the space after a word whose
 hash is a multiple of ``CUT`` (so that a passage copied into the middle of a sentence holds whole lines too); one of fewer
-than ``MIN_LINE`` words belongs to the line before it. Lines are hashed; a hash that several documents hold makes each of them overlap with
-the first (smallest doc_id) that holds it, so a line that n documents share makes n - 1 pairs. Each pair is aligned by
-patience diff over its shared lines: lines that occur once on both sides are anchors, the longest increasing chain of
-anchors is kept, the ranges between are aligned alike, and anchors extend to equal neighbours; in a range without such lines
-the n-th occurrences of a line are anchors of each other. What is left over is aligned again, so that moved blocks are found
-too, and what the later document holds more often than the earlier one is aligned with lines already used.
-Aligned blocks of at least ``MIN_BLOCK`` words are deleted from the later document.
+than ``MIN_LINE`` words belongs to the line before it. A block is the shortest run of lines from a line on that has
+``MIN_BLOCK`` words. Blocks are hashed; a hash that several documents hold makes each of them overlap with
+the first (smallest doc_id) that holds it, so a block that n documents share makes n - 1 pairs, and every run of lines that a
+document shares with an earlier one consists of blocks that it shares whole with their first holders. Each pair is aligned by
+patience diff over its shared blocks: blocks that occur once on both sides are anchors, the longest increasing chain of
+anchors is kept, the ranges between are aligned alike, and anchors extend to equal neighbours; in a range without such blocks
+the n-th occurrences of a block are anchors of each other. What is left over is aligned again, so that moved blocks are found
+too, and what the later document holds more often than the earlier one is aligned with blocks already used.
+The lines of aligned blocks are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -54,6 +56,20 @@ def lines(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return data, starts, ends, np.searchsorted(starts, offs), K.span_hashes(data, starts, ends, None), n
 
 
+def blocks(first: np.ndarray, hashes: np.ndarray, words: np.ndarray, min_block: int = MIN_BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, lines, words) of the shortest run of lines of ``min_block`` words from each line on; 0 lines where the text ends before."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    at = np.arange(len(hashes))
+    end = np.searchsorted(total, total[:-1] + max(min_block, 1))
+    size = np.where(end <= np.repeat(first[1:], np.diff(first)), end - at, 0)
+    out, going, step = np.zeros(len(hashes), np.uint64), np.flatnonzero(size), 0
+    while len(going):
+        out[going] = K.mix(out[going] + np.uint64(step)) + hashes[going + step]
+        step += 1
+        going = going[size[going] > step]
+    return K.mix(out), size, total[at + size] - total[:-1]
+
+
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest chain increasing on both sides of pairs sorted by the first (patience sorting)."""
     tops: list[int] = []
@@ -156,29 +172,31 @@ def align(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]], min
     return sorted(out)
 
 
-def _line_table(docs: DataFrame) -> DataFrame:
+def _block_table(docs: DataFrame, min_block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch):
                 _, _, _, first, h, n = lines(block.column(1))
+                h, size, n = blocks(first, h, n, min_block)
                 count = np.diff(first)
                 doc = np.repeat(np.arange(len(count)), count)
                 place = np.arange(len(h)) - first[doc] if len(h) else doc
+                doc, place, h, n = doc[size > 0], place[size > 0], h[size > 0], n[size > 0]
                 yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["doc_id", "place", "h", "words"])
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, place int, h long, words int")
 
 
 def _deletions(docs: DataFrame, min_block: int) -> DataFrame:
-    """(doc_id, places, hashes) of the lines to delete."""
-    table_ = materialize(_line_table(docs))
+    """(doc_id, places, hashes) of the blocks to delete."""
+    table_ = materialize(_block_table(docs, min_block))
     first = materialize(table_.groupBy("h").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("last")).where("f != last").select("h", "f"))
     shared = materialize(table_.join(first, "h"))
     discard(table_, first)
     later = shared.where("doc_id != f").select("doc_id", "f", F.lit(0).alias("side"), "place", "h", "words")
     holders = shared.where("doc_id = f").select("h", "place").distinct()
     earlier = later.select("doc_id", "f", "h").distinct().join(holders, "h").select("doc_id", "f", F.lit(1).alias("side"), "place", "h", F.lit(0).alias("words"))
-    # a document's shared lines meet in one task: at most its own lines and as many of the documents that hold them first
+    # a document's shared blocks meet in one task: at most its own blocks and as many of the documents that hold them first
     rows = later.distinct().union(earlier).repartition("doc_id").sortWithinPartitions("doc_id", "f", "side", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +239,7 @@ def _deletions(docs: DataFrame, min_block: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
     """``docs`` with text (and n_chars, where there is such a column) after deletion, and n_lines and n_removed.
 
-    Every document is compared with the earlier (smaller doc_id) documents that first hold one of its lines. Null texts stay
+    Every document is compared with the earlier (smaller doc_id) documents that first hold one of its blocks. Null texts stay
     null with 0 lines; a text all of whose lines go becomes empty. A null doc_id is not compared. Rows that repeat a
     doc_id are one document (a deletion holds for each row that has that line in that place) and don't delete from each other.
     """
@@ -237,7 +255,8 @@ def dedup_lines(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
         for batch in batches:
             for block in text_blocks(batch, names[at]):
                 cols = [block.column(i) for i in range(len(names))]
-                data, starts, _, first, h, _ = lines(cols[at])
+                data, starts, _, first, h, n = lines(cols[at])
+                h, size, _ = blocks(first, h, n, min_block)
                 raw, offs = data.tobytes(), K.buffers(cols[at])[1]
                 texts, removed = cols[at].to_pylist(), []
                 for i, (places, hashes) in enumerate(zip(block.column(len(names)).to_pylist(), block.column(len(names) + 1).to_pylist())):
@@ -247,7 +266,9 @@ def dedup_lines(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
                         p, q = np.array(places), np.array(hashes)
                         fit = p < len(own)
                         p, q = p[fit], q[fit]
-                        drop[p[own[p] == q]] = True
+                        p = p[own[p] == q]
+                        for step in range(int(size[first[i] + p].max(initial=0))):
+                            drop[p[size[first[i] + p] > step] + step] = True
                     removed.append(int(drop.sum()))
                     if removed[-1]:
                         cut = np.append(starts[first[i] : first[i + 1]], offs[i + 1])

@@ -82,6 +82,18 @@ def test_doubled_passages(spark):
     assert out[1] == rows[0][1] and out[3] == "" and "Rivers" not in out[2] + out[4] and "Birds" not in out[2] + out[4]
 
 
+def test_torn_passages(spark):
+    rng = random.Random(5)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(5))
+    a, new, c = ([line() for _ in range(12)] for _ in range(3))
+    b = [x if i % 2 else y for i, (x, y) in enumerate(zip(a, new))]
+    rows = [(1, a), (2, b), (3, b), (4, [c[0]]), (5, c), (6, [new[0], *c, a[0]])]
+    frame = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame).collect()}
+    assert out[1] == "\n".join(a) and out[2] == "\n".join(b) and out[5] == "\n".join(c)  # single lines are too short
+    assert out[3] == "" and out[6].split("\n") == [new[0], a[0]]
+
+
 def test_line_dedup(spark, docs, empty):
     got = line_dedup.dedup_lines(docs).collect()
     by = {r["doc_id"]: r for r in got}

@@ -1,7 +1,8 @@
 """Line dedup by pairwise alignment.
 
 A line is a stretch of text up to a line feed, to the space after ``.``, ``!`` or ``?``, or to the space after a word whose
-hash is a multiple of ``CUT`` (so that a passage copied into the middle of a sentence holds whole lines too); one of fewer
+hash is the least of some ``CUT`` successive words (so that a passage copied into the middle of a sentence holds whole lines
+too: 49 successive words hold two such cuts at least 8 words apart wherever they stand); one of fewer
 than ``MIN_LINE`` words belongs to the line before it. A block is the shortest run of lines from a line on that has
 ``MIN_BLOCK`` words. Blocks are hashed; a hash that several documents hold makes each of them overlap with
 the first (smallest doc_id) that holds it, so a block that n documents share makes n - 1 pairs, and every run of lines that a
@@ -27,22 +28,41 @@ from pyspark.sql import functions as F
 from storyspark.llm import textkernel as K
 from storyspark.llm.common import discard, materialize, table, text_blocks, without
 
-MIN_LINE, MIN_BLOCK = 3, 8
-CUT = 16
+MIN_LINE, MIN_BLOCK = 1, 8
+#: Two cuts of a passage of n words that do not depend on what stands around it are at least n + 3 - 4 * CUT words apart.
+CUT = 11
 COLUMNS = ("n_lines", "n_removed")
 _STOP = K.byte_class((0x2E, 0x2E), (0x21, 0x21), (0x3F, 0x3F))
 
 
+def least(hashes: np.ndarray, first: np.ndarray, width: int = CUT) -> np.ndarray:
+    """Which words have the least hash of some ``width`` successive words of one text (words of the same hash alike)."""
+    n = len(hashes) - width + 1
+    out = np.zeros(len(hashes), bool)
+    if n <= 0:
+        return out
+    low, have = hashes, 1
+    while have < width:
+        step = min(have, width - have)
+        low, have = np.minimum(low[: len(low) - step], low[step:]), have + step
+    whole = np.zeros(n, bool)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    np.equal(text[:n], text[width - 1 :], out=whole)
+    for step in range(width):
+        out[step : step + n] |= whole & (hashes[step : step + n] == low)
+    return out
+
+
 def lines(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends, first line of each text, hashes, words) of the lines of a block of texts."""
     data, offs = K.buffers(col)
     cut = (data == 10) | (data == 13)
     if len(data) > 1:
         cut[1:] |= (data[1:] == 32) & _STOP[data[:-1]]
-    words, word_ends, _ = K.runs(data, offs, K.NONSPACE)
+    words, word_ends, per_text = K.runs(data, offs, K.NONSPACE)
     inner = np.ones(len(data) + 1, bool)
     inner[offs] = False
-    chosen = word_ends[K.span_hashes(data, words, word_ends) % np.uint64(CUT) == 0]
+    chosen = word_ends[least(K.span_hashes(data, words, word_ends), per_text)]
     cut[chosen[inner[chosen]]] = True
     starts, ends, _ = K.mask_runs(~cut, offs)
     n = np.searchsorted(words, ends) - np.searchsorted(words, starts)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from storyspark.llm import decontaminate, html_extract, language_id, lattice, licenses, line_dedup, ngram_join, packing, queries, secrets, url_filter
@@ -94,6 +95,24 @@ def test_torn_passages(spark):
     assert out[3] == "" and out[6].split("\n") == [new[0], a[0]]
 
 
+def test_passage_in_a_line():
+    rng = random.Random(9)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    for i in range(300):
+        passage = own(51) if i % 3 else " ".join(rng.choice(["ha", "he", "hi"][: 1 + i % 2]) for _ in range(51))
+        texts = pa.array([f"{own(rng.randrange(40))} {passage} {own(rng.randrange(40))}" for _ in range(2)])
+        _, _, _, first, h, n = line_dedup.lines(texts)
+        hashes, size, _ = line_dedup.blocks(first, h, n)
+        one, two = (set(hashes[a:b][size[a:b] > 0].tolist()) for a, b in zip(first, first[1:]))
+        assert one & two
+    hashes = np.array([rng.randrange(9) for _ in range(60)], np.uint64)
+    first, want = np.array([0, 0, 5, 40, 60]), set()
+    for a, b in zip(first, first[1:]):
+        for i in range(a, b - 10):
+            want |= {j for j in range(i, i + 11) if hashes[j] == hashes[i : i + 11].min()}
+    assert set(np.flatnonzero(line_dedup.least(hashes, first, 11)).tolist()) == want
+
+
 def test_line_dedup(spark, docs, empty):
     got = line_dedup.dedup_lines(docs).collect()
     by = {r["doc_id"]: r for r in got}

@@ -1,7 +1,7 @@
 """Licence scans by sentence identifiers and ordered rules (DataFrame functions only).
 
-A text is split into sentences, each normalised to lower-case words; a sentence that contains a known licence phrase gets
-that phrase's identifier, and a text becomes the sequence of its identifiers in order. Rules are sequences of identifiers;
+A text is split into sentences, each normalised to lower-case words; a sentence gets the identifiers of all known licence
+phrases that it contains, and a text becomes the sequence of its identifiers in order of place. Rules are sequences of identifiers;
 a rule matches where its identifiers follow each other in that order with no other identifier between. Rules are tried in
 their order, longest sequences first, and identifiers that a match uses are not used again.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from storyspark.llm.common import table, without
 
-#: Identifier letter, and the normalised phrase whose presence in a sentence gives it. The first that fits counts.
+#: Identifier letter, and the normalised phrase whose presence in a sentence gives it. Of those that begin at one word the first counts.
 SENTENCES = [
     ("A", "licensed under the apache license version 2 0"),
     ("B", "you may not use this file except in compliance with the license"),
@@ -49,31 +49,39 @@ RULES = [
     ("BSD-2-Clause", "Q"), ("CC-BY-NC", "S"), ("CC-BY-SA", "T"), ("CC-BY", "U"), ("Public-Domain", "V"), ("MPL-2.0", "W"), ("Proprietary", "X"),
 ]
 COLUMNS = ("n_sentences", "n_license_sentences", "sentence_ids", "licenses", "license")
-#: A sentence ends at a line feed or at . ! ? before white space or the end of the text.
-BREAK = r"[.!?]+(?:[ \t\r\n]+|\z)|[\r\n]+"
+#: A sentence ends at a blank line or at . ! ? before white space or the end of the text; a single line feed is white space.
+BREAK = r"[.!?]+(?:[ \t\r\n]+|\z)|(?:\r\n|\r(?!\n)|\n)[ \t]*[\r\n][ \t\r\n]*"
+#: What ends a sentence in the count ``n_sentences``: the SQL counts every line feed too.
+COUNTED = r"[.!?]+(?:[ \t\r\n]+|\z)|[\r\n]+"
+#: Any phrase at its place; a lookahead, so that phrases may overlap.
+PHRASE = rf"(?<![a-z0-9])(?=({'|'.join(p for _, p in SENTENCES)})(?![a-z0-9]))"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs(text, ...)`` with n_sentences, n_license_sentences, sentence_ids, licenses (comma-joined, in rule order) and license.
 
+    n_sentences counts a line feed as the end of a sentence, as the SQL does; identifiers are found across single line feeds.
     license is the first rule's that matches, or ``none``. Null and empty texts have no sentences and no licence. Repeated
     rows are judged each; existing columns of the result's names are replaced. Only A-Z is lower-cased, and every run of
     other characters than a-z and 0-9 separates words.
     """
     docs = without(docs, *COLUMNS, "_s")
-    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    # sentence borders become a line feed, every other run of separators one space
-    text = F.regexp_replace(F.regexp_replace(lower, BREAK, "\n"), "[^a-z0-9\n]+", " ")
-    parts = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    known = lambda s: functools.reduce(lambda other, x: F.when(F.concat(F.lit(" "), s, F.lit(" ")).contains(f" {x[1]} "), x[0]).otherwise(other), reversed(SENTENCES), F.lit(""))
-    ids = F.array_join(F.transform("_s", known), "")
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\x01", "abcdefghijklmnopqrstuvwxyz ")
+
+    # sentence borders become \x01, every other run of separators one space
+    def sentences(ends: str) -> F.Column:
+        text = F.regexp_replace(F.regexp_replace(lower, ends, "\x01"), "[^a-z0-9\x01]+", " ")
+        return F.filter(F.transform(F.split(text, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
+
+    letter = lambda p: functools.reduce(lambda other, x: F.when(p == x[1], x[0]).otherwise(other), reversed(SENTENCES), F.lit(""))
+    known = lambda s: F.array_join(F.transform(F.regexp_extract_all(s, F.lit(PHRASE), F.lit(1)), letter), "")
     # rules in order: each takes its identifiers out of the sequence (a space keeps the rest apart)
     left, names = F.col("sentence_ids"), []
     for name, seq in RULES:
         names.append(F.when(left.contains(seq), F.lit(name)))
         left = F.replace(left, F.lit(seq), F.lit(" "))
-    out = docs.withColumn("_s", parts).withColumn("n_sentences", F.size("_s").cast("long")).withColumn("sentence_ids", ids).drop("_s")
-    out = out.withColumn("n_license_sentences", F.length("sentence_ids").cast("long"))
+    out = docs.withColumn("n_sentences", F.size(sentences(COUNTED)).cast("long")).withColumn("_s", F.filter(F.transform(sentences(BREAK), known), lambda x: x != ""))
+    out = out.withColumn("n_license_sentences", F.size("_s").cast("long")).withColumn("sentence_ids", F.array_join("_s", "")).drop("_s")
     # few documents hold an identifier at all; the rules are only tried there
     out = out.withColumn("licenses", F.when(F.col("sentence_ids") == "", F.lit("")).otherwise(F.array_join(F.array_distinct(F.array_compact(F.array(*names))), ",")))
     return out.withColumn("license", F.when(F.col("licenses") == "", "none").otherwise(F.substring_index("licenses", ",", 1)))

@@ -179,6 +179,16 @@ def test_license_edges(spark, docs, empty):
     assert [(r["license"], r["sentence_ids"]) for r in licenses.scan(one).collect()] == [("Apache-2.0", "ABC"), ("MIT", "MX")]
 
 
+def test_license_wrapped(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation, either version %d of the License, or\n (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the conditions are met:\n\nNeither the name of the holder nor the names of its contributors may be used."
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT\nWARRANTY OF ANY KIND."
+    want = [(gpl % 3, "GPL-3.0-or-later", "IJ", 1), (gpl % 2, "GPL-2.0-or-later", "IK", 1), (bsd, "BSD-3-Clause", "QR", 2), (mit, "MIT", "OP", 2), ("Licensed under CC BY-NC, all rights\r\nreserved.", "CC-BY-NC", "SX", 1), ("All rights\n \nreserved", "none", "", 0)]
+    for form in (lambda x: x, lambda x: x.replace("\n\n", "\x00").replace("\n", " ").replace("\x00", "\n\n")):
+        rows = licenses.scan(spark.createDataFrame([(i, form(w[0])) for i, w in enumerate(want[:5])] + [(5, want[5][0])], "i int, text string")).orderBy("i").collect()
+        assert [(r["license"], r["sentence_ids"], r["n_license_sentences"]) for r in rows] == [w[1:] for w in want]
+
+
 def test_url_edges(spark):
     urls = [None, "", "nohost", "http://a.NET/x", "https://net/", "http://net", "http://xnet/", "http://www.example.net/en/1?q", "http://example.net/de/", "http://a.org/fr/x#y", "http://a.org/fr", "http://a.net/x", "http://a.net/x"]
     df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)], "page_id long, url string, rule string")

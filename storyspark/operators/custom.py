@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyspark.functions import cjk
@@ -122,13 +122,15 @@ def louvain(spark, sf_dir):
 
 def components(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return G.components(o.where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("a"), (F.lit(1 << 40) + F.col("o_orderkey") % 997).alias("b")))
+    return G.components(o.select(F.col("o_custkey").alias("a"), (F.lit(1 << 40) + F.col("o_orderkey")).alias("b")))
 
 
 def identity_components(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    pair = e.where("event_type = 'signup' and user_id <> event_id % 100").select(F.col("user_id").alias("a"), (F.col("event_id") % 100).alias("b"))
-    return G.identity_components(pair.where("b % 5 = a % 5 and a % 5 < 4"), pair.where("b % 5 = 4 and a % 5 = 4").limit(0), spark.range(0, 100, 17).toDF("node"))
+    """A user and the accounts of all signups are the same, two accounts signed up in succession on one day are different."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'signup'").select("user_id", (F.lit(1 << 40) + F.col("event_id")).alias("account"), "event_id", "ts")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    pair = e.select(F.lag("account").over(order).alias("a"), F.col("account").alias("b"), (F.to_date(F.lag("ts").over(order)) == F.to_date("ts")).alias("near"))
+    return G.identity_components(e.select(F.col("user_id").alias("a"), F.col("account").alias("b")), pair.where("near").select("a", "b"), spark.range(0, 100, 17).toDF("node"))
 
 
 def textrank(spark, sf_dir):

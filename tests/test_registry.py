@@ -27,6 +27,15 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_components_whole(spark, duck):
+    nodes = duck.sql("select count(distinct o_custkey) + count(distinct o_orderkey) from orders").fetchall()[0][0]
+    assert QUERIES["components"](spark, SF).count() == nodes
+    signups = duck.sql("select count(distinct user_id) + count(distinct event_id) from events where event_type = 'signup'").fetchall()[0][0]
+    rows = QUERIES["identity_components"](spark, SF).collect()
+    accounts = [r for r in rows if r["node"] >= 1 << 40]
+    assert len(rows) == signups and len({r["node"] == r["representative"] for r in accounts}) == 2  # some merged, some kept apart
+
+
 def test_entry_without_llm():
     import __spark_entry__ as e
 

@@ -8,18 +8,22 @@ neighbourhood (it still matches when one token differs). Allotments that sum to
 least c + 1 of match weight, so segments with almost no tokens, whose lists would be long, get allotment 0 in a set
 where they weigh at most c together. How many segments get 1 or 2 minimises a cost model of index rows and chance matches.
 
-Sets equal as a whole are one class. Classes that share an index key are compared star-wise (all with the key's least
-member), components of the verified links are formed, and only the pairs of a key that are still in different
-components go on to the next round, so that a group of n near copies costs about n comparisons; no pair that could link
-two components is left out.
+Sets equal as a whole are one class, and one document of a class is indexed. A row of the index carries the set's size and
+a parity sketch, whose distance to another sketch bounds the difference of the sets from below. Within a key of at most
+``GROUP`` classes the pairs that their sketches allow are candidates: all of them where they are few, else a spanning
+forest first and later those that still join two components of the verified links.
+
+A hot key of more classes is split by tokens instead of being listed in pairs. Let c be its smallest set. If x and y are
+similar and share no token outside c, then |x & c| >= |x & y|, so both are similar to c. Hence every member is compared
+with c, and each gets a row for its tokens outside c: (key, token) groups that leave c out are keys of the next level. A member
+that is not similar to c lacks at least q tokens for that, so it shares q tokens outside c with any partner, and
+all but q - 1 of its tokens outside c are enough. Levels end when no key is hot; no pair is lost.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import math
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +41,10 @@ BAND_RATIO = 1.3
 CHANCE, WEIGHT = 0.05, 1e4
 #: Price of index rows where segments of one token are indexed too (their lists can be long).
 LONELY = 1.15
-#: The pairs left in mixed keys are listed outright when they are fewer than so many times the pairs compared before;
-#: else star rounds with other centres come first, ``STAR_ROUNDS`` at most.
-PAIRS_LISTED, STAR_ROUNDS = 4, 6
+#: Classes of a key that one task may compare by their sketches; a key of more is split.
+GROUP = 512
+#: Bits of a sketch: a power of two, some times the difference bound, within these limits.
+SKETCH_BITS, SKETCH_TIMES = (256, 8192), 3
 #: Documents to verify whose ids may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Bits of the table that tells which keys can be shared (a set bit may be chance; the key is then compared in vain).
@@ -154,8 +159,10 @@ def index_keys(tokens: np.ndarray, first: np.ndarray, num: int, den: int) -> tup
         seg = ((tokens[at] >> _U(32)) * m[doc].astype(_U) >> _U(32)).astype(np.int64)
         place = base[doc] + seg
         count = np.bincount(place, minlength=int(m.sum()))
-        total = np.zeros(len(count), _U)
-        np.add.at(total, place, value[at])
+        # a set's tokens are sorted, so those of a segment are neighbours
+        ends = np.cumsum(count)
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(value[at])])
+        total = sums[ends] - sums[ends - count]
         seg_doc = np.repeat(np.arange(len(m)), m)
         number = np.arange(len(count)) - base[seg_doc]
         salt = K.mix(number.astype(_U) + K.mix(band[seg_doc].astype(_U) + _U(1)))
@@ -186,6 +193,61 @@ def signatures(tokens: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.nda
     return out[0], out[1]
 
 
+def sketch_bits(size: int, num: int, den: int) -> int:
+    return min(max(SKETCH_BITS[0], 1 << (SKETCH_TIMES * max_difference(size, size, num, den)).bit_length()), SKETCH_BITS[1])
+
+
+def sketches(tokens: np.ndarray, first: np.ndarray, num: int, den: int) -> list[bytes]:
+    """Parity sketch of each set: bit i is the parity of the tokens that are i modulo the number of bits."""
+    size = np.diff(first)
+    known = {int(n): sketch_bits(int(n), num, den) for n in np.unique(size)}
+    bits = np.array([known[n] for n in size.tolist()], np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    doc = np.repeat(np.arange(len(size)), size)
+    at = base[doc] + (tokens & (bits[doc] - 1).astype(_U)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(base[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[i:j] for i, j in zip((base[:-1] >> 3).tolist(), (base[1:] >> 3).tolist())]
+
+
+def _matrix(members: list[bytes]) -> np.ndarray:
+    """Sketches folded to the length of the shortest one, a row each (a parity sketch folds by halves)."""
+    width = min(map(len, members)) >> 3
+    rows = [np.frombuffer(x, _U) for x in members]
+    return np.stack([np.bitwise_xor.reduce(r.reshape(-1, width), 0) for r in rows])
+
+
+def allowed(size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs of a group may be similar by sizes and sketches, least difference of each pair)."""
+    apart = np.zeros((len(size), len(size)), np.int64)
+    for w in range(sketch.shape[1]):
+        apart += np.bitwise_count(sketch[:, w, None] ^ sketch[None, :, w])
+    apart = np.maximum(apart, np.abs(size[:, None] - size[None, :]))
+    ok = apart <= (den - num) * (size[:, None] + size[None, :]) // (den + num)
+    np.fill_diagonal(ok, False)
+    return ok, apart
+
+
+def forest(ok: np.ndarray, apart: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the allowed pairs that grows from the members with most of them along the nearest pairs."""
+    degree, out = ok.sum(1), []
+    left = degree > 0
+    far = np.where(ok, apart, 1 << 40)
+    for root in np.argsort(-degree, kind="stable").tolist():
+        if not left[root]:
+            continue
+        left[root] = False
+        edge = [root]
+        while edge:
+            new = np.flatnonzero(left & ok[edge].any(0))
+            if not len(new):
+                break
+            near = np.asarray(edge)[far[np.ix_(edge, new)].argmin(0)]
+            out += zip(near.tolist(), new.tolist())
+            left[new] = False
+            edge = new.tolist()
+    return out
+
+
 def _signed(docs: DataFrame, k: int, seed: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,26 +261,56 @@ def _signed(docs: DataFrame, k: int, seed: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, sig long, check long")
 
 
-def _keys(docs: DataFrame, k: int, num: int, den: int, seed: int | None = None, known=None, part: tuple[int, int] = (0, 1)) -> DataFrame:
-    """Index rows of all documents: the keys alone of one part of the key space, or with ``seed`` (key, sig) of those keys whose bit in ``known`` is set."""
+def _representatives(docs: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``docs`` without the ids none of whose rows represents its class: copies are not indexed again."""
+    own = signed.where("doc_id is not null").join(classes, "sig", "left")
+    copies = own.groupBy("doc_id").agg(F.max(F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(False))).alias("own")).where("not own").select("doc_id")
+    copies = materialize(copies)
+    return docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
+
+
+def _keys(docs: DataFrame, k: int, num: int, den: int, part: tuple[int, int]) -> DataFrame:
+    """The index keys of one part of the key space."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks(batch, "text"):
+                keys = index_keys(*token_sets(block.column(0), k), num, den)[0]
+                if part[1] > 1:
+                    keys = keys[(keys >> _U(40)) % _U(part[1]) == part[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+
+    return docs.select("text").mapInArrow(index, "key long")
+
+
+ROWS = "key long, sig long, n int, sketch binary"
+
+
+def _rows(docs: DataFrame, k: int, num: int, den: int, seed: int, known) -> DataFrame:
+    """(key, sig, n, sketch) of the keys whose bit in ``known`` is set; a set that a task meets again soon has no second rows."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if known is None else known.value
+        bits, seen = known.value, set()
         for batch in batches:
             for block in text_blocks(batch, "text"):
                 tokens, first = token_sets(block.column(0), k)
                 keys, owner = index_keys(tokens, first, num, den)
-                if seed is None:
-                    if part[1] > 1:
-                        keys = keys[(keys >> _U(40)) % _U(part[1]) == part[0]]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
-                    continue
                 bit = keys & _U(KNOWN_BITS - 1)
                 ok = (bits[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) == 1
                 sig = signatures(tokens, first, seed)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), pa.array(sig[owner[ok]])], ["key", "sig"])
+                fresh = np.zeros(len(sig), bool)
+                for i, s in enumerate(sig.tolist()):
+                    if s not in seen:
+                        fresh[i] = True
+                        seen.add(s)
+                if len(seen) > 1 << 17:
+                    seen.clear()
+                ok &= fresh[owner]
+                keys, owner = keys[ok], owner[ok]
+                sketch = pa.array(sketches(tokens, first, num, den), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sig[owner]), pa.array(np.diff(first)[owner].astype(np.int32)), sketch.take(pa.array(owner))], ["key", "sig", "n", "sketch"])
 
-    return docs.select("text").mapInArrow(index, "key long" if seed is None else "key long, sig long")
+    return docs.select("text").mapInArrow(index, ROWS)
 
 
 def _known(lists: DataFrame) -> np.ndarray:
@@ -230,35 +322,178 @@ def _known(lists: DataFrame) -> np.ndarray:
     return out
 
 
-def _set_table(docs: DataFrame, k: int, wanted: DataFrame, seed: int) -> DataFrame:
-    """(sig, tokens) of the wanted (doc_id, sig) classes, from whole texts; a row of the id whose text is not of the class is left out."""
-    n = wanted.count()
-    docs = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "doc_id").select("sig", "text")
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, columns but the key) of each key of rows sorted by (key, sig), a row for each sig; keys of one sig are left out."""
+    rest: list[list] | None = None
+    for batch in batches:
+        cols = [c.to_pylist() for c in batch.columns]
+        if rest:
+            cols = [a + b for a, b in zip(rest, cols)]
+        key, sig = cols[0], cols[1]
+        at = 0
+        starts = np.flatnonzero(np.diff(np.array(key, np.int64))) + 1 if len(key) > 1 else np.zeros(0, np.int64)
+        for end in starts.tolist():
+            if end - at > 1 and sig[at] != sig[end - 1]:
+                yield key[at], [c[at:end] for c in cols[1:]]
+            at = end
+        rest = [c[at:] for c in cols]
+    if rest and len(rest[0]) > 1 and rest[1][0] != rest[1][-1]:
+        yield rest[0][0], rest[1:]
+
+
+def _once(cols: list[list]) -> list[list]:
+    keep = [i for i, s in enumerate(cols[0]) if not i or s != cols[0][i - 1]]
+    return cols if len(keep) == len(cols[0]) else [[c[i] for i in keep] for c in cols]
+
+
+def _candidates(rows: DataFrame, num: int, den: int, across: bool) -> DataFrame:
+    """(key, a, b) of keys of at most ``GROUP`` classes: pairs a < b with key null, and rows (key, null, null) of keys where a forest stands for the pairs.
+
+    ``across``: rows have a component too, and all allowed pairs of different components come out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: set[tuple[int, int]] = set()
+        dense: list[int] = []
+
+        def flush() -> pa.RecordBatch:
+            a, b = [p[0] for p in pairs] + [None] * len(dense), [p[1] for p in pairs] + [None] * len(dense)
+            made = pa.RecordBatch.from_arrays([pa.array([None] * len(pairs) + dense, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
+            pairs.clear(), dense.clear()
+            return made
+
+        for key, cols in _groups(batches):
+            sig, n, sketch, *comp = _once(cols)
+            if across and len(set(comp[0])) == 1:
+                continue
+            ok, apart = allowed(np.array(n, np.int64), _matrix(sketch), num, den)
+            if across:
+                c = np.array(comp[0], np.int64)
+                ok &= c[:, None] != c[None, :]
+                found = np.argwhere(np.triu(ok)).tolist()
+            elif (edges := int(ok.sum()) // 2) <= 2 * len(sig):
+                found = np.argwhere(np.triu(ok)).tolist() if edges else ()
+            else:
+                found = forest(ok, apart)
+                dense.append(key)
+            for i, j in found:
+                a, b = sig[i], sig[j]
+                pairs.add((a, b) if a < b else (b, a))
+            if len(pairs) > 100_000:
+                yield flush()
+        yield flush()
+
+    return rows.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(run, "key long, a long, b long")
+
+
+def _texts(docs: DataFrame, classes: DataFrame, sigs: DataFrame, k: int, seed: int) -> DataFrame:
+    """(sig, text) of the wanted classes: the text of a document that represents the class."""
+    wanted = materialize(sigs.distinct().join(classes, "sig").select(F.col("rep").alias("doc_id")))
+    ids = wanted.where("doc_id is not null")
+    docs_ = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").select("text")
+    if not wanted.where("doc_id is null").isEmpty():
+        docs_ = docs_.union(docs.where("doc_id is null").select("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch):
-                tokens, first = token_sets(block.column(1), k)
-                sig = signatures(tokens, first, seed)[0].tolist()
-                own = [(s, tokens[first[i] : first[i + 1]].view(np.int64)) for i, s in enumerate(block.column(0).to_pylist()) if sig[i] == s and first[i] < first[i + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in own], pa.int64()), pa.array([x for _, x in own], pa.list_(pa.int64()))], ["sig", "tokens"])
+                tokens, first = token_sets(block.column(0), k)
+                none = np.diff(first) == 0
+                yield pa.RecordBatch.from_arrays([pa.array(signatures(tokens, first, seed)[0], mask=none), block.column(0)], ["sig", "text"])
+
+    out = materialize(docs_.mapInArrow(run, "sig long, text string").where("sig is not null").dropDuplicates(["sig"]))
+    discard(wanted)
+    return out
+
+
+def _sets(col: pa.Array, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``token_sets`` of a column in which neighbours of one number in ``same`` are equal, and the set of each row."""
+    new = np.ones(len(same), bool)
+    new[1:] = same[1:] != same[:-1]
+    tokens, first = token_sets(col.take(pa.array(np.flatnonzero(new))), k)
+    return tokens, first, np.cumsum(new) - 1
+
 
-    return docs.mapInArrow(run, "sig long, tokens array<long>")
+def _compare(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, split: bool = False) -> DataFrame:
+    """Rows (null, a, b, null, null) for the pairs whose sets are similar, compared in full.
 
+    ``split``: b is the smallest set of a hot key; rows (key, a, null, n, sketch) for a's tokens outside b come out too.
+    """
+    left = texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets are similar, compared in full, one pair at a time."""
-    left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("ta", "tb")))
-    return both.where(den * F.col("n") >= num * (F.size("ta") + F.size("tb") - F.col("n"))).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for half in text_blocks(batch, "text_a"):
+                for block in text_blocks(half, "text_b"):
+                    a, b = (block.column(i).to_numpy() for i in (0, 1))
+                    ta, fa, ia = _sets(block.column(2), a, k)
+                    tb, fb, ib = _sets(block.column(3), b, k)
+                    links, keys, owner = [], [], []
+                    for r, (i, j) in enumerate(zip(ia.tolist(), ib.tolist())):
+                        x, y = ta[fa[i] : fa[i + 1]], tb[fb[j] : fb[j + 1]]
+                        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                        outside = y[at] != x
+                        both_, total = len(x) - int(outside.sum()), len(x) + len(y)
+                        if den * both_ >= num * (total - both_):
+                            links.append(r)
+                        if split:
+                            lacking = -(-num * total // (num + den)) - both_
+                            own = x[outside]
+                            own = own[: len(own) - max(lacking, 1) + 1]
+                            keys.append(K.mix(own ^ _U(int(b[r]) & (2**64 - 1))))
+                            owner.append(np.full(len(own), r))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(links), pa.int64()), pa.array(a[links]), pa.array(b[links]), pa.nulls(len(links), pa.int32()), pa.nulls(len(links), pa.binary())], ["key", "a", "b", "n", "sketch"])
+                    if split and sum(map(len, keys)):
+                        row = np.concatenate(owner)
+                        made = pa.array(sketches(ta, fa, num, den), pa.binary()).take(pa.array(ia[row]))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(a[row]), pa.nulls(len(row), pa.int64()), pa.array(np.diff(fa)[ia[row]].astype(np.int32)), made], ["key", "a", "b", "n", "sketch"])
+
+    return both.mapInArrow(run, "key long, a long, b long, n int, sketch binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, seed: int, split: bool = False) -> DataFrame:
+    texts = _texts(docs, classes, pairs.select("a").union(pairs.select("b")).toDF("sig"), k, seed)
+    out = materialize(_compare(pairs, texts, k, num, den, split))
+    discard(texts)
+    return out
 
 
-def _release(spark) -> None:
-    """Let the driver's cleaner drop the shuffle files of finished steps before the next step writes its own."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(1)
+def _links(rows: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
+    """Edges (u, v) between classes whose components are those of all similar pairs."""
+    small, links = None, None
+
+    def add(more: DataFrame) -> None:
+        nonlocal links
+        more = more.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        links = more if links is None else links.union(more)
+
+    while True:
+        hot = materialize(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("key"))
+        if hot.isEmpty():
+            small = rows if small is None else small.union(rows)
+            break
+        rest = rows.join(hot, "key", "left_anti")
+        small = rest if small is None else small.union(rest)
+        members = rows.join(hot, "key", "left_semi")
+        centres = members.groupBy("key").agg(F.min(F.struct("n", "sig")).alias("c")).select("key", F.col("c.sig").alias("c"))
+        pairs = materialize(members.join(centres, "key").where("sig != c").select(F.col("sig").alias("a"), F.col("c").alias("b")).distinct())
+        step = _verified(pairs, docs, classes, k, num, den, seed, split=True)
+        add(step)
+        rows = step.where("b is null").select("key", F.col("a").alias("sig"), "n", "sketch")
+
+    found = materialize(_candidates(small, num, den, across=False))
+    pairs = materialize(found.where("a is not null").select("a", "b").distinct())
+    add(_verified(pairs, docs, classes, k, num, den, seed))
+    dense = found.where("a is null").select("key")
+    if dense.isEmpty():
+        return links
+    reach = materialize(components(links))
+    mixed = small.join(dense, "key", "left_semi").join(reach, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "sketch", F.coalesce("component", "sig").alias("component"))
+    more = _candidates(mixed, num, den, across=True).where("a is not null").select("a", "b").distinct()
+    add(_verified(materialize(more.join(pairs, ["a", "b"], "left_anti")), docs, classes, k, num, den, seed))
+    return links
 
 
 def similarity_groups(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (90, 100), rounds: int = 1) -> DataFrame:
@@ -267,8 +502,10 @@ def similarity_groups(docs: DataFrame, k: int = 3, similarity: tuple[int, int] =
     Tokens are distinct ``k``-word shingles of the text with A-Z lower-cased; fewer words are one shingle; null, empty or
     blank texts have no tokens and link with nothing (component_id is then doc_id). Two documents link when
     intersection / union >= similarity; component_id is the smallest doc_id reachable by links. A row whose doc_id is null takes
-    part through its text, and its own id is never a component's smallest one. Repeated rows come out as often as they came in. The key space is counted in ``rounds`` parts, one
-    after the other, which divides the disk that counting takes and changes nothing else.
+    part through its text, and its own id is never a component's smallest one (a component of such rows alone has none). Repeated
+    rows come out as often as they came in; an empty table gives an empty one; other columns are not read. Whole texts of any
+    length are compared. The key space is counted in ``rounds`` parts, one after the other, which divides the disk that
+    counting takes and changes nothing else.
     """
     num, den = similarity
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -279,57 +516,23 @@ def similarity_groups(docs: DataFrame, k: int = 3, similarity: tuple[int, int] =
             break
         discard(signed, classes)
     classes = classes.select("sig", "rep")
+    own = _representatives(docs, signed, classes)
 
-    # keys of two rows at least, by keys alone; then their rows, most others being left out by a bit table
+    # keys of two documents at least, by keys alone; then their rows, most others being left out by a bit table
     lists = None
     for r in range(rounds):
-        some = materialize(_keys(docs, k, num, den, part=(r, rounds)).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+        some = materialize(_keys(own, k, num, den, (r, rounds)).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
         lists = some if lists is None else lists.union(some)
-        _release(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(_known(lists))
-    rows = materialize(_keys(docs, k, num, den, seed, known).distinct())
-    centres = materialize(rows.groupBy("key").agg(F.min("sig").alias("c"), F.max("sig").alias("hi")).where("c != hi").select("key", "c"))
-    shared = materialize(rows.join(centres, "key"))
-    discard(rows, centres)
-    state, done, reach = shared, None, None
-    pairs = shared.where("sig != c").select(F.col("c").alias("a"), F.col("sig").alias("b")).distinct()
-    involved = shared.select("sig").distinct().join(classes, "sig").select(F.col("rep").alias("doc_id"), "sig").where("rep is not null")
-    sets = materialize(_set_table(docs, k, materialize(involved), seed))
-    turn = 0
-    while True:
-        pairs = materialize(pairs)
-        found = _verify(pairs, sets, num, den)
-        done = pairs if done is None else done.unionByName(pairs)
-        links = found if reach is None else found.union(reach.select("node", "component"))
-        reach = materialize(components(links.toDF("u", "v")))
-        turn += 1
-        # pairs of a key that are still in different components
-        state = state.select("key", "sig").join(reach, state["sig"] == reach["node"], "left").select("key", "sig", F.coalesce("component", "sig").alias("comp"))
-        state = materialize(state.distinct())
-        by = F.xxhash64("sig", F.lit(turn))
-        parts = state.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(by.alias("r"), "sig")).alias("c"))
-        mixed = parts.groupBy("key").agg(F.count("*").alias("comps"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.min(F.struct("c.r", "c.sig", "comp")).alias("c")).where("comps > 1")
-        mixed = materialize(mixed)
-        left = mixed.agg(F.count("*"), F.sum("cross") / 2).first()
-        if not left[0]:
-            break
-        state = state.join(mixed.select("key", "c"), "key")
-        listed = left[1] <= PAIRS_LISTED * max(150_000, pairs.count()) or turn > STAR_ROUNDS
-        if listed:
-            one = state.select("key", F.col("sig").alias("a"), F.col("comp").alias("ac"))
-            pairs = one.join(state.select("key", F.col("sig").alias("b"), F.col("comp").alias("bc")), "key").where("a < b and ac != bc").select("a", "b")
-        else:
-            pairs = state.where("comp != c.comp").select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b"))
-        pairs = pairs.distinct().join(done.withColumn("_seen", F.lit(True)), ["a", "b"], "left").where("_seen is null").select("a", "b")
-        state = materialize(state.select("key", "sig"))
-        if listed:
-            found = _verify(materialize(pairs), sets, num, den)
-            reach = materialize(components(found.union(reach.select("node", "component")).toDF("u", "v")))
-            break
-    mine = signed.select("doc_id", "n_shingles", "sig")
-    mine = mine.join(reach, mine["sig"] == reach["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "sig").alias("comp"))
-    least = materialize(mine.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
-    return mine.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = materialize(_rows(own, k, num, den, seed, known))
+    reach = materialize(components(_links(rows, own, classes, k, num, den, seed)))
+    known.destroy()
+    discard(rows)
+
+    named = classes.join(reach, F.col("sig") == F.col("node"), "left").select("sig", "rep", F.coalesce("component", "sig").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    label = materialize(named.join(least, "component").select("sig", "component_id"))
+    return signed.select("doc_id", "n_shingles", "sig").join(label, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (90, 100), rounds: int = 1) -> DataFrame:

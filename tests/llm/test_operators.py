@@ -273,8 +273,9 @@ def brute_groups(rows, k, num):
     return sorted(str((d, len(sets[i]), min(least[find(i)], default=d) if sets[i] else d)) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("k,num", [(3, 90), (5, 80)])
-def test_groups(spark, docs, empty, k, num):
+@pytest.mark.parametrize("k,num,group", [(3, 90, 512), (5, 80, 512), (3, 90, 3), (5, 80, 4)])
+def test_groups(spark, docs, empty, monkeypatch, k, num, group):
+    monkeypatch.setattr(ngram_join, "GROUP", group)  # keys of more classes are split
     rng = random.Random(k)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -285,6 +286,12 @@ def test_groups(spark, docs, empty, k, num):
             for _ in range(int(len(w) * rng.choice([0, 0.005, 0.01, 0.02, 0.04]))):
                 w[rng.randrange(len(w))] = rng.choice(vocabulary)
             rows.append((1000 + g * 10 + c, " ".join(w)))
+    base = [rng.choice(vocabulary) for _ in range(80)]
+    for c in range(40):  # a crowd about one text, of which some link with the centre, some with each other only
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+            w[rng.randrange(len(w))] = rng.choice(["x", "y", f"n{c}"])
+        rows.append((5000 + c if c % 7 else None, " ".join(w[: rng.choice([80, 80, 76])])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = ngram_join.similarity_groups(df, k, (num, 100), rounds=3 if num == 80 else 1).collect()
     assert sorted(str(tuple(r)) for r in got) == brute_groups(rows, k, num)

@@ -13,11 +13,13 @@ a parity sketch, whose distance to another sketch bounds the difference of the s
 ``GROUP`` classes the pairs that their sketches allow are candidates: all of them where they are few, else a spanning
 forest first and later those that still join two components of the verified links.
 
-A hot key of more classes is split by tokens instead of being listed in pairs. Let c be its smallest set. If x and y are
-similar and share no token outside c, then |x & c| >= |x & y|, so both are similar to c. Hence every member is compared
-with c, and each gets a row for its tokens outside c: (key, token) groups that leave c out are keys of the next level. A member
-that is not similar to c lacks at least q tokens for that, so it shares q tokens outside c with any partner, and
-all but q - 1 of its tokens outside c are enough. Levels end when no key is hot; no pair is lost.
+A hot key of more classes is split by deviations instead of being listed in pairs. Let C be any set (here the tokens that most
+of some members have), and let a set's deviations be its tokens outside C and the tokens of C that it lacks, r in number. Sets
+x and y that share no deviation differ in r(x) + r(y) tokens, so whether they are similar is told by r and the sizes alone, and
+each such x is then similar to the member that is best by that sum: it links with it, without another comparison. All other
+similar pairs share deviations, so many at least that a prefix of each list of deviations is enough; (C, deviation) is
+a key of the next level, held by half of the members or so at most. Members far from C can be similar to far ones only
+and go on as a key of their own. Levels end when no key is hot; no pair is lost, whatever C is.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyspark.llm import textkernel as K
@@ -43,6 +45,8 @@ CHANCE, WEIGHT = 0.05, 1e4
 LONELY = 1.15
 #: Classes of a key that one task may compare by their sketches; a key of more is split.
 GROUP = 512
+#: Members of a hot key whose majority makes the set C (any C gives the same result; it only shapes the split).
+CORE_OF = 32
 #: Bits of a sketch: a power of two, some times the difference bound, within these limits.
 SKETCH_BITS, SKETCH_TIMES = (256, 8192), 3
 #: Documents to verify whose ids may be broadcast (16 bytes each); more are joined by a shuffle.
@@ -227,6 +231,22 @@ def allowed(size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[n
     return ok, apart
 
 
+def near(n: int, m: int, x: bytes, y: bytes, num: int, den: int) -> bool:
+    """``allowed`` of one pair, without arrays."""
+    most = max_difference(n, m, num, den)
+    if abs(n - m) > most:
+        return False
+    a, b, short = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * min(len(x), len(y))
+    while len(x) * 8 > short or len(y) * 8 > short:
+        if len(x) * 8 > short:
+            half = len(x) // 2
+            a, x = (a >> 8 * half) ^ (a & ((1 << 8 * half) - 1)), x[:half]
+        else:
+            half = len(y) // 2
+            b, y = (b >> 8 * half) ^ (b & ((1 << 8 * half) - 1)), y[:half]
+    return (a ^ b).bit_count() <= most
+
+
 def forest(ok: np.ndarray, apart: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the allowed pairs that grows from the members with most of them along the nearest pairs."""
     degree, out = ok.sum(1), []
@@ -366,6 +386,10 @@ def _candidates(rows: DataFrame, num: int, den: int, across: bool) -> DataFrame:
             sig, n, sketch, *comp = _once(cols)
             if across and len(set(comp[0])) == 1:
                 continue
+            if len(sig) == 2 and not across:
+                if near(*n, *sketch, num, den):
+                    pairs.add((sig[0], sig[1]))
+                continue
             ok, apart = allowed(np.array(n, np.int64), _matrix(sketch), num, den)
             if across:
                 c = np.array(comp[0], np.int64)
@@ -414,11 +438,8 @@ def _sets(col: pa.Array, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return tokens, first, np.cumsum(new) - 1
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, split: bool = False) -> DataFrame:
-    """Rows (null, a, b, null, null) for the pairs whose sets are similar, compared in full.
-
-    ``split``: b is the smallest set of a hot key; rows (key, a, null, n, sketch) for a's tokens outside b come out too.
-    """
+def _compare(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) whose sets are similar, compared in full."""
     left = texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -430,45 +451,97 @@ def _compare(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, spl
                     a, b = (block.column(i).to_numpy() for i in (0, 1))
                     ta, fa, ia = _sets(block.column(2), a, k)
                     tb, fb, ib = _sets(block.column(3), b, k)
-                    links, keys, owner = [], [], []
+                    links = []
                     for r, (i, j) in enumerate(zip(ia.tolist(), ib.tolist())):
                         x, y = ta[fa[i] : fa[i + 1]], tb[fb[j] : fb[j + 1]]
-                        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                        outside = y[at] != x
-                        both_, total = len(x) - int(outside.sum()), len(x) + len(y)
-                        if den * both_ >= num * (total - both_):
+                        same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                        if den * same >= num * (len(x) + len(y) - same):
                             links.append(r)
-                        if split:
-                            lacking = -(-num * total // (num + den)) - both_
-                            own = x[outside]
-                            own = own[: len(own) - max(lacking, 1) + 1]
-                            keys.append(K.mix(own ^ _U(int(b[r]) & (2**64 - 1))))
-                            owner.append(np.full(len(own), r))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(links), pa.int64()), pa.array(a[links]), pa.array(b[links]), pa.nulls(len(links), pa.int32()), pa.nulls(len(links), pa.binary())], ["key", "a", "b", "n", "sketch"])
-                    if split and sum(map(len, keys)):
-                        row = np.concatenate(owner)
-                        made = pa.array(sketches(ta, fa, num, den), pa.binary()).take(pa.array(ia[row]))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(a[row]), pa.nulls(len(row), pa.int64()), pa.array(np.diff(fa)[ia[row]].astype(np.int32)), made], ["key", "a", "b", "n", "sketch"])
-
-    return both.mapInArrow(run, "key long, a long, b long, n int, sketch binary")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, seed: int, split: bool = False) -> DataFrame:
+                    yield pa.RecordBatch.from_arrays([pa.array(a[links]), pa.array(b[links])], ["u", "v"])
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
     texts = _texts(docs, classes, pairs.select("a").union(pairs.select("b")).toDF("sig"), k, seed)
-    out = materialize(_compare(pairs, texts, k, num, den, split))
+    out = materialize(_compare(pairs, texts, k, num, den))
     discard(texts)
     return out
 
 
+def _cores(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(key, core, tokens) of hot keys: the tokens that most of ``CORE_OF`` members have; equal sets have one number."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("sig"), "sig")
+    some = members.select("key", "sig").withColumn("i", F.row_number().over(order)).where(F.col("i") <= CORE_OF)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def made(part: pa.Table) -> tuple[int, int, bytes]:
+            tokens, first = token_sets(part.column(1), k)
+            token, count = np.unique(tokens, return_counts=True)
+            token = token[2 * count > len(first) - 1]
+            return part.column(0)[0].as_py(), int(signatures(token, np.array([0, len(token)]), 99)[0][0]), token.tobytes()
+
+        for batch in batches:
+            here = pa.Table.from_batches([batch])
+            rest = here if rest is None else pa.concat_tables([rest, here])
+            key = rest.column(0).to_numpy()
+            ends = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+            for i, j in zip(ends, ends[1:]):
+                row = made(rest.slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary()))], ["key", "core", "tokens"])
+            rest = rest.slice(ends[-1])
+        if rest is not None and len(rest):
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made(rest), (pa.int64(), pa.int64(), pa.binary()))], ["key", "core", "tokens"])
+
+    return some.join(texts, "sig").select("key", "text").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, core long, tokens binary")
+
+
+def _deviations(members: DataFrame, texts: DataFrame, cores: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(core, sig, n, sketch, dev) of members: dev has a key for each deviation of the set from the core, in one order for all."""
+    rows = members.join(texts, "sig").join(cores, "core").select("core", "sig", "tokens", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks(batch):
+                tokens, first = token_sets(block.column(3), k)
+                dev = []
+                for i, (core, own) in enumerate(zip(block.column(0).to_pylist(), block.column(2).to_pylist())):
+                    c, x = np.frombuffer(own, _U), tokens[first[i] : first[i + 1]]
+                    salt = _U(core & (2**64 - 1))
+                    dev.append(np.sort(K.mix(np.concatenate([np.setdiff1d(x, c, True) ^ salt, ~(np.setdiff1d(c, x, True) ^ salt)])).view(np.int64)))
+                at = np.concatenate([[0], np.cumsum([len(d) for d in dev])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(dev)))
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(np.diff(first).astype(np.int32)), pa.array(sketches(tokens, first, num, den), pa.binary()), lists], ["core", "sig", "n", "sketch", "dev"])
+
+    return rows.mapInArrow(run, "core long, sig long, n int, sketch binary, dev array<long>")
+
+
+def _split(rows: DataFrame, hot: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(links, rows of the next level) of hot keys."""
+    members = materialize(rows.join(hot, "key", "left_semi").select("key", "sig"))
+    texts = _texts(docs, classes, members.select("sig"), k, seed)
+    cores = materialize(_cores(members, texts, k))
+    members = materialize(members.join(cores.select("key", "core"), "key").select("core", "sig").distinct())
+    dev = materialize(_deviations(members, texts, cores.select("core", "tokens").dropDuplicates(["core"]), k, num, den))
+    discard(texts, cores)
+    # G is (den + num) * r - (den - num) * n: sets without a common deviation are similar if their G sum to 0 at most
+    dev = dev.withColumn("r", F.size("dev")).withColumn("G", (den + num) * F.col("r").cast("long") - (den - num) * F.col("n").cast("long"))
+    most = F.floor(2 * (den - num) * F.max("n") / (den + num))
+    of = dev.groupBy("core").agg(F.min(F.struct("G", "sig")).alias("best"), most.alias("H"), F.greatest(F.percentile_approx("r", 0.5), 2 * most).alias("far"))
+    dev = dev.join(materialize(of), "core")
+    links = dev.where("G + best.G <= 0 and sig != best.sig").select(F.col("sig").alias("u"), F.col("best.sig").alias("v"))
+    shared = F.greatest(F.lit(1), F.ceil((F.col("G") + F.col("best.G")) / (2 * (den + num))))
+    some = F.slice("dev", F.lit(1), F.greatest(F.lit(0), F.size("dev") - shared + 1).cast("int"))
+    near = dev.where("r <= far + H").select(F.explode(some).alias("key"), "sig", "n", "sketch")
+    far = dev.where("r > far").select(F.xxhash64("core").alias("key"), "sig", "n", "sketch")
+    return materialize(links), materialize(near.union(far))
+
+
 def _links(rows: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
     """Edges (u, v) between classes whose components are those of all similar pairs."""
     small, links = None, None
-
-    def add(more: DataFrame) -> None:
-        nonlocal links
-        more = more.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = more if links is None else links.union(more)
-
     while True:
         hot = materialize(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("key"))
         if hot.isEmpty():
@@ -476,24 +549,20 @@ def _links(rows: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: in
             break
         rest = rows.join(hot, "key", "left_anti")
         small = rest if small is None else small.union(rest)
-        members = rows.join(hot, "key", "left_semi")
-        centres = members.groupBy("key").agg(F.min(F.struct("n", "sig")).alias("c")).select("key", F.col("c.sig").alias("c"))
-        pairs = materialize(members.join(centres, "key").where("sig != c").select(F.col("sig").alias("a"), F.col("c").alias("b")).distinct())
-        step = _verified(pairs, docs, classes, k, num, den, seed, split=True)
-        add(step)
-        rows = step.where("b is null").select("key", F.col("a").alias("sig"), "n", "sketch")
+        more, rows = _split(rows, hot, docs, classes, k, num, den, seed)
+        links = more if links is None else links.union(more)
 
     found = materialize(_candidates(small, num, den, across=False))
     pairs = materialize(found.where("a is not null").select("a", "b").distinct())
-    add(_verified(pairs, docs, classes, k, num, den, seed))
+    more = _verified(pairs, docs, classes, k, num, den, seed)
+    links = more if links is None else links.union(more)
     dense = found.where("a is null").select("key")
     if dense.isEmpty():
         return links
     reach = materialize(components(links))
     mixed = small.join(dense, "key", "left_semi").join(reach, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "sketch", F.coalesce("component", "sig").alias("component"))
     more = _candidates(mixed, num, den, across=True).where("a is not null").select("a", "b").distinct()
-    add(_verified(materialize(more.join(pairs, ["a", "b"], "left_anti")), docs, classes, k, num, den, seed))
-    return links
+    return links.union(_verified(materialize(more.join(pairs, ["a", "b"], "left_anti")), docs, classes, k, num, den, seed))
 
 
 def similarity_groups(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (90, 100), rounds: int = 1) -> DataFrame:

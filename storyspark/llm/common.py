@@ -72,6 +72,29 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_
         at = end
 
 
+#: Bits of the table that tells which keys are shared (a set bit may be chance; the key is then looked at in vain).
+KNOWN_BITS = 1 << 27
+
+
+def known_keys(lists: DataFrame, key: str):
+    """Broadcast bit table of ``KNOWN_BITS`` bits, of constant size, with a bit set for every value of ``lists[key]``."""
+    import numpy as np
+
+    bit = F.col(key).bitwiseAND(F.lit(KNOWN_BITS - 1))
+    words = lists.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(KNOWN_BITS >> 6, np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return lists.sparkSession.sparkContext.broadcast(out)
+
+
+def is_known(table, keys):
+    """Which of an array of unsigned 64-bit keys have their bit set in the broadcast ``table``."""
+    import numpy as np
+
+    bit = keys & np.uint64(KNOWN_BITS - 1)
+    return (table.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
 def crc_fold(column: str, parts: int) -> F.Column:
     """crc32 of the id written as text, modulo ``parts``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

@@ -1,9 +1,9 @@
 """Line dedup by pairwise alignment.
 
-A line is a stretch of text up to a line feed, to the space after ``.``, ``!`` or ``?``, or to the space after a word whose
-hash is the least of some ``CUT`` successive words (so that a passage copied into the middle of a sentence holds whole lines
-too: 49 successive words hold two such cuts at least 8 words apart wherever they stand); one of fewer
-than ``MIN_LINE`` words belongs to the line before it. A block is the shortest run of lines from a line on that has
+A line is a stretch of text up to a line feed, to the space after ``.``, ``!`` or ``?``, or, in a sentence of more than ``LONG``
+words, to the space after a word that with its next word has the least hash of some ``CUT`` successive pairs (so that a passage
+copied into the middle of a sentence holds whole lines too: 49 successive words hold two such cuts at least 8 words apart
+wherever they stand). A block is the shortest run of lines from a line on that has
 ``MIN_BLOCK`` words. Blocks are hashed; a hash that several documents hold makes each of them overlap with
 the first (smallest doc_id) that holds it, so a block that n documents share makes n - 1 pairs, and every run of lines that a
 document shares with an earlier one consists of blocks that it shares whole with their first holders. Each pair is aligned by
@@ -26,17 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyspark.llm import textkernel as K
-from storyspark.llm.common import discard, materialize, table, text_blocks, without
+from storyspark.llm.common import discard, is_known, known_keys, materialize, table, text_blocks, without
 
-MIN_LINE, MIN_BLOCK = 1, 8
-#: Two cuts of a passage of n words that do not depend on what stands around it are at least n + 3 - 4 * CUT words apart.
-CUT = 11
+MIN_BLOCK = 8
+#: Within a piece of a sentence of more than LONG words the first cut that does not depend on what stands around the piece comes
+#: after 2 * CUT words at most from its border. A passage of n words thus holds two cuts n - 4 * CUT words apart or, where one
+#: end lies in a short sentence, n - LONG - 2 * CUT.
+CUT, LONG = 10, 20
 COLUMNS = ("n_lines", "n_removed")
 _STOP = K.byte_class((0x2E, 0x2E), (0x21, 0x21), (0x3F, 0x3F))
 
 
 def least(hashes: np.ndarray, first: np.ndarray, width: int = CUT) -> np.ndarray:
-    """Which words have the least hash of some ``width`` successive words of one text (words of the same hash alike)."""
+    """Which items have the least hash of some ``width`` successive ones of a group (items of the same hash alike); ``first``: each group's first."""
     n = len(hashes) - width + 1
     out = np.zeros(len(hashes), bool)
     if n <= 0:
@@ -60,20 +62,32 @@ def lines(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     if len(data) > 1:
         cut[1:] |= (data[1:] == 32) & _STOP[data[:-1]]
     words, word_ends, per_text = K.runs(data, offs, K.NONSPACE)
-    inner = np.ones(len(data) + 1, bool)
-    inner[offs] = False
-    chosen = word_ends[least(K.span_hashes(data, words, word_ends), per_text)]
-    cut[chosen[inner[chosen]]] = True
+    total = K.running_hash(data, None)
+    if len(words):
+        # the words of long sentences, and where their sentences begin
+        number = np.cumsum(cut)[words]
+        opens = np.append(True, number[1:] != number[:-1])
+        opens[per_text[per_text < len(words)]] = True
+        begin = np.flatnonzero(opens)
+        count = np.diff(np.append(begin, len(words)))
+        at = np.flatnonzero(np.repeat(count > LONG, count))
+        count = count[count > LONG]
+        first = np.concatenate([[0], np.cumsum(count)])
+        h = K.spans_of(total, words[at], word_ends[at])
+        h[:-1] = K.mix(h[:-1]) + h[1:]
+        pair = np.ones(len(h), bool)
+        pair[first[1:] - 1] = False
+        cut[word_ends[at[pair][least(h[pair], first - np.arange(len(first)))]]] = True
     starts, ends, _ = K.mask_runs(~cut, offs)
     n = np.searchsorted(words, ends) - np.searchsorted(words, starts)
     first = np.searchsorted(starts, offs)
     opens = np.zeros(len(starts), bool)
     opens[first[:-1][first[:-1] < first[1:]]] = True
-    head = np.flatnonzero(opens | (n >= MIN_LINE))
+    head = np.flatnonzero(opens | (n > 0))
     if len(head):
         last = np.append(head[1:], len(starts)) - 1
         starts, ends, n = starts[head], ends[last], np.add.reduceat(n, head)
-    return data, starts, ends, np.searchsorted(starts, offs), K.span_hashes(data, starts, ends, None), n
+    return data, starts, ends, np.searchsorted(starts, offs), K.spans_of(total, starts, ends), n
 
 
 def blocks(first: np.ndarray, hashes: np.ndarray, words: np.ndarray, min_block: int = MIN_BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,7 +206,9 @@ def align(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]], min
     return sorted(out)
 
 
-def _block_table(docs: DataFrame, min_block: int) -> DataFrame:
+def _block_table(docs: DataFrame, min_block: int, known=None) -> DataFrame:
+    """The block hashes of each document, or with ``known`` the rows (doc_id, place, h, words) of blocks whose bit is set there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch):
@@ -200,22 +216,32 @@ def _block_table(docs: DataFrame, min_block: int) -> DataFrame:
                 h, size, n = blocks(first, h, n, min_block)
                 count = np.diff(first)
                 doc = np.repeat(np.arange(len(count)), count)
-                place = np.arange(len(h)) - first[doc] if len(h) else doc
-                doc, place, h, n = doc[size > 0], place[size > 0], h[size > 0], n[size > 0]
-                yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["doc_id", "place", "h", "words"])
+                ok = size > 0
+                if known is None:
+                    own = np.unique(np.stack([h[ok], doc[ok].astype(np.uint64)]), axis=1)[0] if ok.any() else h[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["h"])
+                    continue
+                ok &= is_known(known, h)
+                place = (np.arange(len(h)) - first[doc])[ok] if len(h) else doc
+                yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(doc[ok])), pa.array(place.astype(np.int32)), pa.array(h[ok].view(np.int64)), pa.array(n[ok].astype(np.int32))], ["doc_id", "place", "h", "words"])
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, place int, h long, words int")
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "h long" if known is None else "doc_id long, place int, h long, words int")
 
 
 def _deletions(docs: DataFrame, min_block: int) -> DataFrame:
     """(doc_id, places, hashes) of the blocks to delete."""
-    table_ = materialize(_block_table(docs, min_block))
+    # hashes that come more than once, by hashes alone; then their rows, most others being left out by a bit table
+    known = known_keys(materialize(_block_table(docs, min_block).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")), "h")
+    table_ = materialize(_block_table(docs, min_block, known))
+    known.destroy()
     first = materialize(table_.groupBy("h").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("last")).where("f != last").select("h", "f"))
     shared = materialize(table_.join(first, "h"))
     discard(table_, first)
     later = shared.where("doc_id != f").select("doc_id", "f", F.lit(0).alias("side"), "place", "h", "words")
-    holders = shared.where("doc_id = f").select("h", "place").distinct()
-    earlier = later.select("doc_id", "f", "h").distinct().join(holders, "h").select("doc_id", "f", F.lit(1).alias("side"), "place", "h", F.lit(0).alias("words"))
+    # of the places where the first holder has a block, as many as the later document has: no product of repeats
+    holders = shared.where("doc_id = f").groupBy("h").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    wanted = later.groupBy("doc_id", "f", "h").agg(F.count("*").cast("int").alias("m"))
+    earlier = wanted.join(holders, "h").select("doc_id", "f", F.lit(1).alias("side"), F.explode(F.slice("places", F.lit(1), F.col("m"))).alias("place"), "h", F.lit(0).alias("words"))
     # a document's shared blocks meet in one task: at most its own blocks and as many of the documents that hold them first
     rows = later.distinct().union(earlier).repartition("doc_id").sortWithinPartitions("doc_id", "f", "side", "place")
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyspark.llm import textkernel as K
-from storyspark.llm.common import discard, materialize, table, text_blocks, without
+from storyspark.llm.common import discard, is_known, known_keys, materialize, table, text_blocks
 from storyspark.llm.components import components
 
 #: Ratio of the sizes at a band's two ends.
@@ -51,8 +51,6 @@ CORE_OF = 32
 SKETCH_BITS, SKETCH_TIMES = (256, 8192), 3
 #: Documents to verify whose ids may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
-#: Bits of the table that tells which keys can be shared (a set bit may be chance; the key is then compared in vain).
-KNOWN_BITS = 1 << 27
 _U = np.uint64
 
 
@@ -310,13 +308,12 @@ def _rows(docs: DataFrame, k: int, num: int, den: int, seed: int, known) -> Data
     """(key, sig, n, sketch) of the keys whose bit in ``known`` is set; a set that a task meets again soon has no second rows."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = known.value, set()
+        seen: set[int] = set()
         for batch in batches:
             for block in text_blocks(batch, "text"):
                 tokens, first = token_sets(block.column(0), k)
                 keys, owner = index_keys(tokens, first, num, den)
-                bit = keys & _U(KNOWN_BITS - 1)
-                ok = (bits[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) == 1
+                ok = is_known(known, keys)
                 sig = signatures(tokens, first, seed)[0]
                 fresh = np.zeros(len(sig), bool)
                 for i, s in enumerate(sig.tolist()):
@@ -333,15 +330,6 @@ def _rows(docs: DataFrame, k: int, num: int, den: int, seed: int, known) -> Data
     return docs.select("text").mapInArrow(index, ROWS)
 
 
-def _known(lists: DataFrame) -> np.ndarray:
-    """A bit table of ``KNOWN_BITS`` bits, of constant size, with a bit set for every key of ``lists``."""
-    bit = F.col("key").bitwiseAND(F.lit(KNOWN_BITS - 1))
-    words = lists.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(KNOWN_BITS >> 6, _U)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(_U)
-    return out
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(key, columns but the key) of each key of rows sorted by (key, sig), a row for each sig; keys of one sig are left out."""
     rest: list[list] | None = None
@@ -592,7 +580,7 @@ def similarity_groups(docs: DataFrame, k: int = 3, similarity: tuple[int, int] =
     for r in range(rounds):
         some = materialize(_keys(own, k, num, den, (r, rounds)).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
         lists = some if lists is None else lists.union(some)
-    known = docs.sparkSession.sparkContext.broadcast(_known(lists))
+    known = known_keys(lists, "key")
     rows = materialize(_rows(own, k, num, den, seed, known))
     reach = materialize(components(_links(rows, own, classes, k, num, den, seed)))
     known.destroy()

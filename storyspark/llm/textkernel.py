@@ -100,13 +100,22 @@ def mask_runs(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = LOWER) -> np.ndarray:
-    """64-bit hash of each byte span; ``fold`` maps bytes first."""
-    power, inverse = _powers(len(data) + 1)
+def running_hash(data: np.ndarray, fold: np.ndarray | None = LOWER) -> np.ndarray:
+    """The running sum from which ``spans_of`` takes the hash of any byte span; ``fold`` maps bytes first."""
     values = _BYTES if fold is None else _BYTES[fold]
     total = np.zeros(len(data) + 1, _U)
-    np.cumsum(values[data] * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U))
+    np.cumsum(values[data] * _powers(len(data) + 1)[0][: len(data)], out=total[1:])
+    return total
+
+
+def spans_of(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span of the text that ``total`` is of."""
+    return mix((total[ends] - total[starts]) * _powers(len(total))[1][starts] + (ends - starts).astype(_U))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = LOWER) -> np.ndarray:
+    """64-bit hash of each byte span; ``fold`` maps bytes first."""
+    return spans_of(running_hash(data, fold), starts, ends)
 
 
 _MULT = [_U(mix_int(k) | 1) for k in range(1, 12)]

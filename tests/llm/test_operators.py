@@ -105,6 +105,15 @@ def test_passage_in_a_line():
         hashes, size, _ = line_dedup.blocks(first, h, n)
         one, two = (set(hashes[a:b][size[a:b] > 0].tolist()) for a, b in zip(first, first[1:]))
         assert one & two
+    for _ in range(300):  # sentences of any lengths in the passage and around it
+        words = own(51).split(" ")
+        for at in rng.sample(range(51), rng.randrange(5)):
+            words[at] += "."
+        around = lambda: " ".join(w + "." * (rng.random() < 0.1) for w in own(rng.randrange(1, 40)).split(" "))
+        _, _, _, first, h, n = line_dedup.lines(pa.array([f"{around()} {' '.join(words)} {around()}" for _ in range(2)]))
+        hashes, size, _ = line_dedup.blocks(first, h, n)
+        one, two = (set(hashes[a:b][size[a:b] > 0].tolist()) for a, b in zip(first, first[1:]))
+        assert one & two
     hashes = np.array([rng.randrange(9) for _ in range(60)], np.uint64)
     first, want = np.array([0, 0, 5, 40, 60]), set()
     for a, b in zip(first, first[1:]):

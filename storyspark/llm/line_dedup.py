@@ -207,7 +207,7 @@ def align(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]], min
 
 
 def _block_table(docs: DataFrame, min_block: int, known=None) -> DataFrame:
-    """The block hashes of each document, or with ``known`` the rows (doc_id, place, h, words) of blocks whose bit is set there."""
+    """The block hashes of each document, or with ``known`` the rows of blocks whose bit is set there; nth: how often the document had the block before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,9 +223,15 @@ def _block_table(docs: DataFrame, min_block: int, known=None) -> DataFrame:
                     continue
                 ok &= is_known(known, h)
                 place = (np.arange(len(h)) - first[doc])[ok] if len(h) else doc
-                yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(doc[ok])), pa.array(place.astype(np.int32)), pa.array(h[ok].view(np.int64)), pa.array(n[ok].astype(np.int32))], ["doc_id", "place", "h", "words"])
+                doc, h, n = doc[ok], h[ok], n[ok]
+                order = np.lexsort((h, doc))
+                new = np.ones(len(h), bool)
+                new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+                nth = np.zeros(len(h), np.int32)
+                nth[order] = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else 0
+                yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(nth)], ["doc_id", "place", "h", "words", "nth"])
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "h long" if known is None else "doc_id long, place int, h long, words int")
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "h long" if known is None else "doc_id long, place int, h long, words int, nth int")
 
 
 def _deletions(docs: DataFrame, min_block: int) -> DataFrame:
@@ -239,44 +245,47 @@ def _deletions(docs: DataFrame, min_block: int) -> DataFrame:
     discard(table_, first)
     later = shared.where("doc_id != f").select("doc_id", "f", F.lit(0).alias("side"), "place", "h", "words")
     # of the places where the first holder has a block, as many as the later document has: no product of repeats
-    holders = shared.where("doc_id = f").groupBy("h").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    wanted = later.groupBy("doc_id", "f", "h").agg(F.count("*").cast("int").alias("m"))
-    earlier = wanted.join(holders, "h").select("doc_id", "f", F.lit(1).alias("side"), F.explode(F.slice("places", F.lit(1), F.col("m"))).alias("place"), "h", F.lit(0).alias("words"))
+    holders = shared.where("doc_id = f").select("h", "nth", "place")
+    earlier = shared.where("doc_id != f").select("doc_id", "f", "h", "nth").join(holders, ["h", "nth"]).select("doc_id", "f", F.lit(1).alias("side"), "place", "h", F.lit(0).alias("words"))
     # a document's shared blocks meet in one task: at most its own blocks and as many of the documents that hold them first
-    rows = later.distinct().union(earlier).repartition("doc_id").sortWithinPartitions("doc_id", "f", "side", "place")
+    rows = later.union(earlier).repartition("doc_id").distinct().sortWithinPartitions("doc_id", "f", "side", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_doc, out_place, out_hash = [], [], []
-        key, sides = None, ([], [])
-
-        def close() -> None:
-            if key is None or not sides[0]:
-                return
-            gone = set(align(sides[0], sides[1], min_block))
-            for p, h, _ in sides[0]:
-                if p in gone:
-                    out_doc.append(key[0])
-                    out_place.append(p)
-                    out_hash.append(h)
-
-        def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_place, pa.int32()), pa.array(out_hash, pa.int64())], ["doc_id", "place", "h"])
-            out_doc.clear(), out_place.clear(), out_hash.clear()
-            return made
+        rest: list[np.ndarray] | None = None
+
+        def pair(d: np.ndarray, side: np.ndarray, place: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+            """Numbers of the rows of one pair of documents that go."""
+            mid = int(np.searchsorted(side, 1))
+            x, y = h[:mid], h[mid:]
+            n = min(len(x), len(y))
+            differ = np.flatnonzero(x[:n] != y[:n])
+            head = int(differ[0]) if len(differ) else n
+            differ = np.flatnonzero(x[len(x) - (n - head) :] != y[len(y) - (n - head) :])
+            tail = n - head - (int(differ[-1]) + 1 if len(differ) else 0)
+            # equal heads and tails are aligned as they stand
+            gone = np.zeros(mid, bool)
+            gone[:head] = True
+            gone[mid - tail :] = True
+            if head + tail < mid:
+                inner = slice(head, mid - tail)
+                left = align(list(zip(place[inner].tolist(), x[inner].tolist(), w[inner].tolist())), list(zip(place[mid:].tolist(), y.tolist())), min_block)
+                gone[inner] = np.isin(place[inner], left)
+            return np.flatnonzero(gone)
+
+        def pairs(cols: list[np.ndarray], ends: list[int]) -> pa.RecordBatch:
+            doc, _, side, place, h, w = cols
+            own = [i + pair(doc[i:j], side[i:j], place[i:j], h[i:j], w[i:j]) for i, j in zip(ends, ends[1:])]
+            at = np.concatenate(own) if own else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(place[at]), pa.array(h[at])], ["doc_id", "place", "h"])
 
         for batch in batches:
-            for d, f, side, place, h, w in zip(*(c.to_pylist() for c in batch.columns)):
-                if (d, f) != key:
-                    close()
-                    key, sides = (d, f), ([], [])
-                if side:
-                    sides[1].append((place, h))
-                else:
-                    sides[0].append((place, h, w))
-            if len(out_doc) > 50_000:
-                yield flush()
-        close()
-        yield flush()
+            cols = [c.to_numpy() for c in batch.columns]
+            rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols)]
+            ends = [0, *(np.flatnonzero((rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1])) + 1).tolist()]
+            yield pairs(rest, ends)
+            rest = [c[ends[-1] :] for c in rest]
+        if rest is not None and len(rest[0]):
+            yield pairs(rest, [0, len(rest[0])])
 
     gone = rows.mapInArrow(run, "doc_id long, place int, h long")
     return materialize(gone.groupBy("doc_id").agg(F.collect_list("place").alias("_places"), F.collect_list("h").alias("_hashes")))

@@ -21,7 +21,7 @@ from storyspark.llm.packing import pack
 #: Near duplicates of the pipeline: five-word shingles, Jaccard similarity of 80 / 100 or more.
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 #: Parts of the key space that the join counts one after the other (a lower similarity has more keys).
-ROUNDS = 6
+ROUNDS = 2
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,28 +67,34 @@ def smooth_nullable(x, y, **options) -> list:
 
 
 def lttb(y, budget: int) -> list[int]:
-    """Places kept by largest-triangle-three-buckets; the next bucket's x is its ordinal, null values count as 0."""
+    """Places kept by largest-triangle-three-buckets; the next bucket's x is this bucket's number from 1, null values count as 0.
+
+    A series within the budget stays whole; a budget under 3 keeps the two ends.
+    """
     v = np.nan_to_num(np.asarray([0.0 if a is None else a for a in y], float))
     n = len(v)
-    if budget >= n or n <= 2:
+    if n <= budget:
         return list(range(n))
-    budget = max(budget, 3)
-    edges = np.linspace(1, n - 1, budget - 1).astype(int)
+    if budget < 3:
+        return sorted({0, n - 1})
+    edges = np.minimum(1 + np.floor(np.arange(budget - 1) * ((n - 2) / (budget - 2))).astype(int), n - 1)
+    ahead = [v[a:b].mean() if b > a else 0.0 for a, b in zip(edges[1:-1], edges[2:])] + [v[-1]]
     keep = [0]
-    for b in range(budget - 2):
-        lo, hi = edges[b], max(edges[b] + 1, edges[b + 1])
-        nlo, nhi = (edges[b + 1], max(edges[b + 1] + 1, edges[b + 2])) if b + 2 < len(edges) else (n - 1, n)
-        nx, ny, a = b + 2, v[nlo:nhi].mean(), keep[-1]
-        i = np.arange(lo, hi)
-        area = np.abs((a - nx) * (v[i] - v[a]) - (a - i) * (ny - v[a]))
-        keep.append(int(i[area.argmax()]))
+    for b, (lo, hi, ny) in enumerate(zip(edges[:-1], edges[1:], ahead)):
+        if lo < hi:
+            a, i = keep[-1], np.arange(lo, hi)
+            area = np.abs((a - (b + 1)) * (v[i] - v[a]) - (a - i) * (ny - v[a]))
+            keep.append(int(i[area.argmax()]))
     return [*keep, n - 1]
 
 
 def sample_curve(y, budget: int, must_keep=()) -> list[int]:
-    """LTTB places and the places that must stay; the budget left for LTTB is at least 3."""
-    must = sorted({int(i) for i in must_keep} | ({int(np.argmax([0.0 if a is None else a for a in y]))} if len(y) else set()))
-    return sorted({*lttb(y, max(budget - len(must), 3)), *must}) if len(y) > budget else list(range(len(y)))
+    """The places that must stay (the first maximum is one) and LTTB places of the others; the budget left for LTTB is at least 3."""
+    if len(y) <= budget:
+        return list(range(len(y)))
+    must = {int(i) for i in must_keep} | {int(np.argmax([0.0 if a is None else a for a in y]))}
+    rest = [i for i in range(len(y)) if i not in must]
+    return sorted(must | {rest[i] for i in lttb([y[i] for i in rest], max(budget - len(must), 3))})
 
 
 def spaced_peaks(x, v, spacing: float = 0.05) -> list[int]:
@@ -147,15 +153,15 @@ def monotone(x) -> list[float]:
 
 
 def mtld(tokens, threshold: float = 0.72) -> float | None:
-    """Forward measure of textual lexical diversity; null where no factor completes."""
+    """Forward measure of textual lexical diversity: 0 without tokens, null where all tokens differ; what is left over counts as part of a factor."""
+    if not len(tokens):
+        return 0.0
     factors, seen, n = 0.0, set(), 0
     for t in tokens:
         seen.add(t)
         n += 1
         if len(seen) / n <= threshold:
             factors, seen, n = factors + 1, set(), 0
-    if factors == 0:
-        return None
     if n:
         factors += (1 - len(seen) / n) / (1 - threshold)
-    return len(tokens) / factors
+    return len(tokens) / factors if factors else None

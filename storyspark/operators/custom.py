@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from storyspark.functions import cjk
 from storyspark.functions import series as S
 from storyspark.operators import graph_algorithms as G
-from storyspark.operators import learning, series
+from storyspark.operators import learning, ordering, series
+from storyspark.operators.facts import FRACTION
 from storyspark.operators.text_metrics import SIGMOID, tension
 from storyspark.plans.dialect import LEXICONS, TOKEN, Dialect
 from storyspark.streaming import outbox
@@ -125,6 +126,11 @@ def components(spark, sf_dir):
     return G.components(o.select(F.col("o_custkey").alias("a"), (F.lit(1 << 40) + F.col("o_orderkey")).alias("b")))
 
 
+def component_summary(spark, sf_dir):
+    """Number of components and size of the largest."""
+    return components(spark, sf_dir).groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
+
+
 def identity_components(spark, sf_dir):
     """A user and the accounts of all signups are the same, two accounts signed up in succession on one day are different."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'signup'").select("user_id", (F.lit(1 << 40) + F.col("event_id")).alias("account"), "event_id", "ts")
@@ -174,28 +180,123 @@ def outbox_projection(spark, sf_dir):
 
 
 def outbox_stream(spark, sf_dir):
-    """The projection over the log as a file stream, run to its end."""
+    """The projection over the log as a file stream, run to its end: the last row of each run (one of an expired state starts anew)."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    log = log.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(";")).alias("text"))
-    query = outbox.project(log).writeStream.format("memory").queryName("outbox_stream").outputMode("update").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table("outbox_stream").groupBy("run_id").agg(F.max_by(F.struct("last_seq", "messages", "tail"), "last_seq").alias("s")).select("run_id", "s.*")
+    log = log.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(";")).alias("text"), "ts")
+    folder = G.new_path(spark)
+    write = outbox.project(log).writeStream.outputMode("update").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True)
+    write.foreachBatch(lambda df, _: df.write.mode("append").parquet(folder)).start().awaitTermination()
+    return spark.read.schema(outbox.OUT).parquet(folder).groupBy("run_id").agg(F.max_by(F.struct("last_seq", "messages", "tail"), "last_seq").alias("s")).select("run_id", "s.*")
 
 
 def trailing_windows(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    out = outbox.trailing_health(e.select(F.col("event_type").alias("model"), "ts", (F.col("value") > 20).alias("failed")), slide="30 minutes")
+    out = outbox.trailing_health(e.select(F.col("event_type").alias("model"), "ts", (F.col("value") > 20).alias("failed")), slide="10 minutes")
     return out.select("model", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "turns", "failures")
 
 
+# whole-table orders and forests: the SQL texts of the same names are their oracles ------------------------------------
+
+
+def containment_roots(spark, sf_dir):
+    """Root and depth of every event in the forest of parents event_id // 10, by pointer doubling: as many joins as the depth has bits."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"))
+    at = G.cut(e.withColumn("root", F.when(F.col("id") >= 10, F.expr("id div 10")).otherwise(F.col("id"))).withColumn("depth", (F.col("id") >= 10).cast("long")))
+    while True:
+        up = at.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        step = G.cut(at.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("next", "root") != F.col("root")).alias("moved")))
+        at = step.select("id", "root", "depth")
+        if step.where("moved").isEmpty():
+            return at
+
+
+def interval_overlap(spark, sf_dir):
+    """Other customers' order spans that overlap a customer's: spans that start before its end, less those that end by its start.
+
+    Both counts are running sums over the starts and ends in order; spans of one order, whose ends are equal, count as in the definition.
+    """
+    iv = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderkey").alias("s"), F.max("o_orderkey").alias("e"))
+    # at a place: ends of real spans, questions (what started before it; for points, what ended by it), starts and ends of points, what ended by it
+    marks = F.array(
+        F.struct(F.col("s").alias("v"), F.when(F.col("s") < F.col("e"), 3).otherwise(1).alias("t"), F.lit("ended").alias("kind"), F.lit(0).alias("started"), F.lit(0).alias("over")),
+        F.struct(F.col("e").alias("v"), F.lit(1).alias("t"), F.lit("begun").alias("kind"), F.lit(0).alias("started"), F.lit(0).alias("over")),
+        F.struct(F.col("s").alias("v"), F.lit(2).alias("t"), F.lit("").alias("kind"), F.lit(1).alias("started"), F.lit(0).alias("over")),
+        F.struct(F.col("e").alias("v"), F.when(F.col("s") < F.col("e"), 0).otherwise(2).alias("t"), F.lit("").alias("kind"), F.lit(0).alias("started"), F.lit(1).alias("over")),
+    )
+    rows = iv.select("k", F.explode(marks).alias("m")).select("k", "m.*")
+    order = [F.col("v"), F.col("t"), F.col("k"), F.col("kind"), F.col("started"), F.col("over")]
+    rows = ordering.running(ordering.running(rows, order, "starts", F.col("started")), order, "ends", F.col("over"))
+    told = rows.groupBy("k").agg(F.max(F.when(F.col("kind") == "begun", F.col("starts"))).alias("starts"), F.max(F.when(F.col("kind") == "ended", F.col("ends"))).alias("ends"))
+    out = told.join(iv, "k").select("k", (F.col("starts") - F.col("ends") - (F.col("s") < F.col("e")).cast("long")).cast("long").alias("overlaps"))
+    return out.where("overlaps > 0")
+
+
+def event_sort(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.when(~(F.col("value") > 30) | F.col("value").isNull(), F.col("value")).alias("v"))
+    return ordering.numbered(e, [F.col("v").asc_nulls_last(), F.col("event_id")], "place").select("event_id", "place")
+
+
+def action_order(spark, sf_dir):
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("entity"), F.day("ts").alias("ch"), F.coalesce(F.when(F.col("event_type") == "view", F.col("event_id")), F.lit(2147483648)).alias("first"))
+    return ordering.numbered(log, [F.col("ch"), F.col("first"), F.col("entity"), F.col("event_id")]).select("event_id", (F.col("rn") - 1).alias("ordinal"))
+
+
+def run_paragraph_identity(spark, sf_dir):
+    p = _sql(spark, sf_dir, lambda d: d.explode("doc_id", d.lines("text"), "@documents", "pid", "txt"))
+    n = p.groupBy("doc_id").agg(F.count("*").alias("n"))
+    base = ordering.running(n, [F.col("doc_id")], "up_to", F.col("n")).select("doc_id", (F.col("up_to") - F.col("n")).alias("base"))
+    return p.join(base, "doc_id").select("doc_id", "pid", (F.col("base") + F.col("pid")).cast("long").alias("paragraph_id"))
+
+
+def weighted_roulette(spark, sf_dir):
+    w = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal > 0").select("s_suppkey", F.col("s_acctbal").alias("w"))
+    total = w.agg(F.sum("w").alias("total"))
+    up_to = ordering.running(w, [F.col("s_suppkey")], "hi", F.col("w"))
+    return up_to.join(F.broadcast(total)).where(F.col("hi") >= F.lit(FRACTION) * F.col("total")).agg(F.min("s_suppkey").alias("chosen"))
+
+
+def topic_evolution(spark, sf_dir):
+    unit = _sql(spark, sf_dir, lambda d: f"WITH {d.topics()} SELECT pid, tok FROM unit")
+    topic = _sql(spark, sf_dir, lambda d: f"WITH {d.topics()} SELECT pid, topic, w FROM topic")
+    at = ordering.running(unit, [F.col("pid")], "up_to", F.col("tok")).join(F.broadcast(unit.agg(F.sum("tok").alias("total"))))
+    at = at.select("pid", "tok", F.floor((F.col("up_to") - F.col("tok")) * 16 / F.col("total")).cast("long").alias("bucket"))
+    return at.join(topic, "pid").groupBy("bucket", "topic").agg(F.round(F.sum(F.col("w") * F.col("tok")) / F.sum("tok"), 6).alias("weight"))
+
+
+def event_timeline_levels(spark, sf_dir):
+    s = _sql(spark, sf_dir, lambda d: "SELECT user_id, round(0.4 * count(*) / 100 + 0.3 * avg(value) / 50, 2) AS importance FROM @events GROUP BY user_id")
+    s = ordering.numbered(s, [F.col("importance"), F.col("user_id")], "i")
+    n = s.agg(F.count("*").alias("n"))
+    cut = s.join(F.broadcast(n)).agg(*[F.max(F.when(F.col("i") == F.expr(f"n * {q} div 100 + 1"), F.col("importance"))).alias(name) for name, q in (("hi", 66), ("lo", 33))])
+    level = F.when(F.col("importance") >= F.col("hi"), "major").when(F.col("importance") >= F.col("lo"), "minor").otherwise("detail")
+    return s.join(F.broadcast(cut)).select("user_id", "importance", level.alias("level"))
+
+
 QUERIES = {f.__name__: f for f in (
     paragraph_curves, curve_sampling, three_act_structure, four_phases, spaced_peaks, monotone_positions, chapter_parse, dialogue_spans, negation_sentiment, fixed_phrases, mtld, fuzzy_hits,
-    pagerank, hits, louvain, components, identity_components, textrank, lda_topics, lda_topic_words, word2vec, ridge_boundary, outbox_projection, trailing_windows,
+    pagerank, hits, louvain, components, component_summary, identity_components, textrank, lda_topics, lda_topic_words, word2vec, ridge_boundary, outbox_projection, outbox_stream, trailing_windows,
+    containment_roots, interval_overlap, event_sort, action_order, run_paragraph_identity, weighted_roulette, topic_evolution, event_timeline_levels,
 )}
 
+
+def _hits_sql(d: Dialect) -> str:
+    """Ten rounds of HITS, spelt out."""
+    steps, h = [], "h0"
+    for i in range(1, 11):
+        for new, raw, old, of, to in ((f"a{i}", f"ra{i}", h, "u", "v"), (f"h{i}", f"rh{i}", f"a{i}", "v", "u")):
+            steps.append(f"{raw} AS MATERIALIZED (SELECT {to} AS node, sum(x * w) AS x FROM bw JOIN {old} ON bw.{of} = {old}.node GROUP BY {to}), {new} AS MATERIALIZED (SELECT node, x / (SELECT sum(x) FROM {raw}) AS x FROM {raw})")
+        h = f"h{i}"
+    return f"WITH {d.edges()}, bw AS MATERIALIZED (SELECT a AS u, b AS v, CAST(w AS DOUBLE) AS w FROM edge UNION ALL SELECT b AS u, a AS v, CAST(w AS DOUBLE) AS w FROM edge), h0 AS (SELECT DISTINCT u AS node, 1e0 AS x FROM bw), {', '.join(steps)} SELECT h10.node, round(h10.x, 6) AS hub, round(a10.x, 6) AS authority FROM h10 JOIN a10 ON h10.node = a10.node"
+
+
 ORACLES = {
+    "hits": _hits_sql,
+    # an order has one customer, so a customer's component is the customer and the customer's orders
+    "components": lambda d: "SELECT DISTINCT o_custkey AS node, o_custkey AS component FROM @orders UNION ALL SELECT 1099511627776 + o_orderkey AS node, o_custkey AS component FROM @orders",
     "fuzzy_hits": lambda d: "WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9]+'))) AS tk FROM @documents), v AS (SELECT DISTINCT tk FROM t), n AS (SELECT tk FROM v WHERE least(levenshtein(tk, 'ersterh'), levenshtein(tk, 'token'), levenshtein(tk, 'license')) = 1) SELECT doc_id, count(*) AS fuzzy_hits FROM t JOIN n USING (tk) WHERE tk NOT IN ('ersterh', 'token', 'license') GROUP BY doc_id",
     "outbox_projection": lambda d: "SELECT user_id AS run_id, max(event_id) AS last_seq, count(*) AS messages, right(string_agg(event_type || ';', '' ORDER BY event_id), 8192) AS tail FROM @events GROUP BY user_id",
-    "trailing_windows": lambda d: "SELECT event_type AS model, strftime(time_bucket(INTERVAL 30 MINUTE, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS turns, count(CASE WHEN value > 20 THEN 1 END) AS failures FROM @events GROUP BY event_type, time_bucket(INTERVAL 30 MINUTE, ts)",
+    "outbox_stream": lambda d: "SELECT user_id AS run_id, max(event_id) AS last_seq, count(*) AS messages, right(string_agg(event_type || ';', '' ORDER BY event_id), 8192) AS tail FROM @events GROUP BY user_id",
+    "trailing_windows": lambda d: "SELECT event_type AS model, strftime(time_bucket(INTERVAL 10 MINUTE, ts) - step * INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M') AS start, count(*) AS turns, count(CASE WHEN value > 20 THEN 1 END) AS failures FROM @events CROSS JOIN (VALUES (0), (1), (2)) v(step) GROUP BY event_type, time_bucket(INTERVAL 10 MINUTE, ts) - step * INTERVAL 10 MINUTE",
+    "component_summary": lambda d: "SELECT count(*) AS components, max(n) AS largest FROM (SELECT o_custkey, 1 + count(*) AS n FROM @orders GROUP BY o_custkey) t",
 }

@@ -5,6 +5,8 @@ In the examples the log is ``events``: an entity is a user, the change kind is t
 
 from __future__ import annotations
 
+import hashlib
+
 from storyspark.operators.text_metrics import ratio
 from storyspark.plans.dialect import Dialect
 
@@ -12,6 +14,10 @@ from storyspark.plans.dialect import Dialect
 LOG = "log AS (SELECT event_id, user_id AS entity, event_type AS kind, value, ts, CAST(EXTRACT(DAY FROM ts) AS BIGINT) AS ch FROM @events)"
 
 
+#: The fraction that a key draws: the first 64 bits of its SHA-256.
+FRACTION = int(hashlib.sha256(b"run-1").hexdigest()[:16], 16) / 2**64
+
+
 def _q(sql):
     return lambda d: sql
 
@@ -40,9 +46,9 @@ QUERIES = {
     "first_row_alignment": _q("SELECT c.conv_id, f.text AS first_text, count(*) AS turns FROM @conversations c JOIN (SELECT conv_id, text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM @conversations) x WHERE rn = 1) f ON c.conv_id = f.conv_id GROUP BY c.conv_id, f.text"),
     "graph_asof": asof_state,
     "asof_boundary": lambda d: f"WITH {LOG}, b AS (SELECT max(ch) AS b FROM log WHERE kind = 'signup') SELECT entity, count(*) AS n FROM log JOIN b ON ch <= b GROUP BY entity",
-    "asof_per_row": lambda d: f"WITH {LOG}, probe AS (SELECT event_id, entity, ts FROM log WHERE kind = 'error'), m AS (SELECT p.event_id, max(l.event_id) AS state_event FROM probe p JOIN log l ON l.entity = p.entity AND l.kind = 'purchase' AND (l.ts < p.ts OR (l.ts = p.ts AND l.event_id < p.event_id)) GROUP BY p.event_id) SELECT p.event_id, p.entity, m.state_event FROM probe p LEFT JOIN m ON p.event_id = m.event_id",
+    "asof_per_row": lambda d: f"WITH {LOG}, m AS (SELECT event_id, entity, kind, max(CASE WHEN kind = 'purchase' THEN event_id END) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state_event FROM log) SELECT event_id, entity, state_event FROM m WHERE kind = 'error'",
     "point_in_span": lambda d: f"WITH s AS ({d.explode('doc_id', d.lines('text'), '@documents', 'pid', 'txt')}), o AS (SELECT doc_id, pid, sum(length(txt)) OVER (PARTITION BY doc_id ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e, length(txt) AS n FROM s) SELECT l.doc_id, o.pid FROM @labels l JOIN o ON l.doc_id = o.doc_id AND 100 >= o.e - o.n AND 100 < o.e",
-    "interval_overlap": _q("WITH iv AS (SELECT o_custkey AS k, min(o_orderkey) AS s, max(o_orderkey) AS e FROM @orders GROUP BY o_custkey) SELECT a.k, count(*) AS overlaps FROM iv a JOIN iv b ON a.k <> b.k AND a.k % 50 = b.k % 50 AND b.s < a.e AND b.e > a.s GROUP BY a.k"),
+    "interval_overlap": _q("WITH iv AS (SELECT o_custkey AS k, min(o_orderkey) AS s, max(o_orderkey) AS e FROM @orders GROUP BY o_custkey) SELECT a.k, count(*) AS overlaps FROM iv a JOIN iv b ON a.k <> b.k AND b.s < a.e AND b.e > a.s GROUP BY a.k"),
     "alias_pairs": _q("SELECT a.n_name AS short_name, b.n_name AS long_name FROM @nation a JOIN @nation b ON a.n_nationkey <> b.n_nationkey AND length(a.n_name) < length(b.n_name) AND length(a.n_name) >= 2 AND substr(b.n_name, 1, 1) = substr(a.n_name, 1, 1)"),
     "alias_rewrite": _q("WITH rep AS (SELECT n_nationkey AS id, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS rep FROM @nation) SELECT coalesce(r.rep, c.c_nationkey) AS entity, count(*) AS n FROM @customer c LEFT JOIN rep r ON c.c_nationkey = r.id GROUP BY coalesce(r.rep, c.c_nationkey)"),
     "preferred_alias": lambda d: f"SELECT n_regionkey, {d.any_min('n_name', 'n_nationkey')} AS preferred FROM @nation GROUP BY n_regionkey",
@@ -56,7 +62,8 @@ QUERIES = {
     "state_runs": lambda d: f"WITH {FOLD}, r AS (SELECT entity, after, ts, event_id, sum(CASE WHEN before IS NULL OR before <> after THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM fold) SELECT entity, CAST(island AS BIGINT) AS island, after AS kind, count(*) AS length, min(event_id) AS first_event FROM r GROUP BY entity, island, after",
     "change_frequency": lambda d: f"WITH {FOLD} SELECT after AS kind, count(*) AS n, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 6) AS share FROM fold WHERE before IS NOT NULL AND before <> after GROUP BY after",
     "retracted_support": lambda d: f"WITH {LOG} SELECT entity, count(*) AS facts, CAST(sum(CASE WHEN kind = 'error' THEN 0 ELSE 1 END) AS BIGINT) AS support, max(CASE WHEN kind <> 'error' THEN event_id END) AS last_active FROM log GROUP BY entity",
-    "durable_append": _q("SELECT run_id, message_key, min(stream_id) AS stream_id FROM (SELECT user_id % 20 AS run_id, event_type AS message_key, event_id AS stream_id FROM @events) t GROUP BY run_id, message_key"),
+    # the first row of a message key keeps its number of the table-wide serial; a repeat of other content is an error
+    "durable_append": _q("SELECT run_id, message_key, min(stream_id) AS stream_id, count(*) AS sent, count(DISTINCT content) > 1 AS conflict FROM (SELECT user_id % 20 AS run_id, event_type AS message_key, event_id AS stream_id, props AS content FROM @events) t GROUP BY run_id, message_key"),
     "append_conflicts": _q("SELECT user_id, event_type, count(DISTINCT value) AS contents FROM @events GROUP BY user_id, event_type HAVING count(DISTINCT value) > 1"),
     "replay_page": _q("SELECT event_id, user_id, event_type FROM @events WHERE event_id > 200 ORDER BY event_id LIMIT 128"),
     "keyset_page": _q("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars FROM @documents WHERE doc_id > 50 ORDER BY doc_id LIMIT 40"),
@@ -82,7 +89,7 @@ QUERIES = {
     "mean_group_deviation": _q("SELECT round(avg(s), 4) AS arc FROM (SELECT user_id, stddev_samp(value) AS s FROM @events GROUP BY user_id HAVING count(*) >= 2) t"),
     "character_ranking": lambda d: f"WITH r AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_seen FROM @events GROUP BY user_id, event_type) SELECT user_id, CAST(sum(n) AS BIGINT) AS appearances, {d.any_max('event_type', d.struct('n', '-first_seen'))} AS dominant_role FROM r GROUP BY user_id",
     "ranked_characters": _q("SELECT user_id, count(*) AS n FROM @events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 15"),
-    "focus_score": _q("WITH a AS (SELECT user_id, count(*) AS n, avg(CASE WHEN event_type = 'click' THEN 1e0 ELSE 0e0 END) AS subject, max(value) AS arc FROM @events GROUP BY user_id) SELECT user_id, round(0.25 * (CAST(n AS DOUBLE) / max(n) OVER () + subject + least(arc, 10) / 10 + CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END), 4) AS focus FROM a"),
+    "focus_score": _q("WITH a AS (SELECT user_id, count(*) AS n, avg(CASE WHEN event_type = 'click' THEN 1e0 ELSE 0e0 END) AS subject, max(value) AS arc FROM @events GROUP BY user_id) SELECT user_id, round(0.25 * (CAST(n AS DOUBLE) / (SELECT max(n) FROM a) + subject + least(arc, 10) / 10 + CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END), 4) AS focus FROM a"),
     "distribution_by_dimension": lambda d: f"WITH {LOG} SELECT ch, kind, count(*) AS n FROM log GROUP BY ch, kind",
     "emotion_event_detail": _q("SELECT user_id, event_type, count(*) AS n FROM @events WHERE value > 20 GROUP BY user_id, event_type ORDER BY n DESC, user_id, event_type LIMIT 20"),
     "entity_candidate_counts": _q("SELECT coalesce(CASE WHEN event_type IN ('click', 'view') THEN event_type END, 'unmapped') AS kind, count(*) AS n FROM @events GROUP BY coalesce(CASE WHEN event_type IN ('click', 'view') THEN event_type END, 'unmapped')"),
@@ -93,8 +100,9 @@ QUERIES = {
     "arc_span_join": _q("SELECT c.conv_id, c.turn AS head, d.turn AS dependent, d.role FROM @conversations c JOIN @conversations d ON c.conv_id = d.conv_id AND d.turn = c.turn + 1"),
     "span_text_slice": _q("SELECT doc_id, substr(text, 11, 20) AS surface FROM @documents WHERE length(text) > 30"),
     "dialogue_facts": _q("SELECT c.conv_id, c.turn, c.role AS speaker, substr(c.text, 1, 40) AS quote FROM @conversations c WHERE length(c.text) >= 40"),
-    "evidence_payload": lambda d: f"SELECT doc_id, {'sha2(substr(text, 1, 64), 256)' if d.spark else 'sha256(substr(text, 1, 64))'} AS digest FROM @documents",
-    "snapshot_digest": lambda d: f"WITH r AS (SELECT event_type, {d.string('event_id')} AS s FROM @events WHERE event_id < 2000) SELECT event_type, {('sha2(' + d.strings('s', 's') + ', 256)') if d.spark else ('sha256(' + d.strings('s', 's') + ')')} AS digest FROM r GROUP BY event_type",
+    "evidence_payload": lambda d: f"SELECT doc_id, {'sha2(text, 256)' if d.spark else 'sha256(text)'} AS digest FROM @documents",
+    # of any number of rows: sums of two 32-bit parts of each row's digest, in any order
+    "snapshot_digest": lambda d: f"WITH r AS (SELECT event_type, md5({d.string('event_id')}) AS h FROM @events) SELECT event_type, count(*) AS n, CAST(sum({d.hex_int('substr(h, 1, 8)')}) AS BIGINT) AS digest_a, CAST(sum({d.hex_int('substr(h, 9, 8)')}) AS BIGINT) AS digest_b FROM r GROUP BY event_type",
     "secret_masking": _q("SELECT c_custkey, concat('****', substr(c_name, length(c_name) - 3, 4)) AS masked FROM @customer"),
     "enum_aliases": _q("SELECT event_id, CASE event_type WHEN 'click' THEN 'subject' WHEN 'view' THEN 'observer' WHEN 'purchase' THEN 'agent' ELSE 'subject' END AS role FROM @events"),
     "score_clamp": _q("SELECT event_id, CAST(greatest(-2, least(2, floor(value / 10) - 2)) AS BIGINT) AS score FROM @events"),
@@ -103,19 +111,24 @@ QUERIES = {
     "ilike_filter": _q("SELECT doc_id FROM @documents WHERE lower(text) LIKE '%licens%' OR lower(text) LIKE '%t_ken%'"),
     "id_range_filters": _q("SELECT vec_id, label FROM @embeddings WHERE vec_id BETWEEN 20 AND 300 AND vec_id NOT IN (25, 30, 35) AND label < 7"),
     "reference_admission": _q("SELECT c_custkey, c_name FROM @customer WHERE lower(c_mktsegment) NOT IN ('machinery', 'household') AND c_nationkey <> 0"),
-    "reference_slots": lambda d: f"SELECT user_id, event_id, concat('SLOT_C', {d.string('EXTRACT(DAY FROM ts)')}, '_', event_type) AS slot FROM @events WHERE user_id % 10 = 0",
+    "reference_slots": lambda d: f"SELECT user_id, event_id, concat('SLOT_C', {d.string('EXTRACT(DAY FROM ts)')}, '_', event_type) AS slot FROM @events",
     "json_fields": lambda d: f"SELECT event_id, {d.json_int('props', 'k')} AS k FROM @events",
     "pivot_sampling": _q("SELECT doc_id FROM @labels WHERE toxic = 1 ORDER BY doc_id LIMIT 20"),
     "change_sampling": lambda d: f"WITH {FOLD} SELECT event_id, before, after FROM fold WHERE before <> after ORDER BY event_id LIMIT 50",
     "event_sort": _q("SELECT event_id, CAST(row_number() OVER (ORDER BY CASE WHEN value > 30 THEN NULL ELSE value END ASC NULLS LAST, event_id) AS BIGINT) AS place FROM @events"),
     "chapter_ordered_read": _q("SELECT conv_id, turn, role FROM @conversations ORDER BY conv_id, turn LIMIT 100"),
     "cascade_purge": _q("SELECT l.l_orderkey, l.l_linenumber FROM @lineitem l WHERE NOT EXISTS (SELECT 1 FROM @orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'F')"),
-    "upsert": _q("SELECT doc_id, quality FROM @labels WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, 1 - quality AS quality FROM @labels WHERE doc_id % 2 = 0"),
-    "span_validation": lambda d: f"WITH s AS ({d.explode('doc_id', d.lines('text'), '@documents', 'pid', 'txt')}), o AS (SELECT doc_id, pid, sum(length(txt)) OVER (PARTITION BY doc_id ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e, length(txt) AS n FROM s), c AS (SELECT doc_id, e - n AS st, lag(e) OVER (PARTITION BY doc_id ORDER BY pid) AS pe FROM o) SELECT count(*) AS spans, count(CASE WHEN st < pe THEN 1 END) AS overlaps FROM c",
+    # new rows replace those of their key and the others stay
+    "upsert": _q("WITH new AS (SELECT doc_id, 1 - quality AS quality FROM @labels WHERE doc_id % 2 = 0 UNION ALL SELECT -1 - doc_id AS doc_id, quality FROM @labels WHERE doc_id % 5 = 0) SELECT doc_id, quality FROM new UNION ALL SELECT o.doc_id, o.quality FROM @labels o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.doc_id = o.doc_id)"),
+    # spans [event_id, event_id + k) of a user: nulls, negative lengths, and starts before the end of an earlier span
+    "span_validation": lambda d: f"WITH s AS (SELECT user_id, event_id AS st, event_id + 20 * {d.json_int('props', 'k')} AS e FROM @events), c AS (SELECT user_id, st, e, max(e) OVER (PARTITION BY user_id ORDER BY st ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM s) SELECT user_id, count(*) AS n_spans, count(CASE WHEN st IS NULL OR e IS NULL OR e < st THEN 1 END) AS n_bad, count(CASE WHEN st < pe THEN 1 END) AS n_overlaps FROM c GROUP BY user_id",
     "existence_probe": _q("SELECT count(*) > 0 AS present FROM (SELECT 1 AS x FROM @labels WHERE toxic = 1 LIMIT 1) t"),
     "stage_readiness": _q("SELECT (SELECT count(*) FROM @documents) > 0 AND (SELECT count(*) FROM @labels) > 0 AS ready"),
     "id_rewrite": _q("SELECT l.l_orderkey, concat('task-', o.o_orderpriority) AS task FROM @lineitem l JOIN @orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber = 1"),
     "name_key": _q("SELECT n_nationkey, concat(lower(trim(n_name)), '|nation') AS name_key FROM @nation"),
     "relation_key": _q("SELECT least(c_nationkey, c_custkey % 25) AS a, greatest(c_nationkey, c_custkey % 25) AS b, count(*) AS n FROM @customer GROUP BY least(c_nationkey, c_custkey % 25), greatest(c_nationkey, c_custkey % 25)"),
-    "weighted_roulette": _q("WITH p AS (SELECT s_suppkey, s_acctbal + 2000 AS w FROM @supplier), c AS (SELECT s_suppkey, sum(w) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, sum(w) OVER () AS total FROM p) SELECT min(s_suppkey) AS chosen FROM c WHERE hi >= 0.37 * total"),
+    "weighted_roulette": _q("WITH p AS (SELECT s_suppkey, s_acctbal AS w FROM @supplier WHERE s_acctbal > 0), c AS (SELECT s_suppkey, sum(w) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, sum(w) OVER () AS total FROM p) SELECT min(s_suppkey) AS chosen FROM c WHERE hi >= " + f"{FRACTION!r} * total"),
+    "cursor_codec": lambda d: f"SELECT event_id, {d.base64('concat(' + chr(39) + '{' + chr(34) + 'offset' + chr(34) + ':' + chr(39) + ', ' + d.string('event_id') + ', ' + chr(39) + '}' + chr(39) + ')')} AS cursor_text FROM @events",
+    # an illegal label, or more than three, makes the whole list null
+    "label_normalisation": lambda d: f"WITH l AS (SELECT DISTINCT user_id, event_type FROM @events WHERE value > 35) SELECT user_id, CASE WHEN count(*) <= 3 AND count(CASE WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 1 END) = 0 THEN {d.strings('event_type', 'event_type')} END AS labels FROM l GROUP BY user_id",
 }

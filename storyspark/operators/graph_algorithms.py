@@ -6,22 +6,28 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration: a table in the shared folder of spark.checkpoint.dir (a temporary folder where it is unset)."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A new name in the shared folder of spark.checkpoint.dir (on one machine, where it is unset, in a temporary folder)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="storyspark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/g{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/g{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iteration: ``df`` as a table in the shared folder."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -32,13 +38,13 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     """(node, rank): weighted PageRank; isolated nodes of ``nodes(node)`` keep the teleport share and dangling mass is spread evenly."""
     links = both_ways(edges)
     out = links.groupBy("u").agg(F.sum("w").alias("out"))
-    links = _cut(links.join(out, "u").select("u", "v", (F.col("w") / F.col("out")).alias("p")))
-    nodes = _cut((nodes if nodes is not None else links.select(F.col("u").alias("node"))).distinct())
+    links = cut(links.join(out, "u").select("u", "v", (F.col("w") / F.col("out")).alias("p")))
+    nodes = cut((nodes if nodes is not None else links.select(F.col("u").alias("node"))).distinct())
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(most):
         moved = links.join(ranks, links["u"] == ranks["node"]).groupBy("v").agg(F.sum(F.col("rank") * F.col("p")).alias("m"))
-        step = _cut(ranks.withColumnRenamed("rank", "old").join(moved, F.col("node") == moved["v"], "left").select("node", "old", F.coalesce("m", F.lit(0.0)).alias("m")))
+        step = cut(ranks.withColumnRenamed("rank", "old").join(moved, F.col("node") == moved["v"], "left").select("node", "old", F.coalesce("m", F.lit(0.0)).alias("m")))
         kept = step.agg(F.sum("m")).first()[0] or 0.0
         step = step.withColumn("rank", F.lit((1 - damping) / n + damping * (1 - kept) / n) + damping * F.col("m"))
         gap = step.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
@@ -50,27 +56,27 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
 
 def hits(edges: DataFrame, iterations: int = 10) -> DataFrame:
     """(node, hub, authority), each summing to 1; on an undirected graph the two agree."""
-    links = _cut(both_ways(edges))
+    links = cut(both_ways(edges))
     h = links.select(F.col("u").alias("node")).distinct().withColumn("hub", F.lit(1.0))
     a = h
     for _ in range(iterations):
         # each half step is a table: its sum and its rows are read from there, so the plan does not grow
-        a = _cut(links.join(h, links["u"] == h["node"]).groupBy(F.col("v").alias("node")).agg(F.sum(F.col("hub") * F.col("w")).alias("x")))
+        a = cut(links.join(h, links["u"] == h["node"]).groupBy(F.col("v").alias("node")).agg(F.sum(F.col("hub") * F.col("w")).alias("x")))
         a = a.withColumn("authority", F.col("x") / F.lit(a.agg(F.sum("x")).first()[0] or 1.0)).drop("x")
-        h = _cut(links.join(a, links["v"] == a["node"]).groupBy(F.col("u").alias("node")).agg(F.sum(F.col("authority") * F.col("w")).alias("x")))
+        h = cut(links.join(a, links["v"] == a["node"]).groupBy(F.col("u").alias("node")).agg(F.sum(F.col("authority") * F.col("w")).alias("x")))
         h = h.withColumn("hub", F.col("x") / F.lit(h.agg(F.sum("x")).first()[0] or 1.0)).drop("x")
     return h.join(a, "node")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) by least-label propagation with label jumping."""
-    links = _cut(both_ways(edges.withColumn("w", F.lit(1))).select("u", "v").distinct())
-    labels = _cut(links.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")))
+    links = cut(both_ways(edges.withColumn("w", F.lit(1))).select("u", "v").distinct())
+    labels = cut(links.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
         near = links.join(labels, links["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("m"))
         low = labels.join(near, labels["node"] == near["u"]).select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         jump = low.select(F.col("node").alias("j"), F.col("component").alias("jc"))
-        after = _cut(low.join(jump, low["component"] == jump["j"]).select("node", F.least("component", "jc").alias("component"), "was"))
+        after = cut(low.join(jump, low["component"] == jump["j"]).select("node", F.least("component", "jc").alias("component"), "was"))
         labels = after.select("node", "component")
         if after.where("component != was").isEmpty():
             return labels
@@ -152,12 +158,12 @@ def louvain(edges: DataFrame, key: str = "run") -> DataFrame:
 
 def acyclic(edges: DataFrame) -> bool:
     """Whether directed ``edges(a, b)`` have no cycle: nodes without incoming edges are stripped until none is left."""
-    left = _cut(edges.select("a", "b").distinct())
+    left = cut(edges.select("a", "b").distinct())
     while True:
         n = left.count()
         if not n:
             return True
-        after = _cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
+        after = cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
         if after.count() == n:
             return False
         left = after

@@ -1,51 +1,88 @@
-"""Ordered-series operators in grouped form: one run's series per group (bounded by a run's paragraphs)."""
+"""Ordered-series operators in grouped form: the series of many runs go through one Arrow batch; a run's series is bounded by its paragraphs."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyspark.functions import series as S
 
 
+def _grouped(rows: DataFrame, make: Callable[[pa.Table], dict], schema: str) -> DataFrame:
+    """``make`` of each key's rows (columns key, x and others, sorted by x), as columns after the key."""
+    kind = dict(rows.dtypes)["key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(part: pa.Table) -> pa.Table:
+            out = make(part)
+            n = len(next(iter(out.values())))
+            return pa.table({"key": pa.repeat(part.column(0)[0], n) if n else pa.array([], part.schema.field(0).type)} | out)
+
+        rest: pa.Table | None = None
+        for batch in batches:
+            here = pa.Table.from_batches([batch])
+            rest = here if rest is None else pa.concat_tables([rest, here])
+            if not len(rest):
+                continue
+            code = rest.column(0).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            ends = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist()]
+            if len(ends) > 1:
+                yield from pa.concat_tables([made(rest.slice(i, j - i)) for i, j in zip(ends, ends[1:])]).combine_chunks().to_batches()
+            rest = rest.slice(ends[-1])
+        if rest is not None and len(rest):
+            yield from made(rest).combine_chunks().to_batches()
+
+    return rows.repartition("key").sortWithinPartitions("key", "x").mapInArrow(run, f"key {kind}, {schema}")
+
+
+def _values(part: pa.Table, name: str) -> np.ndarray:
+    """A double column; null is NaN."""
+    return part.column(name).to_numpy().astype(float)
+
+
+def _points(points: DataFrame, key: str, x: str, y: str, **more) -> DataFrame:
+    return points.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *[c.alias(n) for n, c in more.items()])
+
+
 def curves(points: DataFrame, key: str, x: str, y: str, weight: str | None = None, bandwidth: float = 0.05, min_points: int = 5) -> DataFrame:
     """(key, x, y, smoothed): LOWESS per key; null values stay null."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x", kind="stable")
-        known = pdf["y"].notna()
-        pdf["smoothed"] = None
-        pdf.loc[known, "smoothed"] = S.lowess(pdf.loc[known, "x"], pdf.loc[known, "y"], pdf.loc[known, "w"], bandwidth, min_points)
-        pdf["smoothed"] = pdf["smoothed"].astype(float)
-        return pdf[["key", "x", "y", "smoothed"]]
+    def make(part: pa.Table) -> dict:
+        xs, ys, ws = (_values(part, c) for c in ("x", "y", "w"))
+        known = ~np.isnan(ys)
+        smoothed = np.full(len(xs), np.nan)
+        smoothed[known] = S.lowess(xs[known], ys[known], ws[known], bandwidth, min_points)
+        return {"x": part.column("x"), "y": part.column("y"), "smoothed": pa.array(smoothed, mask=~known)}
 
-    cols = points.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1)).cast("double").alias("w"))
-    kind = dict(points.dtypes)[key]
-    return cols.groupBy("key").applyInPandas(run, f"key {kind}, x double, y double, smoothed double").withColumnsRenamed({"key": key, "x": x, "y": y})
+    rows = _points(points, key, x, y, w=(F.col(weight) if weight else F.lit(1)).cast("double"))
+    return _grouped(rows, make, "x double, y double, smoothed double").withColumnsRenamed({"key": key, "x": x, "y": y})
 
 
 def downsample(points: DataFrame, key: str, x: str, y: str, budget: int = 200, must_keep: str | None = None) -> DataFrame:
     """The rows (key, x, y) that LTTB keeps, and rows whose ``must_keep`` is true and the first maximum."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x", kind="stable").reset_index(drop=True)
-        return pdf.loc[S.sample_curve(pdf["y"].tolist(), budget, pdf.index[pdf["keep"]]), ["key", "x", "y"]]
+    def make(part: pa.Table) -> dict:
+        must = [i for i, k in enumerate(part.column("keep").to_pylist()) if k]
+        at = pa.array(S.sample_curve(part.column("y").to_pylist(), budget, must), pa.int64())
+        return {c: part.column(c).take(at) for c in ("x", "y")}
 
-    cols = points.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(must_keep) if must_keep else F.lit(False)).alias("keep"))
-    return cols.groupBy("key").applyInPandas(run, f"key {dict(points.dtypes)[key]}, x double, y double").withColumnsRenamed({"key": key, "x": x, "y": y})
+    rows = _points(points, key, x, y, keep=F.col(must_keep) if must_keep else F.lit(False))
+    return _grouped(rows, make, "x double, y double").withColumnsRenamed({"key": key, "x": x, "y": y})
 
 
 def _per_key(points: DataFrame, key: str, x: str, y: str, make, schema: str) -> DataFrame:
-    kind = dict(points.dtypes)[key]
+    names, kinds = zip(*(c.split() for c in schema.split(",")))
+    types = {"double": pa.float64(), "int": pa.int32(), "string": pa.string()}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x", kind="stable")
-        rows = make(pdf["x"].tolist(), pdf["y"].tolist())
-        return pd.DataFrame([(pdf["key"].iloc[0], *r) for r in rows], columns=["key", *[c.strip().split()[0] for c in schema.split(",")]])
+    def columns(part: pa.Table) -> dict:
+        rows = make(part.column("x").to_pylist(), part.column("y").to_pylist())
+        return {n: pa.array([r[i] for r in rows], types[k]) for i, (n, k) in enumerate(zip(names, kinds))}
 
-    cols = points.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    return cols.groupBy("key").applyInPandas(run, f"key {kind}, {schema}").withColumnRenamed("key", key)
+    return _grouped(_points(points, key, x, y), columns, schema).withColumnRenamed("key", key)
 
 
 def three_acts(points: DataFrame, key: str, x: str, y: str) -> DataFrame:

@@ -40,6 +40,23 @@ med AS (SELECT *, {med} FROM comp), mad AS (SELECT *, {mad} FROM med), zs AS (SE
 z AS (SELECT doc_id, pid, ch, z_c1, z_c2, z_c3, z_c4, CAST(0.3 * z_c1 + 0.2 * z_c2 + 0.3 * z_c3 + 0.2 * z_c4 AS DOUBLE) AS z FROM zs)"""
 
 
+#: Letters of the frequency vector, and the length of text under which it is null.
+LETTERS, LEAST_CHARS = "etaoinshrdlcumwfgypb", 100_000
+#: Marks of a comparison (anywhere in a sentence), and conjunctions that mark a compound sentence.
+METAPHOR, COMPOUND = ("like", "comme", "wie", "como"), ("and", "but", "und", "aber", "et", "mais", "y", "pero")
+
+
+def sentences(d: Dialect, keys: str, text: str, source: str) -> str:
+    """SELECT keys, place and trimmed non-empty sentence (``sn``) of a text column."""
+    split = f"split({text}, '[。！？!?.]+')" if d.spark else f"regexp_split_to_array({text}, '[。！？!?.]+')"
+    return d.explode(keys, d.filter(d.transform(split, "x", "trim(x)"), "x", "x <> ''"), source, "i", "sn")
+
+
+def any_word(d: Dialect, x: str, words) -> str:
+    """Whether a text holds one of some words, borders being other characters than letters."""
+    return f"{d.regex_count(f'lower({x})', '(^|[^a-z])(' + '|'.join(words) + ')($|[^a-z])')} > 0"
+
+
 SIGMOID = "CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) ELSE exp(z) / (1 + exp(z)) END"
 
 QUERIES = {
@@ -65,7 +82,8 @@ QUERIES = {
     "ttr_by_chapter": _para(lambda d: f", e AS ({d.explode('doc_id, ch', 'toks', 'para', 'i', 'tk')}) SELECT doc_id, ch, count(*) AS tokens, count(DISTINCT tk) AS types, {ratio('count(DISTINCT tk)', 'count(*)')} AS ttr FROM e GROUP BY doc_id, ch"),
     "word_length": lambda d: f"WITH t AS (SELECT doc_id, {d.tokens('text')} AS toks FROM @documents), e AS ({d.explode('doc_id', 'toks', 't', 'i', 'tk')}) SELECT doc_id, round(sum(length(tk)) / (count(*) + 1e-6), 6) AS mean_word_length FROM e GROUP BY doc_id",
     "sentence_len_stats": _para(lambda d: f", s AS ({d.explode('doc_id', d.filter(d.transform(('split(txt, ' + chr(39) + '[。！？!?]+' + chr(39) + ')') if d.spark else ('regexp_split_to_array(txt, ' + chr(39) + '[。！？!?]+' + chr(39) + ')'), 'x', 'trim(x)'), 'x', chr(39) * 2 + ' <> x'), 'para', 'i', 'sn')}) SELECT doc_id, count(*) AS sentences, CAST(sum(length(sn)) AS BIGINT) AS chars, CAST(sum(length(sn) * length(sn)) AS BIGINT) AS square_sum, round(sqrt(greatest(0.0, CAST(sum(length(sn) * length(sn)) AS DOUBLE) / count(*) - pow(CAST(sum(length(sn)) AS DOUBLE) / count(*), 2))), 4) AS sd FROM s GROUP BY doc_id"),
-    "function_words": lambda d: f"SELECT doc_id, {', '.join(f'CAST({d.regex_count('lower(text)', w)} AS BIGINT) AS n_{w}' for w in ('a', 'e', 'i', 'o', 'u'))} FROM @documents",
+    # single-character frequencies of a language's texts, null where there is too little text
+    "function_words": lambda d: f"SELECT lang, {', '.join(f'CASE WHEN sum(length(text)) >= {LEAST_CHARS} THEN round(CAST(sum({d.char_count("lower(text)", c)}) AS DOUBLE) / sum(length(text)), 6) END AS f_{c}' for c in LETTERS)} FROM @documents GROUP BY lang",
     "category_density": _para(lambda d: f" SELECT doc_id, least(1.0, coalesce({ratio('sum(pos)', 'sum(tok)')}, 0)) AS pos, least(1.0, coalesce({ratio('sum(neg)', 'sum(tok)')}, 0)) AS neg, least(1.0, coalesce({ratio('sum(fight)', 'sum(tok)')}, 0)) AS fight FROM para GROUP BY doc_id"),
     "pos_neg_ratio": _para(lambda d: " SELECT doc_id, round(CAST(sum(pos) AS DOUBLE) / (sum(neg) + 1e-6), 4) AS pos_neg_ratio FROM para WHERE neg > 0 GROUP BY doc_id"),
     "normalize_text": lambda d: f"SELECT doc_id, CAST(length(trim({('regexp_replace(regexp_replace(text, ' + chr(39) + '[ 　]+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + '), ' + chr(39) + ' {2,}' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ')') if d.spark else ('regexp_replace(regexp_replace(text, ' + chr(39) + '[ 　]+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + ' {2,}' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')})) AS BIGINT) AS chars FROM @documents",
@@ -73,8 +91,12 @@ QUERIES = {
     "run_paragraph_identity": lambda d: f"WITH p AS ({d.explode('doc_id', d.lines('text'), '@documents', 'pid', 'txt')}), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id), b AS (SELECT doc_id, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM n) SELECT p.doc_id, pid, CAST(base + pid AS BIGINT) AS paragraph_id FROM p JOIN b ON p.doc_id = b.doc_id",
     "tokenizer": lambda d: f"SELECT doc_id, {d.size(d.tokens('text'))} AS tokens FROM @documents",
     "topic_tokenizer": lambda d: f"SELECT doc_id, {d.size(d.filter(d.tokens('text'), 'x', 'length(x) >= 2 AND lower(x) NOT IN (' + chr(39) + 'the' + chr(39) + ', ' + chr(39) + 'la' + chr(39) + ')'))} AS tokens FROM @documents",
-    "metaphor_sentences": _para(lambda d: " SELECT doc_id, count(*) AS n FROM para WHERE txt LIKE '%like%' OR txt LIKE '%comme%' OR txt LIKE '%wie%' OR txt LIKE '%como%' GROUP BY doc_id"),
-    "sentence_pattern": _para(lambda d: " SELECT CASE WHEN chars < 10 THEN 'short' WHEN chars < 30 THEN 'medium' ELSE 'long' END AS pattern, count(*) AS n FROM para GROUP BY CASE WHEN chars < 10 THEN 'short' WHEN chars < 30 THEN 'medium' ELSE 'long' END"),
+    "metaphor_sentences": lambda d: f"WITH s AS ({sentences(d, 'doc_id', 'text', '@documents')}) SELECT doc_id, count(*) AS n FROM s WHERE {d.regex_count('sn', '|'.join(METAPHOR))} > 0 GROUP BY doc_id",
+    "sentence_pattern": lambda d: f"WITH s AS ({sentences(d, 'doc_id', 'text', '@documents')}), c AS (SELECT CASE WHEN length(sn) < 10 THEN 'short' WHEN length(sn) < 30 THEN 'medium' ELSE 'long' END AS pattern, {any_word(d, 'sn', COMPOUND)} AS compound FROM s) SELECT pattern, compound, count(*) AS n FROM c GROUP BY pattern, compound",
+    "blank_line_paragraphs": lambda d: f"WITH p AS ({d.explode('doc_id', d.filter(d.transform(('split(text, ' + chr(39) + '[' + chr(92) * 2 + 'n]{2,}' + chr(39) + ')') if d.spark else ('regexp_split_to_array(text, ' + chr(39) + '[' + chr(92) + 'n]{2,}' + chr(39) + ')'), 'x', 'trim(x)'), 'x', chr(39) * 2 + ' <> x'), '@documents', 'pid', 'txt')}) SELECT doc_id, pid, CAST(length(txt) AS BIGINT) AS chars FROM p",
+    "contiguous_runs": lambda d: f"SELECT doc_id, CAST({d.regex_count('text', '[一-龥]+|[a-zA-Z]+')} AS BIGINT) AS runs FROM @documents",
+    # count maps merged at two levels, book and chapter (here: all and a language); ratios per level
+    "linguistic_merge": lambda d: f"WITH t AS (SELECT lang, {d.tokens('text')} AS toks FROM @documents), e AS ({d.explode('lang', 'toks', 't', 'i', 'tk')}), g AS (SELECT grouping(lang) AS whole, lang, least(length(tk), 12) AS feature, count(*) AS n FROM e GROUP BY GROUPING SETS ((least(length(tk), 12)), (lang, least(length(tk), 12)))) SELECT CAST(whole AS BIGINT) AS whole, lang, CAST(feature AS BIGINT) AS feature, n, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY whole, lang), 6) AS ratio FROM g",
     "parallel_starts": _para(lambda d: ", l AS (SELECT doc_id, pid, substr(txt, 1, 1) AS c0, lag(substr(txt, 1, 1), 1) OVER (PARTITION BY doc_id ORDER BY pid) AS c1, lag(substr(txt, 1, 1), 2) OVER (PARTITION BY doc_id ORDER BY pid) AS c2 FROM para) SELECT doc_id, count(*) AS n FROM l WHERE c0 = c1 AND c1 = c2 GROUP BY doc_id"),
     "recovery_speed": _para(lambda d: ", c AS (SELECT doc_id, ch, CAST(sum(pos) - sum(neg) AS DOUBLE) / greatest(sum(tok), 1) AS v FROM para GROUP BY doc_id, ch), s AS (SELECT *, avg(v) OVER (PARTITION BY doc_id) AS m, greatest(coalesce(stddev_samp(v) OVER (PARTITION BY doc_id), 0) / 2, 0.005) AS thr FROM c), f AS (SELECT doc_id, ch, v, m, thr, min(CASE WHEN v >= m - thr / 2 THEN ch END) OVER (PARTITION BY doc_id ORDER BY ch ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s) SELECT doc_id, count(nxt) AS recoveries, round(avg(nxt - ch), 6) AS mean_chapters FROM f WHERE v < m - thr GROUP BY doc_id"),
     "trend_class": _para(lambda d: f", c AS (SELECT doc_id, pid, CAST(pos - neg AS DOUBLE) / greatest(tok, 1) AS v, CAST(pid AS DOUBLE) / greatest(max(pid) OVER (PARTITION BY doc_id), 1) AS x FROM para), g AS (SELECT doc_id, avg(CASE WHEN x < 1e0 / 3 THEN v END) AS a, avg(CASE WHEN x >= 2e0 / 3 THEN v END) AS b FROM c GROUP BY doc_id) SELECT doc_id, CASE WHEN round(b - a, 6) > 0.002 THEN 'rising' WHEN round(b - a, 6) < -0.002 THEN 'falling' ELSE 'flat' END AS trend FROM g"),
@@ -89,7 +111,8 @@ QUERIES = {
     "paragraph_feature_join": _para(lambda d: f", f AS (SELECT doc_id, pid, 'net' AS code, CAST(pos - neg AS DOUBLE) AS v FROM para UNION ALL SELECT doc_id, pid, 'punct' AS code, CAST(excl + ques AS DOUBLE) AS v FROM para) SELECT doc_id, pid, max(CASE WHEN code = 'net' THEN v END) AS net, max(CASE WHEN code = 'punct' THEN v END) AS punct FROM f GROUP BY doc_id, pid HAVING max(CASE WHEN code = 'net' THEN v END) <> 0 OR max(CASE WHEN code = 'punct' THEN v END) <> 0"),
     "keyword_search": _para(lambda d: " , m AS (SELECT doc_id, pid, CASE WHEN lower(txt) LIKE '%token%' THEN 1 ELSE 0 END + CASE WHEN lower(txt) LIKE '%licens%' THEN 1 ELSE 0 END + CASE WHEN lower(txt) LIKE '%the%of%' THEN 1 ELSE 0 END AS hits FROM para) SELECT doc_id, pid, CAST(hits AS BIGINT) AS hits FROM m WHERE hits > 0 ORDER BY hits DESC, doc_id, pid LIMIT 50"),
     "phrase_stats": _para(lambda d: f" SELECT doc_id, CAST(sum({d.regex_count('txt', 'tion')}) AS BIGINT) AS phrase_hits, {ratio(f'sum({d.regex_count("txt", "tion")}) * 1000', 'sum(chars)')} AS per_1000 FROM para GROUP BY doc_id"),
-    "cooccurrence": lambda d: f"WITH t AS (SELECT doc_id, {d.filter(d.tokens('text'), 'x', 'length(x) >= 8')} AS toks FROM @documents), e AS ({d.explode('doc_id', 'toks', 't', 'i', 'tk')}), p AS (SELECT least(a.tk, b.tk) AS u, greatest(a.tk, b.tk) AS v FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.i > a.i AND b.i < a.i + 5 WHERE a.tk <> b.tk) SELECT u, v, count(*) AS weight FROM p GROUP BY u, v HAVING count(*) >= 2",
+    # a pair counts once for each slice of five tokens that covers it; the slices are those that lie whole in the text
+    "cooccurrence": lambda d: f"WITH t AS (SELECT doc_id, {d.filter(d.tokens('text'), 'x', 'length(x) >= 2')} AS toks FROM @documents), c AS (SELECT doc_id, toks, {d.size('toks')} AS n FROM t), e AS ({d.explode('doc_id, n', 'toks', 'c', 'i', 'tk')}), l AS (SELECT i, n, tk, {', '.join(f'lead(tk, {k}) OVER (PARTITION BY doc_id ORDER BY i) AS l{k}' for k in range(1, 5))} FROM e WHERE n >= 5), p AS (SELECT tk, CASE step WHEN 1 THEN l1 WHEN 2 THEN l2 WHEN 3 THEN l3 ELSE l4 END AS other, least(i, n - 5) - greatest(0, i + step - 4) + 1 AS slices FROM l CROSS JOIN (VALUES (1), (2), (3), (4)) v(step)) SELECT least(tk, other) AS u, greatest(tk, other) AS v, CAST(sum(slices) AS BIGINT) AS weight FROM p WHERE tk <> other GROUP BY least(tk, other), greatest(tk, other)",
     "surface_form_topn": lambda d: f"WITH t AS (SELECT doc_id, {d.tokens('text')} AS toks FROM @documents), e AS ({d.explode('doc_id', 'toks', 't', 'i', 'tk')}) SELECT tk AS surface, count(*) AS n FROM e GROUP BY tk ORDER BY n DESC, surface LIMIT 20",
     "negated_sentences": _para(lambda d: f" SELECT doc_id, count(*) AS n FROM para WHERE {d.regex_count('lower(txt)', '(not|nicht|pas|no) [a-z]')} > 0 GROUP BY doc_id"),
 }

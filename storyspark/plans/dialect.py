@@ -27,6 +27,10 @@ class Dialect:
         literal = pattern.replace("\\", "\\\\") if self.spark else pattern
         return self._one(f"size(regexp_extract_all({x}, '{literal}', 0))", f"len(regexp_extract_all({x}, '{literal}'))")
 
+    def extract_all(self, x: str, pattern: str, group: int) -> str:
+        literal = pattern.replace("\\", "\\\\") if self.spark else pattern
+        return f"regexp_extract_all({x}, '{literal}', {group})"
+
     def tokens(self, x: str) -> str:
         return self._one(f"regexp_extract_all({x}, '{TOKEN}', 0)", f"regexp_extract_all({x}, '{TOKEN}')")
 
@@ -61,6 +65,17 @@ class Dialect:
     def json_int(self, col: str, key: str) -> str:
         return self._one(f"CAST(get_json_object({col}, '$.{key}') AS BIGINT)", f"CAST(json_extract_string({col}, '$.{key}') AS BIGINT)")
 
+    def hex_int(self, x: str) -> str:
+        return self._one(f"CAST(conv({x}, 16, 10) AS BIGINT)", f"CAST(('0x' || {x}) AS BIGINT)")
+
+    def char_count(self, x: str, characters: str) -> str:
+        """How many of some characters are in a text."""
+        return f"(length({x}) - length(translate({x}, '{characters}', '')))"
+
+    def base64(self, x: str) -> str:
+        """URL-safe base64 of a text."""
+        return f"translate({self._one(f'base64(encode({x}, {chr(39)}UTF-8{chr(39)}))', f'base64(encode({x}))')}, '+/', '-_')"
+
     def idiv(self, a: str, b: str) -> str:
         return self._one(f"({a} div {b})", f"({a} // {b})")
 
@@ -96,10 +111,12 @@ class Dialect:
 
     def paragraphs(self) -> str:
         """WITH-entries ``para0`` and ``para``: a document is a run, a non-blank line a paragraph, five paragraphs a chapter."""
-        marks = {"excl": "[!！]", "ques": "[?？]", "pause": "[,;，、；]", "sent": "[^。！？!?]+"}
-        sums = ", ".join(f"CAST({self.regex_count('txt', p)} AS BIGINT) AS {n}" for n, p in marks.items())
-        quoted = self.transform(self._one("""regexp_extract_all(txt, '"([^"]*)"', 1)""", """regexp_extract_all(txt, '"([^"]*)"', 1)"""), "x", "length(x)")
-        total = self._one(f"aggregate({quoted}, 0, (s, v) -> s + v)", f"coalesce(list_sum({quoted}), 0)")
+        marks = {"excl": "!！", "ques": "?？", "pause": ",;，、；"}
+        sums = ", ".join(f"CAST({self.char_count('txt', p)} AS BIGINT) AS {n}" for n, p in marks.items())
+        sums += f", CAST({self.regex_count('txt', '[^。！？!?]+')} AS BIGINT) AS sent"
+        # inner lengths of four kinds of quotes, in passes of their own
+        inner = lambda open_, close: self.transform(self.extract_all("txt", f"(?s){open_}(.*?){close}", 1), "x", "length(x)")
+        total = " + ".join(self._one(f"aggregate({q}, 0, (s, v) -> s + v)", f"coalesce(list_sum({q}), 0)") for q in (inner("「", "」"), inner("“", "”"), inner('"', '"'), inner("\\x27", "\\x27")))
         return f"""para0 AS ({self.explode('doc_id', self.lines('text'), '@documents', 'pid', 'txt')}),
 para1 AS (SELECT doc_id, pid, {self.idiv('pid', '5')} + 1 AS ch, txt, CAST(length(txt) AS BIGINT) AS chars, {self.tokens('txt')} AS toks, {sums}, CAST({total} AS BIGINT) AS dlg FROM para0),
 para AS (SELECT doc_id, pid, ch, txt, chars, toks, {self.size('toks')} AS tok, {self.count_in('toks', 'pos')} AS pos, {self.count_in('toks', 'neg')} AS neg, {self.count_in('toks', 'fight')} AS fight, excl, ques, pause, sent, dlg FROM para1)"""

@@ -30,21 +30,26 @@ def fold(state: tuple[int, int, str], rows: pd.DataFrame) -> tuple[int, int, str
     return cursor, count, tail
 
 
-def project(messages: DataFrame) -> DataFrame:
-    """Stream of (run_id, last_seq, messages, tail), one row per run and trigger; idle runs' state expires."""
+def project(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Stream of (run_id, last_seq, messages, tail) from (run_id, seq, text, ts), one row per run and trigger.
+
+    A run's state expires when the watermark has passed its last message by ``IDLE_MS``. The clock is that of the messages, not the
+    machine's: with a processing-time timeout each batch would ask for another, and a run to the end of a source never ended.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        now = tuple(state.get) if state.exists else (-1, 0, "")
+        now, last = tuple(state.get) if state.exists else (-1, 0, ""), 0
         for pdf in batches:
-            now = fold(now, pdf)
+            now, last = fold(now, pdf), max(last, int(pdf["ms"].max()))
         state.update(now)
-        state.setTimeoutDuration(IDLE_MS)
+        state.setTimeoutTimestamp(max(last + IDLE_MS, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], *now)], columns=["run_id", "last_seq", "messages", "tail"])
 
-    return messages.groupBy("run_id").applyInPandasWithState(run, OUT, "last_seq long, messages long, tail string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = messages.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ms", F.unix_millis("ts")).withWatermark("ts", delay)
+    return timed.groupBy("run_id").applyInPandasWithState(run, OUT, "last_seq long, messages long, tail string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def project_batch(messages: DataFrame) -> DataFrame:

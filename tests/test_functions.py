@@ -55,7 +55,12 @@ def test_sampling_and_phases():
     acts = series.three_acts(np.arange(50), y[:50])
     assert abs(sum(acts[k] for k in ("setup", "confrontation", "resolution")) - 1) < 1e-3
     assert series.three_acts([1, 1, 2] * 5, y[:15]) is None
-    assert series.mtld(["a"] * 3) is not None and series.mtld(["a", "b"]) is None
+    assert series.mtld(["a"] * 3) is not None and series.mtld(["a", "b"]) is None and series.mtld([]) == 0
+    assert abs(series.mtld(list("abcdefga")) - 8 / ((1 - 7 / 8) / 0.28)) < 1e-9
+    assert series.lttb([1, 5, 2, 9], 2) == [0, 3] and series.lttb([1, 2], 2) == [0, 1] and series.lttb([], 5) == []
+    spike = [0.0] * 50
+    spike[23] = 7.0
+    assert 23 in series.lttb(spike, 10)
     m = series.monotone([0.1, 0.1, 0.05, 0.5])
     assert all(b > a for a, b in zip(m, m[1:]))
 
@@ -93,6 +98,20 @@ def test_sources(spark, tmp_path):
         files.validated_topics(spark.createDataFrame([(1, 0, 0.4)], "paragraph_id int, topic_id int, topic_weight double"), 2)
 
 
+def test_running(spark):
+    from pyspark.sql import functions as F
+
+    from storyspark.operators import ordering
+
+    df = spark.createDataFrame([(i, (i * 37) % 101, None if i % 9 == 0 else i % 7) for i in range(101)], "id int, v int, w long")
+    got = {r["id"]: (r["rn"], r["s"]) for r in ordering.running(ordering.numbered(df, [F.col("v")]), [F.col("v")], "s", F.col("w")).collect()}
+    total = 0
+    for n, r in enumerate(sorted(df.collect(), key=lambda r: r["v"]), 1):
+        total += r["w"] or 0
+        assert got[r["id"]] == (n, total)
+    assert ordering.numbered(df.limit(0), [F.col("v")]).count() == 0
+
+
 def test_stream_equals_batch(spark):
     from storyspark.operators import custom
 

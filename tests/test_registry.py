@@ -18,7 +18,8 @@ def test_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     assert columns == sorted(duck.sql(ORACLES[name]).columns)
-    want = duck.sql(f"select {', '.join(columns)} from ({ORACLES[name]})").fetchall()
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    want = duck.sql(f"select {quoted} from ({ORACLES[name]})").fetchall()
     assert _rows(tuple(r) for r in df.select(columns).collect()) == _rows(want)
 
 

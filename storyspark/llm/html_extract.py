@@ -33,7 +33,10 @@ UNSEEN = set("script style noscript template svg math iframe object canvas audio
 RAW = set("script style noscript template iframe textarea title".split())
 #: An opening tag that closes an open element of these names.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+LISTS = ("ul", "ol", "dl", "table", "select")
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Elements that features name.
+_SHOWN = frozenset("article main section nav header footer aside form ul ol li table td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption dl dd dt button select option textarea fieldset address details dialog menu label".split())
 #: Hint groups and the names (or parts of names of four letters and more) that give them.
 HINTS = {
     "nav": "nav navbar navigation menu menubar breadcrumb breadcrumbs topbar toolbar pagination pager tabs skip sitemap dropdown",
@@ -78,27 +81,55 @@ class Block:
         self.tags, self.hints, self.own, self.parts, self.linked, self.text = tags, hints, own, [], 0, ""
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Place of the ``>`` that ends the tag at ``at``, quoted values aside; -1 if the page ends first."""
+_HEAD, _BLANK, _BARE = re.compile(r"[^>=]*"), re.compile(r"[ \t\n\f\r]*"), re.compile(r"[^\s>]*")
+
+
+def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
+    """Place of the ``>`` that ends the tag at ``at``, quoted values aside; -1 if the page ends first.
+
+    A quote opens a value only directly after ``=``; elsewhere, and where it is never closed, it is a character like others.
+    ``unclosed`` keeps the quotes that the rest of the page does not hold, so that each page is searched once.
+    """
     i = at
     while True:
-        end = page.find(">", i)
-        if end < 0:
+        i = _HEAD.match(page, i).end()
+        if i >= len(page):
             return -1
-        inner = page[i:end]
-        q = min((x for x in (inner.find('"'), inner.find("'")) if x >= 0), default=-1)
-        if q < 0 or "=" not in inner[:q]:
-            return end
-        close = page.find(inner[q], i + q + 1)
-        if close < 0:
-            return end
-        i = close + 1
+        if page[i] == ">":
+            return i
+        i = _BLANK.match(page, i + 1).end()
+        q = page[i : i + 1]
+        if q in ('"', "'") and q not in unclosed:
+            close = page.find(q, i + 1)
+            if close >= 0:
+                i = close + 1
+                continue
+            unclosed.add(q)
+        i = _BARE.match(page, i).end()
+
+
+class _Open:
+    """An open element with what its blocks see: shown tags and hints of all elements around, its own or next outer block tag."""
+
+    __slots__ = ("name", "tags", "hints", "own", "block")
+
+    def __init__(self, name: str, hints: frozenset[str], at: int, outer: _Open | None):
+        self.name = name
+        self.tags, self.hints, self.own, self.block = (outer.tags, outer.hints, outer.own, outer.block) if outer else (frozenset(), frozenset(), "", -1)
+        if not hints <= self.hints:
+            self.hints = self.hints | hints
+        if name not in INLINE:
+            self.own, self.block = name, at
+            if name in _SHOWN and name not in self.tags:
+                self.tags = self.tags | {name}
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order."""
+    """Leaf blocks with text, in page order; the time is linear in the page at any depth."""
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[_Open] = []
+    where: dict[str, list[int]] = {}  # places in the stack of the open elements of each name
+    unclosed: set[str] = set()
     current: Block | None = None
     unseen = links = 0
     at, n = 0, len(page)
@@ -107,13 +138,23 @@ def leaf_blocks(page: str) -> list[Block]:
         nonlocal current
         current = None
 
+    def push(name: str, hints: frozenset[str]) -> None:
+        where.setdefault(name, []).append(len(stack))
+        stack.append(_Open(name, hints, len(stack), stack[-1] if stack else None))
+
     def close_to(i: int) -> None:
         nonlocal unseen, links
-        for name, _ in stack[i:]:
-            unseen -= name in UNSEEN
-            links -= name == "a"
+        for x in stack[i:]:
+            unseen -= x.name in UNSEEN
+            links -= x.name == "a"
+            if x.name:
+                where[x.name].pop()
         del stack[i:]
 
+    def last(names) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        return max((where[x][-1] for x in names if where.get(x)), default=-1)
+
     def add(raw: str) -> None:
         nonlocal current
         if unseen or not raw:
@@ -121,8 +162,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if current is None:
             if not raw.strip():
                 return
-            outer = [(t, h) for t, h in stack if t not in INLINE]
-            current = Block(frozenset(t for t, _ in outer), frozenset().union(*(h for _, h in stack)), outer[-1][0] if outer else "")
+            current = Block(stack[-1].tags, stack[-1].hints, stack[-1].own) if stack else Block(frozenset(), frozenset(), "")
             blocks.append(current)
         text = html.unescape(raw) if "&" in raw else raw
         current.parts.append(text)
@@ -144,7 +184,7 @@ def leaf_blocks(page: str) -> list[Block]:
             end = page.find("-->", lt + 4)
             at = n if end < 0 else end + 3
             continue
-        end = _tag_end(page, lt + 1)
+        end = _tag_end(page, lt + 1, unclosed)
         if end < 0:
             break
         at = end + 1
@@ -156,10 +196,8 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         name = m[0].lower()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close_to(i)
-                    break
+            if where.get(name):
+                close_to(where[name][-1])
             if name not in INLINE:
                 border()
             continue
@@ -167,20 +205,12 @@ def leaf_blocks(page: str) -> list[Block]:
             border()
         if name in VOID:
             continue
-        if name in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close_to(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+        if name in CLOSES_P and where.get("p") and stack[-1].block == where["p"][-1]:  # only inline elements within it
+            close_to(where["p"][-1])
         if name in IMPLIED:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in IMPLIED[name]:
-                    close_to(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
-                    break
+            i = last(IMPLIED[name])
+            if i >= 0 and i >= last(LISTS):
+                close_to(i)
         hints: frozenset[str] = frozenset()
         inside = page[m.end() : end]
         if inside.strip(" /"):
@@ -192,28 +222,24 @@ def leaf_blocks(page: str) -> list[Block]:
             close = re.compile(rf"</{name}(?=[\s>/])", re.I).search(page, at)
             body = page[at : close.start() if close else n]
             if name == "textarea":
-                stack.append((name, hints))
+                push(name, hints)
                 add(body)
-                stack.pop()
+                close_to(len(stack) - 1)
             at = n if not close else max(page.find(">", close.end()) + 1, close.end())
             continue
         if inside.endswith("/") and name in UNSEEN:
             continue
-        stack.append((name, hints))
+        push(name, hints)
         unseen += name in UNSEEN
         links += name == "a"
-        if name == "body" and unseen:
-            for i in range(len(stack) - 1):
-                if stack[i][0] == "head":
-                    del stack[i]
-                    unseen -= 1
-                    break
+        if name == "body" and unseen and where.get("head"):
+            stack[where["head"].pop()].name = ""  # a head that was not closed ends here
+            unseen -= 1
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
     return [b for b in blocks if b.text]
 
 
-_SHOWN = ("article main section nav header footer aside form ul ol li table td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption dl dd dt button select option textarea fieldset address details dialog menu label").split()
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
@@ -223,7 +249,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         f = ["bias", f"own={b.own if b.own in _SHOWN else 'div'}"]
-        f += [f"in={t}" for t in b.tags if t in _SHOWN]
+        f += [f"in={t}" for t in b.tags]
         f += [f"hint={h}" for h in b.hints]
         if not (b.tags & {"article", "main"} or "main" in b.hints):
             f.append("outside")
@@ -383,7 +409,7 @@ def main_text(page: str | None, model: dict) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """``pages(html, ...)`` without html, with text and n_chars (code points).
 
-    Null, empty and textless pages give an empty text. Repeated rows are extracted each; existing columns named text or
+    Null, empty and textless pages give an empty text; an empty table gives an empty one. Repeated rows are extracted each; existing columns named text or
     n_chars are replaced. Whole pages are read, however long.
     """
     pages = without(pages, *COLUMNS)

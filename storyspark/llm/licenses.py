@@ -53,6 +53,8 @@ COLUMNS = ("n_sentences", "n_license_sentences", "sentence_ids", "licenses", "li
 BREAK = r"[.!?]+(?:[ \t\r\n]+|\z)|(?:\r\n|\r(?!\n)|\n)[ \t]*[\r\n][ \t\r\n]*"
 #: What ends a sentence in the count ``n_sentences``: the SQL counts every line feed too.
 COUNTED = r"[.!?]+(?:[ \t\r\n]+|\z)|[\r\n]+"
+#: The longest word of each phrase: a text without any of them holds no phrase.
+WORDS = sorted({max(p.split(), key=len) for _, p in SENTENCES})
 #: Any phrase at its place; a lookahead, so that phrases may overlap.
 PHRASE = rf"(?<![a-z0-9])(?=({'|'.join(p for _, p in SENTENCES)})(?![a-z0-9]))"
 
@@ -73,6 +75,10 @@ def scan(docs: DataFrame) -> DataFrame:
         text = F.regexp_replace(F.regexp_replace(lower, ends, "\x01"), "[^a-z0-9\x01]+", " ")
         return F.filter(F.transform(F.split(text, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
 
+    count = F.regexp_count(F.regexp_replace(lower, COUNTED, "\x01"), F.lit("[^a-z0-9\x01]*[a-z0-9][^\x01]*"))
+    some = functools.reduce(lambda a, b: a | b, [lower.contains(w) for w in WORDS])
+    none = F.array().cast("array<string>")
+
     letter = lambda p: functools.reduce(lambda other, x: F.when(p == x[1], x[0]).otherwise(other), reversed(SENTENCES), F.lit(""))
     known = lambda s: F.array_join(F.transform(F.regexp_extract_all(s, F.lit(PHRASE), F.lit(1)), letter), "")
     # rules in order: each takes its identifiers out of the sequence (a space keeps the rest apart)
@@ -80,7 +86,7 @@ def scan(docs: DataFrame) -> DataFrame:
     for name, seq in RULES:
         names.append(F.when(left.contains(seq), F.lit(name)))
         left = F.replace(left, F.lit(seq), F.lit(" "))
-    out = docs.withColumn("n_sentences", F.size(sentences(COUNTED)).cast("long")).withColumn("_s", F.filter(F.transform(sentences(BREAK), known), lambda x: x != ""))
+    out = docs.withColumn("n_sentences", count.cast("long")).withColumn("_s", F.when(some, F.filter(F.transform(sentences(BREAK), known), lambda x: x != "")).otherwise(none))
     out = out.withColumn("n_license_sentences", F.size("_s").cast("long")).withColumn("sentence_ids", F.array_join("_s", "")).drop("_s")
     # few documents hold an identifier at all; the rules are only tried there
     out = out.withColumn("licenses", F.when(F.col("sentence_ids") == "", F.lit("")).otherwise(F.array_join(F.array_distinct(F.array_compact(F.array(*names))), ",")))

@@ -15,10 +15,12 @@ BLOCK_BYTES = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests on one machine), a fresh temporary folder is set."""
+    """The folder of ``spark.checkpoint.dir``; on one machine, where that is unset (tests), a fresh temporary folder is set."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="storyspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -54,8 +56,8 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
-def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of an Arrow batch whose text column holds about ``limit`` bytes, one row at least; order is kept."""
+def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES, rows: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch whose text column holds about ``limit`` bytes, one row at least and ``rows`` at most; order is kept."""
     col = batch.column(batch.schema.get_field_index(column))
     if not len(col):
         return
@@ -67,7 +69,7 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_
     at = 0
     while at < len(col):
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
-        end = min(end, len(col))
+        end = min(end, len(col), at + rows)
         yield batch.slice(at, end - at)
         at = end
 

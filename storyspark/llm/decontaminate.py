@@ -23,7 +23,7 @@ from storyspark.llm.common import materialize, table, text_blocks, without
 #: Longest shingle, in words; windows of fewer words use shingles of their own length.
 SHINGLE = 3
 #: Bytes of benchmark text that one broadcast block may hold; a larger benchmark is joined block by block.
-BLOCK_TEXT = 32 << 20
+BLOCK_TEXT = 4 << 20
 COLUMNS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 

@@ -126,7 +126,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for block in text_blocks(batch, names[at], 256 << 10):
+            for block in text_blocks(batch, names[at], 256 << 10, 512):
                 col, n = block.column(at), block.num_rows
                 has = np.array([x is not None and bool(_LETTER.search(x)) for x in col.to_pylist()], bool)
                 if len(m["langs"]) > 1:

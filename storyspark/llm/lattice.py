@@ -92,6 +92,7 @@ def _index(classes: DataFrame, cosine: float) -> DataFrame:
             for dim in np.unique(dims):
                 for at in np.array_split(np.flatnonzero(dims == dim), max(1, int((dims == dim).sum()) // 512)):
                     v = np.array(vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), float).reshape(len(at), dim)
+                    v = v / np.abs(v).max(1, keepdims=True)  # so that squares neither vanish nor overflow
                     v = v / np.linalg.norm(v, axis=1, keepdims=True)
                     c = cells(v, cosine=cosine)
                     c = K.mix(c + (K.mix(label[at].astype(np.int64).astype(np.uint64)) + np.uint64(dim))[:, None, None])
@@ -113,7 +114,8 @@ def _verify(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
                 part = batch.slice(lo, 2048)
                 x, y = (np.array(part.column(i).flatten().to_numpy(zero_copy_only=False), float) for i in (2, 3))
                 n = np.array(part.column(4), np.int64)
-                group = np.repeat(np.arange(len(n)), n)
+                group, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+                x, y = (v / np.maximum.reduceat(np.abs(v), first)[group] for v in (x, y))  # squares neither vanish nor overflow
                 dot, xx, yy = (np.bincount(group, p, len(n)) for p in (x * y, x * x, y * y))
                 keep[lo : lo + len(n)] = dot >= cosine * np.sqrt(xx) * np.sqrt(yy)
             yield batch.select([0, 1]).filter(pa.array(keep))
@@ -126,9 +128,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per row of ``embeddings(vec_id, embedding, label)``: vec_id, n_links, component_id, kept.
 
     Vectors of equal, non-null label and equal dimension link when found with cosine >= ``cosine``. Vectors that are null, zero or
-    empty, or hold null or non-finite components, and rows without label, link with nothing and are kept. Rows that repeat
+    empty, or hold null or non-finite components, and rows without label, link with nothing and are kept (a row without id never is). Rows that repeat
     a vector (even with its id) are vectors of their own and link with each other. component_id is the smallest vec_id
-    reachable, null ids aside; kept tells whether that is the row's own.
+    reachable, null ids aside; kept tells whether that is the row's own. An empty table gives an empty one; of other columns none is read.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)

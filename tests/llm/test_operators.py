@@ -5,6 +5,7 @@ import hashlib
 import html as H
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -56,6 +57,20 @@ def test_html_edges(spark):
     assert html_extract.viterbi([], html_extract.fit()) == []
 
 
+def test_html_quotes_and_depth():
+    text = lambda page: [b.text for b in html_extract.leaf_blocks(page)]
+    assert text("<article><p title=it's>One two three.</p><p>Four five don't six.</p><p>Seven</p></article>") == ["One two three.", "Four five don't six.", "Seven"]
+    assert text('<p class=x data-q=5">One</p><p>Two "so" called</p>') == ["One", 'Two "so" called']
+    assert text("<p title='a > b' data-x = \"c > 'd'\" hidden>One</p><a href=x?q=\"1>Two</a>") == ["One", "Two"]
+    assert text("<p title=\"never closed>One</p><p>Two</p>") == ["One", "Two"]
+    assert text("<ul><li>a<li>b<ul><li>c</ul></ul><p>d<div>e</div><table><tr><td>f<td>g<tr><td>h</table>") == list("abcdefgh")
+    assert text("<head><title>t</title><body>One<p>Two") == ["One", "Two"]
+    for page in ("<div>x" * 100_000, "<b>" * 100_000 + "<div>x</div></i>" * 100_000, "<li>" + "<div>" * 50_000 + "<ul><li>x</li></ul>" * 50_000, "<p title=\"x>y" * 100_000):
+        began = time.process_time()
+        html_extract.leaf_blocks(page)
+        assert time.process_time() - began < 20
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 def test_patience():
     a = [(i, h) for i, h in enumerate("abcxyde")]
@@ -179,6 +194,8 @@ def test_near_vectors(spark):
     by = {r["vec_id"]: r for r in got}
     assert by[300]["component_id"] == 0 and by[300]["n_links"] >= 2 and all(by[i]["n_links"] == 0 and by[i]["kept"] for i in range(301, 307))
     assert lattice.near_duplicates(df.limit(0)).count() == 0
+    tiny = spark.createDataFrame([(i, [v * s for v in x], 0) for s in (1e-200, 1e200) for i, x in ((1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01]))], "vec_id long, embedding array<double>, label int")
+    assert sorted((r["vec_id"], r["n_links"]) for r in lattice.near_duplicates(tiny).collect()) == [(1, 3), (1, 3), (2, 1), (2, 1), (3, 3), (3, 3)]
 
 
 # 5, 6 ---------------------------------------------------------------------------------------------------------------

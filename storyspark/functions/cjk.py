@@ -157,23 +157,46 @@ def term_spans(text: str, terms, tokens=None) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-#: Examples of negators by kind; operators take any lists.
-NEGATORS = {"hard": ("not", "never", "no", "不", "没", "没有"), "double": ("not un", "不得不"), "clause": ",;，；。.!?"}
-
-
-def negated(text: str, start: int, negators=NEGATORS, reach: int = 12) -> bool:
-    """Whether the term at ``start`` is negated: an odd number of negators before it in its clause, within ``reach`` characters; a double negator counts as two."""
-    lo = max((text.rfind(c, 0, start) for c in negators["clause"]), default=-1) + 1
-    scope = text[max(lo, start - reach) : start].lower()
+#: Examples of negators by kind; ``negation_spec`` reads any others.
+NEGATORS = {"hard": ("not", "never", "no", "不", "没", "没有"), "modal": ("未必", "莫非", "难以"), "double": ("not un", "不得不"), "scope": ("舍不得", "不舍得")}
+#: Ends of sentences, borders of clauses, what may stand between a border and a clause's first word, and the attributive mark.
+ENDS, CLAUSES, QUOTED, ATTRIBUTIVE = "。！？!?\n", "，、；：,;:", " \t'\"“”‘’…—", "的"
+
+
+def negation_spec(lines) -> dict[str, tuple[str, ...]]:
+    """Negators by kind from lines in sections: a comment with ``=====`` that names hard, modal, double or scope begins one."""
+    spec: dict[str, list[str]] = {k: [] for k in NEGATORS}
+    kind = None
+    for line in map(str.strip, lines):
+        if line.startswith("#"):
+            if "=====" in line:
+                kind = next((k for k in spec if k in line), None)
+        elif line and kind:
+            spec[kind].append(line)
+    return {k: tuple(dict.fromkeys(v)) for k, v in spec.items()}
+
+
+def negated(text: str, start: int, negators=NEGATORS) -> bool:
+    """Whether the term at ``start`` is negated by an odd count of negators before it in its sentence.
+
+    Negators are the longest ones in place. A hard one counts once and a double one twice if one token at most stands between
+    it and the term, or if it opens its clause and neither a clause's border nor an attributive comes between; one of
+    scope counts at any distance up to a border or an attributive; a modal one doesn't count.
+    """
+    before = text[max(text.rfind(c, 0, start) for c in ENDS) + 1 : start].lower()
+    kind = {w: k for k, words in negators.items() for w in words}
     count = 0
-    for d in negators["double"]:
-        count += 2 * scope.count(d)
-        scope = scope.replace(d, " ")
-    spans = term_spans(scope, negators["hard"], [(m.start(), m.end()) for m in re.finditer(r"[a-z]+|.", scope)])
-    for s, e, t in spans:
-        if t.isascii() and ((s and scope[s - 1].isalpha()) or (e < len(scope) and scope[e].isalpha())):
-            continue
-        count += 1
+    for s, e, word in term_spans(before, kind, [(i, i + 1) for i in range(len(before))]):
+        if word.isascii() and (before[s - 1 : s].isalpha() and s or (before[e : e + 1].isalpha() and " " not in word)):
+            continue  # part of a longer word
+        gap = before[e:]
+        apart = any(c in gap for c in CLAUSES) or ATTRIBUTIVE in gap
+        if kind[word] == "scope":
+            count += not apart
+        elif kind[word] != "modal":
+            opens = not before[max(before.rfind(c, 0, s) for c in CLAUSES) + 1 : s].strip(QUOTED)
+            if len(re.findall(r"[A-Za-z0-9]+|[一-鿿]+", gap)) <= 1 or (opens and not apart):
+                count += 2 if kind[word] == "double" else 1
     return count % 2 == 1
 
 

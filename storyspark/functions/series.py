@@ -106,22 +106,50 @@ def spaced_peaks(x, v, spacing: float = 0.05) -> list[int]:
     return out
 
 
-def three_acts(x, tension) -> dict | None:
-    """Shares of set-up, confrontation and resolution: the climax window is the tensest 8 % window of the last 45 %, the first
-    boundary the largest rise between adjacent 6 % windows before it; each act has 5 % at least. Null under 10 points."""
+def three_acts(x, tension, conflict=None, flags=None, least: float = 0.05) -> dict | None:
+    """Shares of set-up, confrontation and resolution of a series with rising positions, and the climax's place.
+
+    The climax lies in the window of the last 45 % with most conflicts, then most plot flags, then most tension, then the last one; the
+    window is 8 % of the span, at least the width of 8 points and at most that of 24. The set-up ends at the point between half
+    way to that window and two windows of 6 % (6 to 18 points) before it where tension and the density of conflicts and flags rise
+    most from the window before to the one after; without such a point, at the valley before the climax. Each act has
+    ``least`` of the whole at least. Under three points the acts are equal; positions that don't rise, or none, give null.
+    """
     x, t = np.asarray(x, float), np.asarray(tension, float)
-    if len(x) < 10 or (np.diff(x) <= 0).any():
+    n = len(x)
+    if not n or (np.diff(x) <= 0).any():
         return None
-    lo, span = x[0], x[-1] - x[0]
-    p = (x - lo) / span
-    mean = lambda a, b: t[(p >= a) & (p <= b)].mean() if ((p >= a) & (p <= b)).any() else -np.inf
-    late = [c for c in p if c >= 0.55]
-    climax = max(late, key=lambda c: (mean(c - 0.04, c + 0.04), -c))
-    early = [c for c in p if 0.06 <= c <= climax - 0.06] or [climax / 2]
-    first = max(early, key=lambda c: (mean(c, c + 0.06) - mean(c - 0.06, c), -c))
-    acts = np.maximum([first, climax - first, 1 - climax], 0.05)
+    if n < 3:
+        return dict.fromkeys(("setup", "confrontation", "resolution"), round(1 / 3, 4)) | {"climax": float(t.argmax())}
+    total = lambda v: np.concatenate([[0.0], np.cumsum(np.zeros(n) if v is None else np.asarray(v, float))])
+    c, f, s = total(conflict), total(flags), total(t)
+    span, width = x[-1] - x[0], lambda k: x[min(k, n) - 1] - x[0]
+    w = min(max(0.08 * span, width(8)), width(24))
+    last = x[-1] - w + 1e-9
+    at = np.flatnonzero((x >= min(x[-1] - 0.45 * span, x[-1] - w)) & (x <= last))
+    at = at if len(at) else np.flatnonzero(x <= last)
+    at = at if len(at) else np.array([n - 1])
+    end = np.searchsorted(x, x[at] + w)
+    best = np.lexsort((at, (s[end] - s[at]) / np.maximum(end - at, 1), f[end] - f[at], c[end] - c[at]))[-1]
+    start, stop = int(at[best]), max(int(end[best]), int(at[best]) + 1)
+    peak = stop - 1 - int(t[start:stop][::-1].argmax())
+    first = int(t[:peak].argmin()) if peak else 0
+    w = max(0.06 * span, width(6))
+    w = min(w, width(18)) if width(18) > width(6) else w
+    w = min(w, x[start] - x[0]) if start else w
+    at = np.flatnonzero((x >= max(x[0] + w, (x[0] + x[start]) / 2)) & (x <= x[start] - 2 * w))
+    if w > 0 and len(at):
+        lo, hi = np.searchsorted(x, x[at] - w, "right"), np.searchsorted(x, x[at] + w)
+        at, lo, hi = (v[(lo < at) & (at < hi)] for v in (at, lo, hi))
+        rise = lambda v: (v[hi] - v[at]) / (hi - at) - (v[at] - v[lo]) / (at - lo)
+        tense, dense = rise(s), rise(c + f)
+        up = np.where((tense > 0) & (dense > 0), tense + dense, -np.inf)
+        if len(at) and up.max() > 0:
+            first = int(at[up.argmax()])
+    ends = np.array([x[first], x[-1] if peak == n - 1 else x[peak]])
+    acts = np.maximum(np.diff([x[0], *ends, x[-1]]) / span, least)
     acts = acts / acts.sum()
-    return {"setup": round(float(acts[0]), 4), "confrontation": round(float(acts[1]), 4), "resolution": round(float(acts[2]), 4), "climax": round(float(climax), 4)}
+    return {"setup": round(float(acts[0]), 4), "confrontation": round(float(acts[1]), 4), "resolution": round(float(acts[2]), 4), "climax": round(float((x[peak] - x[0]) / span), 4)}
 
 
 def four_phases(tension) -> list[tuple[str, int, int]]:

@@ -26,7 +26,7 @@ def _points(spark, sf_dir):
 
 
 def _tension(spark, sf_dir):
-    return _sql(spark, sf_dir, lambda d: f"WITH {tension(d)}, t AS (SELECT doc_id, ch, avg({SIGMOID}) AS v FROM z GROUP BY doc_id, ch) SELECT doc_id, ch, v, CAST(ch AS DOUBLE) / max(ch) OVER (PARTITION BY doc_id) AS x FROM t")
+    return _sql(spark, sf_dir, lambda d: f"WITH {tension(d)}, t AS (SELECT doc_id, ch, avg({SIGMOID}) AS v, sum(CASE WHEN z_c3 > 0 THEN 1 ELSE 0 END) AS conflicts, sum(CASE WHEN z_c1 > 0 THEN 1 ELSE 0 END + CASE WHEN z_c2 > 0 THEN 1 ELSE 0 END) AS flags FROM z GROUP BY doc_id, ch) SELECT doc_id, ch, v, conflicts, flags, CAST(ch AS DOUBLE) / max(ch) OVER (PARTITION BY doc_id) AS x FROM t")
 
 
 def paragraph_curves(spark, sf_dir):
@@ -38,7 +38,7 @@ def curve_sampling(spark, sf_dir):
 
 
 def three_act_structure(spark, sf_dir):
-    return series.three_acts(_tension(spark, sf_dir), "doc_id", "x", "v")
+    return series.three_acts(_tension(spark, sf_dir), "doc_id", "x", "v", "conflicts", "flags")
 
 
 def four_phases(spark, sf_dir):

@@ -85,12 +85,16 @@ def _per_key(points: DataFrame, key: str, x: str, y: str, make, schema: str) ->
     return _grouped(_points(points, key, x, y), columns, schema).withColumnRenamed("key", key)
 
 
-def three_acts(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    def make(xs, ys):
-        a = S.three_acts(xs, ys)
-        return [tuple(a.values())] if a else [(None,) * 4]
+def three_acts(points: DataFrame, key: str, x: str, y: str, conflict: str | None = None, flags: str | None = None) -> DataFrame:
+    names = ("setup", "confrontation", "resolution", "climax")
 
-    return _per_key(points, key, x, y, make, "setup double, confrontation double, resolution double, climax double")
+    def make(part: pa.Table) -> dict:
+        acts = S.three_acts(*(_values(part, c) for c in ("x", "y", "conflict", "flags"))) or dict.fromkeys(names)
+        return {n: pa.array([acts[n]], pa.float64()) for n in names}
+
+    count = lambda c: (F.col(c) if c else F.lit(0)).cast("double")
+    rows = _points(points, key, x, y, conflict=count(conflict), flags=count(flags))
+    return _grouped(rows, make, ", ".join(f"{n} double" for n in names)).withColumnRenamed("key", key)
 
 
 def four_phases(points: DataFrame, key: str, x: str, y: str) -> DataFrame:

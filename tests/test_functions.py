@@ -23,7 +23,12 @@ def test_chapters():
 def test_spans():
     assert cjk.dialogue_spans("他说「你好『内』」。“未完\n下") == [(2, 9, True), (10, 13, False)]
     assert [t for *_, t in cjk.term_spans("abcabab", ["ab", "abc"])] == ["abc", "ab", "ab"]
-    assert cjk.sentiment("not good, good", ["good"], ["bad"]) == (1, 1)
+    assert cjk.sentiment("not good, she said again, good", ["good"], ["bad"]) == (1, 1)
+    flips = {"not good": True, "it is not very good": True, "it is not at all good": False, "not in the least good": True, "not here, in a way good": False, "never not good": False, "I know good": False, "not bad! good": False}
+    assert {t: cjk.negated(t, t.rfind("good")) for t in flips} == flips
+    assert cjk.negated("他不得不高兴", 4) is False and cjk.negated("未必高兴", 2) is False and cjk.negated("舍不得这里的高兴", 6) is False and cjk.negated("舍不得离开这里", 5) is True
+    spec = cjk.negation_spec(["# ===== hard =====", "nay", "# a note", "nay", "# ===== modal words =====", "maybe", "# ===== other =====", "x"])
+    assert spec == {"hard": ("nay",), "modal": ("maybe",), "double": (), "scope": ()} and cjk.negated("nay good", 4, spec)
     assert cjk.nth_quote("aXaXa", "aXa", 2) == (2, 5)
     with pytest.raises(ValueError):
         cjk.nth_quote("abc", "x")
@@ -54,7 +59,16 @@ def test_sampling_and_phases():
         assert p[0][1] == 0 and p[-1][2] == n - 1 and all(b[1] == a[2] + 1 for a, b in zip(p, p[1:]))
     acts = series.three_acts(np.arange(50), y[:50])
     assert abs(sum(acts[k] for k in ("setup", "confrontation", "resolution")) - 1) < 1e-3
-    assert series.three_acts([1, 1, 2] * 5, y[:15]) is None
+    assert series.three_acts([1, 1, 2] * 5, y[:15]) is None and series.three_acts([0, 1], [1, 2])["setup"] == 0.3333
+    # a step up in tension and flags at 40 ends the set-up; the window with the conflict wins over a tenser one
+    steps, marks, fights = np.r_[np.full(40, 0.1), np.full(60, 0.5)], np.r_[np.zeros(40), np.ones(60)], np.zeros(100)
+    steps[70], steps[90], fights[91] = 0.9, 0.7, 1
+    acts = series.three_acts(np.arange(100), steps, fights, marks)
+    assert acts["climax"] == round(90 / 99, 4)
+    flat = series.three_acts(np.arange(100), steps)
+    assert flat["climax"] == round(70 / 99, 4) and flat["setup"] < 0.06  # no flags: the valley before the climax
+    acts = series.three_acts(np.arange(100), np.r_[np.full(40, 0.1), np.full(60, 0.5)], np.r_[np.zeros(80), np.ones(8), np.zeros(12)], marks)
+    assert acts["setup"] == round(40 / 99, 4) or abs(acts["setup"] - 40 / 99) < 0.03
     assert series.mtld(["a"] * 3) is not None and series.mtld(["a", "b"]) is None and series.mtld([]) == 0
     assert abs(series.mtld(list("abcdefga")) - 8 / ((1 - 7 / 8) / 0.28)) < 1e-9
     assert series.lttb([1, 5, 2, 9], 2) == [0, 3] and series.lttb([1, 2], 2) == [0, 1] and series.lttb([], 5) == []

@@ -11,7 +11,8 @@ DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4,
 UNITS = {"十": 10, "百": 100, "千": 1000, "万": 10_000, "亿": 100_000_000}
 #: The encodings tried, in order.
 ENCODINGS = ("utf-8", "utf-8-sig", "gb18030", "gbk")
-QUOTES = {"「": "」", "『": "』", "“": "”", "‘": "’"}
+#: Opening quotes and what closes them.
+QUOTES = {"「": "」", "『": "』", "“": "”", "‘": "’", "«": "»", '"': '"'}
 
 
 def decode(raw: bytes, encodings=ENCODINGS) -> str:
@@ -121,12 +122,12 @@ def dialogue_spans(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, closed) of quoted speech: outermost pairs; an unclosed quote runs to its line's end."""
     out, stack = [], []
     for i, c in enumerate(text):
-        if c in QUOTES:
-            stack.append((c, i))
-        elif stack and c == QUOTES[stack[-1][0]]:
+        if stack and c == QUOTES[stack[-1][0]]:
             _, s = stack.pop()
             if not stack:
                 out.append((s, i + 1, True))
+        elif c in QUOTES:
+            stack.append((c, i))
         elif c == "\n" and stack:
             out.append((stack[0][1], i, False))
             stack.clear()

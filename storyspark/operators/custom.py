@@ -156,17 +156,17 @@ def _tokens(spark, sf_dir):
 
 def lda_topics(spark, sf_dir):
     docs = _tokens(spark, sf_dir)
-    words, model = learning.fit_lda(docs, k=learning.topic_count(None, docs.count(), most=8), iterations=3, vocabulary=4096)
+    words, model = learning.fit_lda(docs, k=learning.topic_count(None, docs.count(), most=8))
     return learning.infer_lda(docs, words, model).select("doc_id", "status", "n_tokens", F.transform("weights", lambda x: F.round(x, 6)).alias("weights"))
 
 
 def lda_topic_words(spark, sf_dir):
-    words, model = learning.fit_lda(_tokens(spark, sf_dir), k=5, iterations=3, vocabulary=2048)
+    words, model = learning.fit_lda(_tokens(spark, sf_dir), k=5)
     return learning.topic_words(words, model)
 
 
 def word2vec(spark, sf_dir):
-    return learning.fit_word2vec(_tokens(spark, sf_dir), size=16, min_count=20)
+    return learning.fit_word2vec(_tokens(spark, sf_dir), size=16)
 
 
 def ridge_boundary(spark, sf_dir):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,8 +26,14 @@ def fit_lda(docs: DataFrame, tokens: str = "tokens", k: int = 25, iterations: in
 
 def infer_lda(docs: DataFrame, words, model, tokens: str = "tokens") -> DataFrame:
     """``docs`` with status, in-dictionary token count and dense topic weights (zero where nothing is in the dictionary)."""
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(words.vocabulary))  # of a bounded size
+
+    @F.pandas_udf("long")
+    def held(rows: pd.Series) -> pd.Series:
+        return pd.Series([sum(t in known.value for t in r) if r is not None else 0 for r in rows], dtype="int64")
+
     out = model.transform(words.transform(docs))
-    n = F.aggregate(vector_to_array("bow"), F.lit(0.0), lambda a, x: a + x).cast("long")
+    n = held(tokens)
     status = F.when(F.size(tokens) == 0, "empty").when(n == 0, "out_of_vocabulary").otherwise("ok")
     weights = F.when(n > 0, vector_to_array("topicDistribution")).otherwise(F.array_repeat(F.lit(0.0), model.getK()))
     return out.withColumn("n_tokens", n).withColumn("status", status).withColumn("weights", weights).drop("bow", "topicDistribution")
@@ -34,9 +41,14 @@ def infer_lda(docs: DataFrame, words, model, tokens: str = "tokens") -> DataFram
 
 def topic_words(words, model, n: int = 10) -> DataFrame:
     """(topic, place, word, weight)."""
-    vocab = F.array(*[F.lit(w) for w in words.vocabulary])
+    vocab = words_table(model.describeTopics(1).sparkSession, words.vocabulary)
     rows = model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "t"))
-    return rows.select("topic", "place", F.element_at(vocab, F.col("t.termIndices") + 1).alias("word"), F.col("t.termWeights").alias("weight"))
+    return rows.join(vocab, F.col("t.termIndices") == F.col("i")).select("topic", "place", "word", F.col("t.termWeights").alias("weight"))
+
+
+def words_table(spark: SparkSession, words: list[str]) -> DataFrame:
+    """(i, word) of a dictionary, whose size is bounded."""
+    return spark.createDataFrame(pd.DataFrame({"i": range(len(words)), "word": words}), "i int, word string")
 
 
 def fit_word2vec(docs: DataFrame, tokens: str = "tokens", size: int = 50, window: int = 5, min_count: int = 2, seed: int = 42) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyspark.operators import facts, graphs, text_metrics, vectors
+from storyspark.operators import facts, graphs, text_metrics, vectors, views
 from storyspark.operators import custom
 from storyspark.plans.dialect import Dialect
 
-_SQL = text_metrics.QUERIES | facts.QUERIES | graphs.QUERIES | vectors.QUERIES
+_SQL = text_metrics.QUERIES | facts.QUERIES | graphs.QUERIES | vectors.QUERIES | views.QUERIES
 
 
 def _run(build: Callable[[Dialect], str]) -> Callable[[SparkSession, str], DataFrame]:

@@ -22,6 +22,7 @@ def test_chapters():
 
 def test_spans():
     assert cjk.dialogue_spans("他说「你好『内』」。“未完\n下") == [(2, 9, True), (10, 13, False)]
+    assert cjk.dialogue_spans('a "b" «c "d"» "e') == [(2, 5, True), (6, 13, True), (14, 16, False)]
     assert [t for *_, t in cjk.term_spans("abcabab", ["ab", "abc"])] == ["abc", "ab", "ab"]
     assert cjk.sentiment("not good, she said again, good", ["good"], ["bad"]) == (1, 1)
     flips = {"not good": True, "it is not very good": True, "it is not at all good": False, "not in the least good": True, "not here, in a way good": False, "never not good": False, "I know good": False, "not bad! good": False}

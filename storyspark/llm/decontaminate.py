@@ -155,13 +155,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     fewer words is one window). Null or empty texts have no words and are clean; null or wordless items match nothing; an
     item whose id is null hits words but is not counted. Repeated rows are judged each. Existing columns of the result's
     names are replaced. A benchmark of more than ``BLOCK_TEXT`` bytes is joined block by block, with the same result.
+    An empty table gives an empty one, an empty benchmark leaves all clean; other columns pass through. Whole texts of any length are read.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // BLOCK_TEXT))
     docs = without(docs, *COLUMNS)
-    state = "_hits array<int>, _items array<string>"
+    state = "_storyspark_hits array<int>, _storyspark_items array<string>"
     for part in range(parts):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
         block = _windows(mine.collect(), window)
@@ -177,7 +178,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         last = part == parts - 1
         shared = spark.sparkContext.broadcast(block)
         held = part > 0
-        base = [f.name for f in docs.schema if f.name not in ("_hits", "_items")]
+        base = [f.name for f in docs.schema if f.name not in ("_storyspark_hits", "_storyspark_items")]
         text_at = base.index("text")
 
         def probe(batches: Iterator[pa.RecordBatch], shared=shared, held=held, last=last, base=base, text_at=text_at) -> Iterator[pa.RecordBatch]:
@@ -194,7 +195,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
                     cols = [part_batch.column(i) for i in range(len(base))]
                     if not last:
                         more = [pa.array([np.flatnonzero(hit[first[i] : first[i + 1]]).astype(np.int32) for i in range(len(found))], pa.list_(pa.int32())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
-                        yield pa.RecordBatch.from_arrays(cols + more, [*base, "_hits", "_items"])
+                        yield pa.RecordBatch.from_arrays(cols + more, [*base, "_storyspark_hits", "_storyspark_items"])
                         continue
                     n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[first])
                     more = [

@@ -64,10 +64,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
     n_sentences counts a line feed as the end of a sentence, as the SQL does; identifiers are found across single line feeds.
     license is the first rule's that matches, or ``none``. Null and empty texts have no sentences and no licence. Repeated
-    rows are judged each; existing columns of the result's names are replaced. Only A-Z is lower-cased, and every run of
+    rows are judged each, an empty table gives an empty one, texts of any length are read whole; existing columns of the result's names are replaced. Only A-Z is lower-cased, and every run of
     other characters than a-z and 0-9 separates words.
     """
-    docs = without(docs, *COLUMNS, "_s")
+    docs = without(docs, *COLUMNS, "_storyspark_s")
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\x01", "abcdefghijklmnopqrstuvwxyz ")
 
     # sentence borders become \x01, every other run of separators one space
@@ -86,8 +86,8 @@ def scan(docs: DataFrame) -> DataFrame:
     for name, seq in RULES:
         names.append(F.when(left.contains(seq), F.lit(name)))
         left = F.replace(left, F.lit(seq), F.lit(" "))
-    out = docs.withColumn("n_sentences", count.cast("long")).withColumn("_s", F.when(some, F.filter(F.transform(sentences(BREAK), known), lambda x: x != "")).otherwise(none))
-    out = out.withColumn("n_license_sentences", F.size("_s").cast("long")).withColumn("sentence_ids", F.array_join("_s", "")).drop("_s")
+    out = docs.withColumn("n_sentences", count.cast("long")).withColumn("_storyspark_s", F.when(some, F.filter(F.transform(sentences(BREAK), known), lambda x: x != "")).otherwise(none))
+    out = out.withColumn("n_license_sentences", F.size("_storyspark_s").cast("long")).withColumn("sentence_ids", F.array_join("_storyspark_s", "")).drop("_storyspark_s")
     # few documents hold an identifier at all; the rules are only tried there
     out = out.withColumn("licenses", F.when(F.col("sentence_ids") == "", F.lit("")).otherwise(F.array_join(F.array_distinct(F.array_compact(F.array(*names))), ",")))
     return out.withColumn("license", F.when(F.col("licenses") == "", "none").otherwise(F.substring_index("licenses", ",", 1)))

@@ -288,7 +288,7 @@ def _deletions(docs: DataFrame, min_block: int) -> DataFrame:
             yield pairs(rest, [0, len(rest[0])])
 
     gone = rows.mapInArrow(run, "doc_id long, place int, h long")
-    return materialize(gone.groupBy("doc_id").agg(F.collect_list("place").alias("_places"), F.collect_list("h").alias("_hashes")))
+    return materialize(gone.groupBy("doc_id").agg(F.collect_list("place").alias("_storyspark_places"), F.collect_list("h").alias("_storyspark_hashes")))
 
 
 def dedup_lines(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
@@ -296,14 +296,15 @@ def dedup_lines(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
 
     Every document is compared with the earlier (smaller doc_id) documents that first hold one of its blocks. Null texts stay
     null with 0 lines; a text all of whose lines go becomes empty. A null doc_id is not compared. Rows that repeat a
-    doc_id are one document (a deletion holds for each row that has that line in that place) and don't delete from each other.
+    doc_id are one document (a deletion holds for each row that has that line in that place) and don't delete from each other. Texts of any length are read whole; an empty table gives an
+    empty one; other columns pass through, and columns named n_lines or n_removed are replaced.
     """
-    docs = without(docs, *COLUMNS, "_places", "_hashes")
+    docs = without(docs, *COLUMNS, "_storyspark_places", "_storyspark_hashes")
     names = docs.columns
     gone = _deletions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_block)
-    gone = gone.withColumnRenamed("doc_id", "_doc")
+    gone = gone.withColumnRenamed("doc_id", "_storyspark_doc")
     # the deletions grow with the corpus, so they are never broadcast by hint
-    joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left").drop("_doc")
+    joined = docs.join(gone, docs["doc_id"] == gone["_storyspark_doc"], "left").drop("_storyspark_doc")
     at, chars = names.index("text"), [i for i, x in enumerate(names) if x.lower() == "n_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

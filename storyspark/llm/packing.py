@@ -203,7 +203,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     """One row per piece of ``docs(doc_id, text)``: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     A document's ids are its text's ids and then id 0 (null text: empty, so one id). Only documents longer than ``capacity``
-    are cut. Every row is packed, repeated and null ids too. An empty table gives an empty result.
+    are cut. Every row is packed, repeated and null ids too. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     made = materialize(pieces(docs, capacity, tokenizer, with_ids))

@@ -156,7 +156,7 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs(text, ...)`` with n_assign, n_access, n_hex, base_sha256 and spans (``kind:start:end`` by start, then rule order).
 
     Starts and ends count code points, of the whole match. Null texts count as empty: no spans, and base_sha256 of the empty
-    string. Repeated rows are scanned each; existing columns of the result's names are replaced.
+    string. Repeated rows are scanned each, texts of any length whole, and an empty table gives an empty one; existing columns of the result's names are replaced.
     """
     docs = without(docs, *COLUMNS)
     names = docs.columns

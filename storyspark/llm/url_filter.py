@@ -57,8 +57,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     asked = urls.select("url", F.explode(shown).alias("_d")).withColumn("short", F.substring("_d", 1, PREFIX))
     met = asked.join(F.broadcast(rules) if n <= BROADCAST_RULES else rules, "short").where("_d = digest")
     best = met.groupBy("url").agg(F.max(F.struct((F.col("hl") + F.col("pl")).alias("l"), "hl", "rule", "r_verdict")).alias("_best"))
-    best = best.select(F.col("url").alias("_url"), F.col("_best.rule").alias("rule"), F.col("_best.r_verdict").alias("verdict"))
-    out = pages.join(best, pages["url"] == best["_url"], "left").drop("_url").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    best = best.select(F.col("url").alias("_storyspark_url"), F.col("_best.rule").alias("rule"), F.col("_best.r_verdict").alias("verdict"))
+    out = pages.join(best, pages["url"] == best["_storyspark_url"], "left").drop("_storyspark_url").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
     return out.withColumn("host", host).withColumn("path", path)
 
 

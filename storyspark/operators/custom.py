@@ -13,6 +13,7 @@ from storyspark.operators import learning, ordering, series
 from storyspark.operators.facts import FRACTION
 from storyspark.operators.text_metrics import SIGMOID, tension
 from storyspark.plans.dialect import LEXICONS, TOKEN, Dialect
+from storyspark.sources import vector_index
 from storyspark.streaming import outbox
 
 
@@ -273,7 +274,16 @@ def event_timeline_levels(spark, sf_dir):
     return s.join(F.broadcast(cut)).select("user_id", "importance", level.alias("level"))
 
 
+def vector_index_topk(spark, sf_dir):
+    """The ten nearest vectors of every vector whose id is divisible by 20, by an inverted-file index over all vectors."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    path = G.new_path(spark)
+    vector_index.build(v, path, 64)
+    return vector_index.search(v.where("id % 20 = 0").withColumnRenamed("id", "qid"), path).select("qid", "id", "place", F.round("cosine", 6).alias("cosine"))
+
+
 QUERIES = {f.__name__: f for f in (
+    vector_index_topk,
     paragraph_curves, curve_sampling, three_act_structure, four_phases, spaced_peaks, monotone_positions, chapter_parse, dialogue_spans, negation_sentiment, fixed_phrases, mtld, fuzzy_hits,
     pagerank, hits, louvain, components, component_summary, identity_components, textrank, lda_topics, lda_topic_words, word2vec, ridge_boundary, outbox_projection, outbox_stream, trailing_windows,
     containment_roots, interval_overlap, event_sort, action_order, run_paragraph_identity, weighted_roulette, topic_evolution, event_timeline_levels,

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass
 
 #: Digits and units of Chinese numerals.
-DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+DIGITS = {"零": 0, "〇": 0, "○": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 UNITS = {"十": 10, "百": 100, "千": 1000, "万": 10_000, "亿": 100_000_000}
 #: The encodings tried, in order.
 ENCODINGS = ("utf-8", "utf-8-sig", "gb18030", "gbk")
@@ -25,6 +24,30 @@ def decode(raw: bytes, encodings=ENCODINGS) -> str:
     raise ValueError("no encoding fits")
 
 
+def _run(digits: str) -> int:
+    """Value of a run of digits: from its first zero on they stand by place; of those before it the last one counts, in front of them."""
+    zero = next((i for i, c in enumerate(digits) if not DIGITS[c]), len(digits))
+    low = digits[zero:]
+    return (DIGITS[digits[zero - 1]] if zero else 0) * 10 ** len(low) + int("".join(str(DIGITS[c]) for c in low) or 0)
+
+
+def _value(text: str, unit: int = 1) -> int:
+    """Value of a numeral that follows ``unit``: split at its last 亿, then at its last 万, whose left side (1 if empty) they multiply."""
+    for mark in "亿万":
+        left, found, right = text.rpartition(mark)
+        if found:
+            return (_value(left) if left else 1) * UNITS[mark] + (_value(right, UNITS[mark]) if right else 0)
+    total = 0
+    for digits, mark in re.findall(r"([^十百千]*)([十百千]?)", text):
+        if mark:
+            unit = UNITS[mark]
+            total += (_run(digits) or 1) * unit
+        elif digits:
+            bare = all(DIGITS[c] for c in digits)  # a last digit without a zero before it stands for the next lower unit
+            total += _run(digits) * (unit // 10 if bare and unit > 10 else 1)
+    return total
+
+
 def numeral(text: str) -> int | None:
     """Value of an Arabic or Chinese numeral; a last digit after a unit above ten stands for the next unit (二百五 is 250); null if it is none."""
     text = unicodedata.normalize("NFKC", text or "").strip()
@@ -32,28 +55,13 @@ def numeral(text: str) -> int | None:
         return int(text)
     if not text or any(c not in DIGITS and c not in UNITS for c in text):
         return None
-    if all(c in DIGITS for c in text):
-        return int("".join(str(DIGITS[c]) for c in text))
-    total = section = 0
-    digit, last_unit, zero = None, 1, False
-    for c in text:
-        if c in DIGITS:
-            zero = zero or DIGITS[c] == 0
-            digit = DIGITS[c]
-            if digit == 0:
-                digit, last_unit = None, 1
-            continue
-        unit = UNITS[c]
-        if unit >= 10_000:
-            section += digit or 0
-            total = (total + section) * unit if unit == 100_000_000 else total + (section or 1) * unit
-            section = 0
-        else:
-            section += (1 if digit is None else digit) * unit
-        digit, last_unit, zero = None, unit, False
-    if digit is not None:
-        section += digit * (last_unit // 10 if last_unit >= 100 and not zero else 1)
-    return total + section
+    return _value(text)
+
+
+def label_number(label: str) -> int | None:
+    """The first numeral in a heading's label."""
+    found = (numeral(x) for x in re.findall(r"[零一二三四五六七八九十百千万两〇○\d]+", label or ""))
+    return next((n for n in found if n is not None), None)
 
 
 def normalize(text: str) -> str:
@@ -69,55 +77,6 @@ def preprocess(text: str) -> str:
     return re.sub(r"\n[ \t　]*(?:\n[ \t　]*)+", "\n\n", text).strip("\n")
 
 
-@dataclass(frozen=True)
-class Chapter:
-    sequence: int
-    number: int | None
-    title: str
-    start: int
-    end: int
-
-
-_HEADING = re.compile(r"^[ 　\t]*(?:第([0-9零〇一二两三四五六七八九十百千万]+)[章回节卷部集]|(?:Chapter|CHAPTER|Kapitel|Chapitre|Capítulo)\s+([0-9]+|[IVXLC]+)|(序章|序言|楔子|引子|尾声|番外|Prologue|Epilogue))[ 　:：.、-]*(.*)$", re.M)
-#: Longest heading line, in characters; longest automatic chapter where there are no headings.
-HEADING_LIMIT, AUTO_LIMIT = 40, 2000
-
-
-def chapters(text: str) -> list[Chapter]:
-    """Chapters of a text: from heading to heading; text before the first is a prologue; a table of contents is skipped; a
-    text without headings is cut at sentence or paragraph ends past half of ``AUTO_LIMIT``. Of a heading repeated in place, the longest body stays."""
-    found = [m for m in _HEADING.finditer(text) if len(m[0].strip()) <= HEADING_LIMIT]
-    lead = [m for m in found if m.start() < len(text) // 10]
-    while len(lead) >= 2 and not text[lead[0].end() : lead[1].start()].strip():
-        found.remove(lead.pop(0))
-        if len(lead) == 1 and any(m[0].strip() == lead[0][0].strip() for m in found if m is not lead[0]):
-            found.remove(lead[0])
-    spans: list[tuple[int | None, str, int, int]] = []
-    if not found:
-        at = 0
-        while at < len(text):
-            end = min(len(text), at + AUTO_LIMIT)
-            if end < len(text):
-                cut = max(text.rfind("\n\n", at + AUTO_LIMIT // 2, end), text.rfind("。", at + AUTO_LIMIT // 2, end))
-                end = cut + 1 if cut > 0 else end
-            spans.append((None, "", at, end))
-            at = end
-    else:
-        if text[: found[0].start()].strip():
-            spans.append((0, "", 0, found[0].start()))
-        for m, nxt in zip(found, [*[f.start() for f in found[1:]], len(text)]):
-            number = numeral(m[1] or m[2] or "") if (m[1] or m[2]) else None
-            spans.append((number, m[4].strip(), m.start(), nxt))
-    merged: list[tuple[int | None, str, int, int]] = []
-    for s in spans:
-        if merged and s[0] is not None and merged[-1][:2] == s[:2]:
-            if s[3] - s[2] >= merged[-1][3] - merged[-1][2]:
-                merged[-1] = s
-        else:
-            merged.append(s)
-    return [Chapter(i, *s) for i, s in enumerate(merged)]
-
-
 def dialogue_spans(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, closed) of quoted speech: outermost pairs; an unclosed quote runs to its line's end."""
     out, stack = [], []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from storyspark.functions import cjk
 from storyspark.functions import series as S
 from storyspark.operators import graph_algorithms as G
-from storyspark.operators import learning, ordering, series
+from storyspark.operators import chapters, learning, ordering, series
 from storyspark.operators.facts import FRACTION
 from storyspark.operators.text_metrics import SIGMOID, tension
 from storyspark.plans.dialect import LEXICONS, TOKEN, Dialect
@@ -71,7 +71,7 @@ def _map_text(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def chapter_parse(spark, sf_dir):
-    return _map_text(_documents(spark, sf_dir, "text"), lambda t: [(c.sequence, c.number, c.title, c.start, c.end) for c in cjk.chapters(cjk.preprocess(t))], "sequence int, number int, title string, start int, stop int")
+    return chapters.parse(_documents(spark, sf_dir, "text"))
 
 
 def dialogue_spans(spark, sf_dir):

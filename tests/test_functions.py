@@ -7,19 +7,11 @@ from storyspark.functions import cjk, series
 from storyspark.operators import graph_algorithms as G
 
 
-@pytest.mark.parametrize("text,value", [("二百五", 250), ("一百零五", 105), ("十二", 12), ("一万二", 12000), ("三千零五十", 3050), ("一亿二千万", 120000000), ("二〇二四", 2024), ("12", 12), ("abc", None), ("", None)])
+@pytest.mark.parametrize("text,value", [("二百五", 250), ("一百零五", 105), ("十二", 12), ("一万二", 12000), ("三千零五十", 3050), ("一亿二千万", 120000000), ("二〇二四", 2024), ("12", 12), ("abc", None), ("", None), ("万万", 100000000), ("一百○八", 108), ("万", 10000), ("十二万三千", 123000), ("一万二千五", 12500), ("一万〇一", 10001), ("一〇〇八", 1008), ("一千〇十", 1010), ("一千〇二三", 1023), ("〇五", 5), ("一〇八万", 1080000), ("三百二十一万四千五百六十七", 3214567), ("一亿零五万", 100050000), ("一万亿", 10**12), ("二十亿零三万", 2000030000), ("两", 2), ("１２", 12)])
 def test_numeral(text, value):
     assert cjk.numeral(text) == value
 
 
-def test_chapters():
-    text = "第一章 起\n内容一。\n第二章 承\n内容二。"
-    found = cjk.chapters(text)
-    assert [(c.number, c.title) for c in found] == [(1, "起"), (2, "承")]
-    assert "".join(text[c.start : c.end] for c in found) == text
-    assert cjk.chapters("") == []
-
-
 def test_spans():
     assert cjk.dialogue_spans("他说「你好『内』」。“未完\n下") == [(2, 9, True), (10, 13, False)]
     assert cjk.dialogue_spans('a "b" «c "d"» "e') == [(2, 5, True), (6, 13, True), (14, 16, False)]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyspark.functions import cjk, sequences
+from storyspark.operators.graph_algorithms import cut
 
 #: What a number, the marks after a label, and the ends of sentences are; where a heading that runs into its text breaks.
 NUM, MARKS, ENDS, BREAKS = r"[零一二三四五六七八九十百千万两〇○\p{Nd}]", "[：:、.—-]", "。！？…", " ，。！？；、,.!?;：:"
@@ -212,8 +213,8 @@ def parse(books: DataFrame) -> DataFrame:
 
     A null text is an empty book, which has one automatic chapter of no length; ids must be unique and not null.
     """
-    rows = without_contents(lines(books))
-    found = once(books, structured(rows, scored(rows)))
+    rows = cut(without_contents(lines(books)))  # some numbers a line: read three times, and the texts only once
+    found = cut(once(books, structured(rows, scored(rows))))
     rest = automatic(books.join(found.select("doc_id").distinct(), "doc_id", "left_anti"))
     names = ["doc_id", *COLUMNS.split(", ")]
     out = found.select(names).unionByName(rest.select(names))

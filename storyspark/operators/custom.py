@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyspark.functions import cjk
+from storyspark.functions import cjk, spans
 from storyspark.functions import series as S
 from storyspark.operators import graph_algorithms as G
-from storyspark.operators import chapters, learning, ordering, series
+from storyspark.operators import aliases, chapters, forest, learning, ordering, series
 from storyspark.operators.facts import FRACTION
 from storyspark.operators.text_metrics import SIGMOID, tension
 from storyspark.plans.dialect import LEXICONS, TOKEN, Dialect
@@ -274,6 +274,59 @@ def event_timeline_levels(spark, sf_dir):
     return s.join(F.broadcast(cut)).select("user_id", "importance", level.alias("level"))
 
 
+def emotion_spans(spark, sf_dir):
+    """Where the terms of all word lists stand in every document."""
+    return spans.emotion_spans(_documents(spark, sf_dir, "text"), [t for words in LEXICONS.values() for t in words], TOKEN)
+
+
+def alias_pairs(spark, sf_dir):
+    """Pairs of nations, customers, suppliers and parts of which one's name is inside the other's."""
+    return aliases.containment_pairs(_sql(spark, sf_dir, lambda d: ENTITIES))
+
+
+ENTITIES = "SELECT 'n' || n_nationkey AS id, n_name AS name FROM @nation UNION ALL SELECT 'c' || c_custkey, c_name FROM @customer UNION ALL SELECT 's' || s_suppkey, s_name FROM @supplier UNION ALL SELECT 'p' || p_partkey, p_name FROM @part"
+
+
+def _forest(spark, sf_dir):
+    """The log as a forest up to day 15: a user's events of one day are a tree (one under the other), an error runs into the next day, successive
+    events are causal unless the first is a view, and views, clicks and purchases set up, reinforce and pay off what a user's first event began."""
+    e = _sql(spark, sf_dir, lambda d: f"WITH {FOREST} SELECT * FROM ev")
+    events = e.select("event_id", F.col("ch").alias("chapter"), F.col("ch").alias("from_chapter"), F.col("until").alias("to_chapter"), F.col("event_id").alias("char_start"), (F.col("event_id") + 1).alias("char_end"))
+    links = e.where("nxt is not null").select(F.col("event_id").alias("relation_id"), F.col("event_id").alias("source"), F.col("nxt").alias("target"), F.when(F.col("event_type") != "view", "causal").otherwise("contrast").alias("type"), F.explode(F.array("ch", "nxt_ch")).alias("chapter"))
+    action = F.create_map(*map(F.lit, ("view", "setup", "click", "reinforce", "purchase", "payoff")))[F.col("event_type")]
+    actions = e.select(F.col("first").alias("source"), F.when(action == "payoff", F.col("event_id")).alias("target"), action.alias("action"), F.col("ch").alias("chapter"), F.col("event_id").alias("ord")).where("action is not null")
+    return forest.snapshot(
+        events, e.select(F.col("event_id").alias("owner"), F.col("ch").alias("chapter")), e.where("parent is not null").select(F.col("event_id").alias("id"), "parent"),
+        links.select("relation_id", "source", "target", "type").distinct(), links.select(F.col("relation_id").alias("owner"), "chapter"), actions, 15,
+    )
+
+
+FOREST = "ev AS (SELECT event_id, event_type, ch, CASE WHEN event_type = 'error' THEN ch + 1 ELSE ch END AS until, lag(event_id) OVER (PARTITION BY user_id, ch ORDER BY ts, event_id) AS parent, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, lead(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt_ch, first_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first FROM (SELECT *, CAST(EXTRACT(DAY FROM ts) AS BIGINT) AS ch FROM @events) t)"
+
+
+def event_forest(spark, sf_dir):
+    return _forest(spark, sf_dir).nodes.select("event_id", "tree_id", "parent_event_id", "cause_role", "event_ordinal")
+
+
+def event_forest_trees(spark, sf_dir):
+    return _forest(spark, sf_dir).trees.select("tree_id", F.array_join("chapters", ",").alias("chapters"), "char_start", "char_end", "nodes")
+
+
+def event_forest_edges(spark, sf_dir):
+    return _forest(spark, sf_dir).edges
+
+
+def event_forest_threads(spark, sf_dir):
+    return _forest(spark, sf_dir).threads
+
+
+def api_event_trees(spark, sf_dir):
+    """The first 20 trees by place, with the state of the thread that their root began."""
+    f = _forest(spark, sf_dir)
+    page = f.trees.orderBy("char_start", "tree_id").limit(20)
+    return page.join(f.threads, page["tree_id"] == f.threads["root_event_id"], "left").select("tree_id", F.array_join("chapters", ",").alias("chapters"), "nodes", "status")
+
+
 def vector_index_topk(spark, sf_dir):
     """The ten nearest vectors of every vector whose id is divisible by 20, by an inverted-file index over all vectors."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
@@ -283,7 +336,7 @@ def vector_index_topk(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_index_topk,
+    vector_index_topk, emotion_spans, alias_pairs, event_forest, event_forest_trees, event_forest_edges, event_forest_threads, api_event_trees,
     paragraph_curves, curve_sampling, three_act_structure, four_phases, spaced_peaks, monotone_positions, chapter_parse, dialogue_spans, negation_sentiment, fixed_phrases, mtld, fuzzy_hits,
     pagerank, hits, louvain, components, component_summary, identity_components, textrank, lda_topics, lda_topic_words, word2vec, ridge_boundary, outbox_projection, outbox_stream, trailing_windows,
     containment_roots, interval_overlap, event_sort, action_order, run_paragraph_identity, weighted_roulette, topic_evolution, event_timeline_levels,
@@ -300,7 +353,16 @@ def _hits_sql(d: Dialect) -> str:
     return f"WITH {d.edges()}, bw AS MATERIALIZED (SELECT a AS u, b AS v, CAST(w AS DOUBLE) AS w FROM edge UNION ALL SELECT b AS u, a AS v, CAST(w AS DOUBLE) AS w FROM edge), h0 AS (SELECT DISTINCT u AS node, 1e0 AS x FROM bw), {', '.join(steps)} SELECT h10.node, round(h10.x, 6) AS hub, round(a10.x, 6) AS authority FROM h10 JOIN a10 ON h10.node = a10.node"
 
 
+#: Nodes of the forest: whole events up to day 15; a parent counts where it is one too.
+FOREST_SQL = f"WITH RECURSIVE {FOREST}, node AS (SELECT event_id, ch, nxt, nxt_ch, event_type, first, CASE WHEN parent IN (SELECT event_id FROM ev WHERE until = ch) THEN parent END AS parent FROM ev WHERE ch <= 15 AND until = ch), tree AS (SELECT event_id, event_id AS tree_id FROM node WHERE parent IS NULL UNION ALL SELECT node.event_id, tree_id FROM node JOIN tree ON node.parent = tree.event_id)"
+
 ORACLES = {
+    "alias_pairs": lambda d: f"WITH e AS ({ENTITIES}), n AS (SELECT DISTINCT name FROM e), p AS (SELECT x.name AS short_name, y.name AS long_name FROM n x JOIN n y ON length(x.name) >= 2 AND x.name <> y.name AND strpos(y.name, x.name) > 0) SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, short_name, long_name FROM p JOIN e a ON a.name = short_name JOIN e b ON b.name = long_name",
+    "event_forest": lambda d: FOREST_SQL + " SELECT node.event_id, tree_id, parent AS parent_event_id, CASE WHEN parent IS NULL THEN 'root' ELSE 'main' END AS cause_role, row_number() OVER (ORDER BY ch, node.event_id) - 1 AS event_ordinal FROM node JOIN tree ON node.event_id = tree.event_id",
+    "event_forest_trees": lambda d: FOREST_SQL + " SELECT tree_id, string_agg(DISTINCT ch::VARCHAR, ',') AS chapters, min(node.event_id) AS char_start, max(node.event_id) + 1 AS char_end, count(*) AS nodes FROM node JOIN tree ON node.event_id = tree.event_id GROUP BY tree_id",
+    "event_forest_edges": lambda d: FOREST_SQL + " SELECT event_id AS relation_id, event_id AS source, nxt AS target FROM node WHERE event_type <> 'view' AND nxt_ch <= 15 AND nxt IN (SELECT event_id FROM node)",
+    "event_forest_threads": lambda d: FOREST_SQL + ", act AS (SELECT first AS root, event_id, ch, CASE event_type WHEN 'view' THEN 'setup' WHEN 'click' THEN 'reinforce' WHEN 'purchase' THEN 'payoff' END AS action FROM ev WHERE ch <= 15 AND event_type IN ('view', 'click', 'purchase') AND first IN (SELECT event_id FROM node)), r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ch DESC, event_id DESC) AS n, min(ch) OVER (PARTITION BY root) AS begun FROM act) SELECT root AS root_event_id, begun AS first_chapter, ch AS last_chapter, CASE WHEN action = 'payoff' THEN event_id END AS payoff_event_id, CASE action WHEN 'setup' THEN 'open' WHEN 'reinforce' THEN 'reinforced' ELSE 'likely_paid_off' END AS status, action <> 'payoff' AS active FROM r WHERE n = 1",
+    "api_event_trees": lambda d: f"SELECT t.tree_id, chapters, nodes, status FROM (SELECT * FROM ({ORACLES['event_forest_trees'](d)}) t ORDER BY char_start, tree_id LIMIT 20) t LEFT JOIN ({ORACLES['event_forest_threads'](d)}) h ON h.root_event_id = t.tree_id",
     "hits": _hits_sql,
     # an order has one customer, so a customer's component is the customer and the customer's orders
     "components": lambda d: "SELECT DISTINCT o_custkey AS node, o_custkey AS component FROM @orders UNION ALL SELECT 1099511627776 + o_orderkey AS node, o_custkey AS component FROM @orders",

@@ -49,7 +49,6 @@ QUERIES = {
     "asof_per_row": lambda d: f"WITH {LOG}, m AS (SELECT event_id, entity, kind, max(CASE WHEN kind = 'purchase' THEN event_id END) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state_event FROM log) SELECT event_id, entity, state_event FROM m WHERE kind = 'error'",
     "point_in_span": lambda d: f"WITH s AS ({d.explode('doc_id', d.lines('text'), '@documents', 'pid', 'txt')}), o AS (SELECT doc_id, pid, sum(length(txt)) OVER (PARTITION BY doc_id ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e, length(txt) AS n FROM s) SELECT l.doc_id, o.pid FROM @labels l JOIN o ON l.doc_id = o.doc_id AND 100 >= o.e - o.n AND 100 < o.e",
     "interval_overlap": _q("WITH iv AS (SELECT o_custkey AS k, min(o_orderkey) AS s, max(o_orderkey) AS e FROM @orders GROUP BY o_custkey) SELECT a.k, count(*) AS overlaps FROM iv a JOIN iv b ON a.k <> b.k AND b.s < a.e AND b.e > a.s GROUP BY a.k"),
-    "alias_pairs": _q("SELECT a.n_name AS short_name, b.n_name AS long_name FROM @nation a JOIN @nation b ON a.n_nationkey <> b.n_nationkey AND length(a.n_name) < length(b.n_name) AND length(a.n_name) >= 2 AND substr(b.n_name, 1, 1) = substr(a.n_name, 1, 1)"),
     "alias_rewrite": _q("WITH rep AS (SELECT n_nationkey AS id, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS rep FROM @nation) SELECT coalesce(r.rep, c.c_nationkey) AS entity, count(*) AS n FROM @customer c LEFT JOIN rep r ON c.c_nationkey = r.id GROUP BY coalesce(r.rep, c.c_nationkey)"),
     "preferred_alias": lambda d: f"SELECT n_regionkey, {d.any_min('n_name', 'n_nationkey')} AS preferred FROM @nation GROUP BY n_regionkey",
     "dangling_references": _q("SELECT e.event_id FROM @events e WHERE EXISTS (SELECT 1 FROM @customer c WHERE c.c_custkey = e.user_id)"),

@@ -34,7 +34,6 @@ QUERIES = {
     "top_level_page": lambda d: f"SELECT event_id FROM @events e WHERE NOT EXISTS (SELECT 1 FROM @events p WHERE p.event_id = {d.idiv('e.event_id', '10')} AND e.event_id >= 10) ORDER BY event_id LIMIT 20",
     "single_parent_check": lambda d: f"SELECT count(*) AS violations FROM (SELECT event_id FROM (SELECT event_id, {d.idiv('event_id', '10')} AS parent FROM @events) t GROUP BY event_id HAVING count(DISTINCT parent) > 1) v",
     "event_tree_counts": lambda d: "SELECT count(*) AS events, count(DISTINCT user_id) AS trees, count(DISTINCT event_type) AS kinds FROM @events",
-    "event_forest": lambda d: f"SELECT user_id AS tree, count(*) AS nodes, min(event_id) AS root, {d.any_max('event_id', d.struct('value', '-event_id'))} AS climax FROM @events GROUP BY user_id",
     "event_timeline_levels": lambda d: "WITH s AS (SELECT user_id, round(0.4 * count(*) / 100 + 0.3 * avg(value) / 50, 2) AS importance FROM @events GROUP BY user_id), q AS (SELECT user_id, importance, row_number() OVER (ORDER BY importance, user_id) AS i, count(*) OVER () AS n FROM s), c AS (SELECT max(CASE WHEN i = CAST(floor(n * 66 / 100) AS BIGINT) + 1 THEN importance END) AS hi, max(CASE WHEN i = CAST(floor(n * 33 / 100) AS BIGINT) + 1 THEN importance END) AS lo FROM q) SELECT user_id, importance, CASE WHEN importance >= hi THEN 'major' WHEN importance >= lo THEN 'minor' ELSE 'detail' END AS level FROM q CROSS JOIN c",
     "causal_edges": lambda d: "SELECT event_id AS source, nxt AS target FROM (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, EXTRACT(DAY FROM ts) AS ch FROM @events) t WHERE nxt IS NOT NULL AND ch <= 20",
     "event_search": lambda d: "SELECT event_id, event_type FROM @events WHERE lower(concat(event_type, ' ', props)) LIKE '%purch%' ORDER BY event_id LIMIT 50",

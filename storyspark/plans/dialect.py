@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 #: The tokenizer's pattern: runs of ASCII letters and digits or of CJK ideographs.
-TOKEN = "[A-Za-z0-9]+"
+TOKEN = "[A-Za-z0-9]+|[\u4e00-\u9fff]+"
 #: Small word lists (kind -> terms) of the examples; operators take any lists.
 LEXICONS = {"pos": ("the", "le", "der", "el", "her"), "neg": ("of", "la", "und", "los"), "fight": ("st", "eux", "ge", "rr")}
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from storyspark.functions import cjk, spans
 from storyspark.functions import series as S
 from storyspark.operators import graph_algorithms as G
-from storyspark.operators import aliases, chapters, forest, learning, ordering, series
+from storyspark.operators import aliases, chapters, communities, forest, learning, ordering, series
 from storyspark.operators.facts import FRACTION
 from storyspark.operators.text_metrics import SIGMOID, tension
 from storyspark.plans.dialect import LEXICONS, TOKEN, Dialect
@@ -119,7 +119,7 @@ def hits(spark, sf_dir):
 
 
 def louvain(spark, sf_dir):
-    return G.louvain(_edges(spark, sf_dir).withColumn("run", F.lit(0)))
+    return communities.louvain(_edges(spark, sf_dir)).withColumn("run", F.lit(0))
 
 
 def components(spark, sf_dir):

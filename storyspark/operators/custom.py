@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from storyspark.functions import cjk, spans
 from storyspark.functions import series as S
 from storyspark.operators import graph_algorithms as G
-from storyspark.operators import aliases, chapters, communities, forest, learning, ordering, series
+from storyspark.operators import aliases, chapters, communities, dependency, forest, learning, ordering, series
 from storyspark.operators.facts import FRACTION
 from storyspark.operators.text_metrics import SIGMOID, tension
 from storyspark.plans.dialect import LEXICONS, TOKEN, Dialect
-from storyspark.sources import vector_index
-from storyspark.streaming import outbox
+from storyspark.sources import contributions, vector_index
+from storyspark.streaming import outbox, subscription
 
 
 def _sql(spark: SparkSession, sf_dir: str, build) -> DataFrame:
@@ -335,7 +335,52 @@ def vector_index_topk(spark, sf_dir):
     return vector_index.search(v.where("id % 20 = 0").withColumnRenamed("id", "qid"), path).select("qid", "id", "place", F.round("cosine", 6).alias("cosine"))
 
 
+def _consumed(spark, sf_dir):
+    """The folder of a consumer that the log has reached in four parts of successive messages: it is started anew for each, and each is a batch."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.concat(F.lit("m"), "event_id").alias("message_key"), F.concat("event_type", F.lit(";")).alias("text"))
+    folder, top = G.new_path(spark), e.agg(F.max("seq")).first()[0] or 0
+    for part in range(4):
+        e.where(F.expr(f"seq * 4 div {top + 1}") == part).write.parquet(f"{folder}/in/{part}")
+        log = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        subscription.consume(log, f"{folder}/sink").awaitTermination()
+    return f"{folder}/sink"
+
+
+def durable_consumer(spark, sf_dir):
+    """Every run's state after the whole log has gone through the consumer in four batches."""
+    return subscription.connect(spark, _consumed(spark, sf_dir))[0]
+
+
+def subscription_deltas(spark, sf_dir):
+    """Of a subscription at the second of four batches: each run's cursor, and how many messages came after it, up to which."""
+    folder = _consumed(spark, sf_dir)
+    snapshot, at = subscription.connect(spark, folder, 1)
+    more = subscription.deltas(spark, folder, at).groupBy("run_id").agg(F.count("*").alias("more"), F.max("seq").alias("up_to"))
+    return snapshot.select("run_id", F.col("last_seq").alias("cursor")).join(more, "run_id", "full_outer").select("run_id", "cursor", F.coalesce("more", F.lit(0)).alias("more"), "up_to")
+
+
+def contribution_replay(spark, sf_dir):
+    """Facts of all orders, contributed by the market segments of their customers, twice: rows, entities and what each write appended."""
+    o, c = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    facts = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("producer"), F.col("c_name").alias("name"), F.col("o_orderkey").alias("fact"))
+    path, dims = G.new_path(spark), {"entity": ["name"]}
+    first, second = contributions.contribute(facts, path, dims), contributions.contribute(facts, path, dims)
+    stored = spark.read.parquet(f"{path}/facts").groupBy("producer").agg(F.count("*").alias("stored"), F.count_distinct("entity_id").alias("entities"))
+    return first.join(second.select("producer", F.col("appended").alias("appended_again")), "producer").join(stored, "producer").select("producer", "rows", "appended", "appended_again", "stored", "entities")
+
+
+def dependency_depth(spark, sf_dir):
+    """Depth statistics of orders read as sentences: lines, by part and supplier, are tokens, and a line's head is the token that its part points to."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey")
+    rows = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey"))).alias("t"))
+    rows = rows.select("l_orderkey", F.transform("t", lambda x: (x["l_partkey"] % (F.size("t") + 2)).cast("int")).alias("h"), F.transform("t", lambda x: F.concat(F.lit("r"), (x["l_suppkey"] % 3).cast("string"))).alias("r"))
+    out = dependency.statistics(rows, "h", "r")
+    return out.select("l_orderkey", *[F.col(c).cast("long").alias(c) for c in ("n_nodes", "n_roots", "depth_sum", "depth_max")], F.coalesce(F.col("relation_counts")["r0"], F.lit(0)).cast("long").alias("r0"))
+
+
 QUERIES = {f.__name__: f for f in (
+    dependency_depth,
+    durable_consumer, subscription_deltas, contribution_replay,
     vector_index_topk, emotion_spans, alias_pairs, event_forest, event_forest_trees, event_forest_edges, event_forest_threads, api_event_trees,
     paragraph_curves, curve_sampling, three_act_structure, four_phases, spaced_peaks, monotone_positions, chapter_parse, dialogue_spans, negation_sentiment, fixed_phrases, mtld, fuzzy_hits,
     pagerank, hits, louvain, components, component_summary, identity_components, textrank, lda_topics, lda_topic_words, word2vec, ridge_boundary, outbox_projection, outbox_stream, trailing_windows,
@@ -357,6 +402,11 @@ def _hits_sql(d: Dialect) -> str:
 FOREST_SQL = f"WITH RECURSIVE {FOREST}, node AS (SELECT event_id, ch, nxt, nxt_ch, event_type, first, CASE WHEN parent IN (SELECT event_id FROM ev WHERE until = ch) THEN parent END AS parent FROM ev WHERE ch <= 15 AND until = ch), tree AS (SELECT event_id, event_id AS tree_id FROM node WHERE parent IS NULL UNION ALL SELECT node.event_id, tree_id FROM node JOIN tree ON node.parent = tree.event_id)"
 
 ORACLES = {
+    # a token's chain is followed to a root, out of the sentence, or to a token that it has met: those it met since are a cycle
+    "dependency_depth": lambda d: "WITH RECURSIVE t AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) AS d, l_partkey % (count(*) OVER (PARTITION BY l_orderkey) + 2) AS h, l_suppkey % 3 AS r FROM @lineitem), w AS (SELECT o, d, d AS cur, [d] AS path, false AS met FROM t UNION ALL SELECT w.o, w.d, t.h, list_append(path, t.h), list_contains(path, t.h) FROM w JOIN t ON w.o = t.o AND w.cur = t.d WHERE t.h <> 0 AND NOT met), e AS (SELECT o, d, len(path) AS n, met, CASE WHEN met THEN list_position(path, cur) END AS enters FROM w QUALIFY row_number() OVER (PARTITION BY o, d ORDER BY len(path) DESC) = 1), k AS (SELECT o, d, CASE WHEN met THEN enters ELSE n - 1 END AS depth FROM e) SELECT t.o AS l_orderkey, count(*) AS n_nodes, count(CASE WHEN h = 0 THEN 1 END) AS n_roots, CAST(sum(depth) AS BIGINT) AS depth_sum, max(depth) AS depth_max, count(CASE WHEN r = 0 THEN 1 END) AS r0 FROM t JOIN k ON t.o = k.o AND t.d = k.d GROUP BY t.o",
+    "durable_consumer": lambda d: ORACLES["outbox_projection"](d),
+    "subscription_deltas": lambda d: "WITH p AS (SELECT *, event_id * 4 // (SELECT max(event_id) + 1 FROM @events) AS part FROM @events), c AS (SELECT user_id, max(CASE WHEN part <= 1 THEN event_id END) AS cursor FROM p GROUP BY user_id) SELECT p.user_id AS run_id, any_value(cursor) AS cursor, count(CASE WHEN part > 1 THEN 1 END) AS more, max(CASE WHEN part > 1 THEN event_id END) AS up_to FROM p JOIN c ON p.user_id = c.user_id GROUP BY p.user_id",
+    "contribution_replay": lambda d: "SELECT c_mktsegment AS producer, count(*) AS rows, true AS appended, false AS appended_again, count(*) AS stored, count(DISTINCT c_name) AS entities FROM @orders JOIN @customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
     "alias_pairs": lambda d: f"WITH e AS ({ENTITIES}), n AS (SELECT DISTINCT name FROM e), p AS (SELECT x.name AS short_name, y.name AS long_name FROM n x JOIN n y ON length(x.name) >= 2 AND x.name <> y.name AND strpos(y.name, x.name) > 0) SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, short_name, long_name FROM p JOIN e a ON a.name = short_name JOIN e b ON b.name = long_name",
     "event_forest": lambda d: FOREST_SQL + " SELECT node.event_id, tree_id, parent AS parent_event_id, CASE WHEN parent IS NULL THEN 'root' ELSE 'main' END AS cause_role, row_number() OVER (ORDER BY ch, node.event_id) - 1 AS event_ordinal FROM node JOIN tree ON node.event_id = tree.event_id",
     "event_forest_trees": lambda d: FOREST_SQL + " SELECT tree_id, string_agg(DISTINCT ch::VARCHAR, ',') AS chapters, min(node.event_id) AS char_start, max(node.event_id) + 1 AS char_end, count(*) AS nodes FROM node JOIN tree ON node.event_id = tree.event_id GROUP BY tree_id",

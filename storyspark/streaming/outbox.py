@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -52,13 +52,36 @@ def project(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
     return timed.groupBy("run_id").applyInPandasWithState(run, OUT, "last_seq long, messages long, tail string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def project_batch(messages: DataFrame) -> DataFrame:
-    """The same projection over a whole log."""
+def tails(messages: DataFrame, size: int = TAIL) -> DataFrame:
+    """(run_id, last_seq, messages, tail) of ``messages(run_id, seq, text)``: the last ``size`` characters of the texts in order.
+
+    Only the messages that reach into the tail are gathered: at most ``size`` of a run that have any text.
+    """
+    whole = messages.groupBy("run_id").agg(F.max("seq").alias("last_seq"), F.count("*").alias("messages"))
+    newest = Window.partitionBy("run_id").orderBy(F.desc("seq"), F.desc("text")).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    reach = messages.where(F.coalesce("text", F.lit("")) != "").withColumn("after", F.coalesce(F.sum(n).over(newest), F.lit(0))).where(F.col("after") < size)
+    parts = reach.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["text"]), "")
+    tail = parts.select("run_id", F.when(F.char_length(text) > size, F.right(text, F.lit(size))).otherwise(text).alias("tail"))
+    return whole.join(tail, "run_id", "left").select("run_id", "last_seq", "messages", F.coalesce("tail", F.lit("")).alias("tail"))
+
+
+def folded(state: DataFrame | None, messages: DataFrame, size: int = TAIL) -> DataFrame:
+    """The projection of each run after more ``messages(run_id, seq, text)``: those at or before its cursor are ignored, a repeated seq counts once."""
+    messages = messages.groupBy("run_id", "seq").agg(F.min("text").alias("text"))
+    if state is None:
+        return tails(messages, size)
+    cursor = state.select("run_id", F.col("last_seq").alias("cursor"), F.col("messages").alias("had"), F.col("tail").alias("before"))
+    later = messages.join(cursor.select("run_id", "cursor"), "run_id", "left").where(F.col("cursor").isNull() | (F.col("seq") > F.col("cursor"))).drop("cursor")
+    new = tails(later, size)
+    text = F.concat(F.coalesce("before", F.lit("")), "tail")
+    return new.join(cursor, "run_id", "left").select("run_id", "last_seq", (F.col("messages") + F.coalesce("had", F.lit(0))).alias("messages"), F.when(F.char_length(text) > size, F.right(text, F.lit(size))).otherwise(text).alias("tail"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf["run_id"].iloc[0], *fold((-1, 0, ""), pdf))], columns=["run_id", "last_seq", "messages", "tail"])
 
-    return messages.groupBy("run_id").applyInPandas(run, OUT)
+def project_batch(messages: DataFrame) -> DataFrame:
+    """The same projection over a whole log."""
+    return folded(None, messages)
 
 
 def replay(messages: DataFrame, cursor: int, page: int = 128) -> DataFrame:

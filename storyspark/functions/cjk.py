@@ -172,15 +172,6 @@ def sentiment(text: str, positive, negative) -> tuple[int, int]:
     return pos, neg
 
 
-def fixed_phrases(text: str, lexicon, n: int = 4) -> list[tuple[int, int, str]]:
-    """Lexicon phrases, longest first, and the remaining runs of ideographs cut in fours."""
-    out = [(s, e, "lexicon") for s, e, _ in term_spans(text, lexicon)]
-    covered = {i for s, e, _ in out for i in range(s, e)}
-    for m in re.finditer(r"[一-鿿]+", "".join("\n" if i in covered else c for i, c in enumerate(text))):
-        out += [(i, i + n, "run") for i in range(m.start(), m.end() - n + 1, n)]
-    return sorted(out)
-
-
 def nth_quote(text: str, quote: str | None, k: int = 1) -> tuple[int, int]:
     """Span of the ``k``-th (overlapping) occurrence of a quote; the whole text without one; an absent occurrence is an error."""
     if not quote:

@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyspark.functions import cjk, spans
+from storyspark.functions import cjk, sequences, spans
 from storyspark.functions import series as S
 from storyspark.operators import graph_algorithms as G
-from storyspark.operators import aliases, chapters, communities, dependency, forest, learning, ordering, series
+from storyspark.operators import aliases, chapters, communities, dependency, forest, learning, ordering, series, skipgram
 from storyspark.operators.facts import FRACTION
 from storyspark.operators.text_metrics import SIGMOID, tension
 from storyspark.plans.dialect import LEXICONS, TOKEN, Dialect
@@ -83,7 +83,14 @@ def negation_sentiment(spark, sf_dir):
 
 
 def fixed_phrases(spark, sf_dir):
-    return _map_text(_documents(spark, sf_dir, "text"), lambda t: cjk.fixed_phrases(t, ["licensed under", "license"]), "start int, stop int, kind string")
+    automaton = spark.sparkContext.broadcast(spans.Automaton(["licensed under", "license"]))
+    return _map_text(_documents(spark, sf_dir, "text"), lambda t: spans.fixed_phrases(t, automaton.value), "start int, stop int, kind string")
+
+
+def turn_containment(spark, sf_dir):
+    """How much of every turn the turn before it holds in order (null where the turn is short or the first)."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.select("conv_id", "turn", F.round(sequences.contained(F.col("text"), F.col("before")), 6).alias("ratio"))
 
 
 def mtld(spark, sf_dir):
@@ -378,7 +385,27 @@ def dependency_depth(spark, sf_dir):
     return out.select("l_orderkey", *[F.col(c).cast("long").alias(c) for c in ("n_nodes", "n_roots", "depth_sum", "depth_max")], F.coalesce(F.col("relation_counts")["r0"], F.lit(0)).cast("long").alias("r0"))
 
 
+def word2vec_warm(spark, sf_dir):
+    """Word vectors trained on from those of a first training: how far each word moved."""
+    docs = _tokens(spark, sf_dir)
+    given = learning.fit_word2vec(docs, size=16, min_count=5)
+    out = skipgram.train(docs, 16, given, epochs=1).vectors
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    both = out.join(given.select("word", F.col("vector").cast("array<double>").alias("given")), "word", "left")
+    return both.select("word", "known", F.round(dot("vector", "given") / F.sqrt(dot("vector", "vector") * dot("given", "given")), 6).alias("kept"), F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+def topic_model_artifact(spark, sf_dir):
+    """Inference by a topic model that was saved and loaded again."""
+    docs, path = _tokens(spark, sf_dir), G.new_path(spark)
+    learning.save_topic_model(spark, path, *learning.fit_lda(docs, k=5), labels={0: "first"})
+    loaded = learning.load_topic_model(spark, path)
+    out = learning.infer_lda(docs, loaded.words, loaded.model)
+    return out.select("doc_id", "status", "n_tokens", F.transform("weights", lambda x: F.round(x, 6)).alias("weights"), F.lit(loaded.reason).cast("string").alias("reason"))
+
+
 QUERIES = {f.__name__: f for f in (
+    word2vec_warm, topic_model_artifact, turn_containment,
     dependency_depth,
     durable_consumer, subscription_deltas, contribution_replay,
     vector_index_topk, emotion_spans, alias_pairs, event_forest, event_forest_trees, event_forest_edges, event_forest_threads, api_event_trees,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import pandas as pd
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, Word2Vec
+from pyspark.ml.clustering import LDA, LocalLDAModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,39 @@ def infer_lda(docs: DataFrame, words, model, tokens: str = "tokens") -> DataFram
     return out.withColumn("n_tokens", n).withColumn("status", status).withColumn("weights", weights).drop("bow", "topicDistribution")
 
 
+@dataclass
+class TopicModel:
+    """A saved topic model; where it cannot be had, ``reason`` says why and the rest is null."""
+
+    words: CountVectorizerModel | None = None
+    model: LocalLDAModel | None = None
+    labels: dict[int, str] = field(default_factory=dict)
+    reason: str | None = None
+
+
+def save_topic_model(spark: SparkSession, path: str, words: CountVectorizerModel, model, labels: dict[int, str] | None = None) -> None:
+    """Write a topic model with its dictionary and labels to a shared folder; the labels come last, so a folder without them is not whole."""
+    words.write().overwrite().save(f"{path}/words")
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(int(k), v) for k, v in (labels or {}).items()], "topic int, label string").coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+
+
+def load_topic_model(spark: SparkSession, path: str) -> TopicModel:
+    """The model under ``path``: missing folders and broken files are a reason, not an exception."""
+    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    try:
+        for part in ("", "/words", "/model", "/labels"):
+            if not fs(path + part):
+                return TopicModel(reason=f"topic_model_artifact_missing: {path}{part}")
+        words, model = CountVectorizerModel.load(f"{path}/words"), LocalLDAModel.load(f"{path}/model")
+        labels = {r["topic"]: r["label"] for r in spark.read.schema("topic int, label string").parquet(f"{path}/labels").collect()}  # as many as topics
+    except Exception as e:  # the readers raise whatever a broken file makes them meet; the reason keeps it
+        return TopicModel(reason=f"topic_model_load_failed: {str(e).splitlines()[0] if str(e) else type(e).__name__}")
+    if model.vocabSize() != len(words.vocabulary):
+        return TopicModel(reason=f"topic_model_load_failed: {model.vocabSize()} words in the model, {len(words.vocabulary)} in its dictionary")
+    return TopicModel(words, model, labels)
+
+
 def topic_words(words, model, n: int = 10) -> DataFrame:
     """(topic, place, word, weight)."""
     vocab = words_table(model.describeTopics(1).sparkSession, words.vocabulary)

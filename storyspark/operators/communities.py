@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from storyspark.operators.graph_algorithms import cut
 
 #: Shares of the moves that are tried (one node in so many), rounds of a level and levels at most.
-SHARES, ROUNDS, LEVELS = (1, 2, 4, 16, 64, 256), 64, 40
+SHARES, ROUNDS, LEVELS = (1, 2, 8, 64), 64, 40
 #: Gain of modularity below which a round does not count.
-LEAST = 1e-7
+LEAST = 1e-5
 
 
 def _matrix(edges: DataFrame) -> DataFrame:

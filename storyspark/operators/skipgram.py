@@ -65,11 +65,11 @@ def _learn(w_in: np.ndarray, w_out: np.ndarray, centre: np.ndarray, context: np.
     loss = float((np.logaddexp(0, -s) * use).sum())
     g = use * sign / (1 + np.exp(np.clip(s, -60, 60)))
     for w, rows, grad in ((w_in, centre, np.einsum("bk,bkd->bd", g, y)), (w_out, target.ravel(), (g[..., None] * x[:, None]).reshape(-1, x.shape[1]))):
-        sums = np.zeros_like(w)
-        np.add.at(sums, rows, grad)
+        order = np.argsort(rows, kind="stable")
+        word, first, n = np.unique(rows[order], return_index=True, return_counts=True)
+        sums = np.add.reduceat(grad[order], first, 0)
         # a word of very many pairs would overshoot: it goes STEPS mean steps at most
-        n = np.bincount(rows, minlength=len(w))[:, None]
-        w += rate * sums * np.minimum(1, STEPS / np.maximum(n, 1))
+        w[word] += rate * sums * np.minimum(1, STEPS / n)[:, None]
     return loss
 
 
@@ -117,8 +117,9 @@ def train(docs: DataFrame, size: int, pretrained: DataFrame | None = None, token
                     part = order[at : at + BATCH]
                     negative = np.searchsorted(noise, rng.random((len(part), negatives)))
                     loss += _learn(w_in, w_out, centre[part], context[part], negative, step_rate)
-                    n_in += np.bincount(centre[part], minlength=len(names))
-                    n_out += np.bincount(context[part], minlength=len(names)) + np.bincount(negative.ravel(), minlength=len(names))
+                    np.add.at(n_in, centre[part], 1)
+                    np.add.at(n_out, context[part], 1)
+                    np.add.at(n_out, negative.ravel(), 1)
                     seen += len(part)
             out = [(-1, 0, seen, [loss / seen])] if seen else []
             for kind, w, n in ((0, w_in, n_in), (1, w_out, n_out)):

@@ -57,15 +57,22 @@ _ATTR = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: Parts of a class name that says what a page has or lacks, not what the element is; elements whose names are of the page, and those that only whole names speak of.
+_STATES, _OF_PAGE, _WHOLE_ONLY = {"no", "not", "has", "have", "with", "without", "hide", "show", "free", "enabled", "disabled"}, {"html", "body"}, {"article", "main"}
+
+
 @functools.lru_cache(65536)
-def _hints(value: str) -> frozenset[str]:
+def _hints(value: str, whole_only: bool = False) -> frozenset[str]:
     out = set()
     for name in value.lower().split():
         whole = _HINT_OF.get(name)
         if whole:
             out.add(whole)
             continue
-        for part in re.split(r"[^a-z0-9]+", name):
+        parts = re.split(r"[^a-z0-9]+", name)
+        if whole_only or (len(parts) > 1 and not _STATES.isdisjoint(parts)):
+            continue
+        for part in parts:
             g = _HINT_OF.get(part)
             if g:
                 out.add(g)
@@ -81,6 +88,8 @@ class Block:
         self.tags, self.hints, self.own, self.parts, self.linked, self.text = tags, hints, own, [], 0, ""
 
 
+#: A comment may end right after it began, and later at either mark.
+_COMMENT_END, _COMMENT_ENDS = re.compile(r"-?>"), re.compile(r"--!?>")
 _HEAD, _BLANK, _BARE = re.compile(r"[^>=]*"), re.compile(r"[ \t\n\f\r]*"), re.compile(r"[^\s>]*")
 
 
@@ -181,8 +190,8 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         add(page[at:lt])
         if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
+            close = _COMMENT_END.match(page, lt + 4) or _COMMENT_ENDS.search(page, lt + 4)
+            at = close.end() if close else n
             continue
         end = _tag_end(page, lt + 1, unclosed)
         if end < 0:
@@ -215,7 +224,8 @@ def leaf_blocks(page: str) -> list[Block]:
         inside = page[m.end() : end]
         if inside.strip(" /"):
             attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(inside)}
-            hints = _hints(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".strip())
+            if name not in _OF_PAGE:
+                hints = _hints(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".strip(), name in _WHOLE_ONLY)
             if "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style", "")):
                 hints |= {"hidden"}
         if name in RAW:

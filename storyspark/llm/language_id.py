@@ -9,11 +9,11 @@ whose runner-up is close is flagged ambiguous. The classifiers are fitted on cou
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,8 @@ AMBIGUOUS = 0.6
 FOLDS = 5
 UNDETERMINED = "und"
 COLUMNS = ("held_out", "lang_pred", "score", "ambiguous")
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter: category L, so neither number signs (½, ②, Ⅷ) nor marks.
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = K.LOWER.copy()
 for _b in range(128):
     if not (65 <= _b <= 90 or 97 <= _b <= 122):

@@ -416,13 +416,13 @@ QUERIES = {f.__name__: f for f in (
 
 
 def _hits_sql(d: Dialect) -> str:
-    """Ten rounds of HITS, spelt out."""
-    steps, h = [], "h0"
-    for i in range(1, 11):
-        for new, raw, old, of, to in ((f"a{i}", f"ra{i}", h, "u", "v"), (f"h{i}", f"rh{i}", f"a{i}", "v", "u")):
-            steps.append(f"{raw} AS MATERIALIZED (SELECT {to} AS node, sum(x * w) AS x FROM bw JOIN {old} ON bw.{of} = {old}.node GROUP BY {to}), {new} AS MATERIALIZED (SELECT node, x / (SELECT sum(x) FROM {raw}) AS x FROM {raw})")
-        h = f"h{i}"
-    return f"WITH {d.edges()}, bw AS MATERIALIZED (SELECT a AS u, b AS v, CAST(w AS DOUBLE) AS w FROM edge UNION ALL SELECT b AS u, a AS v, CAST(w AS DOUBLE) AS w FROM edge), h0 AS (SELECT DISTINCT u AS node, 1e0 AS x FROM bw), {', '.join(steps)} SELECT h10.node, round(h10.x, 6) AS hub, round(a10.x, 6) AS authority FROM h10 JOIN a10 ON h10.node = a10.node"
+    """Thirty rounds of authority from hub from authority, spelt out (its sixth decimals stand long before), then the hubs."""
+    pull = lambda x: f"SELECT u AS node, sum(x * w) AS x FROM bw JOIN {x} ON bw.v = {x}.node GROUP BY u"
+    steps, at = [], "a0"
+    for i in range(1, 31):
+        steps.append(f"h{i} AS MATERIALIZED ({pull(at)}), r{i} AS MATERIALIZED ({pull(f'h{i}')}), a{i} AS MATERIALIZED (SELECT node, x / (SELECT sum(x) FROM r{i}) AS x FROM r{i})")
+        at = f"a{i}"
+    return f"WITH {d.edges()}, bw AS MATERIALIZED (SELECT a AS u, b AS v, CAST(w AS DOUBLE) AS w FROM edge UNION ALL SELECT b AS u, a AS v, CAST(w AS DOUBLE) AS w FROM edge), a0 AS (SELECT DISTINCT u AS node, 1e0 AS x FROM bw), {', '.join(steps)}, hub AS MATERIALIZED ({pull(at)}) SELECT {at}.node, round(hub.x / (SELECT sum(x) FROM hub), 6) AS hub, round({at}.x, 6) AS authority FROM {at} JOIN hub ON hub.node = {at}.node"
 
 
 #: Nodes of the forest: whole events up to day 15; a parent counts where it is one too.

@@ -84,7 +84,7 @@ QUERIES = {
     "fixed_domain_distribution": _q("SELECT k.kind, round(CAST(coalesce(n, 0) AS DOUBLE) / 1000, 6) AS rate FROM (SELECT 'click' AS kind UNION ALL SELECT 'view' UNION ALL SELECT 'share') k LEFT JOIN (SELECT event_type, count(*) AS n FROM @events GROUP BY event_type) e ON k.kind = e.event_type"),
     "domain_coverage": _q("SELECT round(CAST(count(DISTINCT event_type) AS DOUBLE) / 6, 6) AS coverage FROM @events WHERE event_type IN ('click', 'view', 'purchase', 'share')"),
     "boolean_rate": _q("SELECT coalesce(round(avg(CASE WHEN toxic = 1 THEN 1e0 ELSE 0e0 END), 6), 0) AS rate FROM @labels"),
-    "group_gap": _q("SELECT round(abs(avg(CASE WHEN event_type = 'click' THEN value END) - avg(CASE WHEN event_type = 'purchase' THEN value END)), 6) AS gap FROM @events"),
+    "group_gap": _q("SELECT round(abs(avg(CASE WHEN event_type = 'click' THEN abs(value) END) - avg(CASE WHEN event_type = 'purchase' THEN abs(value) END)), 6) AS gap FROM @events"),
     "mean_group_deviation": _q("SELECT round(avg(s), 4) AS arc FROM (SELECT user_id, stddev_samp(value) AS s FROM @events GROUP BY user_id HAVING count(*) >= 2) t"),
     "character_ranking": lambda d: f"WITH r AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_seen FROM @events GROUP BY user_id, event_type) SELECT user_id, CAST(sum(n) AS BIGINT) AS appearances, {d.any_max('event_type', d.struct('n', '-first_seen'))} AS dominant_role FROM r GROUP BY user_id",
     "ranked_characters": _q("SELECT user_id, count(*) AS n FROM @events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 15"),
@@ -125,7 +125,8 @@ QUERIES = {
     "stage_readiness": _q("SELECT (SELECT count(*) FROM @documents) > 0 AND (SELECT count(*) FROM @labels) > 0 AS ready"),
     "id_rewrite": _q("SELECT l.l_orderkey, concat('task-', o.o_orderpriority) AS task FROM @lineitem l JOIN @orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber = 1"),
     "name_key": _q("SELECT n_nationkey, concat(lower(trim(n_name)), '|nation') AS name_key FROM @nation"),
-    "relation_key": _q("SELECT least(c_nationkey, c_custkey % 25) AS a, greatest(c_nationkey, c_custkey % 25) AS b, count(*) AS n FROM @customer GROUP BY least(c_nationkey, c_custkey % 25), greatest(c_nationkey, c_custkey % 25)"),
+    # two of the segments stand for relations that go both ways: only their ends are put in order
+    "relation_key": _q("WITH r AS (SELECT c_nationkey AS x, c_custkey % 25 AS y, c_mktsegment AS kind, c_mktsegment IN ('BUILDING', 'MACHINERY') AS both_ways FROM @customer) SELECT CASE WHEN both_ways THEN least(x, y) ELSE x END AS a, CASE WHEN both_ways THEN greatest(x, y) ELSE y END AS b, kind, count(*) AS n FROM r GROUP BY CASE WHEN both_ways THEN least(x, y) ELSE x END, CASE WHEN both_ways THEN greatest(x, y) ELSE y END, kind"),
     "weighted_roulette": _q("WITH p AS (SELECT s_suppkey, s_acctbal AS w FROM @supplier WHERE s_acctbal > 0), c AS (SELECT s_suppkey, sum(w) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, sum(w) OVER () AS total FROM p) SELECT min(s_suppkey) AS chosen FROM c WHERE hi >= " + f"{FRACTION!r} * total"),
     "cursor_codec": lambda d: f"SELECT event_id, {d.base64('concat(' + chr(39) + '{' + chr(34) + 'offset' + chr(34) + ':' + chr(39) + ', ' + d.string('event_id') + ', ' + chr(39) + '}' + chr(39) + ')')} AS cursor_text FROM @events",
     # an illegal label, or more than three, makes the whole list null

@@ -52,18 +52,25 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     return ranks
 
 
-def hits(edges: DataFrame, iterations: int = 10) -> DataFrame:
-    """(node, hub, authority), each summing to 1; on an undirected graph the two agree."""
-    links = cut(both_ways(edges))
-    h = links.select(F.col("u").alias("node")).distinct().withColumn("hub", F.lit(1.0))
-    a = h
-    for _ in range(iterations):
-        # each half step is a table: its sum and its rows are read from there, so the plan does not grow
-        a = cut(links.join(h, links["u"] == h["node"]).groupBy(F.col("v").alias("node")).agg(F.sum(F.col("hub") * F.col("w")).alias("x")))
-        a = a.withColumn("authority", F.col("x") / F.lit(a.agg(F.sum("x")).first()[0] or 1.0)).drop("x")
-        h = cut(links.join(a, links["v"] == a["node"]).groupBy(F.col("u").alias("node")).agg(F.sum(F.col("authority") * F.col("w")).alias("x")))
-        h = h.withColumn("hub", F.col("x") / F.lit(h.agg(F.sum("x")).first()[0] or 1.0)).drop("x")
-    return h.join(a, "node")
+def hits(edges: DataFrame, most: int = 1000, tolerance: float = 1e-12) -> DataFrame:
+    """(node, hub, authority), each summing to 1: power iteration from all ones until no authority moves by more than ``tolerance``.
+
+    On an undirected graph without a bipartite part the two agree. A graph without weight has zeros.
+    """
+    links = cut(both_ways(edges).groupBy("u", "v").agg(F.sum(F.col("w").cast("double")).alias("w")))
+    pull = lambda x: links.join(x, links["v"] == x["node"]).groupBy(F.col("u").alias("node")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+    at = cut(links.select(F.col("u").alias("node")).distinct().withColumn("x", F.lit(1.0)))
+    for _ in range(most):
+        # both half steps are one table, whose sum and rows are read from there, so the plan does not grow
+        step = cut(pull(pull(at)).join(at.select("node", F.col("x").alias("was")), "node", "right").select("node", F.coalesce("x", F.lit(0.0)).alias("x"), "was"))
+        total = step.agg(F.sum("x")).first()[0] or 0.0
+        step = step.withColumn("x", F.col("x") / total if total > 0 else F.lit(0.0))
+        at = step.select("node", "x")
+        if total <= 0 or not (step.agg(F.max(F.abs(F.col("x") - F.col("was")))).first()[0] or 0.0) > tolerance:
+            break
+    hub = cut(pull(at))
+    total = hub.agg(F.sum("x")).first()[0] or 0.0
+    return at.join(hub.withColumnRenamed("x", "h"), "node", "left").select("node", (F.coalesce("h", F.lit(0.0)) / (total if total > 0 else 1.0)).alias("hub"), F.col("x").alias("authority"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ QUERIES = {
     "climax_spacing": lambda d: f"WITH {tension(d)}, t AS (SELECT doc_id, ch, round(avg({SIGMOID}), 6) AS v FROM z GROUP BY doc_id, ch), w AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY ch) AS p, lead(v) OVER (PARTITION BY doc_id ORDER BY ch) AS q FROM t), k AS (SELECT doc_id, ch, ch - lag(ch) OVER (PARTITION BY doc_id ORDER BY ch) AS gap FROM w WHERE v > p AND v > q) SELECT doc_id, round(avg(gap), 6) AS spacing FROM k GROUP BY doc_id HAVING count(gap) > 0",
     "global_peak_valley": lambda d: f"WITH {tension(d)}, t AS (SELECT doc_id, ch, round(avg({SIGMOID}), 6) AS v FROM z GROUP BY doc_id, ch), k AS (SELECT doc_id, {d.any_max('ch', d.struct('v', '-ch'))} AS peak FROM t GROUP BY doc_id) SELECT t.doc_id, max(peak) AS peak, {d.any_min('ch', d.struct('v', 'ch'))} AS valley FROM t JOIN k ON t.doc_id = k.doc_id WHERE ch <= peak GROUP BY t.doc_id",
     "climax_profile": lambda d: f"WITH {tension(d)}, t AS (SELECT doc_id, ch, round(avg({SIGMOID}), 6) AS v FROM z GROUP BY doc_id, ch), w AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY ch) AS p, lead(v) OVER (PARTITION BY doc_id ORDER BY ch) AS q FROM t), k AS (SELECT doc_id, ch, v, row_number() OVER (PARTITION BY doc_id ORDER BY ch) AS i FROM w WHERE v > p AND v > q), s AS (SELECT doc_id, count(*) AS peaks, CASE WHEN count(*) >= 3 THEN round(regr_slope(v, CAST(i AS DOUBLE)), 4) END AS slope FROM k GROUP BY doc_id) SELECT doc_id, peaks, slope, CASE WHEN slope > 0.05 THEN 'ascending' WHEN slope < -0.05 THEN 'descending' ELSE 'flat' END AS shape FROM s",
-    "middle_collapse": lambda d: f"WITH {tension(d)}, t AS (SELECT doc_id, ch, round(avg({SIGMOID}), 6) AS v FROM z GROUP BY doc_id, ch), x AS (SELECT doc_id, v, CAST(ch - 1 AS DOUBLE) / greatest(max(ch) OVER (PARTITION BY doc_id) - 1, 1) AS x, count(*) OVER (PARTITION BY doc_id) AS n FROM t) SELECT doc_id, round(avg(CASE WHEN x >= 0.3 AND x < 0.7 THEN v END) / avg(CASE WHEN x < 0.3 OR x >= 0.7 THEN v END), 6) AS ratio FROM x WHERE n >= 10 GROUP BY doc_id",
+    "middle_collapse": lambda d: f"WITH {tension(d)}, t AS (SELECT doc_id, ch, round(avg({SIGMOID}), 6) AS v FROM z GROUP BY doc_id, ch), x AS (SELECT doc_id, v, CAST(ch - 1 AS DOUBLE) / greatest(max(ch) OVER (PARTITION BY doc_id) - 1, 1) AS x, count(*) OVER (PARTITION BY doc_id) AS n FROM t) SELECT doc_id, round(avg(CASE WHEN x >= 0.3 AND x < 0.7 THEN v END) / nullif((avg(CASE WHEN x < 0.3 THEN v END) + avg(CASE WHEN x >= 0.7 THEN v END)) / 2e0, 0e0), 6) AS ratio FROM x WHERE n >= 10 GROUP BY doc_id",
     "quality_gate": _para(lambda d: ", c AS (SELECT doc_id, ch, sum(tok) AS t FROM para GROUP BY doc_id, ch) SELECT doc_id, count(*) AS chapters, round(avg(CASE WHEN t = 0 THEN 1e0 ELSE 0e0 END), 6) AS empty_share FROM c GROUP BY doc_id"),
     "chapter_counts": _para(lambda d: ", c AS (SELECT doc_id, ch, sum(chars) AS n FROM para GROUP BY doc_id, ch) SELECT doc_id, count(*) AS chapters, CAST(sum(n) AS BIGINT) AS chars FROM c GROUP BY doc_id"),
     "progress_map": _para(lambda d: ", o AS (SELECT doc_id, ch, sum(chars) OVER (PARTITION BY doc_id ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e, sum(chars) OVER (PARTITION BY doc_id) AS t FROM para) SELECT doc_id, ch, round(max(CAST(e AS DOUBLE)) / max(t), 6) AS progress FROM o GROUP BY doc_id, ch"),

@@ -40,7 +40,8 @@ QUERIES = {
     "cosine_matrix": lambda d: f"WITH e AS ({d.explode('label', 'embedding', '@embeddings', 'i', 'v')}), c AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS v FROM e GROUP BY label, i), n AS (SELECT label, sqrt(sum(v * v)) AS n FROM c GROUP BY label), p AS (SELECT x.label AS a, y.label AS b, sum(x.v * y.v) AS dp FROM c x JOIN c y ON x.i = y.i GROUP BY x.label, y.label) SELECT a, b, round(dp / (m.n * k.n), 6) AS cosine FROM p JOIN n m ON m.label = a JOIN n k ON k.label = b",
     "group_mean_vector": lambda d: f"WITH e AS ({d.explode('label', 'embedding', '@embeddings', 'i', 'v')}) SELECT label, i, round(avg(CAST(v AS DOUBLE)), 6) AS v FROM e GROUP BY label, i",
     "embedding_coverage": lambda d: f"SELECT label, count(*) AS n, {ratio('count(CASE WHEN ' + d.dot('embedding', 'embedding') + ' > 0 THEN 1 END)', 'count(*)')} AS share FROM @embeddings GROUP BY label",
-    "strong_negative_share": _t(" SELECT round(avg(CASE WHEN net <= -0.2 THEN 1e0 ELSE 0e0 END), 6) AS share FROM unit"),
+    # a vector's score: its first component by its largest, within -1 and 1; a vector without a largest one has none
+    "strong_negative_share": lambda d: f"WITH s AS (SELECT label, CAST({d.at('embedding', '1')} AS DOUBLE) / nullif({d._one('array_max', 'list_max')}({d.transform('embedding', 'x', 'abs(CAST(x AS DOUBLE))')}), 0e0) AS score FROM @embeddings) SELECT label, round(avg(CASE WHEN score IS NULL THEN NULL WHEN score <= -0.8 THEN 1e0 ELSE 0e0 END), 6) AS share FROM s GROUP BY label",
     "linear_score_split": lambda d: f"SELECT vec_id, round(greatest(CAST({d.at('embedding', '1')} AS DOUBLE) - CAST({d.at('embedding', '2')} AS DOUBLE), 0e0), 6) AS pos, round(greatest(CAST({d.at('embedding', '2')} AS DOUBLE) - CAST({d.at('embedding', '1')} AS DOUBLE), 0e0), 6) AS neg FROM @embeddings",
     "kl_divergence": lambda d: "WITH u AS (SELECT CAST(label AS BIGINT) AS k, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS p FROM @embeddings GROUP BY label) SELECT round(sum(p * ln(p * 10)) / ln(2e0), 6) AS kl FROM u",
 }

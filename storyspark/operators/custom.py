@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from storyspark.functions import cjk, sequences, spans
 from storyspark.functions import series as S
 from storyspark.operators import graph_algorithms as G
-from storyspark.operators import aliases, chapters, communities, dependency, forest, learning, ordering, series, skipgram
+from storyspark.operators import aliases, chapters, communities, dependency, forest, learning, ordering, paragraphs, series, skipgram
 from storyspark.operators.facts import FRACTION
 from storyspark.operators.text_metrics import SIGMOID, tension
 from storyspark.plans.dialect import LEXICONS, TOKEN, Dialect
@@ -404,7 +404,12 @@ def topic_model_artifact(spark, sf_dir):
     return out.select("doc_id", "status", "n_tokens", F.transform("weights", lambda x: F.round(x, 6)).alias("weights"), F.lit(loaded.reason).cast("string").alias("reason"))
 
 
+def paragraph_spans(spark, sf_dir):
+    return paragraphs.split(_documents(spark, sf_dir, "text")).withColumn("text", F.md5("text"))
+
+
 QUERIES = {f.__name__: f for f in (
+    paragraph_spans,
     word2vec_warm, topic_model_artifact, turn_containment,
     dependency_depth,
     durable_consumer, subscription_deltas, contribution_replay,
@@ -425,10 +430,22 @@ def _hits_sql(d: Dialect) -> str:
     return f"WITH {d.edges()}, bw AS MATERIALIZED (SELECT a AS u, b AS v, CAST(w AS DOUBLE) AS w FROM edge UNION ALL SELECT b AS u, a AS v, CAST(w AS DOUBLE) AS w FROM edge), a0 AS (SELECT DISTINCT u AS node, 1e0 AS x FROM bw), {', '.join(steps)}, hub AS MATERIALIZED ({pull(at)}) SELECT {at}.node, round(hub.x / (SELECT sum(x) FROM hub), 6) AS hub, round({at}.x, 6) AS authority FROM {at} JOIN hub ON hub.node = {at}.node"
 
 
+def _paragraphs_sql(d: Dialect) -> str:
+    """Lines with their starts, each cut from the left as long as there is more of it."""
+    head = f"regexp_extract(substr(line, cur + 1, {paragraphs.MOST}), '^.*[{paragraphs.MARKS}]', 0, 's')"
+    stop = f"CASE WHEN cur + {paragraphs.MOST} >= length(line) THEN length(line) WHEN length({head}) - 1 > {paragraphs.MOST // 2} THEN cur + length({head}) ELSE cur + {paragraphs.MOST} END"
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM @documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(range(len(ls))) AS source, unnest(ls) AS line FROM t),
+l AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM u),
+f AS (SELECT doc_id, source, base, line, 0::BIGINT AS cur, 0::BIGINT AS fragment FROM l UNION ALL SELECT doc_id, source, base, line, {stop}, fragment + 1 FROM f WHERE {stop} < length(line)),
+p AS (SELECT *, substr(line, cur + 1, {stop} - cur) AS piece FROM f), q AS (SELECT *, regexp_replace(piece, '^{paragraphs.SPACE}+|{paragraphs.SPACE}+$', '', 'g') AS txt, length(piece) - length(regexp_replace(piece, '^{paragraphs.SPACE}+', '')) AS lead FROM p)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY source, fragment) - 1 AS paragraph, source, fragment, CAST(base + cur + lead AS BIGINT) AS start, CAST(base + cur + lead + length(txt) AS BIGINT) AS stop, md5(txt) AS text FROM q WHERE txt <> ''"""
+
+
 #: Nodes of the forest: whole events up to day 15; a parent counts where it is one too.
 FOREST_SQL = f"WITH RECURSIVE {FOREST}, node AS (SELECT event_id, ch, nxt, nxt_ch, event_type, first, CASE WHEN parent IN (SELECT event_id FROM ev WHERE until = ch) THEN parent END AS parent FROM ev WHERE ch <= 15 AND until = ch), tree AS (SELECT event_id, event_id AS tree_id FROM node WHERE parent IS NULL UNION ALL SELECT node.event_id, tree_id FROM node JOIN tree ON node.parent = tree.event_id)"
 
 ORACLES = {
+    "paragraph_spans": _paragraphs_sql,
     # a token's chain is followed to a root, out of the sentence, or to a token that it has met: those it met since are a cycle
     "dependency_depth": lambda d: "WITH RECURSIVE t AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) AS d, l_partkey % (count(*) OVER (PARTITION BY l_orderkey) + 2) AS h, l_suppkey % 3 AS r FROM @lineitem), w AS (SELECT o, d, d AS cur, [d] AS path, false AS met FROM t UNION ALL SELECT w.o, w.d, t.h, list_append(path, t.h), list_contains(path, t.h) FROM w JOIN t ON w.o = t.o AND w.cur = t.d WHERE t.h <> 0 AND NOT met), e AS (SELECT o, d, len(path) AS n, met, CASE WHEN met THEN list_position(path, cur) END AS enters FROM w QUALIFY row_number() OVER (PARTITION BY o, d ORDER BY len(path) DESC) = 1), k AS (SELECT o, d, CASE WHEN met THEN enters ELSE n - 1 END AS depth FROM e) SELECT t.o AS l_orderkey, count(*) AS n_nodes, count(CASE WHEN h = 0 THEN 1 END) AS n_roots, CAST(sum(depth) AS BIGINT) AS depth_sum, max(depth) AS depth_max, count(CASE WHEN r = 0 THEN 1 END) AS r0 FROM t JOIN k ON t.o = k.o AND t.d = k.d GROUP BY t.o",
     "durable_consumer": lambda d: ORACLES["outbox_projection"](d),

@@ -99,7 +99,14 @@ QUERIES = {
     "linguistic_merge": lambda d: f"WITH t AS (SELECT lang, {d.tokens('text')} AS toks FROM @documents), e AS ({d.explode('lang', 'toks', 't', 'i', 'tk')}), g AS (SELECT grouping(lang) AS whole, lang, least(length(tk), 12) AS feature, count(*) AS n FROM e GROUP BY GROUPING SETS ((least(length(tk), 12)), (lang, least(length(tk), 12)))) SELECT CAST(whole AS BIGINT) AS whole, lang, CAST(feature AS BIGINT) AS feature, n, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY whole, lang), 6) AS ratio FROM g",
     "parallel_starts": _para(lambda d: ", l AS (SELECT doc_id, pid, substr(txt, 1, 1) AS c0, lag(substr(txt, 1, 1), 1) OVER (PARTITION BY doc_id ORDER BY pid) AS c1, lag(substr(txt, 1, 1), 2) OVER (PARTITION BY doc_id ORDER BY pid) AS c2 FROM para) SELECT doc_id, count(*) AS n FROM l WHERE c0 = c1 AND c1 = c2 GROUP BY doc_id"),
     "recovery_speed": _para(lambda d: ", c AS (SELECT doc_id, ch, CAST(sum(pos) - sum(neg) AS DOUBLE) / greatest(sum(tok), 1) AS v FROM para GROUP BY doc_id, ch), s AS (SELECT *, avg(v) OVER (PARTITION BY doc_id) AS m, greatest(coalesce(stddev_samp(v) OVER (PARTITION BY doc_id), 0) / 2, 0.005) AS thr FROM c), f AS (SELECT doc_id, ch, v, m, thr, min(CASE WHEN v >= m - thr / 2 THEN ch END) OVER (PARTITION BY doc_id ORDER BY ch ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s) SELECT doc_id, count(nxt) AS recoveries, round(avg(nxt - ch), 6) AS mean_chapters FROM f WHERE v < m - thr GROUP BY doc_id"),
-    "trend_class": _para(lambda d: f", c AS (SELECT doc_id, pid, CAST(pos - neg AS DOUBLE) / greatest(tok, 1) AS v, CAST(pid AS DOUBLE) / greatest(max(pid) OVER (PARTITION BY doc_id), 1) AS x FROM para), g AS (SELECT doc_id, avg(CASE WHEN x < 1e0 / 3 THEN v END) AS a, avg(CASE WHEN x >= 2e0 / 3 THEN v END) AS b FROM c GROUP BY doc_id) SELECT doc_id, CASE WHEN round(b - a, 6) > 0.002 THEN 'rising' WHEN round(b - a, 6) < -0.002 THEN 'falling' ELSE 'flat' END AS trend FROM g"),
+    # thirds of a document by characters, a paragraph weighs half the way to its neighbours (a whole step at the ends); without any way, thirds by count
+    "trend_class": _para(lambda d: f""", c AS (SELECT doc_id, pid, CAST(pos - neg AS DOUBLE) / greatest(tok, 1) AS v, sum(chars) OVER (PARTITION BY doc_id ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - chars / 2e0 AS p, row_number() OVER (PARTITION BY doc_id ORDER BY pid) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM para),
+s AS (SELECT *, min(p) OVER (PARTITION BY doc_id) AS lo, max(p) OVER (PARTITION BY doc_id) AS hi, lag(p) OVER (PARTITION BY doc_id ORDER BY pid) AS before, lead(p) OVER (PARTITION BY doc_id ORDER BY pid) AS after FROM c),
+t AS (SELECT doc_id, v, n, CASE WHEN hi <= lo THEN CASE WHEN i < floor(n / 3e0) THEN 0 WHEN i < 2 * floor(n / 3e0) THEN 1 ELSE 2 END WHEN p < lo + (hi - lo) / 3 THEN 0 WHEN p < lo + 2 * (hi - lo) / 3 THEN 1 ELSE 2 END AS third,
+CASE WHEN hi <= lo THEN 1e0 WHEN before IS NULL THEN after - p WHEN after IS NULL THEN p - before ELSE (after - before) / 2 END AS w FROM s),
+g AS (SELECT doc_id, max(n) AS n, {', '.join(f"coalesce(round(sum(CASE WHEN third = {k} THEN v * w END) / nullif(sum(CASE WHEN third = {k} THEN w END), 0e0), 9), 0e0) AS m{k}" for k in range(3))}, round(coalesce(stddev_samp(v), 0e0), 9) AS sd FROM t GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"CASE WHEN n < 3 THEN 0e0 ELSE round(m{k}, 6) END AS {name}" for k, name in enumerate(("first_avg", "middle_avg", "last_avg")))}, CASE WHEN n < 3 THEN 0e0 ELSE round(sd, 6) END AS stdev,
+CASE WHEN n < 3 THEN 'stable' WHEN sd >= 0.003 THEN 'volatile' WHEN m2 - m0 > 0.002 THEN 'rising' WHEN m2 - m0 < -0.002 THEN 'falling' ELSE 'stable' END AS trend FROM g"""),
     "local_peaks": lambda d: f"WITH {tension(d)}, t AS (SELECT doc_id, ch, round(avg({SIGMOID}), 6) AS v FROM z GROUP BY doc_id, ch), w AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY ch) AS p, lead(v) OVER (PARTITION BY doc_id ORDER BY ch) AS q FROM t) SELECT doc_id, ch, v AS tension FROM w WHERE v > p AND v > q",
     "climax_spacing": lambda d: f"WITH {tension(d)}, t AS (SELECT doc_id, ch, round(avg({SIGMOID}), 6) AS v FROM z GROUP BY doc_id, ch), w AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY ch) AS p, lead(v) OVER (PARTITION BY doc_id ORDER BY ch) AS q FROM t), k AS (SELECT doc_id, ch, ch - lag(ch) OVER (PARTITION BY doc_id ORDER BY ch) AS gap FROM w WHERE v > p AND v > q) SELECT doc_id, round(avg(gap), 6) AS spacing FROM k GROUP BY doc_id HAVING count(gap) > 0",
     "global_peak_valley": lambda d: f"WITH {tension(d)}, t AS (SELECT doc_id, ch, round(avg({SIGMOID}), 6) AS v FROM z GROUP BY doc_id, ch), k AS (SELECT doc_id, {d.any_max('ch', d.struct('v', '-ch'))} AS peak FROM t GROUP BY doc_id) SELECT t.doc_id, max(peak) AS peak, {d.any_min('ch', d.struct('v', 'ch'))} AS valley FROM t JOIN k ON t.doc_id = k.doc_id WHERE ch <= peak GROUP BY t.doc_id",

@@ -55,3 +55,26 @@ def test_hits(spark):
     got = {r["node"]: r for r in G.hits(spark.createDataFrame(edges, "a long, b long, w double")).collect()}
     assert np.allclose([got[i]["authority"] for i in range(1, 5)], x, atol=1e-9) and np.allclose([got[i]["hub"] for i in range(1, 5)], h / h.sum(), atol=1e-9)
     assert all(r["authority"] == 0 == r["hub"] for r in G.hits(spark.createDataFrame([(1, 2, 0.0)], "a long, b long, w double")).collect())
+
+
+def test_paragraph_spans(spark):
+    from storyspark.operators import paragraphs
+
+    long = "甲" * 900 + "。" + "乙" * 700 + "；" + "丙" * 1600
+    text = f"　一 \n\n二二\n{long}\n  "
+    df = spark.createDataFrame([(1, text), (2, None), (3, " \n\t"), (4, "x")], "doc_id long, text string")
+    got = [tuple(r)[1:] for r in paragraphs.split(df).orderBy("doc_id", "paragraph").collect()]
+    assert [(r[0], r[1], r[2], r[3], r[4]) for r in got] == [(0, 0, 0, 1, 2), (1, 2, 0, 5, 7), (2, 3, 0, 8, 909), (3, 3, 1, 909, 2409), (4, 3, 2, 2409, 3210), (0, 0, 0, 0, 1)]
+    assert all(text[r[3] : r[4]] == r[5] for r in got[:-1]) and got[2][5].endswith("甲。") and got[3][5].startswith("乙") and got[3][5].endswith("丙")
+
+
+def test_trend_class(spark, tmp_path):
+    # the words of dialect.LEXICONS: "the" is positive, "of" negative, "xxx" neither; all lines are equally long
+    pos, neg, flat = "the xxx", "xxx  of", "xxx xxx"
+    docs = {1: [flat] * 3, 2: [neg] * 3 + [pos] * 3, 3: [flat, pos], 4: [flat] * 400 + [pos] + [flat] * 100}
+    spark.createDataFrame([(k, "\n".join(v), "en", "s", 0) for k, v in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in registry.queries()["trend_class"](spark, f"file://{tmp_path}").collect()}
+    assert [got[k]["trend"] for k in (1, 2, 3)] == ["stable", "volatile", "stable"] and got[3]["last_avg"] == 0.0
+    # thirds at 1/3 and 2/3 of the way: the ends weigh a step, as the others do
+    assert (got[2]["first_avg"], got[2]["middle_avg"], got[2]["last_avg"]) == (-0.5, 0.0, 0.5)
+    assert got[4]["trend"] == "volatile" and got[4]["first_avg"] == 0.0 and got[4]["last_avg"] == pytest.approx(0.5 / 167, abs=1e-6)

@@ -29,6 +29,30 @@ def asof_state(d: Dialect) -> str:
 
 FOLD = f"{LOG}, fold AS (SELECT event_id, entity, ch, ts, kind AS after, lag(kind) OVER (PARTITION BY entity ORDER BY ts, event_id) AS before, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS support FROM log)"
 
+#: Weights of a model's health (all turns: successes, tokens, tokens a turn, time a turn, turns; recent turns: successes, failures, tokens a turn), what halves the parts of tokens and time, and the turns from which a model counts as known.
+HEALTH = {"total_success": 0.05, "recent_success": 0.20, "recent_failure": 0.45, "total_token": 0.05, "avg_token": 0.05, "recent_token": 0.05, "time": 0.10, "turns": 0.05}
+TOKENS, TOKENS_A_TURN, MS_A_TURN, KNOWN = 2e6, 2e4, 3e4, 50
+#: Minutes that are recent, turns of a model that are kept, most points for idle minutes.
+RECENT, KEPT, IDLE = 30, 1000, 30
+
+
+def health(d: Dialect) -> str:
+    """Health of each model at the end of the log, 0 to 100: eight weighted parts over all and over recent turns, and a point for each idle minute.
+
+    In the examples a model is a user, a turn fails that is an error, its tokens are a hundred times its value and its time a second for each unit.
+    """
+    parts = {
+        "total_success": "ok / CAST(n AS DOUBLE)", "recent_success": "CASE WHEN rn = 0 THEN 1e0 ELSE rok / CAST(rn AS DOUBLE) END", "recent_failure": "CASE WHEN rn = 0 THEN 1e0 ELSE 1 - (rn - rok) / CAST(rn AS DOUBLE) END",
+        "total_token": f"1 / (1 + tokens / {TOKENS})", "avg_token": f"1 / (1 + tokens / n / {TOKENS_A_TURN})", "recent_token": f"1 / (1 + CASE WHEN rn = 0 THEN 0e0 ELSE rtokens / rn END / {TOKENS_A_TURN})", "time": f"1 / (1 + ms / n / {MS_A_TURN})", "turns": f"least(1e0, n / CAST({KNOWN} AS DOUBLE))",
+    }
+    weighted = " + ".join(f"CAST({HEALTH[k]} AS DOUBLE) * ({x})" for k, x in parts.items())
+    kept = f"nth <= {KEPT} AND tm >= now - {RECENT * 60_000_000}"
+    return f"""WITH t AS (SELECT user_id, event_type <> 'error' AS good, greatest(coalesce(floor(value * 100), 0e0), 0e0) AS tok, greatest(coalesce(floor(value * 1000), 0e0), 0e0) AS took, {d.micros('ts')} AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM @events),
+a AS (SELECT t.*, (SELECT max({d.micros('ts')}) FROM @events) AS now FROM t),
+s AS (SELECT user_id, count(*) AS n, count(CASE WHEN good THEN 1 END) AS ok, sum(tok) AS tokens, sum(took) AS ms, count(CASE WHEN {kept} THEN 1 END) AS rn, count(CASE WHEN {kept} AND good THEN 1 END) AS rok, coalesce(sum(CASE WHEN {kept} THEN tok END), 0e0) AS rtokens, max(now) - max(tm) AS idle FROM a GROUP BY user_id)
+SELECT user_id, n, rn, round(greatest(0e0, least(1e2, round(({weighted}) * 100 + least({IDLE}e0, idle / 6e7), 9))), 1) AS score FROM s"""
+
+
 QUERIES = {
     # joins
     "chapter_body_join": _q("SELECT o.o_orderkey, o.o_custkey, c.c_name FROM @orders o LEFT JOIN @customer c ON o.o_custkey = c.c_custkey"),
@@ -67,7 +91,7 @@ QUERIES = {
     "replay_page": _q("SELECT event_id, user_id, event_type FROM @events WHERE event_id > 200 ORDER BY event_id LIMIT 128"),
     "keyset_page": _q("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars FROM @documents WHERE doc_id > 50 ORDER BY doc_id LIMIT 40"),
     "trailing_health": lambda d: f"SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY {d.micros('ts')} RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS recent FROM @events",
-    "health_score": lambda d: "SELECT user_id, round(greatest(0e0, least(1e2, 50 + 50 * avg(CASE WHEN event_type = 'error' THEN -1e0 ELSE 1e0 END))), 1) AS score FROM @events GROUP BY user_id",
+    "health_score": lambda d: health(d),
     "session_idle": lambda d: f"WITH g AS (SELECT user_id, event_id, ts, CASE WHEN {d.micros('ts')} - lag({d.micros('ts')}) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3600000000 THEN 0 ELSE 1 END AS opens FROM @events), s AS (SELECT user_id, event_id, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM g) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, min(event_id) AS first_event FROM s GROUP BY user_id, session",
     "usage_grouping_sets": lambda d: "SELECT event_type, role, count(*) AS calls, CAST(sum(cents) AS BIGINT) AS cents FROM (SELECT event_type, CASE WHEN user_id % 2 = 0 THEN 'agent' ELSE 'tool' END AS role, CAST(round(value * 100) AS BIGINT) AS cents FROM @events) t GROUP BY GROUPING SETS ((), (event_type), (event_type, role))",
     "usage_gaps": _q("SELECT event_type, count(*) AS n FROM @events WHERE value IS NULL OR value < 1 GROUP BY event_type"),

@@ -78,3 +78,15 @@ def test_trend_class(spark, tmp_path):
     # thirds at 1/3 and 2/3 of the way: the ends weigh a step, as the others do
     assert (got[2]["first_avg"], got[2]["middle_avg"], got[2]["last_avg"]) == (-0.5, 0.0, 0.5)
     assert got[4]["trend"] == "volatile" and got[4]["first_avg"] == 0.0 and got[4]["last_avg"] == pytest.approx(0.5 / 167, abs=1e-6)
+
+
+def test_health_score(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1, 12)
+    ago = lambda m: t - datetime.timedelta(minutes=m)
+    rows = [(1, ago(0), 1, "view", 0.0, ""), (2, ago(5), 1, "error", 10.0, ""), (3, ago(40), 1, "view", 20.0, ""), (4, ago(100), 2, "error", None, ""), (5, ago(30), 3, "view", -5.0, "")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    got = {r["user_id"]: (r["n"], r["rn"], r["score"]) for r in registry.queries()["health_score"](spark, f"file://{tmp_path}").collect()}
+    token = lambda x: 1 / (1 + x / 20_000)
+    one = 0.05 * 2 / 3 + 0.2 / 2 + 0.45 / 2 + 0.05 / (1 + 3000 / 2e6) + 0.05 * token(1000) + 0.05 * token(500) + 0.1 / (1 + 10_000 / 30_000) + 0.05 * 3 / 50
+    two = 0 + 0.2 + 0.45 + 0.05 * 3 + 0.1 + 0.05 / 50  # its failure is long ago; 30 points at most for 100 idle minutes
+    assert got == {1: (3, 2, round(100 * one, 1)), 2: (1, 0, 100.0 if 100 * two + 30 > 100 else round(100 * two + 30, 1)), 3: (1, 1, 100.0)}

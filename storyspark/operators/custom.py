@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from storyspark.functions import cjk, sequences, spans
 from storyspark.functions import series as S
 from storyspark.operators import graph_algorithms as G
-from storyspark.operators import aliases, chapters, communities, dependency, forest, learning, ordering, paragraphs, series, skipgram
+from storyspark.operators import aliases, chapters, communities, dependency, forest, learning, ordering, paragraphs, series, skipgram, summaries
 from storyspark.operators.facts import FRACTION
 from storyspark.operators.text_metrics import SIGMOID, tension
 from storyspark.plans.dialect import LEXICONS, TOKEN, Dialect
@@ -408,7 +408,28 @@ def paragraph_spans(spark, sf_dir):
     return paragraphs.split(_documents(spark, sf_dir, "text")).withColumn("text", F.md5("text"))
 
 
+def _chapter_labels(spark, sf_dir):
+    """Paragraphs, and labels of chapters: those of the document, for its first and every labelled quality for its other chapters."""
+    para = _sql(spark, sf_dir, lambda d: f"WITH {d.paragraphs()} SELECT * FROM para")
+    return para, _sql(spark, sf_dir, lambda d: f"WITH {d.paragraphs()} {CHAPTER_LABELS}")
+
+
+CHAPTER_LABELS = "SELECT DISTINCT p.doc_id, p.ch, CASE WHEN l.quality = 1 THEN 'turn' WHEN p.ch = 1 THEN 'setup' ELSE '' END AS narrative_function, CASE WHEN p.ch > 1 THEN l.toxic = 1 END AS pivot_moment, l.quality = 1 AS cliffhanger, CASE WHEN p.ch <> 2 THEN l.quality - l.toxic END AS emotional_valence FROM para p JOIN @labels l ON p.doc_id = l.doc_id"
+
+
+def chapter_summary(spark, sf_dir):
+    return summaries.chapter_summary(*_chapter_labels(spark, sf_dir), with_mtld=False)
+
+
+def book_summary(spark, sf_dir):
+    out = summaries.book_summary(*_chapter_labels(spark, sf_dir), with_mtld=False)
+    for c in ("function_share", "valence_share"):  # as text, in order of the labels
+        out = out.withColumn(c, F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit(":"), F.format_number(e["value"], 4))), ","))
+    return out
+
+
 QUERIES = {f.__name__: f for f in (
+    chapter_summary, book_summary,
     paragraph_spans,
     word2vec_warm, topic_model_artifact, turn_containment,
     dependency_depth,
@@ -441,10 +462,31 @@ p AS (SELECT *, substr(line, cur + 1, {stop} - cur) AS piece FROM f), q AS (SELE
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY source, fragment) - 1 AS paragraph, source, fragment, CAST(base + cur + lead AS BIGINT) AS start, CAST(base + cur + lead + length(txt) AS BIGINT) AS stop, md5(txt) AS text FROM q WHERE txt <> ''"""
 
 
+def _summary_sql(d: Dialect, keys: str, more: str, join: str) -> str:
+    """Sums and joined texts by ``keys`` over sentences cut anew from the paragraphs, then the ratios."""
+    per = lambda a, b: f"round(CASE WHEN {b} <> 0 THEN CAST({a} AS DOUBLE) / {b} END, 6)"
+    k = ", ".join(f"t.{x.strip()}" for x in keys.split(","))
+    sums = ", ".join(f"CAST(sum({x}) AS BIGINT) AS {x}" for x in ("chars", "tok", "pos", "neg", "fight", "excl", "ques", "pause", "dlg"))
+    ratios = {"pos_density": per("pos", "tok"), "neg_density": per("neg", "tok"), "net_density": per("(pos - neg)", "tok"), "fight_density": per("fight", "tok"), "exclaim_per_100_chars": per("excl * 100", "chars"), "question_per_100_chars": per("ques * 100", "chars"), "pause_per_100_chars": per("pause * 100", "chars"), "dialogue_ratio": per("dlg", "chars"), "avg_sent_len": per("sl", "sn"), "sent_len_std": "round(CASE WHEN sn > 0 THEN sqrt(greatest(0e0, CAST(sq AS DOUBLE) / sn - (CAST(sl AS DOUBLE) / sn) * (CAST(sl AS DOUBLE) / sn))) END, 4)", "ttr": per("len(list_distinct(words))", "len(words)")}
+    return f"""WITH {d.paragraphs()}, lab AS ({CHAPTER_LABELS}), x AS (SELECT doc_id, ch, length(trim(unnest(string_split_regex(txt, '[。！？!?]+')))) AS n FROM para),
+s AS (SELECT {keys}, count(*) AS sn, sum(n) AS sl, sum(n * n) AS sq FROM x WHERE n > 0 GROUP BY {keys}),
+t AS (SELECT {keys}, count(*) AS n_paragraphs, {sums}, regexp_extract_all(string_agg(txt, '' ORDER BY pid), '{TOKEN}') AS words FROM para GROUP BY {keys})
+SELECT {k}, n_paragraphs, chars, tok, {', '.join(f'{x} AS {n}' for n, x in ratios.items())}, {more} FROM t LEFT JOIN s USING ({keys}) {join}"""
+
+
+def _book_sql(d: Dialect) -> str:
+    share = lambda c, name: f"{name} AS (SELECT doc_id, string_agg(v || ':' || printf('%.4f', round(CAST(n AS DOUBLE) / total, 6)), ',' ORDER BY v) AS {name} FROM (SELECT doc_id, CAST({c} AS VARCHAR) AS v, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM chap WHERE {c} IS NOT NULL AND CAST({c} AS VARCHAR) <> '' GROUP BY doc_id, {c}) z GROUP BY doc_id)"
+    base = _summary_sql(d, "doc_id", "n_chapters, pivot_rate, cliffhanger_rate, coalesce(function_share, '') AS function_share, coalesce(valence_share, '') AS valence_share", "JOIN rate USING (doc_id) LEFT JOIN function_share USING (doc_id) LEFT JOIN valence_share USING (doc_id)")
+    extra = f"chap AS (SELECT DISTINCT p.doc_id, p.ch, narrative_function, pivot_moment, cliffhanger, emotional_valence FROM para p LEFT JOIN lab ON p.doc_id = lab.doc_id AND p.ch = lab.ch), rate AS (SELECT doc_id, count(*) AS n_chapters, round(avg(CAST(pivot_moment AS DOUBLE)), 6) AS pivot_rate, round(avg(CAST(cliffhanger AS DOUBLE)), 6) AS cliffhanger_rate FROM chap GROUP BY doc_id), {share('narrative_function', 'function_share')}, {share('emotional_valence', 'valence_share')}"
+    return base.replace(", x AS (SELECT doc_id, ch, length", f", {extra}, x AS (SELECT doc_id, ch, length", 1)
+
+
 #: Nodes of the forest: whole events up to day 15; a parent counts where it is one too.
 FOREST_SQL = f"WITH RECURSIVE {FOREST}, node AS (SELECT event_id, ch, nxt, nxt_ch, event_type, first, CASE WHEN parent IN (SELECT event_id FROM ev WHERE until = ch) THEN parent END AS parent FROM ev WHERE ch <= 15 AND until = ch), tree AS (SELECT event_id, event_id AS tree_id FROM node WHERE parent IS NULL UNION ALL SELECT node.event_id, tree_id FROM node JOIN tree ON node.parent = tree.event_id)"
 
 ORACLES = {
+    "chapter_summary": lambda d: _summary_sql(d, "doc_id, ch", "nullif(narrative_function, '') AS narrative_function, pivot_moment, cliffhanger, emotional_valence", "LEFT JOIN lab USING (doc_id, ch)"),
+    "book_summary": _book_sql,
     "paragraph_spans": _paragraphs_sql,
     # a token's chain is followed to a root, out of the sentence, or to a token that it has met: those it met since are a cycle
     "dependency_depth": lambda d: "WITH RECURSIVE t AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) AS d, l_partkey % (count(*) OVER (PARTITION BY l_orderkey) + 2) AS h, l_suppkey % 3 AS r FROM @lineitem), w AS (SELECT o, d, d AS cur, [d] AS path, false AS met FROM t UNION ALL SELECT w.o, w.d, t.h, list_append(path, t.h), list_contains(path, t.h) FROM w JOIN t ON w.o = t.o AND w.cur = t.d WHERE t.h <> 0 AND NOT met), e AS (SELECT o, d, len(path) AS n, met, CASE WHEN met THEN list_position(path, cur) END AS enters FROM w QUALIFY row_number() OVER (PARTITION BY o, d ORDER BY len(path) DESC) = 1), k AS (SELECT o, d, CASE WHEN met THEN enters ELSE n - 1 END AS depth FROM e) SELECT t.o AS l_orderkey, count(*) AS n_nodes, count(CASE WHEN h = 0 THEN 1 END) AS n_roots, CAST(sum(depth) AS BIGINT) AS depth_sum, max(depth) AS depth_max, count(CASE WHEN r = 0 THEN 1 END) AS r0 FROM t JOIN k ON t.o = k.o AND t.d = k.d GROUP BY t.o",

@@ -90,3 +90,25 @@ def test_health_score(spark, tmp_path):
     one = 0.05 * 2 / 3 + 0.2 / 2 + 0.45 / 2 + 0.05 / (1 + 3000 / 2e6) + 0.05 * token(1000) + 0.05 * token(500) + 0.1 / (1 + 10_000 / 30_000) + 0.05 * 3 / 50
     two = 0 + 0.2 + 0.45 + 0.05 * 3 + 0.1 + 0.05 / 50  # its failure is long ago; 30 points at most for 100 idle minutes
     assert got == {1: (3, 2, round(100 * one, 1)), 2: (1, 0, 100.0 if 100 * two + 30 > 100 else round(100 * two + 30, 1)), 3: (1, 1, 100.0)}
+
+
+def test_summaries_by_hand(spark):
+    from storyspark.functions import series
+    from storyspark.operators import summaries
+
+    cols = "doc_id long, ch long, pid long, txt string, chars long, tok long, pos long, neg long, fight long, excl long, ques long, pause long, dlg long"
+    rows = [(1, 1, 0, "Ab cd! Ef?", 10, 3, 2, 1, 0, 1, 1, 0, 0), (1, 1, 1, "gh", 2, 1, 0, 0, 1, 0, 0, 0, 2), (1, 2, 2, "。!", 2, 0, 0, 0, 0, 1, 0, 0, 0), (2, 1, 0, "x x x x", 7, 4, 0, 4, 0, 0, 0, 0, 0)]
+    labels = spark.createDataFrame([(1, 1, "turn", True, None, -2), (1, 2, "", False, None, None), (2, 9, "lost", True, True, 1)], "doc_id long, ch long, narrative_function string, pivot_moment boolean, cliffhanger boolean, emotional_valence int")
+    para = spark.createDataFrame(rows, cols)
+    c = {(r["doc_id"], r["ch"]): r for r in summaries.chapter_summary(para, labels).collect()}
+    one = c[1, 1]
+    # sentences of 5, 2 and 2 characters; "Efgh" is one token of the joined text only where nothing stands between
+    assert (one["pos_density"], one["net_density"], one["exclaim_per_100_chars"], one["dialogue_ratio"]) == (0.5, 0.25, 8.333333, 0.166667)
+    assert one["avg_sent_len"] == 3.0 and one["sent_len_std"] == round((33 / 3 - 9) ** 0.5, 4) and one["ttr"] == 1.0 and one["mtld"] == pytest.approx(series.mtld(["Ab", "cd", "Ef", "gh"]), abs=1e-6)
+    assert (one["narrative_function"], one["pivot_moment"], one["cliffhanger"], one["emotional_valence"]) == ("turn", True, None, -2)
+    two = c[1, 2]
+    assert two["pos_density"] is two["avg_sent_len"] is two["sent_len_std"] is two["ttr"] is two["mtld"] is two["narrative_function"] is None and two["pivot_moment"] is False
+    assert c[2, 1]["ttr"] == 0.25 and c[2, 1]["pivot_moment"] is None
+    b = {r["doc_id"]: r for r in summaries.book_summary(para, labels).collect()}
+    assert (b[1]["n_chapters"], b[1]["n_paragraphs"], b[1]["chars"], b[1]["pivot_rate"], b[1]["cliffhanger_rate"], b[1]["function_share"], b[1]["valence_share"]) == (2, 3, 14, 0.5, None, {"turn": 1.0}, {"-2": 1.0})
+    assert (b[2]["pivot_rate"], b[2]["function_share"], b[2]["neg_density"]) == (None, {}, 1.0)

@@ -428,7 +428,13 @@ def book_summary(spark, sf_dir):
     return out
 
 
+def book_statistics(spark, sf_dir):
+    rows = _sql(spark, sf_dir, lambda d: f"WITH {tension(d)} SELECT p.doc_id, p.ch, p.pid, p.txt, p.chars, p.tok, p.pos, p.neg, CASE WHEN p.tok > 0 THEN CAST(p.pos - p.neg AS DOUBLE) / p.tok END AS net, round({SIGMOID}, 9) AS tension FROM para p JOIN z ON p.doc_id = z.doc_id AND p.pid = z.pid")
+    return summaries.book_statistics(rows, with_mtld=False)
+
+
 QUERIES = {f.__name__: f for f in (
+    book_statistics,
     chapter_summary, book_summary,
     paragraph_spans,
     word2vec_warm, topic_model_artifact, turn_containment,
@@ -481,10 +487,22 @@ def _book_sql(d: Dialect) -> str:
     return base.replace(", x AS (SELECT doc_id, ch, length", f", {extra}, x AS (SELECT doc_id, ch, length", 1)
 
 
+def _statistics_sql(d: Dialect) -> str:
+    """Each statistic by a query of its own over the paragraphs; places of extremes by ranks."""
+    base = f"WITH {tension(d)}, r AS (SELECT p.*, CASE WHEN p.tok > 0 THEN CAST(p.pos - p.neg AS DOUBLE) / p.tok END AS net, round({SIGMOID}, 9) AS tension FROM para p JOIN z ON p.doc_id = z.doc_id AND p.pid = z.pid), s AS (SELECT doc_id, length(trim(unnest(string_split_regex(txt, '[。！？!?]+')))) AS n FROM para), w AS (SELECT doc_id, unnest(regexp_extract_all(string_agg(txt, '' ORDER BY pid), '{TOKEN}')) AS tk FROM para GROUP BY doc_id)"
+    one = lambda name, value, source, where="": f"SELECT doc_id, '{name}' AS name, round(CAST({value} AS DOUBLE), 6) AS value FROM {source} {where} GROUP BY doc_id"
+    parts = [one("avg_ttr", "CAST(count(DISTINCT tk) AS DOUBLE) / count(*)", "w"), one("avg_sent_len", "avg(n)", "s", "WHERE n > 0"), one("emotion_avg", "CAST(sum(pos) - sum(neg) AS DOUBLE) / sum(tok)", "r") + " HAVING sum(tok) > 0", one("lexicon_zero_hit_share", "CAST(sum(CASE WHEN pos = 0 AND neg = 0 THEN chars ELSE 0 END) AS DOUBLE) / sum(chars)", "r")]
+    for x, name in (("net", "emotion"), ("tension", "rhythm")):
+        parts += [one(f"{name}_{k}", f"{f}({x})", "r", f"WHERE {x} IS NOT NULL") for k, f in (("avg", "avg"), ("std", "stddev_pop"), ("max", "max"), ("min", "min")) if (name, k) != ("emotion", "avg")]
+        parts += [f"SELECT doc_id, '{name}_{k}' AS name, CAST(ch AS DOUBLE) AS value FROM r WHERE {x} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {x} {way}, pid DESC) = 1" for k, way in (("peak_chapter_id", "DESC"), ("min_chapter_id", "ASC"))]
+    return base + " " + " UNION ALL ".join(parts)
+
+
 #: Nodes of the forest: whole events up to day 15; a parent counts where it is one too.
 FOREST_SQL = f"WITH RECURSIVE {FOREST}, node AS (SELECT event_id, ch, nxt, nxt_ch, event_type, first, CASE WHEN parent IN (SELECT event_id FROM ev WHERE until = ch) THEN parent END AS parent FROM ev WHERE ch <= 15 AND until = ch), tree AS (SELECT event_id, event_id AS tree_id FROM node WHERE parent IS NULL UNION ALL SELECT node.event_id, tree_id FROM node JOIN tree ON node.parent = tree.event_id)"
 
 ORACLES = {
+    "book_statistics": _statistics_sql,
     "chapter_summary": lambda d: _summary_sql(d, "doc_id, ch", "nullif(narrative_function, '') AS narrative_function, pivot_moment, cliffhanger, emotional_valence", "LEFT JOIN lab USING (doc_id, ch)"),
     "book_summary": _book_sql,
     "paragraph_spans": _paragraphs_sql,

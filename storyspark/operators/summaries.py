@@ -87,3 +87,32 @@ def book_summary(paragraphs: DataFrame, labels: DataFrame, with_mtld: bool = Tru
         share = F.map_from_entries(F.transform("x", lambda e: F.struct(e["label"], F.round(e["n"] / F.col("all"), 6))))
         out = out.join(n.select("doc_id", share.alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))))
     return out.drop("sentences", "sentence_chars", "sentence_squares", "pos", "neg", "fight", "excl", "ques", "pause", "dlg")
+
+
+def book_statistics(paragraphs: DataFrame, with_mtld: bool = True) -> DataFrame:
+    """(doc_id, name, value) of each book: up to sixteen statistics of ``paragraphs(doc_id, ch, pid, txt, chars, tok, pos, neg, net, tension)``.
+
+    Densities are of sums; spread (of the population), extremes and their chapters are of the paragraphs' own values, of equal ones the last
+    paragraph. ``net`` and ``tension`` may be null (no value), ``pos`` and ``neg`` too (not measured: such text is not without hits). A
+    statistic without anything to be taken from is absent.
+    """
+    rows = with_sentences(paragraphs)
+    hits = F.col("pos").isNotNull() & F.col("neg").isNotNull()
+    zero = hits & (F.col("pos") == 0) & (F.col("neg") == 0)
+
+    def extremes(x: str) -> list[Column]:
+        has, v = F.col(x).isNotNull(), F.col(x).cast("double")
+        at = lambda sign: F.max_by(F.when(has, F.col("ch")), F.when(has, F.struct(sign * v, F.col("pid"))))
+        return [F.count(x).alias(f"{x}_n"), F.avg(v).alias(f"{x}_avg"), F.stddev_pop(v).alias(f"{x}_std"), F.max(v).alias(f"{x}_max"), F.min(v).alias(f"{x}_min"), at(1).alias(f"{x}_peak"), at(-1).alias(f"{x}_low")]
+
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pid", "txt"))), lambda x: x["txt"]), "")
+    sums = [F.sum(x).alias(x) for x in ("tok", "pos", "neg", "sentences", "sentence_chars")]
+    s = rows.groupBy("doc_id").agg(*sums, F.sum(F.when(hits, F.col("chars"))).alias("measured"), F.sum(F.when(zero, F.col("chars"))).alias("zero"), *extremes("net"), *extremes("tension"), text.alias("text"))
+    s = _variety(s, with_mtld)
+    c = lambda x: F.col(x).cast("double")
+    stats = [("avg_ttr", "ttr", c("ttr")), ("avg_sent_len", "sentences", c("sentence_chars") / c("sentences")), ("emotion_avg", "tok", (F.coalesce(c("pos"), F.lit(0.0)) - F.coalesce(c("neg"), F.lit(0.0))) / c("tok")), ("lexicon_zero_hit_share", "measured", F.coalesce(c("zero"), F.lit(0.0)) / c("measured"))]
+    stats += [("avg_mtld", "ttr", c("mtld"))] if with_mtld else []
+    for x, name in (("net", "emotion"), ("tension", "rhythm")):
+        stats += [(f"{name}_{k}", f"{x}_n", c(f"{x}_{of}")) for k, of in (("avg", "avg"), ("std", "std"), ("max", "max"), ("min", "min"), ("peak_chapter_id", "peak"), ("min_chapter_id", "low")) if (name, k) != ("emotion", "avg")]
+    told = F.array(*[F.when(F.col(present) > 0, F.struct(F.lit(name).alias("name"), F.round(F.when(F.col(present) > 0, value), 6).alias("value"))) for name, present, value in stats])
+    return s.select("doc_id", F.explode(F.filter(told, lambda x: x.isNotNull())).alias("s")).select("doc_id", "s.*")

@@ -112,3 +112,18 @@ def test_summaries_by_hand(spark):
     b = {r["doc_id"]: r for r in summaries.book_summary(para, labels).collect()}
     assert (b[1]["n_chapters"], b[1]["n_paragraphs"], b[1]["chars"], b[1]["pivot_rate"], b[1]["cliffhanger_rate"], b[1]["function_share"], b[1]["valence_share"]) == (2, 3, 14, 0.5, None, {"turn": 1.0}, {"-2": 1.0})
     assert (b[2]["pivot_rate"], b[2]["function_share"], b[2]["neg_density"]) == (None, {}, 1.0)
+
+
+def test_book_statistics_by_hand(spark):
+    from storyspark.operators import summaries
+
+    cols = "doc_id long, ch long, pid long, txt string, chars long, tok long, pos double, neg double, net double, tension double"
+    rows = [(1, 1, 0, "a b!", 4, 2, 1.0, 0.0, 0.5, 0.2), (1, 2, 1, "c", 2, 1, 0.0, 0.0, 0.0, 0.7), (1, 2, 2, "", 0, 0, 0.0, 0.0, None, 0.7), (1, 3, 3, "d", 10, 1, None, None, 0.5, None), (1, 4, 4, "e", 4, 1, 0.0, 0.0, 0.0, 0.2), (2, 1, 0, "。", 1, 0, None, None, None, None)]
+    got: dict = {}
+    for r in summaries.book_statistics(spark.createDataFrame(rows, cols)).collect():
+        got.setdefault(r["doc_id"], {})[r["name"]] = r["value"]
+    assert set(got) == {1} and len(got[1]) == 16  # the second book has nothing to tell
+    b = got[1]
+    assert (b["avg_sent_len"], b["emotion_avg"], b["lexicon_zero_hit_share"]) == (1.5, 0.2, 0.6)
+    assert (b["emotion_max"], b["emotion_min"], b["emotion_std"], b["emotion_peak_chapter_id"], b["emotion_min_chapter_id"]) == (0.5, 0.0, 0.25, 3.0, 4.0)
+    assert (b["rhythm_avg"], b["rhythm_std"], b["rhythm_peak_chapter_id"], b["rhythm_min_chapter_id"]) == (0.45, 0.25, 2.0, 4.0)

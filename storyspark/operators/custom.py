@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from storyspark.functions import cjk, sequences, spans
 from storyspark.functions import series as S
 from storyspark.operators import graph_algorithms as G
-from storyspark.operators import aliases, chapters, communities, dependency, forest, learning, ordering, paragraphs, series, skipgram, summaries
+from storyspark.operators import aliases, chapters, communities, dependency, foreshadowing, forest, learning, ordering, paragraphs, series, skipgram, summaries
 from storyspark.operators.facts import FRACTION
 from storyspark.operators.text_metrics import SIGMOID, tension
 from storyspark.plans.dialect import LEXICONS, TOKEN, Dialect
@@ -433,7 +433,34 @@ def book_statistics(spark, sf_dir):
     return summaries.book_statistics(rows, with_mtld=False)
 
 
+def _foreshadowing(spark, sf_dir):
+    """The log's actions (as in the forest), and its roots: the first events of users, as likely to pay off as their value is high."""
+    e = _sql(spark, sf_dir, lambda d: f"WITH {FOREST} SELECT ev.*, value FROM ev JOIN (SELECT event_id AS id, value FROM @events) v ON ev.event_id = v.id")
+    action = F.create_map(*map(F.lit, ("view", "setup", "click", "reinforce", "purchase", "payoff")))[F.col("event_type")]
+    actions = e.select(F.col("first").alias("root"), action.alias("action"), F.when(action == "payoff", F.col("event_id")).alias("target"), F.col("ch").alias("chapter"), F.col("event_id").alias("ord")).where("action is not null")
+    likelihood = F.when(F.col("value") > 40, "high").when(F.col("value") > 20, "medium").when(F.col("value") > 5, "low")
+    roots = e.where("event_id = first").select(F.col("ch").alias("run"), F.col("event_id").alias("root"), likelihood.alias("likelihood"), F.col("event_id").alias("ord"))
+    return roots, actions
+
+
+def foreshadow_trees(spark, sf_dir):
+    return foreshadowing.trees(_foreshadowing(spark, sf_dir)[1]).withColumn("chapters", F.array_join("chapters", ","))
+
+
+def foreshadow_expectation(spark, sf_dir):
+    """What may be expected of the roots of each day."""
+    return foreshadowing.expectation(*_foreshadowing(spark, sf_dir))
+
+
+def api_diagnosis(spark, sf_dir):
+    """Threads with the expectation of the day on which they began."""
+    roots, actions = _foreshadowing(spark, sf_dir)
+    t = foreshadowing.trees(actions).join(roots.select("root", "run"), "root")
+    return t.join(foreshadowing.expectation(roots, actions), "run").select("root", F.array_join("chapters", ",").alias("chapters"), "status", "expectation")
+
+
 QUERIES = {f.__name__: f for f in (
+    foreshadow_trees, foreshadow_expectation, api_diagnosis,
     book_statistics,
     chapter_summary, book_summary,
     paragraph_spans,
@@ -498,10 +525,20 @@ def _statistics_sql(d: Dialect) -> str:
     return base + " " + " UNION ALL ".join(parts)
 
 
+_ACTIONS_SQL = f"{FOREST}, act AS (SELECT first AS root, event_id, ch, CASE event_type WHEN 'view' THEN 'setup' WHEN 'click' THEN 'reinforce' WHEN 'purchase' THEN 'payoff' END AS action FROM ev WHERE event_type IN ('view', 'click', 'purchase')), thread AS (SELECT root, count(*) AS n_actions, arg_min(action, ch * 1000000000 + event_id) AS first_action, arg_max(action, ch * 1000000000 + event_id) AS last_action, arg_max(event_id, ch * 1000000000 + event_id) AS last_event, min(ch) AS first_chapter, max(ch) AS last_chapter, list_sort(list(DISTINCT ch)) AS chs FROM act GROUP BY root)"
+_EXPECTATION_SQL = _ACTIONS_SQL + """, root AS (SELECT ev.ch AS run, ev.event_id AS root, CASE WHEN value > 40 THEN 'high' WHEN value > 20 THEN 'medium' WHEN value > 5 THEN 'low' END AS likely FROM ev JOIN @events e ON e.event_id = ev.event_id WHERE ev.event_id = first),
+sc AS (SELECT run, likely, coalesce(n_actions, 1) AS hits, coalesce(last_action, 'setup') AS last FROM root LEFT JOIN thread USING (root)),
+pt AS (SELECT run, likely, CASE likely WHEN 'high' THEN 0.65 WHEN 'medium' THEN 0.38 WHEN 'low' THEN 0.09 ELSE 0.33 END + CASE last WHEN 'setup' THEN -0.07 WHEN 'reinforce' THEN 0.03 ELSE 0.28 END + CASE WHEN hits >= 3 THEN 0.08 WHEN hits = 2 THEN 0.04 ELSE 0 END AS score, CASE last WHEN 'setup' THEN 0.75 WHEN 'reinforce' THEN 1.0 ELSE 1.2 END + CASE WHEN hits >= 3 THEN 0.2 WHEN hits = 2 THEN 0.1 ELSE 0 END + CASE likely WHEN 'high' THEN 0.05 WHEN 'medium' THEN 0 ELSE -0.05 END AS weight FROM sc),
+expected AS (SELECT run, round(CASE WHEN count(likely) > 0 THEN CAST(sum(least(1, greatest(0, score)) * weight) AS DOUBLE) / CAST(sum(weight) AS DOUBLE) END, 4) AS expectation FROM pt GROUP BY run)"""
+
+
 #: Nodes of the forest: whole events up to day 15; a parent counts where it is one too.
 FOREST_SQL = f"WITH RECURSIVE {FOREST}, node AS (SELECT event_id, ch, nxt, nxt_ch, event_type, first, CASE WHEN parent IN (SELECT event_id FROM ev WHERE until = ch) THEN parent END AS parent FROM ev WHERE ch <= 15 AND until = ch), tree AS (SELECT event_id, event_id AS tree_id FROM node WHERE parent IS NULL UNION ALL SELECT node.event_id, tree_id FROM node JOIN tree ON node.parent = tree.event_id)"
 
 ORACLES = {
+    "foreshadow_trees": lambda d: f"WITH {_ACTIONS_SQL} SELECT root, n_actions, first_chapter, first_action, last_chapter, last_action, CASE WHEN last_action = 'payoff' THEN last_event END AS last_target, array_to_string(chs, ',') AS chapters, CASE last_action WHEN 'setup' THEN 'open' WHEN 'reinforce' THEN 'reinforced' ELSE 'likely_paid_off' END AS status, last_action <> 'payoff' AS active FROM thread",
+    "foreshadow_expectation": lambda d: f"WITH {_EXPECTATION_SQL} SELECT run, expectation FROM expected",
+    "api_diagnosis": lambda d: f"WITH {_EXPECTATION_SQL} SELECT root, array_to_string(chs, ',') AS chapters, CASE last_action WHEN 'setup' THEN 'open' WHEN 'reinforce' THEN 'reinforced' ELSE 'likely_paid_off' END AS status, expectation FROM thread JOIN root USING (root) JOIN expected USING (run)",
     "book_statistics": _statistics_sql,
     "chapter_summary": lambda d: _summary_sql(d, "doc_id, ch", "nullif(narrative_function, '') AS narrative_function, pivot_moment, cliffhanger, emotional_valence", "LEFT JOIN lab USING (doc_id, ch)"),
     "book_summary": _book_sql,

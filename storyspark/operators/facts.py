@@ -116,8 +116,6 @@ QUERIES = {
     "distribution_by_dimension": lambda d: f"WITH {LOG} SELECT ch, kind, count(*) AS n FROM log GROUP BY ch, kind",
     "emotion_event_detail": _q("SELECT user_id, event_type, count(*) AS n FROM @events WHERE value > 20 GROUP BY user_id, event_type ORDER BY n DESC, user_id, event_type LIMIT 20"),
     "entity_candidate_counts": _q("SELECT coalesce(CASE WHEN event_type IN ('click', 'view') THEN event_type END, 'unmapped') AS kind, count(*) AS n FROM @events GROUP BY coalesce(CASE WHEN event_type IN ('click', 'view') THEN event_type END, 'unmapped')"),
-    "foreshadow_expectation": lambda d: f"WITH a AS (SELECT user_id AS root, {d.any_max('event_type', d.struct('ts', 'event_id'))} AS status, count(*) AS hits, avg(value) AS strength FROM @events GROUP BY user_id) SELECT round(sum(hits * least(1e0, greatest(0e0, 0.3 + CASE status WHEN 'purchase' THEN 0.3 WHEN 'error' THEN -0.2 ELSE 0 END + strength / 200))) / sum(hits), 4) AS expectation FROM a",
-    "foreshadow_trees": lambda d: f"SELECT user_id AS root, min(event_id) AS first_action, max(event_id) AS last_action, count(DISTINCT EXTRACT(DAY FROM ts)) AS chapters, {d.any_max('event_type', d.struct('ts', 'event_id'))} AS status FROM @events GROUP BY user_id",
     "foreshadow_by_chapter": lambda d: f"WITH {LOG} SELECT ch, entity, {d.any_max('kind', d.struct('ts', 'event_id'))} AS action FROM log GROUP BY ch, entity",
     "action_order": lambda d: f"WITH {LOG} SELECT event_id, CAST(row_number() OVER (ORDER BY ch, coalesce(CASE WHEN kind = 'view' THEN event_id END, 2147483648), entity, event_id) - 1 AS BIGINT) AS ordinal FROM log",
     "arc_span_join": _q("SELECT c.conv_id, c.turn AS head, d.turn AS dependent, d.role FROM @conversations c JOIN @conversations d ON c.conv_id = d.conv_id AND d.turn = c.turn + 1"),

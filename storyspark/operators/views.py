@@ -56,7 +56,6 @@ QUERIES = {
     "api_chapter_metrics": lambda d: f"SELECT c.*, r.chapters, r.net_density AS book_net_density, r.positive_share FROM {part(d, 'chapter_metrics')} c JOIN {part(d, 'book_rollup')} r ON c.doc_id = r.doc_id",
     "api_characters": lambda d: f"SELECT r.user_id, r.appearances, r.dominant_role, f.focus FROM {part(d, 'character_ranking')} r JOIN {part(d, 'focus_score')} f ON r.user_id = f.user_id ORDER BY r.appearances DESC, r.user_id LIMIT 15",
     "api_topics": lambda d: f"SELECT b.topic, b.weight, e.net, CASE WHEN t.topic IS NULL THEN 0 ELSE 1 END AS top FROM {part(d, 'topic_book')} b JOIN {part(d, 'topic_emotion')} e ON b.topic = e.topic LEFT JOIN {part(d, 'topic_topn')} t ON b.topic = t.topic",
-    "api_diagnosis": lambda d: f"SELECT t.root, t.chapters, t.status, e.expectation FROM {part(d, 'foreshadow_trees')} t CROSS JOIN {part(d, 'foreshadow_expectation')} e",
     "api_graph": lambda d: f"SELECT n.node, n.name, g.degree, g.centrality, w.strength FROM {part(d, 'representative_view')} n JOIN {part(d, 'degree_centrality')} g ON n.node = g.node JOIN {part(d, 'weighted_degree')} w ON n.node = w.node",
     "api_timeline": lambda d: f"SELECT s.entity, s.kind, coalesce(c.n, 0) AS changes FROM {part(d, 'latest_state')} s LEFT JOIN (SELECT entity, CAST(sum(changes) AS BIGINT) AS n FROM {part(d, 'relation_change_fold')} f GROUP BY entity) c ON s.entity = c.entity",
     "api_metrics": lambda d: f"SELECT g.doc_id, g.max_net, g.min_net, g.mean_net, z.zero_hit_share, t.trend FROM {part(d, 'global_stats')} g JOIN {part(d, 'zero_hit_share')} z ON g.doc_id = z.doc_id JOIN {part(d, 'trend_class')} t ON g.doc_id = t.doc_id",

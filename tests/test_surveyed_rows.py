@@ -127,3 +127,17 @@ def test_book_statistics_by_hand(spark):
     assert (b["avg_sent_len"], b["emotion_avg"], b["lexicon_zero_hit_share"]) == (1.5, 0.2, 0.6)
     assert (b["emotion_max"], b["emotion_min"], b["emotion_std"], b["emotion_peak_chapter_id"], b["emotion_min_chapter_id"]) == (0.5, 0.0, 0.25, 3.0, 4.0)
     assert (b["rhythm_avg"], b["rhythm_std"], b["rhythm_peak_chapter_id"], b["rhythm_min_chapter_id"]) == (0.45, 0.25, 2.0, 4.0)
+
+
+def test_foreshadowing_by_hand(spark):
+    from storyspark.operators import foreshadowing as f
+
+    acts = spark.createDataFrame([(1, "setup", None, 1, 1), (1, "payoff", 9, 4, 2), (1, "reinforce", None, 2, 7), (2, "setup", None, 3, 1), (2, "reinforce", None, 3, 2), (None, "setup", None, 1, 1), (4, "setup", None, None, 1)], "root long, action string, target long, chapter long, ord long")
+    t = {r["root"]: r for r in f.trees(acts).collect()}
+    assert set(t) == {1, 2, 4} and (t[1]["first_chapter"], t[1]["last_chapter"], t[1]["chapters"], t[1]["status"], t[1]["active"], t[1]["last_target"]) == (1, 4, [1, 2, 4], "likely_paid_off", False, 9)
+    assert (t[2]["status"], t[2]["n_actions"], t[2]["chapters"], t[4]["chapters"]) == ("reinforced", 2, [3], [])
+    roots = spark.createDataFrame([("a", 1, "high", 1), ("a", 1, "low", 2), ("a", 2, "", 3), ("a", 3, None, 4), ("b", 2, None, 1)], "run string, root long, likelihood string, ord int")
+    got = dict(map(tuple, f.expectation(roots, acts).collect()))
+    # 1: high, paid off, three actions (over 1, so 1); 2: medium's base, reinforced, two; 3: never acted on
+    parts = [(1.0, 1.2 + 0.2 + 0.05), (0.38 + 0.03 - 0.05 + 0.04, 1.0 + 0.1 - 0.05), (0.38 - 0.07 - 0.05, 0.75 - 0.05)]
+    assert got["a"] == pytest.approx(sum(s * w for s, w in parts) / sum(w for _, w in parts), abs=6e-5) and got["b"] is None and len(got) == 2

@@ -51,7 +51,7 @@ RULES = [
 COLUMNS = ("n_sentences", "n_license_sentences", "sentence_ids", "licenses", "license")
 #: A sentence ends at a blank line or at . ! ? before white space or the end of the text; a single line feed is white space.
 BREAK = r"[.!?]+(?:[ \t\r\n]+|\z)|(?:\r\n|\r(?!\n)|\n)[ \t]*[\r\n][ \t\r\n]*"
-#: What ends a sentence in the count ``n_sentences``: the SQL counts every line feed too.
+#: What ends a sentence in the count ``n_sentences``: every line feed too.
 COUNTED = r"[.!?]+(?:[ \t\r\n]+|\z)|[\r\n]+"
 #: The longest word of each phrase: a text without any of them holds no phrase.
 WORDS = sorted({max(p.split(), key=len) for _, p in SENTENCES})
@@ -62,7 +62,7 @@ PHRASE = rf"(?<![a-z0-9])(?=({'|'.join(p for _, p in SENTENCES)})(?![a-z0-9]))"
 def scan(docs: DataFrame) -> DataFrame:
     """``docs(text, ...)`` with n_sentences, n_license_sentences, sentence_ids, licenses (comma-joined, in rule order) and license.
 
-    n_sentences counts a line feed as the end of a sentence, as the SQL does; identifiers are found across single line feeds.
+    n_sentences counts every line feed as the end of a sentence; identifiers are found across single line feeds.
     license is the first rule's that matches, or ``none``. Null and empty texts have no sentences and no licence. Repeated
     rows are judged each, an empty table gives an empty one, texts of any length are read whole; existing columns of the result's names are replaced. Only A-Z is lower-cased, and every run of
     other characters than a-z and 0-9 separates words.
@@ -98,21 +98,30 @@ def op5_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    case = " ".join(f"WHEN contains(' ' || x || ' ', ' {p} ') THEN '{i}'" for i, p in SENTENCES)
+    """The same rule apart from the operator's code: each word is put in brackets, so that phrases share no separator, and phrases are sought by splitting."""
+    phrases = ", ".join(f"({k}, '{i}', '<{p.replace(' ', '><')}>')" for k, (i, p) in enumerate(SENTENCES))
     steps, before = [], "ids"
     for k, (name, seq) in enumerate(RULES):
         steps.append(f"r{k} AS (SELECT * EXCLUDE (rest, found), replace(rest, '{seq}', ' ') AS rest, CASE WHEN contains(rest, '{seq}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM {before})")
         before = f"r{k}"
     assert not re.search("'", "".join(p for _, p in SENTENCES))
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(1), 'abcdefghijklmnopqrstuvwxyz ')"
     return rf"""
-WITH t AS (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?]+([ \t\r\n]+|\z)|[\r\n]+', chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM documents
-), i AS (
-  SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(array_to_string(list_transform(s, lambda x: CASE {case} ELSE '' END), ''), '') AS sentence_ids FROM t
-), ids AS (SELECT *, sentence_ids AS rest, CAST([] AS VARCHAR[]) AS found FROM i), {", ".join(steps)}
-SELECT doc_id, n_sentences, CAST(length(sentence_ids) AS BIGINT) AS n_license_sentences, sentence_ids, coalesce(array_to_string(found, ','), '') AS licenses,
+WITH d AS (SELECT doc_id, {low} AS low, row_number() OVER () AS r FROM documents
+), t AS (
+  SELECT r, doc_id, len(list_filter(string_split(regexp_replace(regexp_replace(low, '[.!?]+([ \t\r\n]+|\z)|[\r\n]+', chr(1), 'g'), '[^a-z0-9\x01]+', ' ', 'g'), chr(1)), lambda x: trim(x, ' ') <> '')) AS n,
+    string_split(regexp_replace(regexp_replace(replace(low, chr(13) || chr(10), chr(10)), '[.!?]+([ \t\r\n]+|\z)|[\r\n][ \t]*[\r\n][ \t\r\n]*', chr(1), 'g'), '[^a-z0-9\x01]+', ' ', 'g'), chr(1)) AS s FROM d
+), u AS (SELECT r, unnest(range(len(s))) AS k, trim(unnest(s), ' ') AS x FROM t
+), v AS (SELECT r, k, '<' || replace(x, ' ', '><') || '>' AS y FROM u WHERE x <> ''
+), p(place, letter, pp) AS (VALUES {phrases}
+), o AS (SELECT r, k, place, letter, string_split(y, pp) AS cut, length(pp) AS w FROM v JOIN p ON contains(y, pp)
+), h AS (
+  SELECT r, k, place, letter, unnest(list_transform(range(1, len(cut)), lambda i: list_sum(list_transform(cut[1:i], lambda x: length(x))) + (i - 1) * w)) AS pos FROM o
+), f AS (SELECT r, k, pos, arg_min(letter, place) AS letter FROM h GROUP BY r, k, pos
+), g AS (SELECT r, count(DISTINCT k) AS sentences, string_agg(letter, '' ORDER BY k, pos) AS sentence_ids FROM f GROUP BY r
+), ids AS (SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, coalesce(sentences, 0) AS sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce(sentence_ids, '') AS rest, CAST([] AS VARCHAR[]) AS found FROM t LEFT JOIN g USING (r)), {", ".join(steps)}
+SELECT doc_id, n_sentences, CAST(sentences AS BIGINT) AS n_license_sentences, sentence_ids, coalesce(array_to_string(found, ','), '') AS licenses,
   CASE WHEN len(found) = 0 THEN 'none' ELSE found[1] END AS license FROM {before}
 """
 
-
 SQL = _sql()

@@ -82,3 +82,24 @@ def test_codes_by_hand(spark):
         near = [x for x in langs if loss[x] - best < 1e-3]
         assert got[i]["lang_pred"] in near, (i, loss, got[i])
         assert got[i]["score"] == pytest.approx(1 / sum(math.exp(best - v) for v in loss.values()), abs=2e-3)
+
+
+def test_license_sql_on_wrapped_notices(spark):
+    """The registered SQL and the operator on notices that are wrapped, share sentences, repeat and lie next to each other."""
+    import duckdb
+
+    from storyspark.llm import licenses
+
+    phrase = dict(licenses.SENTENCES)
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    gpl, mit, bsd = phrase["I"] + ", " + phrase["J"] + ".", phrase["O"] + ". " + phrase["P"].upper() + "!", phrase["Q"] + ". " + phrase["R"] + " the holder"
+    texts = [None, "", " \n ", wrap(gpl, 7), wrap(mit, 5), wrap(bsd, 6), f"{phrase['A']}. {phrase['B']}. {phrase['C']}:\r\n\r\n x. {phrase['D']}", f"{phrase['T']} {phrase['U']}-{phrase['U']}", f"{phrase['M']} and {phrase['X']}\r{phrase['X']}", "all rights\n\nreserved", "all rights\r\nreserved", "all\x01rights reserved", "xall rights reserved", wrap(phrase["H"], 2) + "\n\n" + gpl, phrase["N"] + phrase["N"], "ÀLL RIGHTS RESERVED. All Rights Reserved"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", *licenses.COLUMNS)
+    con = duckdb.connect()
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])
+    con.register("documents", documents)
+    want = con.sql(f"select doc_id, {', '.join(licenses.COLUMNS)} from ({licenses.SQL})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    by = {r["doc_id"]: r["license"] for r in got.collect()}
+    assert (by[3], by[4], by[5], by[6], by[9], by[10]) == ("GPL-3.0-or-later", "MIT", "BSD-3-Clause", "Apache-2.0", "none", "Proprietary")

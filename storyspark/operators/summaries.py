@@ -24,7 +24,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def with_sentences(paragraphs: DataFrame) -> DataFrame:
     """``paragraphs(txt, ...)`` with the number of sentences, the sum of their lengths and of the squares; blank ones do not count."""
-    lengths = F.filter(F.transform(F.split("txt", BORDERS), lambda x: F.char_length(F.trim(x))), lambda n: n > 0)
+    lengths = F.filter(F.transform(F.split("txt", BORDERS), lambda x: F.char_length(F.trim(x)).cast("long")), lambda n: n > 0)
     add = lambda f: F.aggregate(lengths, F.lit(0).cast("long"), lambda acc, n: acc + f(n))
     return paragraphs.withColumns({"sentences": F.size(lengths).cast("long"), "sentence_chars": add(lambda n: n), "sentence_squares": add(lambda n: n * n)})
 

@@ -190,7 +190,8 @@ def outbox_projection(spark, sf_dir):
 def outbox_stream(spark, sf_dir):
     """The projection over the log as a file stream, run to its end: the last row of each run (one of an expired state starts anew)."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # a pattern, as a stream takes a folder only: the table may be a file or a folder of files
+    log = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     log = log.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(";")).alias("text"), "ts")
     folder = G.new_path(spark)
     write = outbox.project(log).writeStream.outputMode("update").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True)

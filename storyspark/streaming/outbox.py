@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,13 +22,25 @@ def idempotent(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
     return messages.dropDuplicates(["run_id", "message_key"])
 
 
-def fold(state: tuple[int, int, str], rows: pd.DataFrame) -> tuple[int, int, str]:
-    """A run's state after more messages: those at or before the cursor are ignored."""
+def fold(state: tuple[int, int, str], batches: Iterable[pd.DataFrame]) -> tuple[int, int, str]:
+    """A run's state after more messages, in frames of any order: those at or before the cursor are ignored, a repeated seq counts once.
+
+    Of all the messages only their numbers are kept (8 bytes each), and the texts of the newest ones that reach into the tail.
+    """
     cursor, count, tail = state
-    for seq, text in rows.sort_values("seq")[["seq", "text"]].itertuples(index=False):
-        if seq > cursor:
-            cursor, count, tail = int(seq), count + 1, (tail + (text or ""))[-TAIL:]
-    return cursor, count, tail
+    seqs, newest = np.zeros(0, np.int64), pd.DataFrame({"seq": np.zeros(0, np.int64), "text": np.zeros(0, object)})
+    for rows in batches:
+        rows = rows.loc[rows["seq"] > cursor, ["seq", "text"]]
+        if rows.empty:
+            continue
+        seqs = np.union1d(seqs, rows["seq"].to_numpy(np.int64))
+        rows = rows.assign(text=rows["text"].fillna("").astype(object))
+        newest = (pd.concat([newest, rows]) if len(newest) else rows).sort_values("seq", ascending=False, kind="stable").drop_duplicates("seq")
+        after = newest["text"].str.len().cumsum() - newest["text"].str.len()
+        newest = newest[after < TAIL]
+    if not len(seqs):
+        return state
+    return int(seqs[-1]), count + len(seqs), (tail + "".join(newest["text"][::-1]))[-TAIL:]
 
 
 def project(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -41,9 +54,16 @@ def project(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        now, last = tuple(state.get) if state.exists else (-1, 0, ""), 0
-        for pdf in batches:
-            now, last = fold(now, pdf), max(last, int(pdf["ms"].max()))
+        last = 0
+
+        def timed_rows() -> Iterator[pd.DataFrame]:
+            nonlocal last
+            for pdf in batches:
+                last = max(last, int(pdf["ms"].max()))
+                yield pdf
+
+        # a run's messages of one trigger may come in several frames, in no order
+        now = fold(tuple(state.get) if state.exists else (-1, 0, ""), timed_rows())
         state.update(now)
         state.setTimeoutTimestamp(max(last + IDLE_MS, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], *now)], columns=["run_id", "last_seq", "messages", "tail"])

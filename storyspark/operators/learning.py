@@ -86,9 +86,17 @@ def words_table(spark: SparkSession, words: list[str]) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"i": range(len(words)), "word": words}), "i int, word string")
 
 
+#: Tokens that a task of Word2Vec learns from.
+TASK_TOKENS = 1 << 22
+
+
 def fit_word2vec(docs: DataFrame, tokens: str = "tokens", size: int = 50, window: int = 5, min_count: int = 2, seed: int = 42) -> DataFrame:
-    """(word, vector); trained from scratch (Spark ML has no warm start)."""
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, inputCol=tokens, outputCol="v").fit(docs)
+    """(word, vector); trained from scratch (Spark ML has no warm start).
+
+    Spark ML trains in one task unless told otherwise: here a task has some ``TASK_TOKENS`` tokens, and what the tasks learnt is averaged.
+    """
+    n = docs.agg(F.sum(F.greatest(F.size(tokens), F.lit(0)).cast("long"))).first()[0] or 0
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, numPartitions=max(1, -(-n // TASK_TOKENS)), inputCol=tokens, outputCol="v").fit(docs)
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 

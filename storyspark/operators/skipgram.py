@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 MODEL_BYTES, BATCH = 512 << 20, 4096
 #: Mean gradient steps that a word goes in one such step at most.
 STEPS = 16
+#: Tokens that a task learns from: so many at least, and so many a word, as what it returns is of the vocabulary's size.
+TASK_TOKENS, TOKENS_A_WORD = 1 << 18, 4
+#: Rows that a task returns at once.
+ROWS = 4096
 #: Power of the counts by which negatives are drawn.
 NOISE = 0.75
 
@@ -53,23 +57,26 @@ def pairs(ids: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
-def _learn(w_in: np.ndarray, w_out: np.ndarray, centre: np.ndarray, context: np.ndarray, negative: np.ndarray, rate: float) -> float:
-    """One step on some pairs, with the gradients summed per word; the loss before it."""
+def _learn(w_in: np.ndarray, w_out: np.ndarray, centre: np.ndarray, context: np.ndarray, negative: np.ndarray, rate: float, often: np.ndarray | None = None) -> float:
+    """One step on some pairs, with the gradients summed per word; the loss before it. ``often`` is room for a count a word, zero before and after."""
+    often = np.zeros(len(w_in), np.int64) if often is None else often
     x = w_in[centre]
     target = np.concatenate([context[:, None], negative], 1)
-    sign = np.where(np.arange(target.shape[1]) == 0, 1.0, -1.0)[None]
-    use = np.ones(target.shape)
+    use = np.ones(target.shape, bool)
     use[:, 1:] = negative != context[:, None]  # a negative that is the context itself does not count
     y = w_out[target]
-    s = sign * np.einsum("bd,bkd->bk", x, y)
-    loss = float((np.logaddexp(0, -s) * use).sum())
-    g = use * sign / (1 + np.exp(np.clip(s, -60, 60)))
-    for w, rows, grad in ((w_in, centre, np.einsum("bk,bkd->bd", g, y)), (w_out, target.ravel(), (g[..., None] * x[:, None]).reshape(-1, x.shape[1]))):
-        order = np.argsort(rows, kind="stable")
-        word, first, n = np.unique(rows[order], return_index=True, return_counts=True)
-        sums = np.add.reduceat(grad[order], first, 0)
+    s = np.matmul(y, x[:, :, None])[:, :, 0]
+    s[:, 1:] *= -1
+    e = np.exp(-np.abs(s))
+    loss = float((np.maximum(-s, 0) + np.log1p(e))[use].sum())
+    g = np.where(s >= 0, e, 1.0) / (1 + e) * use
+    g[:, 1:] *= -1
+    for w, rows, grad in ((w_in, centre, np.matmul(g[:, None, :], y)[:, 0]), (w_out, target.ravel(), (g[..., None] * x[:, None]).reshape(-1, x.shape[1]))):
+        np.add.at(often, rows, 1)
         # a word of very many pairs would overshoot: it goes STEPS mean steps at most
-        w[word] += rate * sums * np.minimum(1, STEPS / n)[:, None]
+        grad = grad * (rate * np.minimum(1, STEPS / often[rows]))[:, None]
+        often[rows] = 0
+        np.add.at(w.reshape(-1), (rows[:, None] * w.shape[1] + np.arange(w.shape[1])).ravel(), grad.ravel())
     return loss
 
 
@@ -97,6 +104,8 @@ def train(docs: DataFrame, size: int, pretrained: DataFrame | None = None, token
     w_out = np.zeros((n_words, size))
     noise = np.cumsum(counts**NOISE) / max((counts**NOISE).sum(), 1e-300)
     losses: list[float] = []
+    # the documents are dealt by how much there is to learn from, however few files hold them
+    dealt = docs.select(tokens).repartition(max(1, int(counts.sum()) // max(TASK_TOKENS, TOKENS_A_WORD * n_words)))
     for epoch in range(epochs if n_words else 0):
         shared = spark.sparkContext.broadcast((names, w_in, w_out, noise))
         step_rate = rate * (1 - epoch / max(epochs, 1))
@@ -105,7 +114,7 @@ def train(docs: DataFrame, size: int, pretrained: DataFrame | None = None, token
             names, w_in, w_out, noise = shared.value
             w_in, w_out, place = w_in.copy(), w_out.copy(), {w: i for i, w in enumerate(names)}
             rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
-            n_in, n_out, loss, seen = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), 0.0, 0
+            n_in, n_out, often, loss, seen = *(np.zeros(len(names), np.int64) for _ in range(3)), 0.0, 0
             for batch in batches:
                 col = batch.column(0)
                 flat, size_of = col.flatten().to_pylist(), np.diff(np.asarray(col.offsets)) if not col.null_count else np.array([len(x) if x is not None else 0 for x in col.to_pylist()])
@@ -116,18 +125,21 @@ def train(docs: DataFrame, size: int, pretrained: DataFrame | None = None, token
                 for at in range(0, len(order), BATCH):
                     part = order[at : at + BATCH]
                     negative = np.searchsorted(noise, rng.random((len(part), negatives)))
-                    loss += _learn(w_in, w_out, centre[part], context[part], negative, step_rate)
+                    loss += _learn(w_in, w_out, centre[part], context[part], negative, step_rate, often)
                     np.add.at(n_in, centre[part], 1)
                     np.add.at(n_out, context[part], 1)
                     np.add.at(n_out, negative.ravel(), 1)
                     seen += len(part)
-            out = [(-1, 0, seen, [loss / seen])] if seen else []
+            arrow = lambda i, kind, n, v: pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(np.full(len(i), kind), pa.int32()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel(), pa.float64()))], ["word", "kind", "n", "vector"])
+            if seen:
+                yield arrow(np.array([-1]), 0, np.array([seen]), np.array([[loss / seen]]))
             for kind, w, n in ((0, w_in, n_in), (1, w_out, n_out)):
-                out += [(int(i), kind, int(n[i]), w[i].tolist()) for i in np.flatnonzero(n)]
-            cols = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.float64()))], ["word", "kind", "n", "vector"])
+                touched = np.flatnonzero(n)
+                for at in range(0, len(touched), ROWS):
+                    i = touched[at : at + ROWS]
+                    yield arrow(i, kind, n[i], w[i])
 
-        rows = docs.select(tokens).mapInArrow(run, "word int, kind int, n long, vector array<double>")
+        rows = dealt.mapInArrow(run, "word int, kind int, n long, vector array<double>")
         mean = Summarizer.mean(array_to_vector("vector"), F.col("n").cast("double"))
         for r in rows.groupBy("word", "kind").agg(vector_to_array(mean).alias("vector")).toLocalIterator():  # two rows a word at most
             if r["word"] < 0:

@@ -105,6 +105,19 @@ def test_aliases_brute(spark, seed):
     assert aliases.containment_pairs(df.limit(0)).count() == 0
 
 
+def test_aliases_broadcast_no_grams(spark, monkeypatch):
+    names = ["old rod", "cold rod", "rod", "Nan", "Nancy", "anc"]
+    rows = [(i, n) for i, n in enumerate(names * 60)] + [(1000, "ab"), (1000, "abc"), (1001, "ab"), (1001, "abc")]
+    want = sorted({(min(i, j), max(i, j), a, b) for i, a in rows for j, b in rows if a != b and a in b})
+    df = spark.createDataFrame(rows, "id long, name string")
+    monkeypatch.setattr(aliases, "BLOCK", 16, raising=False)
+    for most in (1 << 16, 0):  # what asks is broadcast, or shuffled
+        monkeypatch.setattr(aliases, "BROADCAST", most, raising=False)
+        got = aliases.containment_pairs(df)
+        assert sorted(map(tuple, got.collect())) == want
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def frame(spark, schema, *rows):
     return spark.createDataFrame(list(rows), schema)
 

@@ -1,5 +1,7 @@
 """Literals and properties of the plain functions."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -126,3 +128,20 @@ def test_stream_equals_batch(spark):
 
     SF = "/root/testdata/sf0.001"
     assert sorted(map(str, custom.outbox_stream(spark, SF).collect())) == sorted(map(str, custom.outbox_projection(spark, SF).collect()))
+
+
+def test_textrank_is_pagerank_of_pairs(spark):
+    rng = random.Random(5)
+    texts = [[rng.choice("aabcdefgh") for _ in range(rng.randrange(1, 30))] for _ in range(12)] + [["z"], ["y", "y", "y"], []]
+    pairs = {}
+    for t in texts:
+        for i, x in enumerate(t):
+            for step, y in enumerate(t[i + 1 : i + 5], 1):
+                if x != y:
+                    key = (min(x, y), max(x, y))
+                    pairs[key] = pairs.get(key, 0.0) + 5 - step
+    want = {r["node"]: r["rank"] for r in G.pagerank(spark.createDataFrame([(*k, w) for k, w in pairs.items()], "a string, b string, w double"), most=20).collect()}
+    rows = spark.createDataFrame([(d, i, x) for d, t in enumerate(texts) for i, x in enumerate(t)], "doc_id long, i int, tk string")
+    got = {r["node"]: r["rank"] for r in G.textrank(rows, most=20).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert G.textrank(rows.limit(0)).count() == 0

@@ -34,7 +34,6 @@ MIN_BLOCK = 8
 #: end lies in a short sentence, n - LONG - 2 * CUT.
 CUT, LONG = 10, 20
 COLUMNS = ("n_lines", "n_removed")
-_STOP = K.byte_class((0x2E, 0x2E), (0x21, 0x21), (0x3F, 0x3F))
 
 
 def least(hashes: np.ndarray, first: np.ndarray, width: int = CUT) -> np.ndarray:
@@ -55,17 +54,24 @@ def least(hashes: np.ndarray, first: np.ndarray, width: int = CUT) -> np.ndarray
     return out
 
 
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct values of two sorted arrays, sorted (a stable sort merges them)."""
+    x = np.sort(np.concatenate([a, b]), kind="stable")
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
 def lines(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends, first line of each text, hashes, words) of the lines of a block of texts."""
     data, offs = K.buffers(col)
     cut = (data == 10) | (data == 13)
     if len(data) > 1:
-        cut[1:] |= (data[1:] == 32) & _STOP[data[:-1]]
+        before = data[:-1]
+        cut[1:] |= (data[1:] == 32) & ((before == 0x2E) | (before == 0x21) | (before == 0x3F))
     words, word_ends, per_text = K.runs(data, offs, K.NONSPACE)
     total = K.running_hash(data, None)
     if len(words):
         # the words of long sentences, and where their sentences begin
-        number = np.cumsum(cut)[words]
+        number = np.searchsorted(np.flatnonzero(cut), words, "right")
         opens = np.append(True, number[1:] != number[:-1])
         opens[per_text[per_text < len(words)]] = True
         begin = np.flatnonzero(opens)
@@ -78,7 +84,14 @@ def lines(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         pair = np.ones(len(h), bool)
         pair[first[1:] - 1] = False
         cut[word_ends[at[pair][least(h[pair], first - np.arange(len(first)))]]] = True
-    starts, ends, _ = K.mask_runs(~cut, offs)
+    # the runs of bytes that are no cut, by the cuts alone: they are few
+    at = np.flatnonzero(cut)
+    starts = merged(offs[:-1], at + 1)
+    starts = starts[starts < offs[-1]]
+    starts = starts[~cut[starts]]
+    ends = merged(offs[1:], at)
+    ends = ends[ends > offs[0]]
+    ends = ends[~cut[ends - 1]]
     n = np.searchsorted(words, ends) - np.searchsorted(words, starts)
     first = np.searchsorted(starts, offs)
     opens = np.zeros(len(starts), bool)
@@ -218,7 +231,12 @@ def _block_table(docs: DataFrame, min_block: int, known=None) -> DataFrame:
                 doc = np.repeat(np.arange(len(count)), count)
                 ok = size > 0
                 if known is None:
-                    own = np.unique(np.stack([h[ok], doc[ok].astype(np.uint64)]), axis=1)[0] if ok.any() else h[ok]
+                    own, doc = h[ok], doc[ok]
+                    order = np.lexsort((own, doc))
+                    own, doc = own[order], doc[order]
+                    new = np.ones(len(own), bool)
+                    new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
+                    own = own[new]
                     yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["h"])
                     continue
                 ok &= is_known(known, h)
@@ -312,10 +330,16 @@ def dedup_lines(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
             for block in text_blocks(batch, names[at]):
                 cols = [block.column(i) for i in range(len(names))]
                 data, starts, _, first, h, n = lines(cols[at])
+                places_, hashes_, removed = block.column(len(names)), block.column(len(names) + 1), [0] * len(block)
+                asked = np.flatnonzero(places_.is_valid().to_numpy(zero_copy_only=False)).tolist()
+                if not asked:
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(first).astype(np.int64)), pa.array(removed, pa.int64())], [*names, *COLUMNS])
+                    continue
                 h, size, _ = blocks(first, h, n, min_block)
                 raw, offs = data.tobytes(), K.buffers(cols[at])[1]
-                texts, removed = cols[at].to_pylist(), []
-                for i, (places, hashes) in enumerate(zip(block.column(len(names)).to_pylist(), block.column(len(names) + 1).to_pylist())):
+                texts = cols[at].to_pylist()
+                for i in asked:
+                    places, hashes = places_[i].as_py(), hashes_[i].as_py()
                     own = h[first[i] : first[i + 1]].view(np.int64)
                     drop = np.zeros(len(own), bool)
                     if places:
@@ -325,8 +349,8 @@ def dedup_lines(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
                         p = p[own[p] == q]
                         for step in range(int(size[first[i] + p].max(initial=0))):
                             drop[p[size[first[i] + p] > step] + step] = True
-                    removed.append(int(drop.sum()))
-                    if removed[-1]:
+                    removed[i] = int(drop.sum())
+                    if removed[i]:
                         cut = np.append(starts[first[i] : first[i + 1]], offs[i + 1])
                         kept = raw[offs[i] : cut[0]] + b"".join(raw[cut[j] : cut[j + 1]] for j in np.flatnonzero(~drop))
                         texts[i] = kept.decode("utf-8").rstrip() if drop[-1] else kept.decode("utf-8")

@@ -104,7 +104,9 @@ def running_hash(data: np.ndarray, fold: np.ndarray | None = LOWER) -> np.ndarra
     """The running sum from which ``spans_of`` takes the hash of any byte span; ``fold`` maps bytes first."""
     values = _BYTES if fold is None else _BYTES[fold]
     total = np.zeros(len(data) + 1, _U)
-    np.cumsum(values[data] * _powers(len(data) + 1)[0][: len(data)], out=total[1:])
+    own = values[data]
+    own *= _powers(len(data) + 1)[0][: len(data)]
+    np.cumsum(own, out=total[1:])
     return total
 
 

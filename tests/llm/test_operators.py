@@ -499,3 +499,13 @@ def test_pipeline_edges(spark, docs):
             assert kept.columns == docs.columns
             kept = spark.createDataFrame(kept.collect(), docs.schema)
         assert kept.count() >= least and C.STAGES[-1][1](spark, kept, SF).count() >= least
+
+
+def test_op2_lines_by_their_cuts():
+    assert line_dedup.merged(np.array([0, 3, 3]), np.array([1, 3, 9])).tolist() == [0, 1, 3, 9] and not len(line_dedup.merged(np.zeros(0, int), np.zeros(0, int)))
+    texts = ["", "a b. c\n\nd", "\n", "", "e! f? g", " ", "é. \r\nx"]
+    data, starts, ends, first, _, words = line_dedup.lines(pa.array(texts, pa.large_string()))
+    raw = data.tobytes()
+    got = [[raw[starts[i] : ends[i]].decode() for i in range(first[k], first[k + 1])] for k in range(len(texts))]
+    assert [[x.strip() for x in g if x.strip()] for g in got] == [[], ["a b.", "c", "d"], [], [], ["e!", "f?", "g"], [], ["é.", "x"]]
+    assert words.sum() == 9

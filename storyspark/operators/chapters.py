@@ -39,6 +39,7 @@ UNITS = {"part": "部", "volume": "卷", "chapter": "章", "section": "节", "hu
 CONTENTS, PAGE = r"^[ \t]*目[ \t]*录[ \t]*[:：]?[ \t]*$", r"[ \t]*\p{Nd}+[ \t]*$"
 ENTRY = rf"^[ \t]*(?:第?{NUM}+[章节回卷篇]|卷{NUM}+|卷[上中下]|[Cc]hapter[ \t]*\p{{Nd}}+|[Uu]nit[ \t]*\p{{Nd}}+|[Vv]olume[ \t]*\p{{Nd}}+|[Pp]art[ \t]*\p{{Nd}}+|[^ \t\r\n]{{1,4}}[篇卷部][ \t]*\p{{Nd}}+)[ \t]*.*$"
 OPENING, OPENING_TITLE = rf"(?iu)^(楔子|序言|前言|引子|序章|序幕|引言|写在前面|Prologue)(?:[ \t]*{MARKS}[ \t]*)?([^。！？…]*)$", "序言"
+OPENS = r"(?iuU)^\s*(?:楔子|序言|前言|引子|序章|序幕|引言|写在前面|Prologue)"
 #: Particles that a title does not begin with; title of a chapter that was cut automatically.
 PARTICLES, AUTO_TITLE = ("的", "了", "是", "在", "有", "和", "就"), "自动分章"
 #: Lengths of titles (shortest, longest, longest without text in it, least that may hold a sentence), least opening text, contents within the first part of a book, its fewest entries.
@@ -88,12 +89,14 @@ def lines(books: DataFrame) -> DataFrame:
     rows = books.select("doc_id", F.posexplode(F.split(preprocess(F.col("text")), "\n")).alias("pos", "line"))
     line = F.col("line")
     may_be = line.rlike(r"(?i)[部卷篇回章节]|chapter|unit|volume|part|番外|后记|尾声|彩蛋|外传|附录|结语")
-    lead, trail = F.char_length(line) - F.char_length(F.regexp_replace(line, r"(?U)^\s+", "")), F.char_length(line) - F.char_length(F.regexp_replace(line, r"(?U)\s+$", ""))
+    lead, trail = F.char_length(line) - F.char_length(F.regexp_replace(line, r"(?U)^\s+", "")), F.when(F.substring(line, -1, 1).rlike(r"(?U)\s"), F.char_length(line) - F.char_length(F.regexp_replace(line, r"(?U)\s+$", ""))).otherwise(0)
+    # both ends are stripped only where the line begins as an opening does
+    opens = line.rlike(OPENS)
     entry = line.rlike(ENTRY)
     told = rows.select(
         "doc_id", "pos", F.char_length(line).alias("size"), line.rlike(r"(?U)\S").alias("real"), lead.alias("lead"), trail.alias("trail"), line.rlike(CONTENTS).alias("contents"), entry.alias("entry"),
         F.when(entry, F.xxhash64(F.regexp_replace(line, PAGE, ""))).alias("name"), line.rlike(PAGE).alias("paged"),
-        F.when(_strip(line).rlike(OPENING), F.regexp_extract(_strip(line), OPENING, 1)).alias("opening"), F.when(may_be, _heading(line)).alias("h"), F.when(may_be, _strip(line)).alias("title"),
+        F.when(opens & _strip(line).rlike(OPENING), F.regexp_extract(_strip(line), OPENING, 1)).alias("opening"), F.when(may_be, _heading(line)).alias("h"), F.when(may_be, _strip(line)).alias("title"),
     )
     upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("doc_id")

@@ -104,3 +104,11 @@ def test_matching_blocks(seed):
         blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
         assert sequences.matching(a, b) == sum(x.size for x in blocks)
     assert sequences.ratio("a" * 199, "a" * 500) is None and sequences.ratio("a" * 200, "a" * 500) == 1.0 and sequences.ratio(None, "a") is None
+
+
+def test_line_ends_and_openings(spark):
+    text = "  序言  \n a \u0085\nab\n\t\n PROLOGUE: x\n他说序言\n b "
+    rows = chapters.lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("pos")
+    got = [(r["trail"], r["opening"]) for r in rows.collect()]
+    assert got == [(2, "序言"), (2, None), (0, None), (0, None), (0, "PROLOGUE"), (0, None), (1, None)]
+    assert "(?iuU)^\\s*(?:楔子" in rows._jdf.queryExecution().analyzed().toString()  # no line is stripped to ask that

@@ -158,10 +158,17 @@ def _tokens(spark, sf_dir):
     return _documents(spark, sf_dir, F.filter(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), lambda x: F.length(x) >= 2).alias("tokens"))
 
 
+def _texts(spark, sf_dir):
+    """The texts of ``_tokens``, which the topic models split themselves."""
+    return _documents(spark, sf_dir, F.lower("text").alias("tokens"))
+
+
 def lda_topics(spark, sf_dir):
-    docs = _tokens(spark, sf_dir)
-    words, model = learning.fit_lda(docs, k=learning.topic_count(None, docs.count(), most=8))
-    return learning.infer_lda(docs, words, model).select("doc_id", "status", "n_tokens", F.transform("weights", lambda x: F.round(x, 6)).alias("weights"))
+    docs = _texts(spark, sf_dir)
+    words = learning.dictionary(docs)
+    bags = G.cut(learning.bags(docs, words).drop("tokens"))
+    model = learning.fit_bags(bags, k=learning.topic_count(None, bags.count(), most=8))
+    return learning.infer_bags(bags, model).select("doc_id", "status", "n_tokens", F.transform("weights", lambda x: F.round(x, 6)).alias("weights"))
 
 
 def lda_topic_words(spark, sf_dir):

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import LDA, LocalLDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from storyspark.functions import words
+from storyspark.operators.graph_algorithms import cut
 
 
 def topic_count(k: int | None, documents: int, least: int = 3, most: int = 25, divisor: int = 30) -> int:
@@ -18,27 +25,51 @@ def topic_count(k: int | None, documents: int, least: int = 3, most: int = 25, d
     return k if k is not None else max(least, min(most, documents // divisor))
 
 
-def fit_lda(docs: DataFrame, tokens: str = "tokens", k: int = 25, iterations: int = 10, vocabulary: int = 1 << 18, seed: int = 42):
-    """(vectoriser, LDA model) of ``docs`` with at least one token."""
-    docs = docs.where(F.size(tokens) > 0)
-    words = CountVectorizer(inputCol=tokens, outputCol="bow", minDF=1.0, vocabSize=vocabulary).fit(docs)
-    model = LDA(k=k, maxIter=iterations, optimizer="online", optimizeDocConcentration=True, seed=seed, featuresCol="bow").fit(words.transform(docs))
-    return words, model
+def dictionary(docs: DataFrame, tokens: str = "tokens", vocabulary: int = 1 << 18) -> CountVectorizerModel:
+    """Vectoriser of the ``vocabulary`` most frequent words of ``docs``, ties by the word; their places do not tell their ranks.
 
+    ``tokens`` are token arrays, or texts that are split as ``functions.words`` does. Spark ML's own fit makes objects of all tokens; here
+    tasks count the words of many documents at once, and the vectoriser is fitted on the chosen words alone (in one task, as their number is bounded).
+    """
+    counts = docs.select(tokens).mapInArrow(words.counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    chosen = counts.orderBy(F.desc("n"), "word").limit(vocabulary).select(F.array("word").alias(tokens)).coalesce(1)
+    return CountVectorizer(inputCol=tokens, outputCol="bow", minDF=1.0, vocabSize=vocabulary).fit(chosen)
+
+
+def bags(docs: DataFrame, vectoriser: CountVectorizerModel, tokens: str = "tokens") -> DataFrame:
+    """``docs`` with the number of their tokens (``n_all``), of those in the dictionary (``n_tokens``) and the bag of these (``bow``)."""
+    known = docs.sparkSession.sparkContext.broadcast(vectoriser.vocabulary)  # of a bounded size
+
+    @F.arrow_udf(StructType([StructField("n_all", LongType()), StructField("n_tokens", LongType()), StructField("bow", VectorUDT())]))
+    def bag(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = pa.array(known.value, pa.string())
+        for col in cols:
+            yield words.bags(col, vocabulary)
+
+    return docs.withColumn("bag", bag(tokens)).withColumns({c: F.col(f"bag.{c}") for c in ("n_all", "n_tokens", "bow")}).drop("bag")
 
-def infer_lda(docs: DataFrame, words, model, tokens: str = "tokens") -> DataFrame:
-    """``docs`` with status, in-dictionary token count and dense topic weights (zero where nothing is in the dictionary)."""
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(words.vocabulary))  # of a bounded size
 
-    @F.pandas_udf("long")
-    def held(rows: pd.Series) -> pd.Series:
-        return pd.Series([sum(t in known.value for t in r) if r is not None else 0 for r in rows], dtype="int64")
+def fit_bags(docs: DataFrame, k: int = 25, iterations: int = 10, seed: int = 42):
+    """LDA model of ``bags`` with at least one token; it reads them several times, so they should be a table (``cut``)."""
+    return LDA(k=k, maxIter=iterations, optimizer="online", optimizeDocConcentration=True, seed=seed, featuresCol="bow").fit(docs.where("n_all > 0"))
 
-    out = model.transform(words.transform(docs))
-    n = held(tokens)
-    status = F.when(F.size(tokens) == 0, "empty").when(n == 0, "out_of_vocabulary").otherwise("ok")
-    weights = F.when(n > 0, vector_to_array("topicDistribution")).otherwise(F.array_repeat(F.lit(0.0), model.getK()))
-    return out.withColumn("n_tokens", n).withColumn("status", status).withColumn("weights", weights).drop("bow", "topicDistribution")
+
+def infer_bags(docs: DataFrame, model) -> DataFrame:
+    """``bags`` with status, in-dictionary token count and dense topic weights (zero where nothing is in the dictionary)."""
+    status = F.when(F.col("n_all") == 0, "empty").when(F.col("n_tokens") == 0, "out_of_vocabulary").otherwise("ok")
+    weights = F.when(F.col("n_tokens") > 0, vector_to_array("topicDistribution")).otherwise(F.array_repeat(F.lit(0.0), model.getK()))
+    return model.transform(docs).withColumn("status", status).withColumn("weights", weights).drop("n_all", "bow", "topicDistribution")
+
+
+def fit_lda(docs: DataFrame, tokens: str = "tokens", k: int = 25, iterations: int = 10, vocabulary: int = 1 << 18, seed: int = 42):
+    """(vectoriser, LDA model) of ``docs`` with at least one token (token arrays or texts, see ``dictionary``)."""
+    vectoriser = dictionary(docs, tokens, vocabulary)
+    return vectoriser, fit_bags(cut(bags(docs.select(tokens), vectoriser, tokens).drop(tokens)), k, iterations, seed)
+
+
+def infer_lda(docs: DataFrame, vectoriser, model, tokens: str = "tokens") -> DataFrame:
+    """``docs`` with status, in-dictionary token count and dense topic weights (zero where nothing is in the dictionary)."""
+    return infer_bags(bags(docs, vectoriser, tokens), model)
 
 
 @dataclass

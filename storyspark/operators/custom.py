@@ -277,8 +277,10 @@ def topic_evolution(spark, sf_dir):
 
 
 def event_timeline_levels(spark, sf_dir):
-    s = _sql(spark, sf_dir, lambda d: "SELECT user_id, round(0.4 * count(*) / 100 + 0.3 * avg(value) / 50, 2) AS importance FROM @events GROUP BY user_id")
-    s = ordering.numbered(s, [F.col("importance"), F.col("user_id")], "i")
+    """Users by the thirds of their importance, which is rounded as a double (Spark's round takes it for a decimal) and adds values in the order of events, as one halfway between two hundredths hangs on its last digit."""
+    run = lambda x: f"{x} OVER (PARTITION BY user_id ORDER BY event_id, value)"
+    s = _sql(spark, sf_dir, lambda d: f"SELECT user_id, round((CAST(0.4 * n AS DOUBLE) / 100 + 0.3D * (total / filled) / 50) * 100) / 100 AS importance FROM (SELECT user_id, {run('row_number()')} AS n, {run('count(value)')} AS filled, {run('sum(value)')} AS total, {run('lead(true)')} AS more FROM @events) t WHERE more IS NULL")
+    s = ordering.numbered(s, [F.col("importance").asc_nulls_last(), F.col("user_id").asc_nulls_last()], "i")
     n = s.agg(F.count("*").alias("n"))
     cut = s.join(F.broadcast(n)).agg(*[F.max(F.when(F.col("i") == F.expr(f"n * {q} div 100 + 1"), F.col("importance"))).alias(name) for name, q in (("hi", 66), ("lo", 33))])
     level = F.when(F.col("importance") >= F.col("hi"), "major").when(F.col("importance") >= F.col("lo"), "minor").otherwise("detail")

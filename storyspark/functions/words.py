@@ -73,13 +73,26 @@ def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from total(parts).to_batches()
 
 
-def bags(col: pa.Array, vocabulary: pa.Array) -> pa.Array:
-    """(n_all, n_tokens, bow) a row: its number of words, of those in the vocabulary, and how often it has each of these, as a sparse vector of Spark ML."""
-    out = []
+def places(col: pa.Array, vocabulary: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where the words of a column are in a vocabulary (-1 for others), row by row, and each row's number of words, in blocks of rows."""
     for found, sizes in words(col):
         coded = found.dictionary_encode()
         place = np.append(pc.index_in(coded.dictionary, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False), -1)
-        ids = place[coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)].astype(np.int64)
+        yield place[coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)].astype(np.int64), sizes
+
+
+def coded(batches: Iterator[pa.RecordBatch], vocabulary: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The first column of batches as places in a vocabulary (``ids``, a list a row); words that it does not hold are left out."""
+    for batch in batches:
+        for ids, sizes in places(batch.column(0), vocabulary):
+            row, ids = np.repeat(np.arange(len(sizes)), sizes)[ids >= 0], ids[ids >= 0]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)), pa.int32()), pa.array(ids, pa.int32()))], ["ids"])
+
+
+def bags(col: pa.Array, vocabulary: pa.Array) -> pa.Array:
+    """(n_all, n_tokens, bow) a row: its number of words, of those in the vocabulary, and how often it has each of these, as a sparse vector of Spark ML."""
+    out = []
+    for ids, sizes in places(col, vocabulary):
         row, ids = np.repeat(np.arange(len(sizes)), sizes)[ids >= 0], ids[ids >= 0]
         width = max(len(vocabulary), 1)
         keys, n = np.unique(row * width + ids, return_counts=True)

@@ -401,9 +401,8 @@ def dependency_depth(spark, sf_dir):
 
 def word2vec_warm(spark, sf_dir):
     """Word vectors trained on from those of a first training: how far each word moved."""
-    docs = _tokens(spark, sf_dir)
-    given = learning.fit_word2vec(docs, size=16, min_count=5)
-    out = skipgram.train(docs, 16, given, epochs=1).vectors
+    given = _word_vectors(spark, sf_dir, 5)
+    out = skipgram.train(_texts(spark, sf_dir), 16, given, epochs=1).vectors
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     both = out.join(given.select("word", F.col("vector").cast("array<double>").alias("given")), "word", "left")
     return both.select("word", "known", F.round(dot("vector", "given") / F.sqrt(dot("vector", "vector") * dot("given", "given")), 6).alias("kept"), F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))

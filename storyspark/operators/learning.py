@@ -127,7 +127,7 @@ def fit_word2vec(docs: DataFrame, tokens: str = "tokens", size: int = 50, window
     Spark ML trains in one task unless told otherwise: here a task has some ``TASK_TOKENS`` tokens, and what the tasks learnt is averaged.
     """
     n = docs.agg(F.sum(F.greatest(F.size(tokens), F.lit(0)).cast("long"))).first()[0] or 0
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, numPartitions=max(1, -(-n // TASK_TOKENS)), inputCol=tokens, outputCol="v").fit(docs)
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, numPartitions=max(1, -(-n // TASK_TOKENS)), inputCol=tokens, outputCol="v").fit(docs.where(F.col(tokens).isNotNull()))
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 

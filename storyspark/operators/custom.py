@@ -148,10 +148,8 @@ def identity_components(spark, sf_dir):
 
 
 def textrank(spark, sf_dir):
-    """The 20 top words of the graph of words that share a window of five tokens."""
-    toks = _documents(spark, sf_dir, F.filter(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda x: F.length(x) >= 8).alias("t"))
-    rows = toks.where("doc_id is not null").select("doc_id", F.posexplode("t").alias("i", "tk"))
-    return G.textrank(rows, most=20).orderBy(F.desc("rank"), "node").limit(20).select("node", F.round("rank", 6).alias("rank"))
+    """The 20 top words of the graph of words of two characters or more that share a window of five tokens."""
+    return G.textrank_texts(_documents(spark, sf_dir, "text")).orderBy(F.desc("rank"), "node").limit(20).select("node", F.round("rank", 6).alias("rank"))
 
 
 def _tokens(spark, sf_dir):

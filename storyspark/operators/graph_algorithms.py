@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from storyspark.functions import words as W
+
 
 def new_path(spark: SparkSession) -> str:
     """A new name in the shared folder of spark.checkpoint.dir (on one machine, where it is unset, in a temporary folder)."""
@@ -78,6 +83,74 @@ def textrank(rows: DataFrame, reach: int = 4, damping: float = 0.85, tolerance:
     return _ranks(cut(out.where("out > 0")), move, damping, tolerance, most)
 
 
+#: Words whose ranks are broadcast at most (8 bytes each, beside the words themselves while texts are coded), and tokens of a text that are taken at once.
+RANKS, PLACES = 1 << 22, 1 << 20
+
+
+def _around(ids: np.ndarray, doc: np.ndarray, value: np.ndarray, reach: int) -> np.ndarray:
+    """For each word the weighted sum of ``value`` over the other words around all of its places."""
+    out = np.zeros(len(value))
+    for at in range(0, len(ids), PLACES):
+        i, d = ids[at : at + PLACES + reach], doc[at : at + PLACES + reach]
+        v, s = value[i], np.zeros(len(i))
+        for k in range(1, min(reach, len(i) - 1) + 1):
+            m = min(PLACES, len(i) - k)  # pairs whose first word is in this part
+            w = (reach + 1 - k) * ((d[:m] == d[k : m + k]) & (i[:m] != i[k : m + k]))
+            s[:m] += w * v[k : m + k]
+            s[k : m + k] += w * v[:m]
+        out += np.bincount(i, s, len(value))
+    return out
+
+
+def textrank_texts(docs: DataFrame, text: str = "text", reach: int = 4, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
+    """``textrank`` of the words of ``docs(text)`` (texts or token arrays, see ``functions.words``), each row a text of its own.
+
+    Texts are coded once as the numbers of their words. A round broadcasts the words' ranks, and a task adds what its places send, so that
+    only a number a word leaves it. More words than ``RANKS`` are ranked by ``textrank``, which shuffles the places instead.
+    """
+    spark = docs.sparkSession
+    words = cut(docs.select(text).mapInArrow(W.counts, "word string, n long").select("word").distinct())
+    n_words = words.count()
+    if n_words > RANKS:
+        split = lambda batches: (pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), w)], ["t"]) for b in batches for w, n in W.words(b.column(0)))
+        texts = docs.select(text).mapInArrow(split, "t array<string>").withColumn("doc_id", F.monotonically_increasing_id())
+        return textrank(texts.select("doc_id", F.posexplode("t").alias("i", "tk")).where("tk is not null"), reach, damping, tolerance, most)
+    names = words.orderBy("word").toArrow().column("word").cast(pa.string()).combine_chunks()
+    names = pa.concat_arrays(names.chunks) if isinstance(names, pa.ChunkedArray) and names.num_chunks else pa.array(names.to_pylist(), pa.string())
+    every = spark.sparkContext.broadcast(names)
+    coded = cut(docs.select(text).mapInArrow(lambda batches: W.coded(batches, every.value), "ids array<int>"))
+
+    def sums(value: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(value)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(len(shared.value))
+            for batch in batches:
+                col = batch.column(0)
+                size = np.diff(np.asarray(col.offsets))
+                out += _around(col.flatten().to_numpy(), np.repeat(np.arange(len(size), dtype=np.int32), size), shared.value, reach)
+            some = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(out[some])], ["word", "s"])
+
+        got = coded.mapInArrow(run, "word int, s double").groupBy("word").agg(F.sum("s").alias("s")).toArrow()  # a number a word, of RANKS at most
+        shared.unpersist()
+        total = np.zeros(len(value))
+        total[got.column("word").to_numpy()] = got.column("s").to_numpy()
+        return total
+
+    out = sums(np.ones(n_words)) if n_words else np.zeros(0)
+    linked = out > 0
+    n = max(int(linked.sum()), 1)
+    ranks = np.where(linked, 1 / n, 0.0)
+    for _ in range(most if linked.any() else 0):
+        moved = sums(np.divide(ranks, out, out=np.zeros(n_words), where=linked))
+        after = np.where(linked, (1 - damping) / n + damping * (1 - moved.sum()) / n + damping * moved, 0.0)
+        gap, ranks = np.abs(after - ranks).sum(), after
+        if gap < n * tolerance:
+            break
+    return spark.createDataFrame(pa.table({"node": names.filter(pa.array(linked)), "rank": ranks[linked]}), "node string, rank double")
+
+
 def hits(edges: DataFrame, most: int = 1000, tolerance: float = 1e-12) -> DataFrame:
     """(node, hub, authority), each summing to 1: power iteration from all ones until no authority moves by more than ``tolerance``.
 
